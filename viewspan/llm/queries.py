@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from .decontam import op3_decontamination
+from .licenses import OP5_SQL, op5_license_scan
+from .lm import op7_lm_scores
+from .mixing import OP9_SQL, op9_source_mixing
+from .secrets import op1_secret_scan
 from .simhash import op6_simhash
+from .suffixes import op2_suffix_dedup
 from .tokens import op10_token_counts
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op6_simhash, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op5_license_scan, op6_simhash, op7_lm_scores, op8_toxicity, op9_source_mixing, op10_token_counts)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op9_source_mixing": OP9_SQL}
