@@ -1,0 +1 @@
+"""viewspan: Q-methodology analytics on Spark DataFrames."""
