@@ -17,7 +17,6 @@ bucket can be judged alone:
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, ensure_checkpoint_dir, read
+from .common import add_columns, read, stored
 
 #: Bytes of a string that counts as repeated, and of the k-grams whose least hash names a bucket.
 WIDTH, KGRAM = 400, 32
@@ -340,19 +339,10 @@ def _window_rows(width):
     return run
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder (smaller there than as a checkpoint)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/viewspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def repeated_ranges(keyed: DataFrame, width: int = WIDTH, kgram: int = KGRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Ranges ``(k1, k2, a, b)`` of starts of repeated strings in the texts ``t`` of ``(k1, k2, t)``; ``b`` is exclusive, ranges may overlap."""
     schema = "bucket long, piece long, k1 long, k2 long, start int, windows int, tied boolean"
-    rows = _stored(keyed.where(F.octet_length("t") >= width).mapInArrow(_piece_rows(width, kgram), schema))
+    rows = stored(keyed.where(F.octet_length("t") >= width).mapInArrow(_piece_rows(width, kgram), schema))
     several = rows.groupBy("bucket").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.max("tied").alias("tied")).where("lo <> hi or tied").select("bucket")
     grouped = rows.groupBy("bucket", "piece").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("r"))
     copies = grouped.where("n > 1").select("bucket", "piece")
@@ -360,9 +350,9 @@ def repeated_ranges(keyed: DataFrame, width: int = WIDTH, kgram: int = KGRAM, ho
 
     singles = grouped.join(several, "bucket").select("bucket", "piece", "n", "r.*")
     sizes = singles.groupBy("bucket").agg(F.sum(F.col("windows") + width - 1).alias("size"))
-    singles = _stored(singles.join(sizes, "bucket").select("*", (F.col("size") > hot_bytes).alias("hot")).drop("size"))
+    singles = stored(singles.join(sizes, "bucket").select("*", (F.col("size") > hot_bytes).alias("hot")).drop("size"))
     part = F.substring(F.encode("t", "UTF-8"), F.col("start") + 1, F.col("windows") + F.lit(width - 1)).alias("bytes")
-    texts = _stored(singles.join(keyed, ["k1", "k2"]).select("bucket", "piece", "n", "k1", "k2", "start", "hot", part))
+    texts = stored(singles.join(keyed, ["k1", "k2"]).select("bucket", "piece", "n", "k1", "k2", "start", "hot", part))
     searched = texts.where("not hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search_rows(width), "k1 long, k2 long, a long, b long")
     # a repeated row brings its pieces twice; they count once here
     hot = texts.where("hot").dropDuplicates(["bucket", "piece"]).mapInArrow(_window_rows(width), "w1 long, w2 long, k1 long, k2 long, a long")
