@@ -97,15 +97,31 @@ def _block(ids: list, hashes: list[np.ndarray], order: int, buckets: int):
     for n in range(1, order + 1):
         keys, counts, packed = _coded(np.concatenate([ngrams(h, n) for h in hashes]), n)
         parts.append(packed)
-        to = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        to = _bucket(keys, buckets)
         at = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[at], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             i = at[cuts[b] : cuts[b + 1]]
-            yield name, n, b, keys[i].tobytes(), _small(counts[i]), _planes(np.diff(i, prepend=0)), None, None, None
+            yield name, n, b, _six(keys[i]), _small(counts[i]), _planes(np.diff(i, prepend=0)), None, None, None
     yield name, 0, name % buckets, None, None, None, parts, ids, lens.tobytes()
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _six(keys: np.ndarray) -> bytes:
+    """The low six bytes of each key: in a bucket they tell keys apart, since the other bits have chosen the bucket."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _of_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _small(c: np.ndarray) -> bytes:
     """Counts in as few bytes as they need, the width first."""
     kind = np.uint8 if not len(c) or c.max() < 1 << 8 else np.uint16 if c.max() < 1 << 16 else np.uint32 if c.max() < 1 << 32 else np.uint64
@@ -167,7 +183,7 @@ def _answers(id_type: str):
     def run(batches):
         for rows in _groups(batches, ["n", "b"]):
             if rows[0]["n"]:
-                keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+                keys = [_of_six(r["keys"]) for r in rows]
                 own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
                 total = np.zeros(len(own), np.int64)
                 np.add.at(total, inverse, np.concatenate([_large(r["counts"]) for r in rows]))
@@ -235,7 +251,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order
 
     All n-grams of all rows are counted, repeated rows as often as they come. A
     text without words, null included, scores 0 and null a word. An empty table
-    gives no rows. N-grams are known by 64-bit hashes.
+    gives no rows. N-grams are known by a bucket and a 48-bit hash in it.
     """
     spark = docs.sparkSession
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
