@@ -276,3 +276,58 @@ def _slots():
 
 
 query("kenq_type1_invert", "participant:s stmt_num:i value:d", "select participant, stmt_num, value from sorts")(kenq_inverted)
+
+
+# --- algebra, Monte Carlo and tests with p-values: no SQL, tested in tests/ ------------------------------------
+
+from ..operators import bayes as B  # noqa: E402
+from ..operators import extraction as X  # noqa: E402
+
+_LOAD = "participant:s factor:i loading:d"
+query("pca_loadings", _LOAD)(lambda s, d: X.extract(sorts(s, d), 5))
+query("centroid_loadings", _LOAD)(lambda s, d: X.extract(sorts(s, d), 3, "centroid"))
+query("minres_loadings", _LOAD)(lambda s, d: X.extract(sorts(s, d), 3, "minres"))
+for _rotation in ("varimax", "quartimax", "oblimin", "promax"):
+    query(f"rotate_{_rotation}", _LOAD)(lambda s, d, r=_rotation: X.extract(sorts(s, d), 5, "pca", r))
+query("eigenvalues", "k:i eigenvalue:d variance:d cumulative:d")(lambda s, d: X.eigenvalues(sorts(s, d)))
+query("parallel_analysis", "k:i eigenvalue:d threshold:d retain:b")(lambda s, d: X.parallel_analysis(sorts(s, d)))
+query("number_of_factors", "study_id:s k:i")(lambda s, d: X.number_of_factors(sorts(s, d)))
+query("retention_evidence", "k:i eigenvalue:d variance:d cumulative:d threshold:d parallel:b kaiser:b humphrey:b two_loadings:b")(lambda s, d: X.retention_evidence(sorts(s, d)))
+query("quality_metrics", "study_id:s kmo:d bartlett_p:d determinant:d avg_r:d kmo_band:s bartlett_band:s determinant_band:s")(lambda s, d: X.quality_metrics(sorts(s, d)))
+query("validate", "study_id:s n_participants:i n_statements:i completeness:d n_nonconforming:i n_duplicates:i n_careless:i n_undefined_r:i valid:b")(lambda s, d: C.validate(sorts(s, d), C.pearson(sorts(s, d)), DECK))
+query("permanova_p", "attribute:s f:d r2:d p:d permutations:i passed:b")(lambda s, d: R.permanova_test(sorts(s, d), usable(s, d)))
+query("neutral_tests", "stmt_num:i p:d exact:b rank_biserial:d hl:d hl_low:d hl_high:d p_adj:d flagged:b label:s")(lambda s, d: R.neutral_tests(sorts(s, d), DECK))
+
+
+def gated_tests(s, d):
+    return R.group_tests(sorts(s, d), usable(s, d), R.permanova_test(sorts(s, d), usable(s, d), 999), ["band"])
+
+
+query("group_tests", "attribute:s stmt_num:i test:s n_levels:i effect:d hl:d p:d p_adj:d flagged:b label:s")(gated_tests)
+query("priorities_verdict", "study_id:s n_statements:i n_departures:i n_differences:i n_attributes:i w:d band:s")(lambda s, d: R.verdict(R.neutral_tests(sorts(s, d), DECK), gated_tests(s, d), R.kendall_w(sorts(s, d))))
+
+
+def replicates(s, d, n: int = 500):
+    return X.bootstrap(sorts(s, d), 3, n)
+
+
+query("bootstrap_ci", "kind:s item:i factor:i boot_mean:d boot_sd:d ci_low:d ci_high:d n:i original:d bias:d bc_estimate:d")(lambda s, d: X.bootstrap_ci(replicates(s, d), X.original_solution(sorts(s, d), 3)))
+query("bootstrap_stability", "kind:s mean:d sd:d min:d max:d replicates:i")(lambda s, d: X.stability(replicates(s, d), X.original_solution(sorts(s, d), 3)))
+query("flag_frequency", "p_idx:i factor:i flag_frequency:d flag_frequency_when_sampled:d")(lambda s, d: X.flag_frequency(replicates(s, d)))
+query("bootstrap_rank_range", "factor:i stmt_num:i best_rank:i worst_rank:i")(lambda s, d: X.rank_range(X.bootstrap_ci(replicates(s, d), X.original_solution(sorts(s, d), 3))))
+
+
+def few(s, d):
+    """Forty participants: a study of a usual size, for the sampler."""
+    return sorts(s, d).where("p_idx <= 40")
+
+
+def posterior(s, d):
+    return B.draws(few(s, d), [1, 2, 3], 2, 400, 200, 2)
+
+
+query("bayes_loadings", "k:i item:i factor:i mean:d sd:d low:d high:d")(lambda s, d: B.summary(posterior(s, d), "loading"))
+query("bayes_zscores", "k:i item:i factor:i mean:d sd:d low:d high:d")(lambda s, d: B.summary(posterior(s, d), "zscore"))
+query("bayes_claims", "k:i item:i factor:i p:d claimed:b expected_false:d")(lambda s, d: B.flag_claims(posterior(s, d)))
+query("bayes_ladder", "k:i supported:i adequate:b n_flags:i n_distinguishing:i")(lambda s, d: B.ladder(posterior(s, d)))
+query("bayes_convergence", "k:i kind:s worst_rhat:d mean_rhat:d")(lambda s, d: B.convergence(posterior(s, d)))
