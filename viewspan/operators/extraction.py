@@ -136,8 +136,8 @@ def quality_metrics(sorts: DataFrame) -> DataFrame:
     out = sorts.groupBy("study_id").applyInPandas(run, "study_id string, kmo double, bartlett_p double, determinant double, avg_r double")
     k, b = F.col("kmo"), F.col("bartlett_p")
     return out.withColumns({
-        "kmo_band": F.when(F.isnan(k), "Not available").when(k >= 0.9, "Excellent").when(k >= 0.8, "Good").when(k >= 0.7, "Acceptable").when(k >= 0.6, "Mediocre").otherwise("Poor - reconsider analysis"),
-        "bartlett_band": F.when(F.isnan(b), "Not available").when(b < 0.001, "Highly significant").when(b < 0.05, "Significant").otherwise("Not significant"),
+        "kmo_band": F.when(k.isNull() | F.isnan(k), "Not available").when(k >= 0.9, "Excellent").when(k >= 0.8, "Good").when(k >= 0.7, "Acceptable").when(k >= 0.6, "Mediocre").otherwise("Poor - reconsider analysis"),
+        "bartlett_band": F.when(b.isNull() | F.isnan(b), "Not available").when(b < 0.001, "Highly significant").when(b < 0.05, "Significant").otherwise("Not significant"),
         "determinant_band": F.when(F.col("determinant") > 1e-5, "OK").otherwise("Near singular"),
     })
 
