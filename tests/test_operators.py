@@ -175,3 +175,22 @@ def test_bayes(spark, study):
     assert claims.where("claimed and p < 0.5").count() == 0
     assert B.selected_k(B.ladder(d)).first()["verdict"] in ("selected", "single_viewpoint", "adequate_but_unsupported", "no_shared_structure")
     assert B.to_flags(d, 2, s).count() == 2 * s.select("p_idx").distinct().count()
+
+
+def test_whole_analyses(spark, study, tmp_path):
+    from viewspan.plans import analyze as N
+
+    s = study.where("p_idx <= 40")
+    for flagging in ("auto", "theoretical", "manual"):
+        out = N.analyze(s, S.DECK, 3, flagging=flagging)
+        assert out["flags"].count() == 3 * s.select("p_idx").distinct().count()
+    out = N.analyze(s, S.DECK, 3)
+    assert out["arrays"].groupBy("factor").agg(F.sum("score").alias("t")).where("t <> 0").count() == 0
+    edits = out["flags"].where("factor = 1").select("study_id", "participant", "factor", F.lit(False).alias("flagged"))
+    assert N.recalculate_after_flagging(s, out["flags"], edits, S.DECK)["scores"].where("factor = 1").count() == 0
+    with pytest.raises(ValueError):
+        N.analyze(s, S.DECK, 3, p=1.5)
+    groups = Q.groups(spark, SF)
+    got = N.priorities(s, S.DECK, groups, Q.numbers(spark, SF), ("band",), permutations=99)
+    assert set(got) == {"table", "neutral", "concordance", "gates", "tests", "notes", "top", "concordance_by_level", "numeric"}
+    assert got["gates"].where("attribute = 'acctbal'").count() == 1

@@ -331,3 +331,21 @@ query("bayes_zscores", "k:i item:i factor:i mean:d sd:d low:d high:d")(lambda s,
 query("bayes_claims", "k:i item:i factor:i p:d claimed:b expected_false:d")(lambda s, d: B.flag_claims(posterior(s, d)))
 query("bayes_ladder", "k:i supported:i adequate:b n_flags:i n_distinguishing:i")(lambda s, d: B.ladder(posterior(s, d)))
 query("bayes_convergence", "k:i kind:s worst_rhat:d mean_rhat:d")(lambda s, d: B.convergence(posterior(s, d)))
+
+from . import analyze as N  # noqa: E402
+
+
+def analysis(s, d, part, **options):
+    return N.analyze(sorts(s, d), DECK, 5, **options)[part]
+
+
+query("analyze_characteristics", "factor:i n_flagged:i eigenvalue:d variance_pct:d composite_reliability:d se_factor:d")(lambda s, d: analysis(s, d, "characteristics"))
+query("analyze_classes", "stmt_num:i category:s consensus_level:s ranking_variance:d")(lambda s, d: analysis(s, d, "statement_class"))
+query("analyze_centroid_arrays", "factor:i place:i stmt_num:i zscore:d score:i")(lambda s, d: N.analyze(sorts(s, d), DECK, 3, "centroid", "quartimax")["arrays"])
+query("reanalyze_rotated", "factor:i stmt_num:i zscore:d rank:i score:i", """select factor, stmt_num, zscore, rank, case when mid = floor(mid) then g[floor(mid)::int] else min(g[floor(mid)::int]) over (partition by factor, zscore) end as score from
+  (select *, [-4, -3, -3, -2, -2, -2, -1, -1, -1, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 4] as g, rank() over (partition by factor order by zscore desc) as rank, """ + mid("zscore", "factor") + """ as mid from
+  (select factor, stmt_num, (w - avg(w) over (partition by factor)) / stddev_samp(w) over (partition by factor) as zscore from
+  (select factor, stmt_num, sum(value * a / (1 - a * a)) as w from sorts join (select participant, factor, sign(loading) * least(0.9999, greatest(0.0001, abs(loading))) as a from
+  (select *, abs(loading) > """ + Z05 + f""" / sqrt({STATEMENTS}) and loading * loading > sum(loading * loading) over (partition by participant) - loading * loading as flagged from {_ROT}) where flagged) using (participant) group by 1, 2)))""", ("loadings",))(lambda s, d: N.reanalyze_rotated(sorts(s, d), viewpoints(s, d).select("study_id", "participant", "factor", "loading"), DECK, 1, 2, 30)["scores"])
+query("split_and_recalculate", "factor:i n_flagged:i composite_reliability:d se_factor:d")(lambda s, d: N.split_and_recalculate(sorts(s, d), viewpoints(s, d).select("study_id", "participant", "factor", "loading"), DECK, 1)["characteristics"])
+query("priorities_numeric_gate", "attribute:s f:d r2:d p:d passed:b")(lambda s, d: N.priorities(sorts(s, d), DECK, None, numbers(s, d), permutations=999)["gates"])
