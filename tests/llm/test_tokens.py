@@ -2,6 +2,8 @@
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from viewspan.llm.tokens import Counter, op10_token_counts, token_counts
@@ -47,3 +49,14 @@ def test_sentencepiece(spark):
     texts = ["", "hello world", "a b " * 30]
     p = SentencePieceProcessor(model_file=path)
     assert Counter(path, 16, 4).counts(texts) == [len(p.encode(t)) for t in texts]
+
+
+_COUNTER = Counter(PATH)
+_WHOLE = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([" ", "\n", "\t", "\u00a0", "\u0301", "<|endoftext|>", "<|start", "oftext|>", "'s", "ΑΣ", "12", "é", "\u1100\u1161", "\x1c", "\u2028"])), max_size=20))
+def test_pieces_are_exact(parts):
+    text = "".join(parts).encode("utf-8", "ignore").decode()
+    assert _COUNTER.counts([text]) == [len(_WHOLE.encode(text, add_special_tokens=False).ids)]

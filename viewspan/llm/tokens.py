@@ -31,6 +31,7 @@ class Counter:
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
         self.chunk, self.overlap = chunk, overlap
+        self._known: dict[str, int] = {}
         if path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
             from tokenizers import Tokenizer
@@ -38,7 +39,8 @@ class Counter:
             t = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
-            self._counts = lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            self._encoded = lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            self._counts = self._by_pieces
 
             def spans(text):
                 e = t.encode(text, add_special_tokens=False)
@@ -52,6 +54,23 @@ class Counter:
             self._counts = lambda texts: [len(x) for x in p.encode(texts, num_threads=1)]
             self._spans = None  # pieces may join over any place, so texts stay whole
 
+    def _by_pieces(self, texts: list[str]) -> list[int]:
+        """Counts of whole texts as sums over what stands between blanks and line ends.
+
+        Those are the stable boundaries at which chunks are spliced: nothing of
+        the encoding reaches over them. Pieces repeat, so each is encoded once
+        and its count kept.
+        """
+        known = self._known
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*split).difference(known)) if split else []
+        for k in range(0, len(new), 4096):
+            known.update(zip(new[k : k + 4096], self._encoded(new[k : k + 4096]), strict=True))
+        out = [sum(map(known.__getitem__, p)) for p in split]
+        if len(known) > 1_000_000:
+            known.clear()
+        return out
+
     def counts(self, texts: list[str]) -> list[int]:
         short = [i for i, t in enumerate(texts) if len(t) <= self.chunk or self._spans is None]
         out = [0] * len(texts)
