@@ -66,6 +66,24 @@ def test_near_dedup(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_dense_group(spark, monkeypatch):
+    """More near copies of one text than a text has nearest partners, in two halves that few pairs hold together."""
+    monkeypatch.setattr(simhash, "NEAREST", 3)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    base = [word() for _ in range(220)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        if k >= 30:
+            w[10] = w[120] = "other"
+        w[r.randrange(220)] = word()
+        rows.append(" ".join(w))
+    rows = list(enumerate(rows)) + [(100 + k, " ".join(word() for _ in range(120))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == brute_groups(rows)
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

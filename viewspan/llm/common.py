@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,40 +64,106 @@ def add_columns(df: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]]
     return df.mapInArrow(run, schema)
 
 
-class Forest:
-    """Union-find over the nodes of one bounded batch; keeps the edges that joined two trees."""
-
-    def __init__(self) -> None:
-        self.parent: dict = {}
-
-    def find(self, x):
-        parent = self.parent
-        root = parent.setdefault(x, x)
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    def join(self, a, b) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
+def _places(key: np.ndarray) -> np.ndarray:
+    """Place of each element in its run of equal keys."""
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+
+
+class Groups:
+    """Groups of the nodes of one bounded batch, joined by arrays of row pairs; the least node stands for its group."""
+
+    def __init__(self, nodes: np.ndarray) -> None:
+        self.nodes, self.row = np.unique(nodes, return_inverse=True)
+        self.of = np.arange(len(self.nodes))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.of[self.row[i]] != self.of[self.row[j]]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.of[self.row[i]], self.of[self.row[j]]
+        new = a != b
+        if not new.any():
+            return
+        parent: dict[int, int] = {}
+
+        def find(x):
+            root = parent.setdefault(x, x)
+            while parent[root] != root:
+                root = parent[root]
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for x, y in np.unique(np.stack([np.minimum(a, b)[new], np.maximum(a, b)[new]]), axis=1).T.tolist():
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+        to = np.arange(len(self.nodes))
+        to[list(parent)] = [find(x) for x in parent]
+        self.of = to[self.of]
+
+    def _open(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``pairs`` (rows: distance, i, j) those of different groups, each once, with the numbers of both nodes."""
+        pairs = pairs[:, self.apart(pairs[1], pairs[2])]
+        x, y = self.row[pairs[1]], self.row[pairs[2]]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        _, once = np.unique(low * len(self.nodes) + high, return_index=True)
+        return pairs[:, once], x[once], y[once]
+
+    def closest(self, pairs: np.ndarray, n: int) -> np.ndarray:
+        """Of pairs of different groups the ``n`` closest of each two groups."""
+        pairs, x, y = self._open(pairs)
+        x, y = self.of[x], self.of[y]
+        both = np.minimum(x, y) * len(self.nodes) + np.maximum(x, y)
+        order = np.lexsort((pairs[2], pairs[1], pairs[0], both))
+        return pairs[:, order[_places(both[order]) < n]]
+
+    def nearest(self, pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of different groups those among the ``n`` closest of either node, and the nodes of those left out."""
+        pairs, x, y = self._open(pairs)
+        ends, which = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+        order = np.lexsort((which, pairs[0][which], ends))
+        kept = np.zeros(len(x), bool)
+        kept[which[order[_places(ends[order]) < n]]] = True
+        return pairs[:, kept], self.nodes[np.unique(np.concatenate([x[~kept], y[~kept]]))]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the group's least node, another of its nodes) for each such node."""
+        other = np.flatnonzero(self.of != np.arange(len(self.nodes)))
+        return self.nodes[self.of[other]], self.nodes[other]
+
+
+#: Edges of one task when a graph is thinned before its components are found, and the fewest such tasks.
+THIN_EDGES, THIN_TASKS = 200_000, 8
+
+
+def _thinned(batches):
+    held = [np.zeros((2, 0), np.int64)]
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+    pairs = np.concatenate(held, axis=1)
+    groups = Groups(pairs.ravel())
+    n = pairs.shape[1]
+    groups.join(np.arange(n), np.arange(n, 2 * n))
+    low, other = groups.stars()
+    yield pa.RecordBatch.from_arrays([pa.array(other), pa.array(low)], names=["u", "v"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph as ``(node, component)``, the component being its least node.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014) on
-    shuffled edge tables; every round is written to the checkpoint folder, so
-    neither the plan nor recovery grows with the number of rounds. Nothing but
-    a count and a checksum for each round reaches the driver. Self-loops, nulls
-    and repeated edges are ignored; isolated nodes aren't returned.
+    """Components of an undirected graph of long ids as ``(node, component)``, the component being its least node.
+
+    First every task reduces a bounded share of the edges to links with the
+    least node of each group it sees, so that a dense group costs a few links a
+    member from then on. Then alternating large-star and small-star rounds
+    (Kiveris et al., 2014) on shuffled edge tables; every round is written to
+    the checkpoint folder, so neither the plan nor recovery grows with the
+    number of rounds. Nothing but counts and a checksum for each round reaches
+    the driver. Self-loops, nulls and repeated edges are ignored; isolated
+    nodes aren't returned.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e)
+    e = cut(e.repartition(max(THIN_TASKS, -(-e.count() // THIN_EDGES))).mapInArrow(_thinned, "u long, v long").distinct())
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -10,7 +10,6 @@ when they exceed the budget.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Forest, add_columns, connected_components, cut, read, stored
+from .common import LOWER, Groups, add_columns, connected_components, cut, read, stored
 
 #: Seed of the shingle hash, fixed by the contract of op6.
 SEED = 42
@@ -194,9 +193,10 @@ def _whole_buckets(batches, columns: list[str]):
 def linked(nodes: DataFrame, key: str, bits: int, budget: int) -> DataFrame:
     """Links ``(a, b)`` that span every group of distinct ``key`` values (the low ``bits`` bits) within ``budget`` bits.
 
-    In each bucket the pairs found are reduced to a spanning forest, so a dense
-    cluster gives as many links as it has members, not its square; the
-    components are those of all pairs.
+    The pairs found in a run of buckets are reduced to links with the least key
+    of each group, so a dense cluster gives as many links as it has members, not
+    its square, and mostly the same ones in every bucket; the components are
+    those of all pairs.
     """
     blocks = block_bits(bits, budget)
     mask = (1 << bits) - 1
@@ -214,12 +214,11 @@ def linked(nodes: DataFrame, key: str, bits: int, budget: int) -> DataFrame:
             bucket, k = bucket[order], k[order]
             edge = np.flatnonzero(np.diff(bucket)) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(bucket)]])
-            forest = Forest()
+            groups = Groups(k.view(np.int64))
             for i, j, _ in trie_pairs(k, starts, ends, bits, budget):
-                new = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
-                if new:
-                    at = np.array(new)
-                    yield pa.RecordBatch.from_arrays([pa.array(k[at[:, 0]].view(np.int64)), pa.array(k[at[:, 1]].view(np.int64))], names=["a", "b"])
+                groups.join(i, j)
+            low, other = groups.stars()
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(other)], names=["a", "b"])
 
     return routed.mapInArrow(run, "a long, b long")
 
@@ -238,7 +237,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     nodes = fps.groupBy("fp0").agg(F.min("id").alias("least"))
     comp = connected_components(linked(nodes, "fp0", 64, budget))
     least = nodes.join(comp, nodes["fp0"] == comp["node"]).groupBy("component").agg(F.min("least").alias("lowest"))
-    named = nodes.join(comp.join(least, "component").select(F.col("node").alias("fp0"), "lowest"), "fp0", "left").select("fp0", F.coalesce("lowest", "least").alias("component_id"))
+    # cut, so that the last join deals both sides anew and a very common fingerprint can be split
+    named = cut(nodes.join(comp.join(least, "component").select(F.col("node").alias("fp0"), "lowest"), "fp0", "left").select("fp0", F.coalesce("lowest", "least").alias("component_id")))
     return fps.join(named, "fp0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -250,8 +250,9 @@ NEAR_SIZE, SIMILARITY = 5, 0.8
 #: (pairs at a similarity of 0.8 differ in 39 of 256 on average, standard deviation 6; unrelated ones in 128).
 LANES, WIDE_BUDGET = 4, 64
 #: Pairs that differ in at most so many bits are near-duplicates without a look at their shingles (a similarity of
-#: just 0.8 gives so few once in 2,000 pairs); others are confirmed, of two groups of such pairs the closest few.
-SURE, CLOSEST = 20, 16
+#: just 0.8 gives so few once in 2,000 pairs); others are confirmed: first each text's nearest, then, of two groups
+#: that are still apart, the closest.
+SURE, NEAREST, CLOSEST = 20, 12, 16
 #: Tables of 32 bits, each joined with this budget: 12 of them miss about 2 % of pairs at a similarity of just 0.8, 0.1 % at 0.85.
 TABLES, TABLE_BITS, TABLE_BUDGET = 12, 32, 3
 _EVEN = 0x55555555
@@ -267,91 +268,148 @@ def table_keys(lanes: list[str]) -> list:
     return (halves + mixed_halves)[:TABLES]
 
 
-def _near_links(batches, lanes):
-    """Links (a, b, sure) of the whole buckets of a batch."""
-    columns = ["bucket", "v", "node", *lanes]
-    for bucket, v, node, *wide in _whole_buckets(batches, columns):
-        v = v.view(np.uint64)
-        order = np.lexsort((v, bucket))
-        bucket, v, node, wide = bucket[order], v[order], node[order], np.stack([w[order] for w in wide]).view(np.uint64)
-        # equal keys of a bucket are one leaf; its members are chained
-        first = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (v[1:] != v[:-1])])
-        leaf = np.flatnonzero(first)
-        edge = np.flatnonzero(np.diff(bucket[leaf])) + 1
-        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(leaf)]])
-        sizes = np.diff(np.append(leaf, len(v)))
-        found = []
-
-        def keep(i, j):
-            d = np.bitwise_count(wide[:, i] ^ wide[:, j]).sum(axis=0)
-            ok = d <= WIDE_BUDGET
-            found.append((d[ok].astype(np.int64), i[ok], j[ok]))
-
-        same = np.flatnonzero(~first)
-        keep(same - 1, same)
-        for i, j, _ in trie_pairs(v[leaf], starts, ends, TABLE_BITS, TABLE_BUDGET):
-            keep(leaf[i], leaf[j])
-            for many in np.flatnonzero((sizes[i] > 1) | (sizes[j] > 1)).tolist():  # leaves of several members: all against the other's first
-                a, b = leaf[i[many]], leaf[j[many]]
-                keep(np.arange(a, a + sizes[i[many]]), np.full(sizes[i[many]], b))
-                keep(np.full(sizes[j[many]], a), np.arange(b, b + sizes[j[many]]))
-        d, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        by = np.lexsort((j, i, d))
-        d, a, b = d[by], node[i[by]], node[j[by]]
-        sure = int(np.searchsorted(d, SURE, side="right"))
-        forest, out, near = Forest(), [], Counter()
-        for x, y in zip(a[:sure].tolist(), b[:sure].tolist(), strict=True):
-            if forest.join(x, y):
-                out.append((min(x, y), max(x, y), True))
-        for x, y in dict.fromkeys(zip(np.minimum(a[sure:], b[sure:]).tolist(), np.maximum(a[sure:], b[sure:]).tolist(), strict=True)):
-            p, q = forest.find(x), forest.find(y)
-            if p != q:
-                near[min(p, q), max(p, q)] += 1
-                if near[min(p, q), max(p, q)] <= CLOSEST:
-                    out.append((x, y, False))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "sure"])
+#: Leaves of a pair are compared member by member up to so many pairs; larger ones each with the other's first and with their neighbours.
+LEAF_PAIRS = 4096
+#: Candidates that are not sure are thinned whenever so many are held.
+HELD = 2_000_000
 
 
-def near_duplicate_links(texts: DataFrame, text: str = "text", node: str = "node", size: int = NEAR_SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` between nodes (distinct longs, each with one text) whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def _product(a, na, b, nb):
+    """Places of all members of ranges ``a`` against all of ``b``."""
+    size = na * nb
+    which = np.repeat(np.arange(len(size)), size)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return a[which] + at // nb[which], b[which] + at % nb[which]
+
 
-    Candidates come from trie joins of 12 parts of a 256-bit SimHash. Those that
-    are sure by their distance are reduced to spanning links, so a large group
-    of near copies gives as many as it has members; of what is left, pairs of
-    different groups are confirmed on the two shingle sets. Blank texts link to
-    nothing.
+def _member_pairs(leaf, sizes, i, j):
+    """Pairs of members of the leaves ``i`` and ``j`` (the same ones: of one leaf), in bounded pieces."""
+    small = sizes[i] * sizes[j] <= LEAF_PAIRS
+    for k in range(0, len(i), 4096):
+        s = slice(k, k + 4096)
+        m = small[s]
+        p, q = _product(leaf[i[s][m]], sizes[i[s][m]], leaf[j[s][m]], sizes[j[s][m]])
+        up = p != q
+        yield p[up], q[up]
+        for x, y in zip(i[s][~m].tolist(), j[s][~m].tolist(), strict=True):
+            a, b = np.arange(leaf[x], leaf[x] + sizes[x]), np.arange(leaf[y], leaf[y] + sizes[y])
+            yield (a[1:], a[:-1]) if x == y else (a, np.full(len(a), b[0]))
+            yield (a, np.full(len(a), a[0])) if x == y else (np.full(len(b), a[0]), b)
+
+
+def _near_links(batches, lanes, labelled):
+    """Links (a, b, d) of the whole buckets of a batch: d -1 for sure ones, the distance of others; (a, a) marks a text with more candidates than its nearest.
+
+    ``labelled``: texts of one label are one group already, and of two groups only the closest pairs come.
     """
-    lanes = [f"fp{k}" for k in range(LANES)]
-    wide = with_fingerprints(texts.select(F.col(node).alias("node"), F.col(text).alias("t")), "t", size, LANES).where(" or ".join(f"{c} <> 0" for c in lanes)).select("node", *lanes)
+    for bucket, v, node, *wide in _whole_buckets(batches, ["bucket", "v", "node", *lanes, *["label"] * labelled]):
+        label = wide.pop() if labelled else None
+        v, wide = v.view(np.uint64), [w.view(np.uint64) for w in wide]
+        order = np.lexsort((*wide, v, bucket))  # members of a leaf stand beside those most like them
+        bucket, v, node, wide = bucket[order], v[order], node[order], np.stack([w[order] for w in wide])
+        first = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (v[1:] != v[:-1])])
+        leaf = np.flatnonzero(first)  # equal keys of a bucket are one leaf
+        edge = np.flatnonzero(np.diff(bucket[leaf])) + 1
+        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(leaf)]])
+        sizes = np.diff(np.append(leaf, len(v)))
+        groups, held, more = Groups(node), [np.zeros((3, 0), np.int64)], []
+        if labelled:
+            _, at, of = np.unique(label[order], return_index=True, return_inverse=True)
+            groups.join(at[of], np.arange(len(of)))
+
+        def thin():
+            pairs = np.concatenate(held, axis=1)
+            if labelled:
+                return groups.closest(pairs, CLOSEST)
+            pairs, out = groups.nearest(pairs, NEAREST)
+            more.append(out)
+            return pairs
+
+        def compare(i, j):
+            apart = groups.apart(i, j)  # what is linked already needs no look
+            i, j = i[apart], j[apart]
+            d = np.bitwise_count(wide[:, i] ^ wide[:, j]).sum(axis=0).astype(np.int64)
+            groups.join(i[d <= SURE], j[d <= SURE])
+            near = (d > SURE) & (d <= WIDE_BUDGET)
+            held.append(np.stack([d[near], i[near], j[near]]))
+            if sum(h.shape[1] for h in held) > HELD:
+                held[:] = [thin()]
+
+        many = np.flatnonzero(sizes > 1)
+        for i, j in _member_pairs(leaf, sizes, many, many):
+            compare(i, j)
+        for x, y, _ in trie_pairs(v[leaf], starts, ends, TABLE_BITS, TABLE_BUDGET):
+            for i, j in _member_pairs(leaf, sizes, x, y):
+                compare(i, j)
+        near = thin()
+        low, other = groups.stars()
+        more = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
+        a, b = node[near[1]], node[near[2]]
+        columns = [[low, np.minimum(a, b), more], [other, np.maximum(a, b), more], [np.full(len(low), -1), near[0], np.zeros(len(more), np.int64)]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["a", "b", "d"])
+
+
+def _candidates(wide: DataFrame, lanes: list[str], labelled: bool) -> DataFrame:
+    """``(a, b, d)`` of all tables, each pair once."""
     blocks = block_bits(TABLE_BITS, TABLE_BUDGET)
     per = 256 * len(blocks)
     routes = [F.struct((F.shiftrightunsigned(k, s).bitwiseAND(F.lit((1 << w) - 1)) + F.lit(t * per + n * 256)).cast("long").alias("bucket"), k.alias("v")) for t, k in enumerate(table_keys(lanes)) for n, (s, w) in enumerate(blocks)]
-    routed = stored(wide).select("node", *lanes, F.explode(F.array(*routes)).alias("r")).select("r.bucket", "r.v", "node", *lanes)
-    links = routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _near_links(batches, lanes), "a long, b long, sure boolean")
-    links = stored(links.groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    open_links = links.where("not sure")
-    involved = open_links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts.select(F.col(node).alias("node"), F.col(text).alias("t")).join(involved, "node", "left_semi")
+    kept = ["node", *lanes, *["label"] * labelled]
+    routed = wide.select(*kept, F.explode(F.array(*routes)).alias("r")).select("r.bucket", "r.v", *kept)
+    links = routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _near_links(batches, lanes, labelled), "a long, b long, d long")
+    return stored(links.groupBy("a", "b").agg(F.min("d").alias("d")))
+
+
+def _confirmed(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links ``(a, b)`` whose shingle sets have the similarity; ``texts(node, t)``."""
+    involved = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def sets(batches):
         for batch in batches:
             out = [np.unique(np.array(shingle_hashes(t.as_py(), size), dtype=np.uint64).astype(np.uint32)).tobytes() for t in batch.column(batch.schema.get_field_index("t"))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array(out, pa.binary())], names=["node", "s"])
 
-    shingled = stored(own.mapInArrow(sets, "node long, s binary"))
-    both = open_links.select("a", "b").join(shingled.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-
-    def confirmed(batches):
+    def similar(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(batch.schema.get_field_index("sa")), batch.column(batch.schema.get_field_index("sb")), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9 and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return links.where("sure").select("a", "b").union(both.mapInArrow(confirmed, "a long, b long"))
+    shingled = stored(texts.join(involved, "node", "left_semi").mapInArrow(sets, "node long, s binary"))
+    both = links.select("a", "b").join(shingled.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return both.mapInArrow(similar, "a long, b long")
+
+
+def near_duplicate_links(texts: DataFrame, text: str = "text", node: str = "node", size: int = NEAR_SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` that hold together the near-duplicates among nodes (distinct longs, each with one text): texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates come from trie joins of 12 parts of a 256-bit SimHash. Sure ones
+    are reduced to links with the least node of a group; each text's nearest
+    others are confirmed on the shingle sets. A text with more candidates than
+    that takes part in a second join, in which what is linked by now counts as
+    one group and the closest pairs of any two groups are confirmed: so a group
+    of any size gives links in proportion to its members, and none is left out
+    for its size. Blank texts link to nothing.
+    """
+    lanes = [f"fp{k}" for k in range(LANES)]
+    own = texts.select(F.col(node).alias("node"), F.col(text).alias("t"))
+    wide = stored(with_fingerprints(own, "t", size, LANES).where(" or ".join(f"{c} <> 0" for c in lanes)).select("node", *lanes))
+    links = _candidates(wide, lanes, False)
+    sure = links.where("d < 0").select("a", "b")
+    near = links.where("a <> b and d >= 0")
+    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "d"), F.struct(F.col("b").alias("node"), "a", "b", "d"))).alias("e")).select("e.*")
+    ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("d", "a", "b"))).groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    ranked = stored(ranked)
+    found = stored(sure.union(_confirmed(ranked.where(F.col("rank") <= NEAREST), own, size, similarity)))
+    more = ranked.where(F.col("rank") > NEAREST).select(F.explode(F.array("a", "b")).alias("node")).union(links.where("a = b").select("a")).distinct()
+    if more.isEmpty():
+        return found
+    again = wide.join(more, "node", "left_semi").join(connected_components(found), "node", "left").select("node", *lanes, F.coalesce("component", "node").alias("label"))
+    bridges = _candidates(again, lanes, True).where("d >= 0").select("a", "b").join(ranked.where(F.col("rank") <= NEAREST), ["a", "b"], "left_anti")
+    return found.union(_confirmed(bridges, own, size, similarity))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = NEAR_SIZE, similarity: float = SIMILARITY) -> DataFrame:

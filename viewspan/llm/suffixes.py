@@ -114,13 +114,44 @@ def suffix_array(s: list[int]) -> list[int]:
     return sa
 
 
-def repeated_windows(texts: list[bytes], width: int = WIDTH) -> list[list[tuple[int, int]]]:
-    """For each text the ranges of starts of ``width``-byte strings that start anywhere else too, in any of the texts.
+def _phrases(data: np.ndarray, own: np.ndarray, begins: np.ndarray, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of phrases and the end of the data; for each byte how many bytes before a start decide it, and a hash of so many from there).
 
-    The suffix array is over words with the blank that ends them; a window is
-    placed by the rest of its first word and the rank of the words that follow.
-    Equal windows stand next to each other in that order and are compared byte
-    by byte. Texts with very long words are taken byte by byte.
+    A phrase starts after white space where a hash of the eight bytes before
+    says so, every third time on average. Texts of a key that has gaps too long
+    for a window that way are cut after all white space, and else at every byte.
+    """
+    n, most = len(data), max(1, min(192, width // 2 - 8))
+    edge = np.zeros(n + 1, bool)
+    edge[begins] = edge[n] = True
+    white = np.concatenate([[False], (data == 32) | ((data >= 9) & (data <= 13))])
+    eight = np.zeros(n + 1, np.uint64)
+    chosen = edge.copy()
+    if n >= 8:
+        eight[: n - 7] = _kgram_hashes(data, 8)
+        chosen[8:] |= white[8:] & (eight[: n - 7] % np.uint64(3) == 0)
+    _, key = np.unique(keys, return_inverse=True)
+
+    def too_long(start):
+        places = np.flatnonzero(start)
+        gap = np.zeros(key.max() + 1, np.int64)
+        np.maximum.at(gap, key[own[places[:-1]]], np.diff(places))
+        return gap > most
+
+    level = np.where(too_long(edge | white), 2, np.where(too_long(chosen) | (most <= 8), 1, 0))[key[own]]
+    start = np.append(np.where(level == 0, chosen[:n], np.where(level == 1, (edge | white)[:n], True)), True)
+    head = np.append(np.where(level == 0, eight[:n], data.astype(np.uint64) + np.uint64(1)), np.uint64(0))
+    return np.flatnonzero(start), np.where(level == 0, 8, 1), head
+
+
+def repeated_windows(texts: list[bytes], width: int = WIDTH, keys: list | None = None) -> list[list[tuple[int, int]]]:
+    """For each text the ranges of starts of ``width``-byte strings that start anywhere else too, in any text of the same key.
+
+    The suffix array is over short phrases that end where the text itself says
+    so; a window is placed by its bytes up to the first such end and the rank of
+    the phrases that follow. Equal windows stand next to each other in that
+    order and are compared byte by byte. ``keys``: texts of different keys have
+    no such string in common; without it all are compared.
     """
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -129,12 +160,8 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH) -> list[list[tuple[
     begins = ends - lengths
     if not len(data):
         return out
-    start = np.zeros(len(data) + 1, bool)
-    start[begins[lengths > 0]] = start[len(data)] = True
-    start[1:] |= (data == 32) | ((data >= 9) & (data <= 13))
-    places = np.flatnonzero(start)
-    if np.diff(places).max() > max(1, min(256, width // 2)):
-        places = np.arange(len(data) + 1)
+    own = np.repeat(np.arange(len(texts)), lengths)
+    places, context, head = _phrases(data, own, begins[lengths > 0], np.asarray(keys) if keys is not None else np.zeros(len(texts), np.int64), width)
     raw = data.tobytes()
     cuts = places.tolist()
     tokens = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -151,17 +178,17 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH) -> list[list[tuple[
     rank = np.empty(len(seq), np.int64)
     rank[suffix_array(seq)] = np.arange(len(seq))
 
-    following = places[np.searchsorted(places, np.arange(len(data)), side="right")]  # the word start after each place
-    rest = following - np.arange(len(data))
-    head = np.zeros(len(data) + 1, np.uint64)  # hash of the rest of the word
+    at = np.arange(len(data))
+    following = places[np.minimum(np.searchsorted(places, at + context, side="left"), len(places) - 1)]
+    rest = following - at
     order = np.argsort(rest, kind="stable")
-    bounds = np.searchsorted(rest[order], np.arange(1, int(rest.max()) + 2))
+    sorted_rest = rest[order]
     with np.errstate(over="ignore"):
-        for d in range(1, int(rest.max()) + 1):
-            at = order[bounds[d - 1] : bounds[d]]
-            head[at] = (data[at].astype(np.uint64) + np.uint64(1) + (head[at + 1] if d > 1 else np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
-            head[at] ^= head[at] >> np.uint64(29)
-    own = np.repeat(np.arange(len(texts)), lengths)
+        for d in range(2, int(rest.max()) + 1):  # hash of the bytes up to the next phrase, from its end backwards
+            i = order[np.searchsorted(sorted_rest, d, "left") : np.searchsorted(sorted_rest, d, "right")]
+            i = i[context[i] < d]
+            h = (data[i].astype(np.uint64) + np.uint64(1) + head[i + 1]) * np.uint64(0x9E3779B97F4A7C15)
+            head[i] = h ^ (h >> np.uint64(29))
     window = np.flatnonzero(np.arange(len(data)) + width <= ends[own])
     if not len(window):
         return out
@@ -315,7 +342,7 @@ def _search_rows(width):
     def run(batches):
         for rows in _blocks(batches, BLOCK):
             rows = list({(r["bucket"], r["piece"]): r for r in rows}.values())
-            out = [(r["k1"], r["k2"], r["start"] + a, r["start"] + b) for r, found in zip(rows, repeated_windows([r["bytes"] for r in rows], width), strict=True) if r["n"] == 1 for a, b in found]
+            out = [(r["k1"], r["k2"], r["start"] + a, r["start"] + b) for r, found in zip(rows, repeated_windows([r["bytes"] for r in rows], width, [r["bucket"] for r in rows]), strict=True) if r["n"] == 1 for a, b in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["k1", "k2", "a", "b"])
 
@@ -356,7 +383,8 @@ def repeated_ranges(keyed: DataFrame, width: int = WIDTH, kgram: int = KGRAM, ho
     searched = texts.where("not hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search_rows(width), "k1 long, k2 long, a long, b long")
     # a repeated row brings its pieces twice; they count once here
     hot = texts.where("hot").dropDuplicates(["bucket", "piece"]).mapInArrow(_window_rows(width), "w1 long, w2 long, k1 long, k2 long, a long")
-    twice = hot.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+    # a table of its own, so that the join deals the windows anew and one that comes very often can be split
+    twice = stored(hot.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"))
     counted = hot.join(twice, ["w1", "w2"]).select("k1", "k2", "a", (F.col("a") + 1).alias("b"))
     return whole.unionByName(searched).unionByName(counted)
 

@@ -34,8 +34,8 @@ REPORT = "said says say quoted quote quotes wrote writes claimed claims called r
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the least hash of their id.
 MAX_ROWS_PER_CLASS = 8_000
-#: Lengths of the word beginnings that are tried, and the evidence (G², in nats doubled) and ratio that a beginning needs.
-SHORTEST, LONGEST, MIN_G2, MIN_RATIO = 3, 8, 20.0, 3.0
+#: Lengths of the word beginnings that are tried, and the evidence (G², in nats doubled), ratio and share of toxic texts that a beginning needs.
+SHORTEST, LONGEST, MIN_G2, MIN_RATIO, MIN_SHARE = 3, 8, 20.0, 3.0, 0.01
 #: Beginnings that reach the driver at most, strongest first.
 MAX_ENTRIES = 4_000
 
@@ -200,7 +200,7 @@ def held_out(id_col: str):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_rows_per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, toxic) of at most ``max_rows_per_class`` rows a class that aren't held out, and the labels' class counts."""
+    """(text, toxic) of at most ``max_rows_per_class`` rows a class that aren't held out, equal texts once, and the labels' class counts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(id_col))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = None
@@ -208,7 +208,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(max_rows_per_class)
         sample = part if sample is None else sample.union(part)
     # at most 2 * max_rows_per_class pairs of numbers are broadcast
-    return docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(sample), id_col).select("text", "toxic"), counts
+    return docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(sample), id_col).select("text", "toxic").dropDuplicates(), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_rows_per_class: int = MAX_ROWS_PER_CLASS) -> Model:
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         table.where("beginning <> ''")
         .withColumn("g2", 2 * (inside + outside))
         .withColumn("ratio", ((d1 + 0.5) / (n1 + 1)) / ((d0 + 0.5) / (n0 + 1)))
-        .where((F.col("g2") >= MIN_G2) & (F.col("ratio") >= MIN_RATIO))
+        .where((F.col("g2") >= MIN_G2) & (F.col("ratio") >= MIN_RATIO) & (d1 >= MIN_SHARE * n1))
         .orderBy(F.desc("g2"), F.desc(F.length("beginning")), "beginning")
         .limit(MAX_ENTRIES)
         .collect()
