@@ -51,6 +51,13 @@ def test_sentencepiece(spark):
     assert Counter(path, 16, 4).counts(texts) == [len(p.encode(t)) for t in texts]
 
 
+def test_tokens_that_hold_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["", "hello world", "a  b\n\n c <|endoftext|> d", "some more words " * 50]
+    assert Counter(path, 64, 16).counts(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 _COUNTER = Counter(PATH)
 _WHOLE = Tokenizer.from_file(PATH)
 
