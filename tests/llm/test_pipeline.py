@@ -84,6 +84,22 @@ def test_dense_group(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == brute_groups(rows)
 
 
+def test_repeated_lines(spark):
+    """A line repeated many times neither makes texts near-duplicates nor hides them."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    junk = " ".join(word() for _ in range(10))
+    rows = [" ".join([junk] * 200 + [word() for _ in range(150)]) for _ in range(12)]
+    for _ in range(4):
+        text = [word() for _ in range(200)]
+        rows += [" ".join(text), " ".join(text[:60] + text[50:60] * 300 + text[60:])]
+    rows = list(enumerate(rows))
+    want = brute_groups(rows)
+    assert len(want) == 16
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == want
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -79,14 +79,17 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", size: int = 3, lanes: int = 1, prefix: str = "fp") -> DataFrame:
+def with_fingerprints(docs: DataFrame, text: str = "text", size: int = 3, lanes: int = 1, prefix: str = "fp", distinct: bool = False) -> DataFrame:
     """``docs`` with ``lanes`` 64-bit SimHash columns ``<prefix>0..`` (signed longs; the bits count).
 
-    Null and blank texts have fingerprint zero in every lane.
+    A shingle counts as often as it comes, with ``distinct`` once. Null and
+    blank texts have fingerprint zero in every lane.
     """
 
     def make(batch):
         each = [np.array(shingle_hashes(t.as_py(), size), dtype=np.uint64) for t in batch.column(batch.schema.get_field_index(text))]
+        if distinct:
+            each = [np.unique(x) for x in each]
         lengths = np.array([len(x) for x in each], dtype=np.int64)
         hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
         return [pa.array(majority_bits(mixed(hashes, k), lengths).view(np.int64)) for k in range(lanes)]
@@ -249,9 +252,9 @@ NEAR_SIZE, SIMILARITY = 5, 0.8
 #: Wide fingerprints: lanes of 64 bits; of the whole width so many bits may differ before a pair isn't looked at
 #: (pairs at a similarity of 0.8 differ in 39 of 256 on average, standard deviation 6; unrelated ones in 128).
 LANES, WIDE_BUDGET = 4, 64
-#: Pairs that differ in at most so many bits are near-duplicates without a look at their shingles (a similarity of
-#: just 0.8 gives so few once in 2,000 pairs); others are confirmed: first each text's nearest, then, of two groups
-#: that are still apart, the closest.
+#: Pairs that differ in at most so many bits are probably near-duplicates (a similarity of just 0.8 gives so few once
+#: in 2,000 pairs): of a group of such only the links with its least node are confirmed at first, and each text's
+#: nearest others; then, of two groups that are still apart, the closest.
 SURE, NEAREST, CLOSEST = 20, 12, 16
 #: Tables of 32 bits, each joined with this budget: 12 of them miss about 2 % of pairs at a similarity of just 0.8, 0.1 % at 0.85.
 TABLES, TABLE_BITS, TABLE_BUDGET = 12, 32, 3
@@ -298,7 +301,7 @@ def _member_pairs(leaf, sizes, i, j):
 
 
 def _near_links(batches, lanes, labelled):
-    """Links (a, b, d) of the whole buckets of a batch: d -1 for sure ones, the distance of others; (a, a) marks a text with more candidates than its nearest.
+    """Links (a, b, d) of the whole buckets of a batch: d -1 for those of sure groups, the distance of others; (a, a) marks a text with more candidates than its nearest.
 
     ``labelled``: texts of one label are one group already, and of two groups only the closest pairs come.
     """
@@ -329,8 +332,10 @@ def _near_links(batches, lanes, labelled):
             apart = groups.apart(i, j)  # what is linked already needs no look
             i, j = i[apart], j[apart]
             d = np.bitwise_count(wide[:, i] ^ wide[:, j]).sum(axis=0).astype(np.int64)
-            groups.join(i[d <= SURE], j[d <= SURE])
-            near = (d > SURE) & (d <= WIDE_BUDGET)
+            near = d <= WIDE_BUDGET
+            if not labelled:
+                groups.join(i[d <= SURE], j[d <= SURE])
+                near &= d > SURE
             held.append(np.stack([d[near], i[near], j[near]]))
             if sum(h.shape[1] for h in held) > HELD:
                 held[:] = [thin()]
@@ -386,29 +391,33 @@ def _confirmed(links: DataFrame, texts: DataFrame, size: int, similarity: float)
 def near_duplicate_links(texts: DataFrame, text: str = "text", node: str = "node", size: int = NEAR_SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` that hold together the near-duplicates among nodes (distinct longs, each with one text): texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates come from trie joins of 12 parts of a 256-bit SimHash. Sure ones
-    are reduced to links with the least node of a group; each text's nearest
-    others are confirmed on the shingle sets. A text with more candidates than
-    that takes part in a second join, in which what is linked by now counts as
+    Candidates come from trie joins of 12 parts of a 256-bit SimHash of the
+    shingle sets, and every link is confirmed on the sets. Sure ones are reduced
+    to links with the least node of a group before that; so are each text's
+    others to its nearest. A text with more candidates than that, or of a group
+    with a link that failed, takes part in a second join, in which what is linked by now counts as
     one group and the closest pairs of any two groups are confirmed: so a group
     of any size gives links in proportion to its members, and none is left out
     for its size. Blank texts link to nothing.
     """
     lanes = [f"fp{k}" for k in range(LANES)]
     own = texts.select(F.col(node).alias("node"), F.col(text).alias("t"))
-    wide = stored(with_fingerprints(own, "t", size, LANES).where(" or ".join(f"{c} <> 0" for c in lanes)).select("node", *lanes))
+    wide = stored(with_fingerprints(own, "t", size, LANES, distinct=True).where(" or ".join(f"{c} <> 0" for c in lanes)).select("node", *lanes))
     links = _candidates(wide, lanes, False)
     sure = links.where("d < 0").select("a", "b")
     near = links.where("a <> b and d >= 0")
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "d"), F.struct(F.col("b").alias("node"), "a", "b", "d"))).alias("e")).select("e.*")
     ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("d", "a", "b"))).groupBy("a", "b").agg(F.min("rank").alias("rank"))
     ranked = stored(ranked)
-    found = stored(sure.union(_confirmed(ranked.where(F.col("rank") <= NEAREST), own, size, similarity)))
-    more = ranked.where(F.col("rank") > NEAREST).select(F.explode(F.array("a", "b")).alias("node")).union(links.where("a = b").select("a")).distinct()
+    tested = stored(sure.union(ranked.where(F.col("rank") <= NEAREST).select("a", "b")).distinct())
+    found = stored(_confirmed(tested, own, size, similarity))
+    # a sure group with a link that failed: its members were not compared with each other
+    failed = sure.join(sure.join(found, ["a", "b"], "left_anti").select("a").distinct(), "a", "left_semi")
+    more = ranked.where(F.col("rank") > NEAREST).select("a", "b").union(failed.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).union(links.where("a = b").select("a")).distinct()
     if more.isEmpty():
         return found
     again = wide.join(more, "node", "left_semi").join(connected_components(found), "node", "left").select("node", *lanes, F.coalesce("component", "node").alias("label"))
-    bridges = _candidates(again, lanes, True).where("d >= 0").select("a", "b").join(ranked.where(F.col("rank") <= NEAREST), ["a", "b"], "left_anti")
+    bridges = _candidates(again, lanes, True).where("d >= 0").select("a", "b").join(tested, ["a", "b"], "left_anti")
     return found.union(_confirmed(bridges, own, size, similarity))
 
 
