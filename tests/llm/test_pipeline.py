@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,42 @@ def test_repeated_lines(spark):
     assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == want
 
 
+def test_one_bridge(spark):
+    """Two groups of near copies with 900 pairs between them, of which only one is near enough."""
+    r = random.Random(57)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    base = [word() for _ in range(200)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        if k >= 30:
+            w[20], w[90], w[150], w[180] = "other", "words", "are", "here"
+        if k not in (0, 30):
+            w[r.choice([*range(30, 80), *range(100, 140)])] = word()
+        rows.append(" ".join(w))
+    sets = [shingles(t) for t in rows]
+    near = [(i, j) for i in range(30) for j in range(30, 60) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert near == [(0, 30)]
+    rows = list(enumerate(rows))
+    assert brute_groups(rows) == [0]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [x["doc_id"] for x in simhash.one_of_each(df).collect()] == [0]
+
+
+def test_large_leaf():
+    """In a leaf of 200 texts with one key all pairs are compared, not neighbours alone."""
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 2**63, (4, 200), dtype=np.uint64)
+    wide[0] = (wide[0] & np.uint64(0xFFFFFFFF00000000)) | np.uint64(77)
+    wide[:, 120] = wide[:, 40]
+    for lane in range(1, 4):
+        wide[lane, 120] ^= np.uint64(0xFFF0000000000000 >> 1)
+    columns = [np.full(200, 77), np.full(200, 77), np.arange(200), *wide.view(np.int64)]
+    names = ["bucket", "v", "node", "fp0", "fp1", "fp2", "fp3"]
+    out = list(simhash._near_links([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)], names[3:], 0))
+    assert [(a, b, d) for x in out for a, b, d in zip(*(c.to_pylist() for c in x.columns))] == [(40, 120, 36)]
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
