@@ -1,5 +1,7 @@
 """Fixtures with known answers, and invariants of what has no SQL."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from viewspan.operators import extraction as X
 from viewspan.operators import factors as V
 from viewspan.operators import priorities as R
 from viewspan.operators import study as S
+from viewspan.plans import analyze as N
 from viewspan.plans import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -194,3 +197,27 @@ def test_whole_analyses(spark, study, tmp_path):
     got = N.priorities(s, S.DECK, groups, Q.numbers(spark, SF), ("band",), permutations=99)
     assert set(got) == {"table", "neutral", "concordance", "gates", "tests", "notes", "top", "concordance_by_level", "numeric"}
     assert got["gates"].where("attribute = 'acctbal'").count() == 1
+
+
+def test_registered_sizes(spark, monkeypatch):
+    """Registered queries take all participants and the operators' own lengths."""
+    seen = {}
+
+    def noting(name, real):
+        def call(sorts, *args, **kwargs):
+            bound = inspect.signature(real).bind(sorts, *args, **kwargs)
+            bound.apply_defaults()
+            seen[name] = dict(bound.arguments, n=sorts.select("participant").distinct().count())
+            raise StopIteration
+
+        return call
+
+    for module, name, query in ((B, "draws", "bayes_loadings"), (R, "permanova_test", "group_tests"), (X, "bootstrap", "bootstrap_ci"), (N, "priorities", "priorities_numeric_gate")):
+        monkeypatch.setattr(module, name, noting(name, getattr(module, name)))
+        with pytest.raises(StopIteration):
+            Q.QUERIES[query].run(spark, SF)
+    everyone = Q.sorts(spark, SF).select("participant").distinct().count()
+    assert {v["n"] for v in seen.values()} == {everyone} and everyone > 40
+    assert [seen["draws"][k] for k in ("iterations", "burn", "thin")] == [12_000, 2_000, 5] and {2, 3, 4, 5} <= set(seen["draws"]["ks"])
+    assert seen["permanova_test"]["permutations"] == seen["priorities"]["permutations"] == 9_999
+    assert seen["bootstrap"]["replicates"] == 1_000

@@ -300,15 +300,15 @@ query("neutral_tests", "stmt_num:i p:d exact:b rank_biserial:d hl:d hl_low:d hl_
 
 
 def gated_tests(s, d):
-    return R.group_tests(sorts(s, d), usable(s, d), R.permanova_test(sorts(s, d), usable(s, d), 999), ["band"])
+    return R.group_tests(sorts(s, d), usable(s, d), R.permanova_test(sorts(s, d), usable(s, d)), ["band"])
 
 
 query("group_tests", "attribute:s stmt_num:i test:s n_levels:i effect:d hl:d p:d p_adj:d flagged:b label:s")(gated_tests)
 query("priorities_verdict", "study_id:s n_statements:i n_departures:i n_differences:i n_attributes:i w:d band:s")(lambda s, d: R.verdict(R.neutral_tests(sorts(s, d), DECK), gated_tests(s, d), R.kendall_w(sorts(s, d))))
 
 
-def replicates(s, d, n: int = 500):
-    return X.bootstrap(sorts(s, d), 3, n)
+def replicates(s, d):
+    return X.bootstrap(sorts(s, d), 3)
 
 
 query("bootstrap_ci", "kind:s item:i factor:i boot_mean:d boot_sd:d ci_low:d ci_high:d n:i original:d bias:d bc_estimate:d")(lambda s, d: X.bootstrap_ci(replicates(s, d), X.original_solution(sorts(s, d), 3)))
@@ -317,13 +317,12 @@ query("flag_frequency", "p_idx:i factor:i flag_frequency:d flag_frequency_when_s
 query("bootstrap_rank_range", "factor:i stmt_num:i best_rank:i worst_rank:i")(lambda s, d: X.rank_range(X.bootstrap_ci(replicates(s, d), X.original_solution(sorts(s, d), 3))))
 
 
-def few(s, d):
-    """Forty participants: a study of a usual size, for the sampler."""
-    return sorts(s, d).where("p_idx <= 40")
+#: Numbers of factors: those that a search tries by default, and one, for the verdict of a single viewpoint.
+BAYES_KS = [1, 2, 3, 4, 5]
 
 
 def posterior(s, d):
-    return B.draws(few(s, d), [1, 2, 3], 2, 400, 200, 2)
+    return B.draws(sorts(s, d), BAYES_KS)
 
 
 query("bayes_loadings", "k:i item:i factor:i mean:d sd:d low:d high:d")(lambda s, d: B.summary(posterior(s, d), "loading"))
@@ -348,4 +347,4 @@ query("reanalyze_rotated", "factor:i stmt_num:i zscore:d rank:i score:i", """sel
   (select factor, stmt_num, sum(value * a / (1 - a * a)) as w from sorts join (select participant, factor, sign(loading) * least(0.9999, greatest(0.0001, abs(loading))) as a from
   (select *, abs(loading) > """ + Z05 + f""" / sqrt({STATEMENTS}) and loading * loading > sum(loading * loading) over (partition by participant) - loading * loading as flagged from {_ROT}) where flagged) using (participant) group by 1, 2)))""", ("loadings",))(lambda s, d: N.reanalyze_rotated(sorts(s, d), viewpoints(s, d).select("study_id", "participant", "factor", "loading"), DECK, 1, 2, 30)["scores"])
 query("split_and_recalculate", "factor:i n_flagged:i composite_reliability:d se_factor:d")(lambda s, d: N.split_and_recalculate(sorts(s, d), viewpoints(s, d).select("study_id", "participant", "factor", "loading"), DECK, 1)["characteristics"])
-query("priorities_numeric_gate", "attribute:s f:d r2:d p:d passed:b")(lambda s, d: N.priorities(sorts(s, d), DECK, None, numbers(s, d), permutations=999)["gates"])
+query("priorities_numeric_gate", "attribute:s f:d r2:d p:d passed:b")(lambda s, d: N.priorities(sorts(s, d), DECK, None, numbers(s, d))["gates"])
