@@ -1,6 +1,7 @@
 """op1's base spans against Python's re; the Markov models on held-out strings."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -84,3 +85,24 @@ def test_redaction(spark, ratios):
     df = S.with_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios)
     out = [r[0] for r in df.orderBy("doc_id").select(S.redacted(F.col("text"), F.col("secrets"))).collect()]
     assert out == ["é [SECRET] x [SECRET]", "nothing", None]
+
+
+def test_markov_short_and_letters(spark, ratios):
+    """Random strings of 20 to 40 characters, with few or no digits, are found; words, rules and repeats are not."""
+    r = random.Random(3)
+    alphabets = {"base64": S.ALPHABET[:64], "letters": S.ALPHABET[:52], "lower": S.ALPHABET[26:52]}
+    rows = [(f"{k}{size}", "".join(r.choice(a) for _ in range(size))) for k, a in alphabets.items() for size in (20, 24, 32, 40) for _ in range(100)]
+    df = S.with_secrets(spark.createDataFrame(rows, "kind string, text string"), ratios)
+    hit = {x["kind"]: x["hit"] for x in df.groupBy("kind").agg(F.count_if(F.exists("secrets", lambda s: s["kind"] == 3)).alias("hit")).collect()}
+    assert all(n >= (85 if k.startswith("lower") else 95) for k, n in hit.items()) and len(hit) == 12, hit
+    plain = ["-" * 40, "=" * 40, "x" * 30, "getUserAccountByEmailAddress2", "MAX_RETRY_COUNT_DEFAULT_VALUE", "Donaudampfschifffahrtsgesellschaft", "internationalisation/localisation", "org/apache/spark/sql/functions", "desenvolvimentosustentavel"]
+    assert S.with_secrets(spark.createDataFrame([(t,) for t in plain], "text string"), ratios).where(F.size("secrets") > 0).select("text").collect() == []
+
+
+def test_rest_of_a_run(spark, ratios):
+    """What a base span leaves of a random key is judged by itself; ordinary rests stay."""
+    texts = ["x qZ7vKp2XwRt9LmBn0123456789abcdefYh4GcWs8JdQf3TkV y", "see my_configuration_secret_token=abcdefghijklmnop end"]
+    df = S.with_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios)
+    rows = df.orderBy("doc_id").select(S.joined(F.col("secrets")), S.redacted(F.col("text"), F.col("secrets"))).collect()
+    assert rows[0][0] == "markov:2:18,hex:18:34,markov:34:50" and set(rows[0][1].replace("[SECRET]", "")) == set("x y")
+    assert rows[1][1] == "see my_configuration_secret_[SECRET] end"

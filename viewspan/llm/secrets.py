@@ -23,8 +23,8 @@ ASSIGN_MIN = 12
 #: Strings that the Markov models judge: opaque runs of at least so many characters.
 OPAQUE_MIN = 20
 OPAQUE = rf"[A-Za-z0-9+/_=-]{{{OPAQUE_MIN},}}"
-#: Log-likelihood ratio, in nats a character, from which an opaque run is a secret, and different digits that it must hold.
-MIN_RATIO, MIN_DIGITS = 0.35, 3
+#: Log-likelihood ratio from which a piece of an opaque run is a secret: in nats a pair of characters, and over all its pairs.
+MIN_RATIO, MIN_TOTAL = 0.35, 9.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Labelled samples of each class, at most.
 SAMPLES = 4_000
@@ -37,21 +37,49 @@ IDENTIFIER_PARTS = (
     "window view model controller service manager handler factory builder adapter listener event state action reducer store version test"
 ).split()
 
+# Words of four languages, for runs of prose.
+WORDS = (
+    "the and that with have this from they which would there their what about when make like time just know people into year good some could "
+    "them other than then look only come over think also back after work first well even want because these give most information nation "
+    "question direction government understanding something everything through thought enough development international environment "
+    "und der die das nicht mit sich auch auf eine werden haben wird sind noch nach durch einer wurde zwischen schon immer gesellschaft "
+    "wissenschaft entwicklung freiheit einheit moeglichkeit verbindung verstehen geschichte regierung wirtschaft sprache arbeit schule "
+    "bereich einfach deutsch unterschied beziehung pflicht empfehlung gesundheit schwierigkeit versicherung natuerlich herstellung erfahrung "
+    "les des est une que pour dans qui par sur pas plus avec sont mais comme tout nous fait cette aussi leur bien peut sans entre deux "
+    "gouvernement mouvement beaucoup nouveau quelle bouteille travail famille question maison toujours mieux jeux heureux chaque quelque "
+    "evenement changement environnement eau tableau château lumiere premiere derniere "
+    "los las del una por con para como pero sus este entre cuando muy sin sobre ser tiene todo esta desde nos durante estados uno contra "
+    "ciudad universidad desarrollo gobierno importante momento trabajo nacional politica sociedad realidad posibilidad solamente lentamente "
+    "corazon informacion educacion mujeres hombres tierra guerra pueblo "
+    "lorem ipsum dolor amet consectetur adipiscing elit http https www com org index html src docs images module package example project"
+).replace("â", "a").split()
+
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """``(label, s)``: ``n`` random strings (hexadecimal, base64 and upper-case digests) and ``n`` ordinary identifiers and words (snake, camel and kebab case, paths)."""
-    parts = F.array(*[F.lit(p) for p in IDENTIFIER_PARTS])
-    pick = lambda k: F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_PARTS))) + 1).cast("int"))
-    kind = F.pmod("id", F.lit(4))
+    """``(label, s)``: ``n`` random strings (hexadecimal, base64 and upper-case digests, letters alone) and ``n`` ordinary ones (snake, camel and kebab case, paths, words of four languages run together, rules and numbers)."""
+    array = lambda words: F.array(*[F.lit(w) for w in words])
+    pick = lambda k, of, n: F.element_at(of, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)) + 1).cast("int"))
+    kind = F.pmod("id", F.lit(8))
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), r"[^A-Za-z0-9+/=]", "")
-    random = F.when(kind == 0, digest).when(kind == 1, b64).when(kind == 2, F.regexp_replace(b64, "[+/=]", "")).otherwise(F.upper(F.regexp_replace(b64, "[+/=]", "")))
-    four = [pick(k) for k in range(4)]
+    safe, letters = F.translate(b64, "+/=", "-_"), F.regexp_replace(b64, "[^A-Za-z]", "")
+    random = (
+        F.when(kind == 0, digest).when(kind == 1, b64).when(kind == 2, F.regexp_replace(b64, "[+/=]", "")).when(kind == 3, F.upper(F.regexp_replace(b64, "[+/=]", "")))
+        .when(kind == 4, safe).when(kind == 5, letters).when(kind == 6, F.lower(letters)).otherwise(F.lower(F.regexp_replace(b64, "[+/=]", "")))
+    )
+    parts, words = array(IDENTIFIER_PARTS), array(WORDS)
+    four, prose = [pick(k, parts, len(IDENTIFIER_PARTS)) for k in range(4)], [pick(k, words, len(WORDS)) for k in range(10, 15)]
+    turn, rules = F.floor(F.col("id") / 8), "".join(c for c in ALPHABET if c not in "0123456789abcdef")  # of those a base pattern takes runs
+    number = F.abs(F.xxhash64("id")).cast("string")
     plain = (
-        F.when(kind == 0, F.concat_ws("_", *four))
+        F.when(kind == 0, F.when(turn % 2 == 0, F.concat_ws("_", *four)).otherwise(F.upper(F.concat_ws("_", *four))))
         .when(kind == 1, F.concat(four[0], *[F.initcap(p) for p in four[1:]]))
         .when(kind == 2, F.concat_ws("/", F.concat_ws("-", *four[:2]), *four[2:]))
-        .otherwise(F.concat(*four, F.pmod(F.xxhash64("id"), F.lit(100)).cast("string")))
+        .when(kind == 3, F.concat(*four, F.pmod(F.xxhash64("id"), F.lit(100)).cast("string")))
+        .when(kind == 4, F.concat(*prose))
+        .when(kind == 5, F.concat(F.initcap(prose[0]), *prose[1:]))
+        .when(kind == 6, F.concat_ws("-", *prose[:3], F.lit("2"), F.upper(prose[3])))
+        .otherwise(F.concat(F.repeat(F.lit(rules).substr((F.pmod(turn, F.lit(len(rules))) + 1).cast("int"), F.lit(1)), 60), F.substring(number, 1, 8), F.lit("-"), F.upper(prose[4])))
     )
     ids = spark.range(n)
     return ids.select(F.lit("random").alias("label"), random.alias("s")).union(ids.select(F.lit("ordinary"), plain))
@@ -90,12 +118,30 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda a: a["out"])).otherwise(none)
 
 
+def _uncovered(run: Column, base: Column) -> Column:
+    """The pieces of the span ``run`` that no span of ``base`` (by start) covers, as spans."""
+
+    def piece(start, end):
+        return F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end"), run["s"].substr((start - run["start"] + 1).cast("int"), (end - start).cast("int")).alias("s"))
+
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    zero = F.struct(run["start"].alias("at"), F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,s:string>>)").alias("out"))
+
+    def step(acc, b):
+        out = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+    last = lambda a: F.when(a["at"] < run["end"], F.concat(a["out"], F.array(piece(a["at"], run["end"])))).otherwise(a["out"])
+    return F.when(F.size(touching) > 0, F.aggregate(touching, zero, step, last)).otherwise(F.array(run))
+
+
 def with_secrets(docs: DataFrame, ratios: list[float], text: str = "text", name: str = "secrets") -> DataFrame:
     """``docs`` with ``name``: array<struct<start, kind, end, s>> of all spans, by start and then kind (a place in ``KINDS``).
 
     Base spans (``assign``, ``access``, ``hex``) are all there; ``markov`` spans
-    are opaque runs that touch no base span and whose log-likelihood ratio says
-    random rather than ordinary. Offsets count code points, the end is
+    are opaque runs, or what base spans leave uncovered of them, whose
+    log-likelihood ratio alone says random rather than ordinary: a short piece
+    needs a higher one a character. Offsets count code points, the end is
     exclusive. Null texts have no spans. Nothing is shuffled and other columns
     pass through.
     """
@@ -104,14 +150,14 @@ def with_secrets(docs: DataFrame, ratios: list[float], text: str = "text", name:
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # a literal once the plan is optimised
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_MIN
     out = docs.withColumn("_vs_base", F.concat(_spans(t, ASSIGN, 0, value), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
-    out = out.withColumn("_vs_opaque", F.filter(_spans(t, OPAQUE, 3), lambda x: ~F.exists("_vs_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (F.size(F.array_distinct(F.split(F.regexp_replace(x["s"], "[^0-9]", ""), ""))) >= MIN_DIGITS)))
+    out = out.withColumn("_vs_opaque", F.flatten(F.transform(_spans(t, OPAQUE, 3), lambda x: _uncovered(x, F.array_sort("_vs_base")))))
     place = lambda s, i: F.instr(F.lit(ALPHABET), s.substr(i, F.lit(1))) - 1
 
-    def ratio(x):
+    def total(x):
         pairs = F.sequence(F.lit(1), F.length(x["s"]) - 1)
-        return F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.get(table, (place(x["s"], i) * size + place(x["s"], i + 1)).cast("int"))) / (F.length(x["s"]) - 1)
+        return F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.get(table, (place(x["s"], i) * size + place(x["s"], i + 1)).cast("int")))
 
-    out = out.withColumn("_vs_opaque", F.filter("_vs_opaque", lambda x: ratio(x) >= MIN_RATIO))
+    out = out.withColumn("_vs_opaque", F.filter("_vs_opaque", lambda x: F.when(F.length(x["s"]) > 1, total(x) >= F.greatest(F.lit(MIN_TOTAL), MIN_RATIO * (F.length(x["s"]) - 1))).otherwise(False)))
     return out.withColumn(name, F.array_sort(F.concat("_vs_base", "_vs_opaque"))).drop("_vs_base", "_vs_opaque")
 
 
