@@ -13,35 +13,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewspan.llm import decontam, mixing, secrets, simhash, toxicity
-from viewspan.llm.common import read, stored
+from viewspan.llm import decontam, mixing, neardups, secrets, toxicity
+from viewspan.llm.common import quoted, read, spare, stored
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(quoted(c)) for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5. Null and empty texts have a score too and mostly stay; repeated rows go or stay together."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.with_toxicity(docs, model, name="_vs_toxicity").where("_vs_toxicity < 0.5").select(*docs.columns)
+    score = spare(docs, "_vs_toxicity")
+    return toxicity.with_toxicity(docs, model, name=score).where(F.col(score) < 0.5).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    """The row with the least id of each group of equal or near-duplicate texts; null is the empty text, null ids come last."""
+    return neardups.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontam.benchmark_hits(docs, read(spark, sf_dir, "benchmark"), prefix="_vs_")
-    return hits.where(F.size("_vs_spans") == 0).select(*docs.columns)
+    """Documents without a window of a benchmark item. Null and empty texts have none and stay."""
+    prefix = spare(docs, "_vs_")
+    hits = decontam.benchmark_hits(docs, read(spark, sf_dir, "benchmark"), prefix=prefix)
+    return hits.where(F.size(prefix + "spans") == 0).select(*_columns(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in the text replaced by a mark; ``n_chars``, if there, follows the new text. Null stays null."""
     ratios = secrets.train(secrets.labelled_samples(spark))
-    found = secrets.with_secrets(docs, ratios, name="_vs_secrets")
-    text = secrets.redacted(F.col("text"), F.col("_vs_secrets"))
+    name = spare(docs, "_vs_secrets")
+    found = secrets.with_secrets(docs, ratios, name=name)
+    text = secrets.redacted(F.col("text"), F.col(name))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size("_vs_secrets") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(F.size(name) > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumns(new).select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as a Poisson number of its source's rate says, in a global shuffle, with ``copy_no``."""
     return mixing.mix(docs)
 
 
