@@ -39,14 +39,3 @@ def test_groups():
     g.join(np.array([0, 2]), np.array([1, 4]))
     low, other = g.stars()
     assert sorted(zip(low.tolist(), other.tolist())) == [(3, 5), (7, 9)]
-    pairs = np.array([[4, 2, 9, 1], [0, 0, 1, 0], [2, 4, 2, 3]])
-    assert g.closest(pairs, 1).T.tolist() == [[2, 0, 4]]
-
-
-def test_nearest():
-    g = Groups(np.arange(6))
-    pairs = np.array([[1, 2, 3, 4, 9], [0, 0, 0, 0, 4], [1, 2, 3, 4, 5]])
-    kept, more = g.nearest(pairs, 2)
-    assert kept[:, np.argsort(kept[0])].T.tolist() == pairs.T.tolist() and more.tolist() == []
-    kept, more = g.nearest(np.array([[1, 2, 3, 1, 1, 1], [0, 0, 0, 1, 2, 3], [1, 2, 3, 4, 4, 5]]), 1)
-    assert [2, 0, 2] not in kept.T.tolist() and 0 in more.tolist() and 2 in more.tolist()

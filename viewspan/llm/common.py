@@ -63,8 +63,14 @@ def add_columns(df: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]]
     """``df`` with the columns of ``fields``, computed by ``make(batch) -> list of arrays`` for each Arrow batch.
 
     The other columns pass through untouched, whatever their type; a column of
-    ``df`` that has the name of a new one is replaced.
+    ``df`` that has the name of a new one is replaced. ``make`` sees a column
+    with a dot in its name under another name, since Spark can't send it by its own.
     """
+    dotted = {c: spare(df, f"_vs_{k}") for k, c in enumerate(df.columns) if "." in c or "`" in c}
+    if dotted:
+        safe = add_columns(df.select(*[F.col(quoted(c)).alias(dotted.get(c, c)) for c in df.columns]), fields, make)
+        back = {v: k for k, v in dotted.items()}
+        return safe.select(*[F.col(quoted(c)).alias(back.get(c, c)) for c in safe.columns])
     names = [f[0] for f in fields]
     kept = [c for c in df.columns if c not in names]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t, _ in fields])
@@ -77,12 +83,6 @@ def add_columns(df: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]]
     return df.mapInArrow(run, schema)
 
 
-def _places(key: np.ndarray) -> np.ndarray:
-    """Place of each element in its run of equal keys."""
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
-
-
 class Groups:
     """Groups of the nodes of one bounded batch, joined by arrays of row pairs; the least node stands for its group."""
 
@@ -115,31 +115,6 @@ class Groups:
         to[list(parent)] = [find(x) for x in parent]
         self.of = to[self.of]
 
-    def _open(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of ``pairs`` (rows: distance, i, j) those of different groups, each once, with the numbers of both nodes."""
-        pairs = pairs[:, self.apart(pairs[1], pairs[2])]
-        x, y = self.row[pairs[1]], self.row[pairs[2]]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        _, once = np.unique(low * len(self.nodes) + high, return_index=True)
-        return pairs[:, once], x[once], y[once]
-
-    def closest(self, pairs: np.ndarray, n: int) -> np.ndarray:
-        """Of pairs of different groups the ``n`` closest of each two groups."""
-        pairs, x, y = self._open(pairs)
-        x, y = self.of[x], self.of[y]
-        both = np.minimum(x, y) * len(self.nodes) + np.maximum(x, y)
-        order = np.lexsort((pairs[2], pairs[1], pairs[0], both))
-        return pairs[:, order[_places(both[order]) < n]]
-
-    def nearest(self, pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of different groups those among the ``n`` closest of either node, and the nodes of those left out."""
-        pairs, x, y = self._open(pairs)
-        ends, which = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
-        order = np.lexsort((which, pairs[0][which], ends))
-        kept = np.zeros(len(x), bool)
-        kept[which[order[_places(ends[order]) < n]]] = True
-        return pairs[:, kept], self.nodes[np.unique(np.concatenate([x[~kept], y[~kept]]))]
-
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """(the group's least node, another of its nodes) for each such node."""
         other = np.flatnonzero(self.of != np.arange(len(self.nodes)))

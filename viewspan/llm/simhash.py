@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Groups, add_columns, connected_components, cut, read, stored
+from .common import LOWER, Groups, add_columns, connected_components, cut, read
 
 #: Seed of the shingle hash, fixed by the contract of op6.
 SEED = 42
@@ -245,255 +245,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return fps.join(named, "fp0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near-duplicates of a similarity --------------------------------------------------------------
-
-#: Words of a shingle and Jaccard similarity of shingle sets from which two texts are near-duplicates.
-NEAR_SIZE, SIMILARITY = 5, 0.8
-#: Wide fingerprints: lanes of 64 bits; of the whole width so many bits may differ before a pair isn't looked at
-#: (pairs at a similarity of 0.8 differ in 39 of 256 on average, standard deviation 6; unrelated ones in 128).
-LANES, WIDE_BUDGET = 4, 64
-#: Pairs that differ in at most so many bits are probably near-duplicates (a similarity of just 0.8 gives so few once
-#: in 2,000 pairs): of a group of such only the links with its least node are confirmed at first, and each text's
-#: nearest others; then, of two groups that are still apart, the closest; at last every other pair that is still apart.
-SURE, NEAREST, CLOSEST = 20, 12, 16
-#: Tables of 32 bits, each joined with this budget: 12 of them miss about 2 % of pairs at a similarity of just 0.8, 0.1 % at 0.85.
-TABLES, TABLE_BITS, TABLE_BUDGET = 12, 32, 3
-_EVEN = 0x55555555
-
-
-def table_keys(lanes: list[str]) -> list:
-    """Columns of ``TABLES`` 32-bit keys: the halves of the lanes, then halves of two lanes interleaved."""
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    high = lambda c: F.shiftrightunsigned(F.col(c), 32)
-    halves = [f(c) for c in lanes for f in (low, high)]
-    n = len(halves)
-    mixed_halves = [halves[i].bitwiseAND(F.lit(_EVEN)).bitwiseOR(halves[(i + n // 2) % n].bitwiseAND(F.lit(_EVEN << 1))) for i in range(n)]
-    return (halves + mixed_halves)[:TABLES]
-
-
-#: Leaves of a pair with more member pairs are compared in blocks of so many members, after their neighbours.
-LEAF_PAIRS, LEAF_BLOCK = 4096, 1024
-#: Candidates that are not sure are thinned whenever so many are held; where all are wanted, so many are handed on at once.
-HELD, PIECE = 2_000_000, 200_000
-#: The three joins: each text's nearest others, the closest pairs of two groups, and all pairs of texts still apart.
-BY_TEXT, BY_GROUP, ALL = 0, 1, 2
-
-
-def _first_route(wide: np.ndarray) -> np.ndarray:
-    """The first route (table and block) on which fingerprints meet that differ in the bits of ``wide`` (lanes x pairs)."""
-    halves = [h for lane in wide for h in (lane & np.uint64(0xFFFFFFFF), lane >> np.uint64(32))]
-    n = len(halves)
-    keys = (halves + [(halves[i] & np.uint64(_EVEN)) | (halves[(i + n // 2) % n] & np.uint64(_EVEN << 1)) for i in range(n)])[:TABLES]
-    blocks = block_bits(TABLE_BITS, TABLE_BUDGET)
-    out = np.full(wide.shape[1], -1)
-    for t, key in enumerate(keys):
-        open_ = np.flatnonzero((out < 0) & (np.bitwise_count(key) <= TABLE_BUDGET))
-        for b, (s, w) in enumerate(blocks):
-            met = ((key[open_] >> np.uint64(s)) & np.uint64((1 << w) - 1)) == 0
-            out[open_[met]] = t * len(blocks) + b
-            open_ = open_[~met]
-    return out
-
-
-def _product(a, na, b, nb):
-    """Places of all members of ranges ``a`` against all of ``b``."""
-    size = na * nb
-    which = np.repeat(np.arange(len(size)), size)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return a[which] + at // nb[which], b[which] + at % nb[which]
-
-
-def _member_pairs(leaf, sizes, i, j):
-    """All pairs of members of the leaves ``i`` and ``j`` (the same ones: of one leaf), in bounded pieces."""
-    small = sizes[i] * sizes[j] <= LEAF_PAIRS
-    for k in range(0, len(i), 1024):
-        s = slice(k, k + 1024)
-        m = small[s]
-        p, q = _product(leaf[i[s][m]], sizes[i[s][m]], leaf[j[s][m]], sizes[j[s][m]])
-        up = p < q
-        yield p[up], q[up]
-        for x, y in zip(i[s][~m].tolist(), j[s][~m].tolist(), strict=True):
-            a, b = np.arange(leaf[x], leaf[x] + sizes[x]), np.arange(leaf[y], leaf[y] + sizes[y])
-            if x == y:
-                yield a[:-1], a[1:]  # what these link needs no look in the blocks
-            for u in range(0, len(a), LEAF_BLOCK):
-                for v in range(u if x == y else 0, len(b), LEAF_BLOCK):
-                    c, d = a[u : u + LEAF_BLOCK], b[v : v + LEAF_BLOCK]
-                    p, q = np.repeat(c, len(d)), np.tile(d, len(c))
-                    up = q - p > 1 if x == y else p < q
-                    yield p[up], q[up]
-
-
-def _near_links(batches, lanes, step):
-    """Links (a, b, d) of the whole buckets of a batch: d -1 for those of sure groups, the distance of others; (a, a) marks a text with more candidates than its nearest.
-
-    ``BY_GROUP`` and ``ALL`` have labels: texts of one label are one group
-    already. Of two groups the closest pairs come, or all. A pair that isn't
-    sure comes from the first of the routes on which it meets, so only once.
-    """
-    routes = len(block_bits(TABLE_BITS, TABLE_BUDGET))
-
-    def batch_of(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["a", "b", "d"])
-
-    for bucket, v, node, *wide in _whole_buckets(batches, ["bucket", "v", "node", *lanes, *["label"] * (step != BY_TEXT)]):
-        label = wide.pop() if step != BY_TEXT else None
-        v, wide = v.view(np.uint64), [w.view(np.uint64) for w in wide]
-        order = np.lexsort((*wide, v, bucket))  # members of a leaf stand beside those most like them
-        bucket, v, node, wide = bucket[order], v[order], node[order], np.stack([w[order] for w in wide])
-        first = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (v[1:] != v[:-1])])
-        leaf = np.flatnonzero(first)  # equal keys of a bucket are one leaf
-        edge = np.flatnonzero(np.diff(bucket[leaf])) + 1
-        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(leaf)]])
-        sizes = np.diff(np.append(leaf, len(v)))
-        groups, held, more = Groups(node), [], []
-        if step != BY_TEXT:
-            _, at, of = np.unique(label[order], return_index=True, return_inverse=True)
-            groups.join(at[of], np.arange(len(of)))
-
-        def thin():
-            pairs = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
-            if step == ALL:
-                return pairs
-            if step == BY_GROUP:
-                return groups.closest(pairs, CLOSEST)
-            pairs, out = groups.nearest(pairs, NEAREST)
-            more.append(out)
-            return pairs
-
-        def compare(i, j):
-            apart = groups.apart(i, j)  # what is linked already needs no look
-            i, j = i[apart], j[apart]
-            bits = wide[:, i] ^ wide[:, j]
-            d = np.bitwise_count(bits).sum(axis=0).astype(np.int64)
-            near = d <= WIDE_BUDGET
-            if step == BY_TEXT:
-                groups.join(i[d <= SURE], j[d <= SURE])
-                near &= d > SURE
-            near = np.flatnonzero(near)
-            near = near[_first_route(bits[:, near]) == bucket[i[near]] >> 8]
-            held.append(np.stack([d[near], i[near], j[near]]))
-            return sum(h.shape[1] for h in held)
-
-        def pieces():
-            many = np.flatnonzero((sizes > 1) & ((bucket[leaf] >> 8) % routes == 0))  # equal keys meet on a table's first route
-            yield from _member_pairs(leaf, sizes, many, many)
-            for x, y, _ in trie_pairs(v[leaf], starts, ends, TABLE_BITS, TABLE_BUDGET):
-                yield from _member_pairs(leaf, sizes, x, y)
-
-        for i, j in pieces():
-            n = compare(i, j)
-            if step == ALL and n > PIECE:
-                d, i, j = thin()
-                held.clear()
-                yield batch_of([np.minimum(node[i], node[j])], [np.maximum(node[i], node[j])], [d])
-            elif n > HELD:
-                held[:] = [thin()]
-        near = thin()
-        a, b = node[near[1]], node[near[2]]
-        low, other = groups.stars() if step == BY_TEXT else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        more = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
-        yield batch_of([low, np.minimum(a, b), more], [other, np.maximum(a, b), more], [np.full(len(low), -1), near[0], np.zeros(len(more), np.int64)])
-
-
-def _candidates(wide: DataFrame, lanes: list[str], step: int) -> DataFrame:
-    """``(a, b, d)`` of all tables; links of sure groups and marks may be repeated, other pairs come once."""
-    blocks = block_bits(TABLE_BITS, TABLE_BUDGET)
-    per = 256 * len(blocks)
-    routes = [F.struct((F.shiftrightunsigned(k, s).bitwiseAND(F.lit((1 << w) - 1)) + F.lit(t * per + n * 256)).cast("long").alias("bucket"), k.alias("v")) for t, k in enumerate(table_keys(lanes)) for n, (s, w) in enumerate(blocks)]
-    kept = ["node", *lanes, *["label"] * (step != BY_TEXT)]
-    routed = wide.select(*kept, F.explode(F.array(*routes)).alias("r")).select("r.bucket", "r.v", *kept)
-    links = routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _near_links(batches, lanes, step), "a long, b long, d long")
-    return stored(links)
-
-
-def _confirmed(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The links ``(a, b)`` whose shingle sets have the similarity; ``texts(node, t)``."""
-    involved = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def sets(batches):
-        for batch in batches:
-            out = [np.unique(np.array(shingle_hashes(t.as_py(), size), dtype=np.uint64).astype(np.uint32)).tobytes() for t in batch.column(batch.schema.get_field_index("t"))]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array(out, pa.binary())], names=["node", "s"])
-
-    def similar(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(batch.schema.get_field_index("sa")), batch.column(batch.schema.get_field_index("sb")), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9 and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    shingled = stored(texts.join(involved, "node", "left_semi").mapInArrow(sets, "node long, s binary"))
-    both = links.select("a", "b").join(shingled.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.mapInArrow(similar, "a long, b long")
-
-
-def near_duplicate_links(texts: DataFrame, text: str = "text", node: str = "node", size: int = NEAR_SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that hold together the near-duplicates among nodes (distinct longs, each with one text): texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
-
-    Candidates come from trie joins of 12 parts of a 256-bit SimHash of the
-    shingle sets, and every link is confirmed on the sets. Sure ones are reduced
-    to links with the least node of a group before that; so are each text's
-    others to its nearest. A text with more candidates than that, or of a group
-    with a link that failed, takes part in a second join, in which what is linked
-    by now counts as one group and the closest pairs of any two groups are
-    confirmed, and in a third, which confirms every pair of texts still apart
-    that was not tested before: so no candidate is left out for the size of its
-    group. A group linked by the first two joins costs links in proportion to its
-    members; one whose texts are alike but no near-duplicates costs its square.
-    Blank texts link to nothing.
-    """
-    lanes = [f"fp{k}" for k in range(LANES)]
-    own = texts.select(F.col(node).alias("node"), F.col(text).alias("t"))
-    wide = stored(with_fingerprints(own, "t", size, LANES, distinct=True).where(" or ".join(f"{c} <> 0" for c in lanes)).select("node", *lanes))
-    links = _candidates(wide, lanes, BY_TEXT)
-    sure = links.where("d < 0").select("a", "b").distinct()
-    near = links.where("a <> b and d >= 0")
-    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "d"), F.struct(F.col("b").alias("node"), "a", "b", "d"))).alias("e")).select("e.*")
-    ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("d", "a", "b"))).groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    ranked = stored(ranked)
-    tested = stored(sure.union(ranked.where(F.col("rank") <= NEAREST).select("a", "b")).distinct())
-    found = stored(_confirmed(tested, own, size, similarity))
-    # a sure group with a link that failed: its members were not compared with each other
-    failed = sure.join(sure.join(found, ["a", "b"], "left_anti").select("a").distinct(), "a", "left_semi")
-    more = ranked.where(F.col("rank") > NEAREST).select("a", "b").union(failed.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).union(links.where("a = b").select("a")).distinct()
-    if more.isEmpty():
-        return found
-    again = stored(wide.join(more, "node", "left_semi"))
-    for step in (BY_GROUP, ALL):
-        labelled = again.join(connected_components(found), "node", "left").select("node", *lanes, F.coalesce("component", "node").alias("label"))
-        bridges = stored(_candidates(labelled, lanes, step).select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        if bridges.isEmpty():
-            continue
-        tested = tested.union(bridges)
-        found = found.union(stored(_confirmed(bridges, own, size, similarity)))
-    return found
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = NEAR_SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without near-duplicates: of each group of equal or near-duplicate texts the row with the least id stays.
-
-    Equal texts (null and blank ones among themselves: null is the empty text)
-    are one node, however many rows have them. Groups are the components of
-    the links of ``near_duplicate_links``. Of rows with equal ids and texts one
-    stays; a null id comes last. Columns are those of ``docs``.
-    """
-    keyed = docs.withColumn("_vs_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    low = F.min(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)))
-    nodes = stored(keyed.groupBy("_vs_key").agg(low.alias("least")))
-    first = keyed.select("_vs_key", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_vs_id"), F.col(text).alias("text"))
-    one = first.join(nodes.withColumnsRenamed({"_vs_key": "_vs_key", "least": "_vs_id"}), ["_vs_key", "_vs_id"], "left_semi")
-    comp = connected_components(near_duplicate_links(one, "text", "_vs_key", size, similarity))
-    joined = nodes.join(comp, nodes["_vs_key"] == comp["node"])
-    winners = joined.groupBy("component").agg(F.min(F.struct("least", "_vs_key")).alias("w")).select("w.*").union(nodes.join(comp, nodes["_vs_key"] == comp["node"], "left_anti").select("least", "_vs_key"))
-    winners = winners.select(F.col("_vs_key").alias("_vs_wkey"), F.col("least").alias("_vs_wid"))
-    id_long = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    kept = keyed.withColumn("_vs_id", id_long).join(winners, (F.col("_vs_key") == F.col("_vs_wkey")) & (F.col("_vs_id") == F.col("_vs_wid")))
-    by = Window.partitionBy("_vs_key", "_vs_id").orderBy("_vs_key")
-    return kept.withColumn("_vs_row", F.row_number().over(by)).where("_vs_row = 1").select(*docs.columns)
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
