@@ -25,11 +25,11 @@ def test_draw_follows_poisson(spark):
 
 def test_targets_and_edges(spark):
     rows = [(k, "t", "big" if k % 3 else "small") for k in range(6000)] + [(None, None, None), (None, None, None), (1, "t", "none")]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, _vs int")
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, `_vs.c` int")
     weights = spark.createDataFrame([("big", 1.0), ("small", 3.0), ("absent", 9.0), ("none", -1.0)], "source string, weight double")
     got = Counter(r["source"] for r in M.mix(df, weights, size=8000).collect())
     assert abs(got["small"] - 6000) < 400 and abs(got["big"] - 2000) < 250 and set(got) == {"big", "small"}
     assert M.mix(df.limit(0)).count() == 0
-    assert M.mix(df).columns == ["doc_id", "text", "source", "_vs", "copy_no"]
+    assert M.mix(df).columns == ["doc_id", "text", "source", "_vs.c", "copy_no"]
     again = sorted(map(str, M.mix(df.repartition(7)).collect()))
     assert again == sorted(map(str, M.mix(df).collect()))

@@ -14,13 +14,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shuffle_partitions
+from .common import quoted, read, shuffle_partitions, spare, stored
 
 SEED = 20240501
 #: Default target: weights in proportion to rows ** TEMPERATURE, as many rows as there are.
 TEMPERATURE = 0.7
 #: Largest rate inverted at once; a higher one is drawn as a sum of independent parts.
 PART = 64.0
+#: Rates of at most so many sources (1.5 KB each at most) are sent to all tasks; more are joined by hash.
+SENT_SOURCES = 4_000
 #: Bits of a uniform number.
 BITS = 52
 
@@ -37,14 +39,14 @@ def poisson_terms(rate: float) -> int:
 
 
 def cumulative(rate: Column) -> Column:
-    """array: P(X <= 0), P(X <= 1), ... of a Poisson variable of mean ``rate`` up to ``PART``."""
+    """array: P(X <= 0), P(X <= 1), ... of a Poisson variable of mean ``rate`` (at most ``PART``), until the upper tail is below 2**-53."""
     zero = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
 
     def step(acc, k):
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["all"], F.array(acc["c"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(poisson_terms(PART))), zero, step, lambda a: a["all"])
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(rate + 10 * F.sqrt(rate) + 40).cast("int")), zero, step, lambda a: a["all"])
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, size: int | None = None, source: str = "source", temperature: float = TEMPERATURE) -> DataFrame:
@@ -55,7 +57,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, size: int |
     weights go with ``n ** temperature``. ``size``: rows wanted, by default as
     many as there are. Null is a source of its own.
     """
-    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
+    counts = stored(docs.groupBy(F.col(quoted(source)).alias("source")).agg(F.count("*").alias("n")))
     if weights is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
@@ -74,28 +76,33 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, size: int |
 
 def copies(cdf: Column, parts: Column, seed: int, *key: str) -> Column:
     """Number of copies: for each part the least k whose cumulative probability reaches the uniform number."""
-    draw = lambda i: F.size(F.filter(cdf, lambda c: c < uniform(F.lit(seed), *key, i)))
-    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + draw(i))
+    # the numbers come first, so that each is hashed once and not for every term it is compared with
+    numbers = F.transform(F.sequence(F.lit(1), parts), lambda i: uniform(F.lit(seed), *key, i))
+    return F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter(cdf, lambda c: c < u)))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, size: int | None = None, id_col: str = "doc_id", source: str = "source", seed: int = SEED, temperature: float = TEMPERATURE, copy: str | None = "copy_no", shuffle: bool = True) -> DataFrame:
     """The rows of ``docs``, each as often as its Poisson draw says, in random order.
 
-    ``copy`` names an added column that numbers a row's copies from 0. Sources
-    keep their target share in the mean; no row is capped and a source of any
-    size is drawn row by row. Rows with equal ids (null included) and sources
-    draw alike. An empty table stays empty. Rates are a row a source and are
-    joined by hash, split where a source is large. ``shuffle``: deal the copies
-    to random partitions, there sorted by a hash; it is one shuffle of the result.
+    ``copy`` names an added column that numbers a row's copies from 0; a column
+    of ``docs`` with that name is replaced. Sources keep their target share in
+    the mean; no row is capped and a source of any size is drawn row by row.
+    Rows with equal ids (null included) and sources draw alike. An empty table
+    stays empty. Rates are a row a source: those of up to ``SENT_SOURCES``
+    sources are sent to the tasks, so that documents move only once, in the
+    shuffle of the result; those of more are joined by hash. ``shuffle``: deal
+    the copies to random partitions, there sorted by a hash.
     """
-    rates = source_rates(docs, weights, size, source, temperature).select(F.col("source").alias("_vs_s"), F.col("parts").alias("_vs_parts"), F.col("cdf").alias("_vs_cdf"))
-    drawn = docs.join(rates, docs[source].eqNullSafe(rates["_vs_s"])).withColumn("_vs_k", copies(F.col("_vs_cdf"), F.col("_vs_parts"), seed, id_col)).where("_vs_k > 0")
-    out = drawn.withColumn("_vs_c", F.explode(F.sequence(F.lit(0), F.col("_vs_k") - 1)))
+    s, parts, cdf, k, c, h = (spare(docs, f"_vs_{x}") for x in ("s", "parts", "cdf", "k", "c", "h"))
+    rates = stored(source_rates(docs, weights, size, source, temperature).select(F.col("source").alias(s), F.col("parts").alias(parts), F.col("cdf").alias(cdf)))
+    if rates.count() <= SENT_SOURCES:
+        rates = F.broadcast(rates)
+    drawn = docs.join(rates, F.col(quoted(source)).eqNullSafe(F.col(s))).withColumn(k, copies(F.col(cdf), F.col(parts), seed, quoted(id_col))).where(F.col(k) > 0)
+    out = drawn.select(*[F.col(quoted(x)) for x in docs.columns], F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(c))
     if shuffle:
-        out = out.withColumn("_vs_h", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_vs_c")))
-        out = out.drop("_vs_s", "_vs_parts", "_vs_cdf", "_vs_k").repartition(shuffle_partitions(docs.sparkSession), "_vs_h").sortWithinPartitions("_vs_h")
-    kept = [docs[c] for c in docs.columns if c != copy]
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != copy], *([F.col("_vs_c").cast("int").alias(copy)] if copy else [])) if kept else out
+        out = out.withColumn(h, F.xxhash64(F.lit(seed), F.col(quoted(id_col)), F.col(c)))
+        out = out.repartition(shuffle_partitions(docs.sparkSession), h).sortWithinPartitions(h)
+    return out.select(*[F.col(quoted(x)) for x in docs.columns if x != copy], *([F.col(c).cast("int").alias(copy)] if copy else []))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
