@@ -6,6 +6,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from viewspan.llm import decontam
 from viewspan.llm.decontam import benchmark_hits, contamination, matchers, op3_decontamination
 
 SF = "/root/testdata/sf0.001"
@@ -57,11 +58,13 @@ def test_edge_rows(spark):
     assert contamination(docs.limit(0), items).count() == 0
 
 
-def test_blocks_give_the_same(spark):
-    docs = spark.createDataFrame(EDGE_DOCS, "doc_id long, text string")
+def test_blocks_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, t, 7) for d, t in EDGE_DOCS], "doc_id long, text string, `a.b` int")
     items = spark.createDataFrame(EDGE_ITEMS, "item_id long, text string")
     one, many = (sorted(map(str, benchmark_hits(docs, items, block_bytes=b).collect())) for b in (10**6, 20))
     assert one == many
+    monkeypatch.setattr(decontam, "BLOCKS_AT_ONCE", 2)  # several passes, joined by text
+    assert sorted(map(str, benchmark_hits(docs, items, block_bytes=20).collect())) == one
 
 
 @settings(max_examples=60, deadline=None)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, read
+from .common import add_columns, quoted, read, spare, stored
 
 #: Words are maximal runs of these bytes of the UTF-8 text (ASCII letters and digits, and all non-ASCII); the rest becomes a blank.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -18,6 +18,8 @@ _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 o
 WINDOW = 10
 #: Bytes of benchmark text whose search tables are sent to the tasks at once; more is searched block by block.
 BLOCK_BYTES = 4_000_000
+#: Blocks that are with the tasks at one time; a larger benchmark takes several passes over the documents.
+BLOCKS_AT_ONCE = 8
 
 
 def words(text: str | None) -> list[bytes]:
@@ -80,27 +82,58 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     of words inside any occurrence of a window; items: distinct ids, as strings,
     of items with occurring windows, ascending.
 
-    The benchmark is split by hash into as many blocks as its bytes need; a
-    block's tables, bounded by ``block_bytes``, go to the tasks and the
-    documents stream through one narrow step for each block: nothing is
-    shuffled and no document is split. Null texts have no words and null or
-    blank items no windows; an item with a null id marks words but isn't
-    listed. Repeated items count once. No benchmark rows: nothing is hit.
+    The distinct items are split by hash into as many blocks as their bytes
+    need. Documents stream through one narrow step for each block, and nothing
+    is shuffled, while the blocks fit ``BLOCKS_AT_ONCE``. A larger benchmark is
+    searched in passes of that many blocks: each pass stores the hits of the
+    texts that have any, frees its tables, and at last the hits are joined to
+    the documents by a digest of the text. So what is sent to the tasks never
+    grows with the benchmark. Null texts have no words and null or blank items
+    no windows; an item with a null id marks words but isn't listed. Repeated
+    items count once, repeated rows are returned as often as they come, columns
+    with the names of the new ones are replaced. No benchmark rows: nothing is hit.
     """
-    total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    items = benchmark.select(F.col(quoted(item_id)).cast("string").alias("i"), F.col(quoted(item_text)).alias("t")).where("t is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_text), F.lit(n)).alias("b")).where("t is not null")
-    names = [f"{prefix}n_words", f"{prefix}spans", f"{prefix}items"]
+    items = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    if n > 1:
+        items = stored(items)
+    fields = _fields(prefix)
+    if n <= BLOCKS_AT_ONCE:
+        return _searched(docs, items, range(n), text, fields, window)[0]
+    key = spare(docs, f"_{prefix}text")
+    digest = F.md5(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary"))
+    names = [f[0] for f in fields]
+    hits = None
+    for first in range(0, n, BLOCKS_AT_ONCE):
+        own, sent = _searched(docs.select(digest.alias("k"), F.col(quoted(text)).alias("t")), items, range(first, min(n, first + BLOCKS_AT_ONCE)), "t", fields, window)
+        found = stored(own.where(F.size(names[1]) > 0).select("k", *names[1:]).dropDuplicates(["k"]))
+        for x in sent:
+            x.destroy()
+        hits = found if hits is None else hits.union(found)
+    both = hits.groupBy("k").agg(F.flatten(F.collect_list(names[1])).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(names[2])))).alias("i"))
+    both = add_columns(both, [("s", *fields[1][1:])], lambda batch: [[[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in s])] for s in batch.column(batch.schema.get_field_index("s")).to_pylist()]])
+    kept = docs.select(*[F.col(quoted(c)) for c in docs.columns if c not in names])
+    counted = add_columns(kept.withColumn(key, digest), fields[:1], lambda batch: [[len(words(t.as_py())) for t in batch.column(batch.schema.get_field_index(text))]])
+    joined = counted.join(both, counted[key] == both["k"], "left")
+    return joined.select(*[F.col(quoted(c)) for c in kept.columns], names[0], F.coalesce("s", F.array().cast(fields[1][1])).alias(names[1]), F.coalesce("i", F.array().cast(fields[2][1])).alias(names[2]))
+
+
+def _fields(prefix: str) -> list:
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    kinds = [T.LongType(), span, T.ArrayType(T.StringType())]
-    arrow = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
-    fields = list(zip(names, kinds, arrow, strict=True))
-    sc = docs.sparkSession.sparkContext
-    for block in range(n):
+    arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return [(f"{prefix}n_words", T.LongType(), pa.int64()), (f"{prefix}spans", span, arrow_span), (f"{prefix}items", T.ArrayType(T.StringType()), pa.list_(pa.string()))]
+
+
+def _searched(docs: DataFrame, items: DataFrame, blocks: range, text: str, fields: list, window: int) -> tuple[DataFrame, list]:
+    """``docs`` with the hits of these blocks of items, and what was sent to the tasks for it."""
+    sent = []
+    for block in blocks:
         rows = [tuple(r) for r in items.where(F.col("b") == block).select("i", "t").collect()]
-        sent = sc.broadcast(rows)
-        docs = add_columns(docs, fields, _searcher(sent, text, names if block else None, window))
-    return docs
+        sent.append(docs.sparkSession.sparkContext.broadcast(rows))
+        docs = add_columns(docs, fields, _searcher(sent[-1], text, [f[0] for f in fields] if len(sent) > 1 else None, window))
+    return docs, sent
 
 
 def _searcher(sent, text, before, window):
