@@ -6,6 +6,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -18,12 +20,15 @@ def test_contract(spark):
     assert df.count() == 25 and "rank" in df.columns
 
 
-def test_without_llm(tmp_path):
-    for name in ("viewspan", "tests", "__spark_entry__.py"):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_without_llm(tmp_path, pipeline):
+    """With both folders gone, with and without the pipeline's file, the rest imports and answers."""
+    for name in ("viewspan", "tests", "__spark_entry__.py", *["corpus_pipeline.py"] * pipeline):
         src = os.path.join(ROOT, name)
-        (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
-    shutil.rmtree(tmp_path / "viewspan/llm")
-    shutil.rmtree(tmp_path / "tests/llm")
+        if os.path.exists(src):
+            (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
+    for folder in ("viewspan/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / folder, ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""}, timeout=120)
 

@@ -98,6 +98,22 @@ def test_sinks(spark, tmp_path):
     assert V.factor_array(V.factor_scores(Q.sorts(spark, d), Q.flags(spark, d), Q.DECK)).count() > 0
 
 
+def test_workbooks_of_priorities_and_posteriors(spark):
+    from viewspan.operators import bayes as B
+    from viewspan.operators import priorities as R
+
+    d = "/root/testdata/sf0.001"
+    s = Q.sorts(spark, d).cache()
+    ranked = R.ranked_table(s, Q.DECK)
+    tables = sinks.priorities_tables(ranked, top=R.top_n(s, Q.groups(spark, d)), figures={"ranking": ranked.select("stmt_num", "mean")})
+    assert list(tables) == ["Ranked", "Top by group", "Figure ranking"]
+    assert len(read_workbook(sinks.workbook(tables))["Ranked"]) == 26
+    draws = B.draws(s, [2], iterations=120, burn=40, thin=4).cache()
+    own = sinks.bayesian_tables(draws, 2, s, Q.DECK)
+    assert len(own) == 11 and len(sinks.bayesian_tables(draws, 2, s, Q.DECK, ladder=B.ladder(draws))) == 12
+    assert own["Loadings & Flags"].count() == 20 and own["Person Check"].count() == 10 and own["Overview"].count() == 1
+
+
 def test_stream(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -125,3 +125,112 @@ def absorb_ranges(raw: DataFrame, typed: DataFrame) -> DataFrame:
     t = typed.select("band", lo("band").alias("t_lo"), hi("band").alias("t_hi")).withColumn("k", F.explode(F.sequence(F.floor(F.col("t_lo") / 10), F.floor(F.col("t_hi") / 10))))
     hit = r.join(t, "k").where("r_lo >= t_lo and r_hi <= t_hi")
     return hit.groupBy("raw").agg(F.min_by("band", F.struct(F.col("t_hi") - F.col("t_lo"), F.col("band"))).alias("band"))
+
+
+# --- attribute tables and their specification ----------------------------------------------------------
+
+
+def realigned(participants: DataFrame, attributes: DataFrame) -> DataFrame:
+    """One row a participant and attribute by the participant's own name: the first of several rows, null where there is none.
+
+    ``attributes(study_id, participant, row, attribute, raw)``.
+    """
+    own = attributes.groupBy("study_id", "participant", "attribute").agg(F.min_by("raw", "row").alias("raw"))
+    names = attributes.select("study_id", "attribute").distinct()
+    return participants.select("study_id", "participant").join(names, "study_id").join(own, ["study_id", "participant", "attribute"], "left").select("study_id", "participant", "attribute", "raw")
+
+
+def participant_attributes(participants: DataFrame, attributes: DataFrame | None, legacy: DataFrame | None = None) -> DataFrame:
+    """A study's attributes; studies without any take those of the older demographics table."""
+    if attributes is None:
+        return realigned(participants, legacy)
+    own = realigned(participants, attributes)
+    if legacy is None:
+        return own
+    return own.unionByName(realigned(participants, legacy).join(attributes.select("study_id").distinct(), "study_id", "left_anti"))
+
+
+def has_attributes(participants: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Per study whether it has any attribute value."""
+    any_value = attributes.groupBy("study_id").agg((F.count("raw") > 0).alias("has"))
+    return participants.select("study_id").distinct().join(any_value, "study_id", "left").select("study_id", F.coalesce("has", F.lit(False)).alias("has_attributes"))
+
+
+def alignment_errors(participants: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Rows that keep attributes from being set: participants without a row, with several, and rows of nobody."""
+    rows = attributes.groupBy("study_id", "participant").agg(F.count_distinct("row").alias("n"))
+    p = participants.select("study_id", "participant").distinct().withColumn("known", F.lit(True))
+    both = p.join(rows, ["study_id", "participant"], "full")
+    error = F.when(F.col("known").isNull(), "not a participant").when(F.col("n").isNull(), "no attribute row").when(F.col("n") > 1, "several attribute rows")
+    return both.select("study_id", "participant", error.alias("error")).where("error is not null")
+
+
+def merged_spec(detected: DataFrame, supplied: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """``(study_id, attribute, type, levels)``: what was detected fills up what is supplied, which overrides only what it names over what was there."""
+    out = detected.select("study_id", "attribute", F.col("type").alias("t0"), F.col("levels").alias("l0"))
+    for k, spec in enumerate((supplied, existing), 1):
+        s = spec.select("study_id", "attribute", F.col("type").alias(f"t{k}"), F.col("levels").alias(f"l{k}")) if spec is not None else None
+        out = out.join(s, ["study_id", "attribute"], "left") if s is not None else out.withColumns({f"t{k}": F.lit(None).cast("string"), f"l{k}": F.lit(None).cast("array<string>")})
+    return out.select("study_id", "attribute", F.coalesce("t1", "t2", "t0").alias("type"), F.coalesce("l1", "l2", "l0").alias("levels"))
+
+
+def bad_types(attributes: DataFrame, spec: DataFrame) -> DataFrame:
+    """Specified attributes that the data contradict: values that aren't numbers, or levels that the specification doesn't list."""
+    v = attributes.where("raw is not null").join(spec, ["study_id", "attribute"])
+    number = (F.col("type") == "numeric") & F.col("raw").try_cast("double").isNull()
+    level = (F.col("type") != "numeric") & ~F.array_contains("levels", F.col("raw"))
+    return v.where(number | level).groupBy("study_id", "attribute").agg(F.count("*").alias("n_bad"), F.min("raw").alias("example"))
+
+
+def checked_binning(kind: str, levels: list[str] | None = None, breaks: list[float] | None = None, labels: list[str] | None = None, mapping: dict[str, str | None] | None = None, order: list[str] | None = None) -> dict:
+    """A binning as settings, or ValueError: breaks that rise and one label fewer for numbers, else a map of every level whose targets are the order's."""
+    if kind == "numeric":
+        if not breaks or len(breaks) < 2 or any(a >= b for a, b in zip(breaks, breaks[1:], strict=False)) or len(labels or []) != len(breaks) - 1:
+            raise ValueError("breaks must rise strictly and labels must be one fewer")
+        return {"kind": kind, "breaks": list(breaks), "labels": list(labels)}
+    if not mapping or set(levels or []) - set(mapping):
+        raise ValueError("the map must cover every level")
+    targets = {v for v in mapping.values() if v is not None}
+    if order is not None and (set(order) != targets or len(order) != len(targets)):
+        raise ValueError("the order must hold the map's targets, each once")
+    return {"kind": kind, "mapping": dict(mapping), "order": list(order or sorted(targets))}
+
+
+def binned(attributes: DataFrame, bins: dict[str, dict]) -> DataFrame:
+    """``level`` of each value under the binnings by attribute; an attribute without one (or with its binning taken back) keeps its values."""
+    level = F.col("raw")
+    for name, b in bins.items():
+        own = bin_numeric(F.col("raw").try_cast("double"), b["breaks"], b["labels"]) if b["kind"] == "numeric" else bin_map(F.col("raw"), b["mapping"])
+        level = F.when(F.col("attribute") == name, own).otherwise(level)
+    return attributes.select("study_id", "participant", "attribute", level.alias("level"))
+
+
+def median_bins(attributes: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """Numeric attributes split at their median, which falls to the lower half."""
+    v = attributes.withColumn("num", F.col("raw").try_cast("double")).where("num is not null")
+    med = F.median("num").over(Window.partitionBy("study_id", "attribute"))
+    return v.select("study_id", "participant", "attribute", F.when(F.col("num") <= med, low).otherwise(high).alias("level"))
+
+
+def renamed(mapping: dict[str, str | None], *more: dict[str, str | None]) -> dict[str, str | None]:
+    """Renames one after the other as one map: a later one sees what the earlier ones made."""
+    out = dict(mapping)
+    for m in more:
+        out = {k: m.get(v, v) if v is not None else None for k, v in out.items()}
+    return out
+
+
+def full_report(participants: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``match_report`` with the ids that several rows share, the columns set aside, whether all is aligned, and messages."""
+    chosen = id_column(participants, attributes)
+    keys = attributes.join(chosen.select("study_id", "attribute", "normalized"), ["study_id", "attribute"]).withColumn("k", F.when(F.col("normalized"), stripped_key(F.col("raw"))).otherwise(id_key(F.col("raw")))).where("k <> ''")
+    twice = keys.groupBy("study_id", "k").agg(F.count("*").alias("n")).where("n > 1").groupBy("study_id").agg(F.count("*").alias("duplicates"))
+    aside = set_aside(attributes).where("set_aside").groupBy("study_id").agg(F.array_join(F.array_sort(F.collect_list("attribute")), ",").alias("set_aside"))
+    out = match_report(participants, attributes).join(twice, "study_id", "left").join(aside, "study_id", "left").fillna(0, ["duplicates"]).fillna("", ["set_aside"])
+    said = [
+        F.when(F.col("unmatched") > 0, F.concat(F.col("unmatched").cast("string"), F.lit(" participants have no attribute row"))),
+        F.when(F.col("unused_rows") > 0, F.concat(F.col("unused_rows").cast("string"), F.lit(" attribute rows match no participant"))),
+        F.when(F.col("duplicates") > 0, F.concat(F.col("duplicates").cast("string"), F.lit(" ids come more than once; the first row counts"))),
+        F.when(F.col("normalized"), F.lit("ids matched without their prefixes and leading zeros")),
+    ]
+    return out.withColumn("aligned", (F.col("unmatched") == 0) & (F.col("unused_rows") == 0) & (F.col("duplicates") == 0)).withColumn("messages", F.concat_ws("; ", *said))

@@ -187,3 +187,112 @@ def unspanned_clusters(corr: DataFrame, unspanned: DataFrame) -> DataFrame:
     best = near.groupBy("study_id", "p_i").agg(F.max_by("p_j", F.struct("r", -F.col("p_j"))).alias("p_j"))
     back = best.select("study_id", F.col("p_j").alias("p_i"), F.col("p_i").alias("p_j"))
     return best.join(back, ["study_id", "p_i", "p_j"]).where("p_i < p_j")
+
+
+# --- what a ladder of K says ------------------------------------------------------------------------------
+
+# The headline of each verdict, and the band of the extra-factor percentile.
+HEADLINES = {
+    "selected": "The search suggests K = %d",
+    "single_viewpoint": "One shared viewpoint",
+    "tension": "Two defensible solutions",
+    "adequate_but_unsupported": "Fit without full support",
+    "no_adequate_rung": "No adequate K in this range",
+    "no_shared_structure": "No shared structure",
+}
+ADEQUATE = (0.05, 0.95)
+#: Error rates that a reading may be set to, iterations that sampling may grow to, steps and limit of K.
+LENSES, MOST_ITERATIONS, MORE_K, MOST_K = (0.01, 0.05, 0.10), 48_000, 2, 8
+
+
+def verdicts(evidence: DataFrame) -> DataFrame:
+    """The verdict over a ladder ``(study_id, k, adequate, supported, fit)``.
+
+    ``adequate``: no sign of a missing factor; ``supported``: every factor has
+    two defining sorts and a distinguishing statement; ``fit``: the larger, the
+    better. Both at once at some K of two or more: selected, the smallest. Else,
+    where fit and support are best at different K: tension. Some K adequate:
+    adequate but unsupported. One factor supported alone: a single viewpoint.
+    Support somewhere but no adequate K: no adequate rung. Else no shared structure.
+    """
+    many = F.col("k") >= 2
+    s = evidence.groupBy("study_id").agg(
+        F.min(F.when(many & F.col("adequate") & F.col("supported"), F.col("k"))).alias("k_star"),
+        F.min(F.when(many & F.col("adequate"), F.col("k"))).alias("k_fit"),
+        F.max(F.when(many & F.col("supported"), F.col("k"))).alias("k_support"),
+        F.bool_or((F.col("k") == 1) & F.col("supported")).alias("one"),
+        F.bool_or("adequate").alias("some"),
+    )
+    tension = F.col("k_fit").isNotNull() & F.col("k_support").isNotNull()
+    v = F.when(F.col("k_star").isNotNull(), "selected").when(tension, "tension").when(F.col("k_fit").isNotNull(), "adequate_but_unsupported").when(F.coalesce("one", F.lit(False)), "single_viewpoint").when(F.col("k_support").isNotNull(), "no_adequate_rung").otherwise("no_shared_structure")
+    out = s.withColumn("verdict", v).withColumn("k_reported", F.coalesce("k_star", "k_fit", "k_support", F.lit(1)))
+    headline = F.when(F.col("verdict") == "selected", F.format_string(HEADLINES["selected"], "k_reported"))
+    for name, text in HEADLINES.items():
+        if name != "selected":
+            headline = headline.when(F.col("verdict") == name, text)
+    return out.select("study_id", "verdict", "k_star", "k_fit", "k_support", "k_reported", headline.alias("headline"))
+
+
+def ladder_evidence(rungs: DataFrame, reported: DataFrame, q: float = 0.05) -> DataFrame:
+    """A status for each K of ``rungs(study_id, k, percentile, supported)``; ``reported(study_id, k_reported, k_star)``."""
+    in_band = F.coalesce(F.col("percentile").between(*ADEQUATE), F.lit(False))
+    own, star = F.col("k") == F.col("k_reported"), F.coalesce(F.col("k") == F.col("k_star"), F.lit(False))
+    status = F.when(own & star, "Reported · model's pick").when(own, "Reported").when(star, "model's pick").when((F.col("k") > 1) & ~F.col("supported"), f"support incomplete at q = {q:g}").when(~in_band, "outside the adequate band").otherwise("")
+    return rungs.join(reported, "study_id").select("study_id", "k", "percentile", in_band.alias("in_band"), "supported", status.alias("status"))
+
+
+def full_composition(flags: DataFrame, reliability: DataFrame | None = None) -> DataFrame:
+    """Flags of each factor by sign with the sorts that no factor has; small: under five flags or a reliability under one half.
+
+    ``flags(study_id, participant, factor, loading, flagged)``; ``reliability(study_id, factor, composite_reliability)``.
+    """
+    person = flags.groupBy("study_id", "participant").agg(F.bool_or("flagged").alias("any"))
+    rest = person.groupBy("study_id").agg(F.count_if(~F.col("any")).alias("n_unclassified"), F.count("*").alias("n_sorts"))
+    out = flags.groupBy("study_id", "factor").agg(F.count_if("flagged").alias("n_flagged"), F.count_if(F.col("flagged") & (F.col("loading") > 0)).alias("n_positive"), F.count_if(F.col("flagged") & (F.col("loading") < 0)).alias("n_negative")).join(rest, "study_id")
+    weak = F.lit(False)
+    if reliability is not None:
+        out = out.join(reliability.select("study_id", "factor", "composite_reliability"), ["study_id", "factor"], "left")
+        weak = F.coalesce(F.col("composite_reliability") < 0.5, F.lit(False))
+    return out.select("study_id", "factor", "n_flagged", "n_positive", "n_negative", "n_unclassified", "n_sorts", ((F.col("n_flagged") < 5) | weak).alias("small"))
+
+
+def statement_roles(scores: DataFrame, distinguishing: DataFrame, consensus: DataFrame, show: str = "all") -> DataFrame:
+    """Statements of each factor with their role: the factors they distinguish, or consensus; ``show``: all, dist or cons."""
+    names = distinguishing.groupBy("study_id", "stmt_num").agg(F.concat(F.lit("distinguishing "), F.array_join(F.transform(F.array_sort(F.collect_set("factor")), lambda f: F.concat(F.lit("F"), f.cast("string"))), ", ")).alias("d"))
+    out = scores.join(names, ["study_id", "stmt_num"], "left").join(consensus.select("study_id", "stmt_num", F.lit("consensus").alias("c")).distinct(), ["study_id", "stmt_num"], "left").withColumn("role", F.coalesce("d", "c", F.lit(""))).drop("d", "c")
+    return out.where({"all": "true", "dist": "role like 'distinguishing%'", "cons": "role = 'consensus'"}[show])
+
+
+def continued(iterations: int, ks: list[int], more: str) -> tuple[int, list[int]]:
+    """Settings of a longer run: ``sampling`` doubles the iterations, ``k`` tries two more factors, both up to their limits."""
+    if more == "sampling":
+        return min(2 * iterations, MOST_ITERATIONS), ks
+    return iterations, sorted({*ks, *range(max(ks) + 1, min(max(ks) + MORE_K, MOST_K) + 1)})
+
+
+def effective_sizes(draws: DataFrame, lags: int = 50) -> DataFrame:
+    """Effective sample size of each parameter: draws over the autocorrelation time, summed until the first negative pair of lags.
+
+    A chain's draws are ordered in an array of one parameter, bounded by the sampler's length.
+    """
+    per = draws.groupBy(*KEYS, "kind", "item", "factor", "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "value"))), lambda x: x["value"]).alias("v"))
+    n = F.size("v")
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n
+    centred = per.withColumn("n", n).withColumn("c", F.transform("v", lambda x: x - mean))
+    cov = lambda lag: F.aggregate(F.zip_with(F.slice("c", F.lit(1), F.greatest(F.lit(0), F.col("n") - lag)), F.slice("c", lag + 1, F.greatest(F.lit(0), F.col("n") - lag)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    centred = centred.withColumn("rho", F.transform(F.sequence(F.lit(0), F.least(F.lit(lags), F.col("n") - 1)), lambda lag: cov(lag)))
+    rho = F.when(F.element_at("rho", 1) > 0, F.transform("rho", lambda r: r / F.element_at("rho", 1)))
+    start = F.struct(F.lit(1.0).alias("tau"), F.lit(True).alias("go"))
+    step = lambda a, r: F.struct(F.when(a["go"] & (r > 0), a["tau"] + 2 * r).otherwise(a["tau"]).alias("tau"), (a["go"] & (r > 0)).alias("go"))
+    tau = F.aggregate(F.slice(rho, 2, lags), start, step, lambda a: a["tau"])
+    return centred.withColumn("ess", F.coalesce(F.col("n") / tau, F.col("n").cast("double"))).groupBy(*KEYS, "kind", "item", "factor").agg(F.sum("ess").alias("ess"))
+
+
+def person_check(sorts: DataFrame, flags: DataFrame, scores: DataFrame, least: float = 0.3) -> DataFrame:
+    """Each participant's best correlation with a factor's z-scores; ``stands_apart`` below ``least`` in size."""
+    from .priorities import _corr
+
+    r = sorts.join(scores.select("study_id", "stmt_num", "factor", "zscore"), ["study_id", "stmt_num"]).groupBy("study_id", "participant", "factor").agg(_corr("value", "zscore").alias("r"))
+    best = r.groupBy("study_id", "participant").agg(F.max_by(F.struct("factor", "r"), F.struct(F.abs("r"), -F.col("factor"))).alias("b"))
+    n = flags.groupBy("study_id", "participant").agg(F.count_if("flagged").alias("n_flags"))
+    return best.join(n, ["study_id", "participant"], "left").select("study_id", "participant", F.col("b.factor").alias("nearest"), F.col("b.r").alias("r"), "n_flags", (F.coalesce(F.abs("b.r"), F.lit(0.0)) < least).alias("stands_apart"))

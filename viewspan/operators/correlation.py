@@ -204,3 +204,29 @@ def validate(sorts: DataFrame, corr: DataFrame, deck: list[int]) -> DataFrame:
     out = out.fillna(0, ["n_nonconforming", "n_duplicates", "n_careless", "n_undefined_r"])
     ok = (F.col("n_participants") >= 2) & (F.col("n_statements") >= 5) & (F.col("completeness") >= 0.9) & (F.col("n_nonconforming") == 0) & (F.col("n_undefined_r") == 0)
     return out.withColumn("valid", ok)
+
+
+def validation_messages(checks: DataFrame, sorts: DataFrame, deck: list[int], most_missing: float = 0.1) -> DataFrame:
+    """``validate`` as rows ``(study_id, kind, message)``: issues that stop an analysis, and warnings.
+
+    Issues: under two participants or five statements, over ``most_missing`` of
+    the cells missing, sorts off the deck, undefined correlations. Warnings:
+    fewer missing cells, values beyond the deck's, duplicates, careless sorts.
+    """
+    top = (len(deck) - 1) // 2
+    out_of = sorts.groupBy("study_id").agg(F.count_if(F.abs("value") > top).alias("n_range"))
+    c = checks.join(out_of, "study_id", "left")
+    said = lambda kind, when, form, *cols: F.when(when, F.struct(F.lit(kind).alias("kind"), F.format_string(form, *cols).alias("message")))
+    missing = 1 - F.col("completeness")
+    rows = [
+        said("issue", F.col("n_participants") < 2, "%d participants, at least 2 are needed", "n_participants"),
+        said("issue", F.col("n_statements") < 5, "%d statements, at least 5 are needed", "n_statements"),
+        said("issue", missing > most_missing, "%.1f %% of the values are missing", missing * 100),
+        said("issue", F.col("n_nonconforming") > 0, "%d sorts do not keep to the deck", "n_nonconforming"),
+        said("issue", F.col("n_undefined_r") > 0, "%d correlations are undefined", "n_undefined_r"),
+        said("warning", (missing > 0) & (missing <= most_missing), "%.1f %% of the values are missing", missing * 100),
+        said("warning", F.col("n_range") > 0, "%d values lie beyond the deck", "n_range"),
+        said("warning", F.col("n_duplicates") > 0, "%d pairs of sorts are nearly equal", "n_duplicates"),
+        said("warning", F.col("n_careless") > 0, "%d sorts look careless", "n_careless"),
+    ]
+    return c.select("study_id", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("m")).select("study_id", "m.kind", "m.message")

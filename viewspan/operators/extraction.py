@@ -249,3 +249,22 @@ def original_solution(sorts: DataFrame, k: int, method: str = "pca", rotation: s
         return pd.concat([a, b]).assign(study_id=pdf["study_id"].iloc[0])[["study_id", "kind", "item", "factor", "value"]]
 
     return sorts.groupBy("study_id").applyInPandas(run, "study_id string, kind string, item int, factor int, value double")
+
+
+def suggested_k(evidence: DataFrame) -> DataFrame:
+    """Per study the number of factors that each rule of ``retention_evidence`` leaves: all before the first that fails it."""
+    first = lambda rule: F.coalesce(F.min(F.when(~F.col(rule), F.col("k"))) - 1, F.max("k")).cast("int")
+    return evidence.groupBy("study_id").agg(first("parallel").alias("k_parallel"), first("kaiser").alias("k_kaiser"), first("two_loadings").alias("k_two"))
+
+
+def flag_agreement(samples: DataFrame, flags: DataFrame) -> DataFrame:
+    """Share of sorts and factors of each replicate that are flagged as in the original: mean, sd, least, greatest."""
+    own = samples.where("kind = 'loading'").select("study_id", "b", F.col("item").alias("p_idx"), "factor", F.col("flagged").alias("again"))
+    per = own.join(flags.select("study_id", "p_idx", "factor", "flagged"), ["study_id", "p_idx", "factor"]).groupBy("study_id", "b").agg(F.avg((F.col("again") == F.col("flagged")).cast("double")).alias("a"))
+    return per.groupBy("study_id").agg(F.avg("a").alias("mean"), F.stddev_samp("a").alias("sd"), F.min("a").alias("min"), F.max("a").alias("max"), F.count("*").alias("replicates"))
+
+
+def bootstrap_success(samples: DataFrame, asked: int, least: float = 0.5, good: float = 0.9) -> DataFrame:
+    """Per study how many replicates came out and what that means: under half no result should be read, under nine tenths with care."""
+    share = F.col("done") / asked
+    return samples.groupBy("study_id").agg(F.count_distinct("b").alias("done")).select("study_id", "done", share.alias("share"), F.when(share < least, "failed").when(share < good, "warning").otherwise("ok").alias("status"))

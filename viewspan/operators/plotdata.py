@@ -60,3 +60,81 @@ def scree_frame(eigen: DataFrame, people: int) -> DataFrame:
     """Eigenvalues with their share of variance and its running sum."""
     upto = Window.partitionBy("study_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return eigen.withColumn("variance", F.col("eigenvalue") / people).withColumn("cumulative", F.sum(F.col("eigenvalue") / people).over(upto))
+
+
+def loadings_with_ci(flags: DataFrame, ci: DataFrame | None = None) -> DataFrame:
+    """Loadings in order of their factor with the bootstrap's interval, ``ci(study_id, p_idx, factor, low, high)``, where there is one."""
+    out = loadings_frame(flags)
+    if ci is None:
+        return out.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    return out.join(ci.select("study_id", "p_idx", "factor", "low", "high"), ["study_id", "p_idx", "factor"], "left")
+
+
+def listed_scores(scores: DataFrame, listed: DataFrame) -> DataFrame:
+    """z-scores on all factors of the statements of ``listed(study_id, stmt_num)``, those with the widest spread first."""
+    own = comparison_frame(scores).join(listed.select(*STATEMENT).distinct(), STATEMENT, "left_semi")
+    place = F.dense_rank().over(Window.partitionBy("study_id").orderBy(F.desc("spread"), "stmt_num"))
+    return own.select(*STATEMENT, "factor", "zscore", "spread", place.alias("place"))
+
+
+def disagreement_frame(scores: DataFrame) -> DataFrame:
+    """Statements by the range of their z over factors, widest first, with the factors at both ends."""
+    s = scores.groupBy(*STATEMENT).agg((F.max("zscore") - F.min("zscore")).alias("spread"), F.max_by("factor", F.struct("zscore", -F.col("factor"))).alias("highest"), F.min_by("factor", F.struct("zscore", "factor")).alias("lowest"))
+    return s.withColumn("place", F.row_number().over(Window.partitionBy("study_id").orderBy(F.desc("spread"), "stmt_num")))
+
+
+def linkage_order(corr: DataFrame) -> DataFrame:
+    """``(study_id, p_idx, place)``: participants in the order of a complete-linkage tree on 1 - r.
+
+    A study's tree needs all its distances at once, so a figure's participants
+    are one group; a picture of more than some thousands couldn't be read.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        people, inverse = np.unique(np.concatenate([pdf["p_i"], pdf["p_j"]]), return_inverse=True)
+        n, half = len(people), len(pdf)
+        d = np.full((n, n), np.inf)
+        d[inverse[:half], inverse[half:]] = d[inverse[half:], inverse[:half]] = 1 - pdf["r"].fillna(0.0).to_numpy()
+        members = {i: [i] for i in range(n)}
+        np.fill_diagonal(d, np.inf)
+        while len(members) > 1:
+            i, j = sorted(divmod(int(np.argmin(d)), n))
+            # the tighter branch first; single people before branches come first as well
+            members[i] = members.pop(i) + members.pop(j)
+            d[i] = d[:, i] = np.maximum(d[i], d[j])
+            d[i, i] = np.inf
+            d[j] = d[:, j] = np.inf
+        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "p_idx": people[next(iter(members.values()))], "place": np.arange(1, n + 1)})
+
+    return corr.groupBy("study_id").applyInPandas(order, "study_id string, p_idx int, place int")
+
+
+def correlation_frame(corr: DataFrame) -> DataFrame:
+    """All ordered pairs of participants with r and both places in the linkage order, the diagonal included."""
+    at = linkage_order(corr)
+    both = corr.select("study_id", "p_i", "p_j", "r").union(corr.select("study_id", "p_j", "p_i", "r")).union(at.select("study_id", "p_idx", "p_idx", F.lit(1.0)))
+    x = at.select("study_id", F.col("p_idx").alias("p_i"), F.col("place").alias("row"))
+    y = at.select("study_id", F.col("p_idx").alias("p_j"), F.col("place").alias("column"))
+    return both.join(x, ["study_id", "p_i"]).join(y, ["study_id", "p_j"])
+
+
+#: Kinds of figures and the function that makes each one's frame from the parts of an analysis.
+FRAMES = {
+    "loadings": lambda a: loadings_with_ci(a["flags"], a.get("loading_ci")),
+    "scores": lambda a: scores_frame(a["scores"], a.get("n", 3)),
+    "correlation": lambda a: correlation_frame(a["correlation"]),
+    "arrays": lambda a: a["arrays"],
+    "distinguishing": lambda a: listed_scores(a["scores"], a["distinguishing"]),
+    "consensus": lambda a: listed_scores(a["scores"], a["statement_class"].where("category = 'Consensus'")),
+    "scree": lambda a: scree_frame(a["eigenvalues"], a["people"]),
+    "comparison": lambda a: comparison_frame(a["scores"]),
+}
+
+
+def frame(kind: str, parts: dict) -> DataFrame:
+    """The frame of one kind of figure."""
+    if kind not in FRAMES:
+        raise ValueError(f"{kind}: one of {', '.join(FRAMES)}")
+    return FRAMES[kind](parts)

@@ -161,3 +161,21 @@ def supplier_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bal < 2000, "1 low").when(bal < 6000, "2 middle").otherwise("3 high").alias("band"),
         F.when(F.col("n_regionkey") <= 1, "first").otherwise("rest").alias("pair"),
     )
+
+
+def preview(sorts: DataFrame, participants: list[str], names: DataFrame | None = None) -> DataFrame:
+    """Statements down, the named participants across: number, text and a column ``v1``.. for each of ``participants``."""
+    own = sorts.where(F.col("participant").isin(participants))
+    wide = own.groupBy("study_id", "stmt_num").pivot("participant", participants).agg(F.first("value")).withColumnsRenamed({p: f"v{k}" for k, p in enumerate(participants, 1)})
+    fallback = F.concat(F.lit("Statement "), F.col("stmt_num").cast("string"))
+    if names is None:
+        return wide.withColumn("statement", fallback)
+    return wide.join(names.select("study_id", "stmt_num", F.col("text").alias("statement")), ["study_id", "stmt_num"], "left").withColumn("statement", F.coalesce("statement", fallback))
+
+
+def modal_deck(sorts: DataFrame) -> DataFrame:
+    """``(study_id, shape, votes)``: the commonest whole shape of a sort, as its counts by value; the first by name of equals."""
+    cells = sorts.where("value is not null").groupBy("study_id", "participant", "value").agg(F.count("*").alias("n"))
+    shapes = cells.groupBy("study_id", "participant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "n"))), lambda x: F.concat_ws(":", x["value"].cast("int").cast("string"), x["n"].cast("string"))), ",").alias("shape"))
+    votes = shapes.groupBy("study_id", "shape").agg(F.count("*").alias("votes"))
+    return votes.groupBy("study_id").agg(F.min_by(F.struct("shape", "votes"), F.struct(-F.col("votes"), "shape")).alias("b")).select("study_id", "b.shape", "b.votes")

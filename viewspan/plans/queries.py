@@ -348,3 +348,5 @@ query("reanalyze_rotated", "factor:i stmt_num:i zscore:d rank:i score:i", """sel
   (select *, abs(loading) > """ + Z05 + f""" / sqrt({STATEMENTS}) and loading * loading > sum(loading * loading) over (partition by participant) - loading * loading as flagged from {_ROT}) where flagged) using (participant) group by 1, 2)))""", ("loadings",))(lambda s, d: N.reanalyze_rotated(sorts(s, d), viewpoints(s, d).select("study_id", "participant", "factor", "loading"), DECK, 1, 2, 30)["scores"])
 query("split_and_recalculate", "factor:i n_flagged:i composite_reliability:d se_factor:d")(lambda s, d: N.split_and_recalculate(sorts(s, d), viewpoints(s, d).select("study_id", "participant", "factor", "loading"), DECK, 1)["characteristics"])
 query("priorities_numeric_gate", "attribute:s f:d r2:d p:d passed:b")(lambda s, d: N.priorities(sorts(s, d), DECK, None, numbers(s, d))["gates"])
+
+from . import more  # noqa: E402, F401

@@ -22,6 +22,21 @@ def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
+def row_numbers(df: DataFrame, name: str = "_order") -> DataFrame:
+    """``df`` with rows numbered from 0 in file order, however many partitions the file has.
+
+    Partitions are counted first; the count of those before is added to each
+    row's place in its own, so no row moves.
+    """
+    part, at = f"{name}_part", f"{name}_at"
+    placed = df.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftrightunsigned(at, 33))
+    before, total = {}, 0
+    for r in placed.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect():  # one row a partition
+        before[r[0]], total = total, total + r["n"]
+    starts = F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv])
+    return placed.withColumn(name, F.col(at).bitwiseAND((1 << 33) - 1) + starts[F.col(part)]).drop(part, at)
+
+
 def cleaned(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*NA), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
@@ -52,7 +67,7 @@ def numeric_columns(df: DataFrame, names: list[str]) -> list[str]:
 
 def read_sorts(spark: SparkSession, path: str, study_id: str | None = None, id_col: str | None = None, sep: str = ",") -> DataFrame:
     """Long sorts of a delimited file of any layout; ids are kept, missing ones are P1, P2, ..."""
-    df = cleaned(read_table(spark, path, sep)).withColumn("_order", F.monotonically_increasing_id())
+    df = row_numbers(cleaned(read_table(spark, path, sep)))
     columns = [c for c in df.columns if c != "_order"]
     kind = layout(columns)
     study = study_id or re.sub(r"\.[^.]*$", "", path.rstrip("/").split("/")[-1])
@@ -104,7 +119,7 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
 def read_attributes(spark: SparkSession, path: str, study_id: str = "study") -> DataFrame:
     """``(study_id, row, attribute, raw)`` of an attribute file, all as text, blanks and NA null."""
-    df = cleaned(read_table(spark, path)).withColumn("row", (F.monotonically_increasing_id() + 1).cast("int"))
+    df = row_numbers(cleaned(read_table(spark, path)), "row").withColumn("row", F.col("row") + 1)
     return df.select(F.lit(study_id).alias("study_id"), "*").unpivot(["study_id", "row"], [c for c in df.columns if c != "row"], "attribute", "raw")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.study import grid_values
-from .kenq import deck_from_multipliers
+from .kenq import deck_from_multipliers, project_workbook
 from .xlsx import read_workbook
 
 SCHEMA = "study_id string, participant string, p_idx int, stmt_num int, value double, statement string, source string"
@@ -139,6 +139,9 @@ def parse_workbook(data: bytes) -> Parsed:
     """Transposed (statements down, people across), a sorts sheet of a project workbook, or people down."""
     sheets = {k.lower(): v for k, v in read_workbook(data).items()}
     texts = next((_statements_sheet(v) for k, v in sheets.items() if k.startswith("statement")), [])
+    if "type" in sheets or "pattern" in sheets or any(k.startswith("example - ") for k in sheets):
+        people, values, own, _, name = project_workbook(sheets)
+        return people, values, own, f"kenq_{name}"
     rows = next((v for k, v in sheets.items() if k in ("sorts", "qsorts", "q-sorts", "q sorts")), None) or next(v for k, v in sheets.items() if not k.startswith("statement"))
     rows = [r for r in rows if any(c not in (None, "") for c in r)]
     header, body = [str(c or "") for c in rows[0]], rows[1:]

@@ -71,3 +71,39 @@ def save_session(tables: dict[str, DataFrame], path: str, **settings) -> None:
 def load_session(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     return {n: spark.read.parquet(f"{path}/{n.replace(' ', '_').lower()}") for n in manifest["tables"]}, manifest["settings"]
+
+
+def priorities_tables(ranked: DataFrame, tests: DataFrame | None = None, top: DataFrame | None = None, attributes: DataFrame | None = None, figures: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables of a priorities workbook by sheet; group comparisons only where there are tests, and one sheet for each figure's data."""
+    out = {"Ranked": ranked}
+    for name, df in (("Group comparisons", tests), ("Top by group", top), ("Attributes", attributes)):
+        if df is not None:
+            out[name] = df
+    return out | {f"Figure {k}": v for k, v in (figures or {}).items()}
+
+
+def bayesian_tables(draws: DataFrame, k: int, sorts: DataFrame, deck: list[int], q: float = 0.05, ladder: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a posterior at ``k`` factors by sheet: twelve where a ladder was fitted, else eleven."""
+    from ..operators import bayes as B
+
+    own = draws.where(F.col("k") == k)
+    flags = B.to_flags(draws, k, sorts, q)
+    scores = V.factor_scores(sorts, flags, deck)
+    chars = V.characteristics(flags)
+    pairs = V.pairwise(scores, V.sed_matrix(chars))
+    claims = B.flag_claims(own, q).withColumn("claim", F.lit("flag")).unionByName(B.distinguishing_claims(own, q).withColumn("claim", F.lit("distinguishing"))).unionByName(B.consensus_claims(own, q).withColumn("claim", F.lit("consensus")))
+    overview = sorts.groupBy("study_id").agg(F.count_distinct("participant").alias("participants"), F.count_distinct("stmt_num").alias("statements")).withColumns({"factors": F.lit(k), "q": F.lit(q)})
+    out = {
+        "Overview": overview,
+        "Loadings & Flags": flags.join(B.summary(own, "loading").select("study_id", F.col("item").alias("p_idx"), "factor", "sd", "low", "high"), ["study_id", "p_idx", "factor"], "left"),
+        "Statement Scores": B.summary(own, "zscore"),
+        "Factor Arrays": V.factor_array(scores),
+        "Distinguishing": B.distinguishing_claims(own, q).where("claimed"),
+        "Consensus": B.consensus_claims(own, q).where("claimed"),
+        "Contrasts": pairs,
+        "Claims": claims,
+        "Characteristics": chars,
+        "Diagnostics": B.convergence(own),
+        "Person Check": B.person_check(sorts, flags, scores),
+    }
+    return out | ({"Choice of K": ladder} if ladder is not None else {})
