@@ -6,6 +6,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.oracle import connect, differences
 from viewspan.llm import decontam
 from viewspan.llm.decontam import benchmark_hits, contamination, matchers, op3_decontamination
 
@@ -46,6 +47,10 @@ def test_whole_table(spark):
     assert any(r[-1] for r in out)
 
 
+def test_against_sql(spark):
+    assert differences(op3_decontamination(spark, SF), connect(SF), decontam.OP3_SQL) is None
+
+
 EDGE_DOCS = [(1, None), (2, ""), (3, "one Two"), (3, "one Two"), (4, "x " * 50_000 + "one two three four five six seven eight nine ten eleven"), (None, "a-b É!é"), (6, "two three " * 20)]
 EDGE_ITEMS = [(1, "One, two"), (2, "one two three four five six seven eight nine ten ELEVEN"), (2, "one two three four five six seven eight nine ten ELEVEN"), (3, None), (4, "?!"), (None, "é"), (5, "two three two"), (10, "seven")]
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from tests.oracle import connect, differences
 from viewspan.llm import lm
 
 SF = "/root/testdata/sf0.001"
@@ -50,7 +51,12 @@ def same(df, want):
 
 
 def test_whole_table(spark):
-    same(lm.op7_lm_scores(spark, SF), brute([tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    same(lm.lm_scores(docs), brute([tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]))
+
+
+def test_against_sql(spark):
+    assert differences(lm.op7_lm_scores(spark, SF), connect(SF), lm.OP7_SQL) is None
 
 
 ROWS = [(1, None), (2, ""), (3, "one"), (4, "a b a b a c"), (4, "a b a b a c"), (None, "b a b É é"), (6, "x " * 30_000 + "y x"), (7, "a b c d e f")]

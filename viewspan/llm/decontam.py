@@ -191,4 +191,21 @@ def items_sha256(items: list[str]) -> str:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contamination`` of every document by the whole benchmark."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_SQL_WORDS = "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+#: The same digest in DuckDB: windows of items joined to all windows of documents of their length.
+OP3_SQL = f"""
+with docs as (select row_number() over () as rid, doc_id, {_SQL_WORDS} as ws from documents),
+items as (select distinct item_id::varchar as item, {_SQL_WORDS} as ws from benchmark),
+sized as (select *, least({WINDOW}, len(ws)) as m from items where len(ws) > 0),
+wanted as (select distinct item, m, array_to_string(ws[i:i + m - 1], ' ') as gram from (select *, unnest(range(1, len(ws) - m + 2)) as i from sized)),
+grams as (select rid, m, i, array_to_string(ws[i:i + m - 1], ' ') as gram from (select rid, ws, m, unnest(range(1, len(ws) - m + 2)) as i from docs, (select distinct m from sized))),
+hits as (select rid, item, g.m, i from grams g join wanted w on w.m = g.m and w.gram = g.gram),
+words_hit as (select rid, count(distinct place) as n from (select rid, unnest(range(i, i + m)) as place from hits) group by 1),
+items_hit as (select rid, count(*) as n, string_agg(item, ',' order by item) as list from (select distinct rid, item from hits where item is not null) group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(t.n, 0)::bigint as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from docs left join words_hit h using (rid) left join items_hit t using (rid)
+"""

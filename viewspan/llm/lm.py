@@ -107,12 +107,12 @@ def _block(ids: list, hashes: list[np.ndarray], order: int, buckets: int):
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    """A bucket (of at most 65,536) from the high two bytes alone, which ``_six`` leaves out."""
+    return ((keys >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
 
 
 def _six(keys: np.ndarray) -> bytes:
-    """The low six bytes of each key: in a bucket they tell keys apart, since the other bits have chosen the bucket."""
+    """The low six bytes of each key. The bucket was chosen by the other two, so keys of a bucket are told apart by 48 bits and as many more as the bucket's number has."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
@@ -251,12 +251,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order
 
     All n-grams of all rows are counted, repeated rows as often as they come. A
     text without words, null included, scores 0 and null a word. An empty table
-    gives no rows. N-grams are known by a bucket and a 48-bit hash in it.
+    gives no rows. N-grams are known by 48 bits of a hash and a bucket chosen by
+    the other 16. Columns other than id and text are not read.
     """
     spark = docs.sparkSession
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
     schema = f"block long, n int, b int, keys binary, counts binary, at binary, parts array<binary>, ids array<{id_type}>, lens binary"
-    buckets = max(8, shuffle_partitions(spark))
+    buckets = min(1 << 16, max(8, shuffle_partitions(spark)))
     asked = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text).alias("t")).mapInArrow(_asked(order, buckets, id_type), schema)
     answers = asked.repartition(buckets, "n", "b").sortWithinPartitions("n", "b").mapInArrow(_answers(id_type), schema)
     scored = cut(answers.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_scored(order, backoff, min_count, id_type), f"id {id_type}, n_words long, part double, unigrams long"))
@@ -266,4 +267,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(read(spark, sf_dir, "documents"))
+    """``lm_scores`` of every document; sums to four places, since they are added in another order each time."""
+    scores = lm_scores(read(spark, sf_dir, "documents"))
+    return scores.withColumns({"log_score": F.round("log_score", 4) + F.lit(0.0), "per_word": F.round("per_word", 6) + F.lit(0.0)})
+
+
+#: The same scores in DuckDB, from tables of word and word-pair counts joined to each document's pairs.
+OP7_SQL = f"""
+with docs as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+tokens as (select rid, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from docs),
+pairs as (select a.rid, a.w as v, b.w as w from tokens a join tokens b on a.rid = b.rid and b.i = a.i + 1),
+c1 as (select w, count(*)::double as c from tokens group by 1),
+c2 as (select v, w, count(*)::double as c from pairs group by 1, 2),
+total as (select count(*)::double as n from tokens),
+firsts as (select rid, ln(c1.c / n) as s from tokens join c1 using (w), total where i = 1),
+others as (select rid, case when c2.c >= {MIN_COUNT} then ln(c2.c / cv.c) else ln({BACKOFF}) + ln(cw.c / n) end as s
+  from pairs p join c2 on c2.v = p.v and c2.w = p.w join c1 cv on cv.w = p.v join c1 cw on cw.w = p.w, total),
+summed as (select rid, sum(s) as s from (select * from firsts union all select * from others) group by 1)
+select doc_id, coalesce(len(ws), 0)::bigint as n_words, round(coalesce(s, 0.0), 4) + 0.0 as log_score, case when len(ws) > 0 then round(s / len(ws), 6) + 0.0 end as per_word from docs left join summed using (rid)
+"""

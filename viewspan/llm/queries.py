@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .decontam import op3_decontamination
+from .decontam import OP3_SQL, op3_decontamination
 from .licenses import OP5_SQL, op5_license_scan
-from .lm import op7_lm_scores
+from .lm import OP7_SQL, op7_lm_scores
 from .media import op4_image_copies
 from .mixing import OP9_SQL, op9_source_mixing
 from .secrets import op1_secret_scan
@@ -18,4 +18,4 @@ QUERIES = {
     for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_image_copies, op5_license_scan, op6_simhash, op7_lm_scores, op8_toxicity, op9_source_mixing, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op9_source_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_license_scan": OP5_SQL, "op7_lm_scores": OP7_SQL, "op9_source_mixing": OP9_SQL}
