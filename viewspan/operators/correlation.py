@@ -45,22 +45,25 @@ def spearman(sorts: DataFrame) -> DataFrame:
     return ranked.groupBy(*keys).agg(_r(F.col("rx"), F.col("ry")).alias("r"), F.count("*").alias("n_pair"))
 
 
-def kendall(sorts: DataFrame) -> DataFrame:
-    """Kendall's tau-b of each pair of participants.
+def kendall(sorts: DataFrame, block: int = 256) -> DataFrame:
+    """Kendall's tau-b of each pair of participants, block against block.
 
-    The signs of all statement pairs of a participant are packed into one
-    array, so that a pair of participants is one join row and not a row for
-    each pair of statements; missing values give null signs.
+    The signs of all statement pairs of a participant are a row of a matrix, 0
+    where a value is missing or both are equal; concordance and the pairs that
+    are untied and present on both sides are three products of blocks.
     """
-    packed = sorts.groupBy("study_id", "p_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("stmt_num", "value"))), lambda s: s["value"]).alias("v"))
-    n = F.size("v")
-    signs = packed.select("study_id", "p_idx", "v", F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.slice("v", i + 2, n), lambda b: F.signum(F.get("v", i) - b)))).alias("s")).where(n > 1)
-    a = signs.select("study_id", F.col("p_idx").alias("p_i"), F.col("s").alias("a"), F.col("v").alias("va"))
-    b = signs.select("study_id", F.col("p_idx").alias("p_j"), F.col("s").alias("b"), F.col("v").alias("vb"))
-    z = F.zip_with("a", "b", lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct((x * y).alias("xy"), (x * x).alias("xx"), (y * y).alias("yy"))))
-    total = lambda f: F.aggregate("z", F.lit(0.0), lambda acc, e: acc + F.coalesce(e[f], F.lit(0.0)))
-    pairs = a.join(b, "study_id").where("p_i < p_j").withColumn("z", z).select("study_id", "p_i", "p_j", total("xy").alias("s"), total("xx").alias("nx"), total("yy").alias("ny"), F.size(F.filter(F.zip_with("va", "vb", lambda x, y: x + y), lambda e: e.isNotNull())).cast("long").alias("n_pair"))
-    return pairs.select("study_id", "p_i", "p_j", F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("r"), "n_pair")
+
+    def product(x, y):
+        first, second = np.triu_indices(x.shape[1], 1)
+        signs = lambda v: np.nan_to_num(np.sign(v[:, first] - v[:, second]))
+        there = lambda v: (~np.isnan(v[:, first] + v[:, second])).astype(float)
+        a, b = signs(x), signs(y)
+        nx, ny = np.abs(a) @ there(y).T, there(x) @ np.abs(b).T
+        r = np.divide(a @ b.T, np.sqrt(nx * ny), out=np.full(nx.shape, np.nan), where=(nx > 0) & (ny > 0))
+        return r, (~np.isnan(x)).astype(float) @ (~np.isnan(y)).astype(float).T
+
+    out = _blocked(sorts, block, product, "study_id string, p_i int, p_j int, r double, n_pair long")
+    return out.where("n_pair > 0").withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 CORRELATIONS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
@@ -73,24 +76,36 @@ def packed_correlation(sorts: DataFrame, block: int = 512) -> DataFrame:
     matrix product. A block is sent once for each block it meets, and a study of
     any number of participants is bounded memory in a task.
     """
+
+    def product(x, y):
+        unit = []
+        for v in (x, y):
+            v = v - v.mean(axis=1, keepdims=True)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            unit.append(np.divide(v, norm, out=np.full_like(v, np.nan), where=norm > 1e-12))
+        return (unit[0] @ unit[1].T,)
+
+    return _blocked(sorts, block, product, "study_id string, p_i int, p_j int, r double")
+
+
+def _blocked(sorts: DataFrame, block: int, product, schema: str) -> DataFrame:
+    """Pairs of participants of each two blocks of a study; ``product(x, y)`` gives a matrix for each column after the keys."""
+    names = [c.split()[0] for c in schema.split(", ")][3:]
     packed = sorts.groupBy("study_id", "p_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("stmt_num", "value"))), lambda s: s["value"]).alias("v"))
     blocked = packed.withColumn("block", F.floor(F.col("p_idx") / block).cast("int"))
     blocks = packed.groupBy("study_id").agg(F.floor(F.max("p_idx") / block).cast("int").alias("top"))
     met = blocked.join(blocks, "study_id").withColumn("other", F.explode(F.sequence(F.lit(0), "top")))
     met = met.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        x = x - x.mean(axis=1, keepdims=True)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 1e-12)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.array(v, float) for v in pdf["v"]])
         idx, of = pdf["p_idx"].to_numpy(), pdf["block"].to_numpy()
         left, right = np.flatnonzero(of == pdf["bi"].iloc[0]), np.flatnonzero(of == pdf["bj"].iloc[0])
-        r = x[left] @ x[right].T
+        out = product(x[left], x[right])
         i, j = np.nonzero(idx[left][:, None] < idx[right][None, :])
-        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "p_i": idx[left][i], "p_j": idx[right][j], "r": r[i, j]})
+        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "p_i": idx[left][i], "p_j": idx[right][j], **{n: m[i, j] for n, m in zip(names, out, strict=True)}})
 
-    return met.groupBy("study_id", "bi", "bj").applyInPandas(product, "study_id string, p_i int, p_j int, r double")
+    return met.groupBy("study_id", "bi", "bj").applyInPandas(run, schema)
 
 
 def mirrored(corr: DataFrame) -> DataFrame:

@@ -76,10 +76,13 @@ def _unpacked(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _null_eigenvalues(sorts: DataFrame, iterations: int, null: str, seed: int) -> DataFrame:
     def run(parts):
+        studies: dict = {}
         for pdf in parts:
             out = []
             for row in pdf.itertuples(index=False):
-                x, _, _ = _unpacked(row.cells)
+                if row.study_id not in studies:
+                    studies[row.study_id] = _unpacked(row.cells)[0]
+                x = studies[row.study_id]
                 rng = np.random.default_rng([seed, row.b])
                 if null == "permute_columns":
                     y = np.stack([rng.permutation(c) for c in x.T]).T
@@ -173,12 +176,15 @@ def bootstrap(sorts: DataFrame, k: int, replicates: int = 1000, method: str = "p
     """
 
     def run(parts):
+        studies: dict = {}  # a study's sorts and original solution, found once in each task
         for pdf in parts:
             out = []
             for row in pdf.itertuples(index=False):
-                x, idx, _ = _unpacked(row.cells)
+                if row.study_id not in studies:
+                    x, idx, _ = _unpacked(row.cells)
+                    studies[row.study_id] = x, idx, L.signed(L.rotate(L.extract(_pairwise_r(x), k, method), rotation))
+                x, idx, target = studies[row.study_id]
                 n, j = x.shape
-                target = L.signed(L.rotate(L.extract(_pairwise_r(x), k, method), rotation))
                 rng = np.random.default_rng([seed, row.b])
                 drawn = rng.integers(0, n, n)
                 try:
