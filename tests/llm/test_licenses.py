@@ -1,5 +1,9 @@
 """op5 against its SQL and on planted texts."""
 
+import os
+
+import pytest
+
 from tests.oracle import connect, differences
 from viewspan.llm import licenses as L
 
@@ -23,3 +27,20 @@ def test_planted(spark):
     none = [(None, 0, "")]
     assert got == {1: none, 2: none, 3: none, 4: [("MIT", 0, "")] * 2, 5: [("MIT", 0, "")], 6: [("MIT", 0, "")], 7: none, None: [(None, 3, "CC-BY-NC-4.0,MIT")], 9: none}
     assert L.license_scan(df.limit(0)).count() == 0
+
+
+FULL = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FULL), reason="no full license texts on this machine")
+def test_full_texts(spark):
+    """Whole long licenses, headed by other holders and broken at other places; a part of one is not a license."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for f, n in names.items():
+        with open(f"{FULL}/{f}", encoding="utf-8") as x:
+            text = x.read()
+        rows += [(n, text), (n, "Copyright: 2020 Someone\nCopyright The Example Authors\n\n" + text.replace("   ", " ")), (None, text[: len(text) // 2])]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in L.license_scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [n for n, _ in rows]

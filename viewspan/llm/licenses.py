@@ -16,7 +16,7 @@ from .common import read
 
 # Spellings that count as the same once only letters and digits are left, replaced in this order.
 SPELLINGS = [("licence", "license"), ("licencing", "licensing"), ("merchantib", "merchantab"), ("wilful", "willful"), ("favour", "favor"), ("organisation", "organization"), ("authorised", "authorized"), ("https", "http")]
-COPYRIGHT = r"(?m)^[^\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©[ \t]*[0-9]{4}|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?m)^[^\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©[ \t]*[0-9]{4}|copyright[ \t]*:|copyright[ \t]+the[ \t][^\n]*(?:authors|contributors|developers|team|project)|all rights reserved)[^\n]*$"
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -72,6 +72,29 @@ KNOWN: list[tuple[str, str]] = [
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
+# Digests of the canonical forms of long licenses, whole and without the appendix on how to apply them.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "cd620b9aae2e7601b490b900148cbea0"),
+    ("Apache-2.0", "eb66ab19e5190d0ceb08453ce1057914"),
+    ("Artistic-1.0-Perl", "766b40a2fe319df851013e536905567f"),
+    ("CC0-1.0", "c50672af8a1a16bc61170ece7fa5bd88"),
+    ("GFDL-1.2", "f1db095b3a93000795c037442c4cdd48"),
+    ("GFDL-1.3", "8722e516050035a7498446fb54a6d55c"),
+    ("GPL-1.0", "10bb1aa18fb14250a73c03a281aeb36c"),
+    ("GPL-1.0", "f4ca50a48b386821515463a5eddaf68b"),
+    ("GPL-2.0", "7ea39794234ea3bf7b1ee34efc918d6d"),
+    ("GPL-2.0", "eac8c6bafb2895daf2bea3c7d070d9bb"),
+    ("GPL-3.0", "9468bf70e47df99167460ac04f289e2a"),
+    ("GPL-3.0", "b5df00737cf26130c7d5c1e07cc5bc9c"),
+    ("LGPL-2.0", "ee7c5d7a67a20a03973884603b6c6478"),
+    ("LGPL-2.0", "fad7325e032a8b0869ce8a8d363d11db"),
+    ("LGPL-2.1", "20ceec9035c670cb28b3b49c3a1d8430"),
+    ("LGPL-2.1", "3152aaf6623a3baffbf7334b03dc212c"),
+    ("LGPL-3.0", "3dc77fe01fad042db24b945c344d4eed"),
+    ("MPL-1.1", "da27ef54b820ad5badf25e1e8702064f"),
+    ("MPL-2.0", "16460510b00814a71821aed7224f44d2"),
+]
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
@@ -88,9 +111,12 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``(digest, license)``, one row for each canonical text of ``known`` (the first name, by order of names, of equal texts); blank texts are left out."""
+    """``(digest, license)``, one row for each canonical text of ``known`` (the first name, by order of names, of equal texts); blank texts are left out. By default all of ``KNOWN`` and ``DIGESTS``."""
     texts = spark.createDataFrame(KNOWN if known is None else known, "license string, t string")
-    return texts.where(canonical(F.col("t")) != "").select(digest(F.col("t")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    rows = texts.where(canonical(F.col("t")) != "").select(digest(F.col("t")).alias("digest"), "license")
+    if known is None:
+        rows = rows.union(spark.createDataFrame(DIGESTS, "license string, digest string").select("digest", "license"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,8 +152,9 @@ def _sql_canonical(column: str) -> str:
 
 
 _VALUES = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, t in KNOWN)
+_DIGESTS = ", ".join(f"('{name}', '{d}')" for name, d in DIGESTS)
 OP5_SQL = f"""
-with known as (select md5({_sql_canonical("t")}) as digest, min(license) as license from (values {_VALUES}) as k(license, t) group by 1),
+with known as (select digest, min(license) as license from (select md5({_sql_canonical("t")}) as digest, license from (values {_VALUES}) as k(license, t) union all select digest, license from (values {_DIGESTS}) as g(license, digest)) group by 1),
 lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
 hits as (select doc_id, count(*) as n, string_agg(distinct license, ',' order by license) as names from lines join known on md5({_sql_canonical("line")}) = digest group by doc_id)
 select d.doc_id, md5({_sql_canonical("coalesce(text, '')")}) as text_digest, k.license as text_license, coalesce(h.n, 0)::bigint as n_license_lines, coalesce(h.names, '') as line_licenses
