@@ -69,17 +69,17 @@ query("score_correlation_gate", "f:i g:i max_r:d gate:s", "select f, g, r as max
 
 
 def band_levels(s, d):
-    return supplier_attributes(s, d).select("study_id", "participant", F.when(F.col("participant").cast("int") % 2 == 0, "even").otherwise("odd").alias("level"))
+    return supplier_attributes(s, d).select("study_id", "participant", F.when(F.col("participant").cast("int") % 7 < 3, "low").otherwise("high").alias("level"))
 
 
 query("membership_test_p", "study_id:s test:s p:d")(lambda s, d: M.membership_test(V.membership_crosstab(flags(s, d), Q.region_levels(s, d))))
-_EVEN = """(with m as (select f.participant, case when count(*) filter (flagged) = 0 then 0 when count(*) filter (flagged) > 1 then -1 else max(factor) filter (flagged) end > 0 as member from flags f group by 1), c as (select member::int as member, participant::int % 2 as level, count(*)::double as n from m group by all),
+_EVEN = """(with m as (select f.participant, case when count(*) filter (flagged) = 0 then 0 when count(*) filter (flagged) > 1 then -1 else max(factor) filter (flagged) end > 0 as member from flags f group by 1), c as (select member::int as member, participant::int % 7 < 3 as level, count(*)::double as n from m group by all),
   x as (select r.member, l.level, coalesce(c.n, 0) as n, r.n * l.n / (select sum(n) from c) as e from (select member, sum(n) as n from c group by 1) r cross join (select level, sum(n) as n from c group by 1) l left join c on c.member = r.member and c.level = l.level)
   select sum((n - e) * (n - e) / e) as chi2, (count(distinct member) - 1) * (count(distinct level) - 1) as df, min(e) >= 5 as ok from x)"""
 
 
 def any_member(s, d):
-    """Whether a sort defines one factor, by even and odd participants."""
+    """Whether a sort defines one factor, by participants of low and high remainders."""
     cells = V.membership_crosstab(flags(s, d), band_levels(s, d)).select("study_id", (F.col("member") > 0).cast("int").alias("member"), "level", "n")
     cells = cells.groupBy("study_id", "member", "level").agg(F.sum("n").alias("n"))
     rows, cols = cells.groupBy("study_id", "member").agg(F.sum("n").alias("r")), cells.groupBy("study_id", "level").agg(F.sum("n").alias("c"))
