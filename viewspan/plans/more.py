@@ -216,3 +216,14 @@ query("ladder_evidence", "study_id:s k:i in_band:b status:s", f"""select study_i
 query("composition_full", "factor:i n_flagged:i n_positive:i n_negative:i n_unclassified:i n_sorts:i small:b", "select factor, count(*) filter (flagged) as n_flagged, count(*) filter (flagged and loading > 0) as n_positive, count(*) filter (flagged and loading < 0) as n_negative, (select count(*) from (select participant from flags group by 1 having not bool_or(flagged))) as n_unclassified, count(*) as n_sorts, count(*) filter (flagged) < 5 or coalesce((select composite_reliability from chars c where c.factor = f.factor) < 0.5, false) as small from flags f group by 1", ("flags", "chars"))(lambda s, d: B.full_composition(flags(s, d), V.characteristics(flags(s, d))))
 query("statement_roles", "factor:i stmt_num:i score:i role:s", "select factor, s.stmt_num, score, coalesce(d.names, case when consensus_level = 'strict' then 'consensus' end, '') as role from scores s left join (select stmt_num, 'distinguishing ' || string_agg('F' || factor, ', ' order by factor) as names from per where least >= 1 group by 1) d using (stmt_num) join class using (stmt_num)", ("scores", "per", "class"))(lambda s, d: B.statement_roles(scores(s, d), V.distinguishing(pairs(s, d)), V.statement_class(scores(s, d), pairs(s, d)).where("consensus_level = 'strict'")))
 query("person_check", "participant:s nearest:i r:d n_flags:i stands_apart:b", f"""select participant, nearest, r, n_flags, abs(r) < 0.3 as stands_apart from (select participant, arg_max(factor, struct_pack(a := abs(r), f := -factor)) as nearest, arg_max(r, struct_pack(a := abs(r), f := -factor)) as r from (select participant, z.factor, {corr('value', 'zscore')} as r from sorts join scores z using (stmt_num) group by 1, 2) group by 1) join (select participant, count(*) filter (flagged) as n_flags from flags group by 1) using (participant)""", ("sorts", "scores", "flags"))(lambda s, d: B.person_check(sorts(s, d), flags(s, d), scores(s, d)))
+
+
+# --- readings of the priorities ---------------------------------------------------------------------------------
+
+
+def ungated(s, d):
+    return M.compare_groups(sorts(s, d), tens(s, d), no_gates(s, d), ["band"])
+
+
+query("priorities_labels", "stmt_num:i rank:i neutral_label:s")(lambda s, d: M.ranked_with_labels(R.ranked_table(sorts(s, d), DECK), R.neutral_tests(sorts(s, d), DECK), ungated(s, d)))
+query("verdict_line", "study_id:s top_statement:i by_attribute:s line:s")(lambda s, d: M.verdict_line(R.ranked_table(sorts(s, d), DECK), R.neutral_tests(sorts(s, d), DECK), ungated(s, d), R.kendall_w(sorts(s, d))))
