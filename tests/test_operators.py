@@ -221,3 +221,28 @@ def test_registered_sizes(spark, monkeypatch):
     assert [seen["draws"][k] for k in ("iterations", "burn", "thin")] == [12_000, 2_000, 5] and {2, 3, 4, 5} <= set(seen["draws"]["ks"])
     assert seen["permanova_test"]["permutations"] == seen["priorities"]["permutations"] == 9_999
     assert seen["bootstrap"]["replicates"] == 1_000
+
+
+def test_claims_of_one_reading(spark):
+    rng = np.random.default_rng(3)
+    deck = np.repeat([-2.0, -1, 0, 1, 2], [1, 2, 3, 2, 1])
+    rows = [("s", f"p{i}", i + 1, j + 1, float(v)) for i in range(8) for j, v in enumerate(rng.permutation(deck))]
+    sorts = spark.createDataFrame(rows, "study_id string, participant string, p_idx int, stmt_num int, value double")
+    draws = spark.createDataFrame(B.draws(sorts, [1, 2], iterations=60, burn=20, thin=2).toPandas(), B.DRAWS)
+    assert draws.count() == 2 * 20 * (8 + 9) * 3
+    key = lambda df: sorted((r["k"], r["item"], r["factor"], round(r["p"], 12), r["claimed"]) for r in df.collect())
+    both = B.claims(draws).cache()
+    assert key(both.where("kind = 'loading'")) == key(B.flag_claims(draws))
+    assert key(both.where("kind = 'zscore' and k = 2")) == key(B.distinguishing_claims(draws))
+    assert {r["k"] for r in B.ladder(draws).collect()} == {1, 2}
+
+
+def test_latents_keep_the_order_of_the_grid():
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.permutation([-1.0, -1, 0, 0, 0, 1, 1]) for _ in range(5)] + [np.array([-2.0, -2, 3, 3, 3, 3, 3])])
+    y = x + 1e-3 * rng.random(x.shape)
+    for _ in range(20):
+        y = B._latents(y, rng.standard_normal(x.shape), B._columns(x), rng)
+        for values, latents in zip(x, y):
+            tops = [latents[values == c] for c in np.unique(values)]
+            assert all(a.max() < b.min() for a, b in zip(tops, tops[1:]))

@@ -20,6 +20,8 @@ from ..functions import linalg as L
 from .extraction import _unpacked
 
 ITERATIONS, BURN, THIN, SEED = 12_000, 2_000, 5, 42
+#: Rows of draws that leave the sampler at a time, about.
+DRAW_ROWS = 100_000
 DRAWS = "study_id string, k int, chain int, draw int, kind string, item int, factor int, value double"
 
 
@@ -40,16 +42,30 @@ def _quantile(u):
     return np.interp(u, _CDF, _GRID)
 
 
-def _latents(y, mean, value, rng):
-    """One sweep over grid columns from the lowest: each card between the greatest of the column below and the least of that above."""
-    columns = np.unique(value)
-    for c in columns:
-        own = value == c
-        lo = np.where(value < c, y, -np.inf).max(axis=1, keepdims=True)
-        hi = np.where(value > c, y, np.inf).min(axis=1, keepdims=True)
-        a, b = _cdf(np.clip(lo - mean, -8, 8)), _cdf(np.clip(hi - mean, -8, 8))
-        new = mean + _quantile(a + (b - a) * rng.uniform(1e-9, 1 - 1e-9, y.shape))
-        y = np.where(own, np.clip(new, lo + 1e-9, hi - 1e-9), y)
+def _columns(value):
+    """Of each grid column from the lowest: its cells by row, where each row's cells begin, and these rows."""
+    out = []
+    for c in np.unique(value[~np.isnan(value)]):
+        rows, cards = np.nonzero(value == c)
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        out.append((rows, cards, first, rows[first]))
+    return out
+
+
+def _latents(y, mean, columns, rng):
+    """One sweep over grid columns from the lowest: each card between the greatest of the columns below and the least of those above."""
+    above = [np.full(len(y), np.inf)]
+    for rows, cards, first, who in reversed(columns[1:]):
+        least = above[-1].copy()
+        least[who] = np.minimum(least[who], np.minimum.reduceat(y[rows, cards], first))
+        above.append(least)
+    below = np.full(len(y), -np.inf)
+    for (rows, cards, first, who), least in zip(columns, reversed(above), strict=True):
+        m, lo, hi = mean[rows, cards], below[rows], least[rows]
+        a, b = _cdf(np.clip(lo - m, -8, 8)), _cdf(np.clip(hi - m, -8, 8))
+        new = np.clip(m + _quantile(a + (b - a) * rng.uniform(1e-9, 1 - 1e-9, len(m))), lo + 1e-9, hi - 1e-9)
+        y[rows, cards] = new
+        below[who] = np.maximum(below[who], np.maximum.reduceat(new, first))
     return y
 
 
@@ -60,10 +76,10 @@ def sample(x: np.ndarray, k: int, iterations: int, burn: int, thin: int, seed, s
     y = np.stack([np.argsort(np.argsort(r + 1e-6 * rng.random(j))) for r in x]).astype(float)
     y = (y - y.mean(1, keepdims=True)) / y.std(1, keepdims=True)
     load = L.rotate(L.pca(L.correlation(x), k)[0], "varimax")
-    kept, target = [], load
+    kept, target, columns = [], load, _columns(x)
     f = np.linalg.lstsq(load, y, rcond=None)[0]
     for it in range(iterations):
-        y = _latents(y, load @ f, x, rng)
+        y = _latents(y, load @ f, columns, rng)
         y -= y.mean(axis=1, keepdims=True)
         cov = np.linalg.inv(load.T @ load + np.eye(k))
         f = cov @ (load.T @ y) + np.linalg.cholesky(cov) @ rng.standard_normal((k, j))
@@ -91,11 +107,16 @@ def draws(sorts: DataFrame, ks: list[int], chains: int = 2, iterations: int = IT
                 x, idx, _ = _unpacked(row.cells)
                 n, j = x.shape
                 k = row.k
-                for d, (load, f) in enumerate(sample(x, k, iterations, burn, thin, [seed, k, row.chain])):
-                    z = (f - f.mean(1, keepdims=True)) / f.std(1, ddof=1, keepdims=True)
-                    a = pd.DataFrame({"kind": "loading", "item": np.repeat(idx, k), "factor": np.tile(np.arange(1, k + 1), n), "value": load.ravel()})
-                    b = pd.DataFrame({"kind": "zscore", "item": np.tile(np.arange(1, j + 1), k), "factor": np.repeat(np.arange(1, k + 1), j), "value": z.ravel()})
-                    yield pd.concat([a, b]).assign(study_id=row.study_id, k=k, chain=row.chain, draw=d)[["study_id", "k", "chain", "draw", "kind", "item", "factor", "value"]]
+                kept = sample(x, k, iterations, burn, thin, [seed, k, row.chain])
+                item = np.concatenate([np.repeat(idx, k), np.tile(np.arange(1, j + 1), k)])
+                factor = np.concatenate([np.tile(np.arange(1, k + 1), n), np.repeat(np.arange(1, k + 1), j)])
+                kind = np.repeat(["loading", "zscore"], [n * k, j * k])
+                step = max(1, DRAW_ROWS // len(item))
+                for start in range(0, len(kept), step):
+                    part = kept[start : start + step]
+                    value = np.concatenate([v for load, f in part for v in (load.ravel(), ((f - f.mean(1, keepdims=True)) / f.std(1, ddof=1, keepdims=True)).ravel())])
+                    m = len(part)
+                    yield pd.DataFrame({"study_id": row.study_id, "k": k, "chain": row.chain, "draw": np.repeat(np.arange(start, start + m), len(item)), "kind": np.tile(kind, m), "item": np.tile(item, m), "factor": np.tile(factor, m), "value": value})
 
     return tasks.mapInPandas(run, DRAWS)
 
@@ -148,12 +169,22 @@ def consensus_claims(draws: DataFrame, q: float = 0.05, width: float = 0.75) ->
     return fdr_claims(p, q, KEYS)
 
 
+def claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
+    """``flag_claims`` (kind loading) and ``distinguishing_claims`` (kind zscore) from one reading of the draws, so that they are sampled once.
+
+    Scores of a lone factor have no others to stand apart from: their ``p`` and ``claimed`` are null.
+    """
+    by = Window.partitionBy(*KEYS, "chain", "draw", "kind", "item")
+    sq = F.col("value") * F.col("value")
+    hit = (2 * sq > F.sum(sq).over(by)) & (F.abs("value") > 0.3)
+    seen = draws.select("*", hit.cast("double").alias("hit"), (F.col("value") == F.max("value").over(by)).cast("double").alias("top"), (F.col("value") == F.min("value").over(by)).cast("double").alias("bottom"))
+    p = F.when(F.col("kind") == "loading", F.avg("hit")).when(F.col("k") >= 2, F.greatest(F.avg("top"), F.avg("bottom")))
+    return fdr_claims(seen.groupBy(*KEYS, "kind", "item", "factor").agg(p.alias("p")), q, [*KEYS, "kind"])
+
+
 def ladder(draws: DataFrame, q: float = 0.05) -> DataFrame:
     """Per K: factors with at least two defining sorts and one distinguishing statement, and whether all have them."""
-    flags = flag_claims(draws, q).where("claimed").groupBy(*KEYS, "factor").agg(F.count("*").alias("n_flags"))
-    dist = distinguishing_claims(draws, q).where("claimed").groupBy(*KEYS, "factor").agg(F.count("*").alias("n_dist"))
-    all_f = draws.select(*KEYS, "factor").distinct()
-    f = all_f.join(flags, [*KEYS, "factor"], "left").join(dist, [*KEYS, "factor"], "left").fillna(0, ["n_flags", "n_dist"])
+    f = claims(draws, q).groupBy(*KEYS, "factor").agg(F.count_if(F.col("claimed") & (F.col("kind") == "loading")).alias("n_flags"), F.count_if(F.col("claimed") & (F.col("kind") == "zscore")).alias("n_dist"))
     ok = (F.col("n_flags") >= 2) & ((F.col("n_dist") >= 1) | (F.col("k") == 1))
     return f.groupBy(*KEYS).agg(F.count_if(ok).cast("int").alias("supported"), F.bool_and(ok).alias("adequate"), F.sum("n_flags").alias("n_flags"), F.sum("n_dist").alias("n_distinguishing"))
 
