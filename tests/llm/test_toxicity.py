@@ -1,19 +1,42 @@
 """op8: grammar, edges and held-out accuracy."""
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from viewspan.llm import toxicity as X
 
 
 def test_grammar():
-    m = X.Model({"idiot": 2.0}, [0.0] * 8, [1.0] * 8, [1.0] + [0.0] * 7, -1.0)
-    plain, aimed, negated, quoted, clean = (m.features(t) for t in ("what an idiot that is.", "you are an idiots.", "not an idiot.", "the man said idiot.", "what a day."))
-    assert plain[0] > 0 and aimed[4] > 0 and negated[5] > 0 and quoted[5] > 0 and clean[:7] == [0.0] * 7
-    assert aimed[0] > plain[0] > quoted[0] > negated[0]
-    assert m.features("he said no. an idiot")[5] == 0  # neither reaches over the clause's end
+    m = X.Model({"idiot": 2.0}, [0.0] * X.FEATURES, [1.0] * X.FEATURES, [1.0] + [0.0] * (X.FEATURES - 1), -1.0)
+    one = lambda t: m.clauses(t)[0]
+    assert one("what an idiot that is.") == [(2.0, 1, 0, 0)]
+    assert one("you are an idiots.") == [(3.0, 0, 1, 0)]
+    assert one("not an idiot.") == [(0.6, 0, 0, 1)]
+    assert one("the man said idiot.") == [(1.0, 0, 0, 1)]
+    assert one("never not an idiot") == [(2.0, 1, 0, 0)]  # the second negation undoes the first
+    assert one("he said no. an idiot") == [(2.0, 1, 0, 0)]  # neither reaches over the clause's end
+    assert one("kill") == [(X.THREAT_WEIGHT, 1, 0, 0)] and one("i will surely kill you") == one("going to be killing") == [(2 * X.THREAT_WEIGHT, 1, 0, 0)]
+    assert one("you idiot. a fine day! idiot") == [(3.0, 0, 1, 0), (2.0, 1, 0, 0)]
+    assert one("what a day.") == one("") == one(None) == []
+    assert m.clauses("a. b.. c")[1:] == (3, 6) and m.features(None) == [0.0] * X.FEATURES
+    assert m.scores(["idiot"]) > m.scores(["not an idiot"]) > m.scores(["a day"])
     a = X.Transducer({("0", "x"): ("1", "y", 2.0)}, default={"1": "0"})
     b = X.Transducer({("0", "y"): ("0", "z", 3.0)})
     assert a.compose(b, ["x"]).step("0|0", "x") == ("1|0", "z", 6.0)
 
 
+@given(st.sets(st.text("ab", min_size=1, max_size=4), max_size=6), st.sets(st.text("ab", min_size=1, max_size=4), max_size=4), st.text("abc", max_size=7))
+def test_lexicon(beginnings, words, w):
+    """Against plain look-ups: a whole word, else the longest beginning."""
+    begins, whole = {b: (f"B{b}", 1.0) for b in beginnings}, {x: (f"W{x}", 2.0) for x in words}
+    machine = X.lexicon(begins, whole)
+    state = machine.start
+    for c in w:
+        state = machine.step(state, c)[0]
+    longest = next((w[:k] for k in range(len(w), 0, -1) if w[:k] in begins), None)
+    assert machine.step(state, "#") == ("", *(whole.get(w) or begins.get(longest, ("WORD", 1.0))))
+
+
 def accuracy(df, labels):
     rows = df.join(labels.groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic"), "doc_id").where("held_out").collect()
     tp = sum(r["predicted"] == 1 == r["toxic"] for r in rows)
@@ -23,7 +46,7 @@ def accuracy(df, labels):
 def test_held_out(spark):
     sf = "/root/testdata/sf0.1"
     recall, precision, n = accuracy(X.op8_toxicity(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
-    assert n > 500 and recall > 0.8 and precision > 0.9, (recall, precision)
+    assert n > 500 and recall > 0.9 and precision > 0.9, (recall, precision)
 
 
 def test_edge_rows(spark):

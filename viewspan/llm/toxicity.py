@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A cascade of transducers rewrites the words of a clause: the lexical one maps a
-word to INSULT (with a weight), THREAT, TARGET, NEGATION, REPORT or nothing, and
-the composed negation, reported-speech and target transducers turn an insult or
-threat into a plain, targeted, negated or quoted one. Clause scores, not single
-words, are what a logistic model weighs.
+A cascade of transducers reads a text. The lexical one reads the characters of
+a word and writes INSULT or THREAT (with a weight), TARGET, NEGATION, REPORT,
+INTENT or WORD. The threat, negation, reported-speech and target transducers,
+composed, then read the words of a clause and write each insult or threat as
+plain, aimed, negated or quoted, with its weight. What a clause's matches add up
+to is its score; a logistic model weighs the scores of a text's matched clauses.
 
 The insult lexicon is a set of word beginnings learned from labelled rows, so
-that it follows the language and the inflection of the corpus; threats,
-targets, negations and verbs of speech are closed classes stated below.
+that it follows the language and the inflection of the corpus; threats (by their
+beginnings too), targets, negations, intents and verbs of speech are closed
+classes stated below.
 """
 
 from __future__ import annotations
@@ -27,20 +29,24 @@ from pyspark.sql import types as T
 from .common import add_columns, read
 
 # The closed word classes, in English, French, German and Spanish.
-THREAT = "kill hurt destroy murder strangle stab shoot tuer frapper détruire étrangler töten schlagen vernichten erwürgen matar golpear destruir".split()
+THREAT = "kill hurt destroy murder strangle stab shoot frapper détruir étrangler töten schlagen vernichte erwürge matar golpea destrui".split()
+INTENT = "will ll shall gonna going want vais va vont veux veut werde wird werden will wollen voy va vamos quiero quiere".split()
 TARGET = "you your yours yourself u he she they them tu toi te ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú te ti tu tus usted ustedes vosotros".split()
 NEGATION = "not no never nobody nothing isn aren wasn don doesn didn cannot ne pas jamais rien aucun nicht kein keine keinen nie niemals nichts nunca jamás nadie nada".split()
 REPORT = "said says say quoted quote quotes wrote writes claimed claims called reported dit dire disait écrit cite sagte sagt schrieb zitiert dijo dice escribió citó".split()
 
 #: Labelled rows of each class that a model is fitted on, at most; those with the least hash of their id.
 MAX_ROWS_PER_CLASS = 8_000
-#: Lengths of the word beginnings that are tried, and the evidence (G², in nats doubled), ratio and share of toxic texts that a beginning needs.
-SHORTEST, LONGEST, MIN_G2, MIN_RATIO, MIN_SHARE = 3, 8, 20.0, 3.0, 0.01
-#: Beginnings that reach the driver at most, strongest first.
-MAX_ENTRIES = 4_000
+#: Lengths of the word beginnings that are tried, and the evidence (G², in nats doubled) and ratio that a beginning needs. No more of them
+#: than the sample bounds can have the evidence: each stands in several of its toxic texts.
+SHORTEST, LONGEST, MIN_G2, MIN_RATIO = 3, 8, 20.0, 3.0
+#: Weight of a threat, before the grammar's factors.
+THREAT_WEIGHT = 4.0
+#: Numbers that describe a text's matched clauses.
+FEATURES = 8
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-_END = ("END", 0.0, -1)
+_ENDS = dict.fromkeys(".!?;:\n", ("END", 0.0))
 
 
 @dataclass
@@ -73,23 +79,52 @@ class Transducer:
         return Transducer(moves, f"{self.start}|{then.start}")
 
 
-SYMBOLS = ["WORD", "INSULT", "THREAT", "TARGET", "NEGATION", "REPORT", "END"]
+SYMBOLS = ["WORD", "INSULT", "THREAT", "INTENT", "TARGET", "NEGATION", "REPORT", "END"]
+
+
+def lexicon(beginnings: dict[str, tuple[str, float]], words: dict[str, tuple[str, float]]) -> Transducer:
+    """The lexical transducer: the letters of a word and a closing "#", which is written as (symbol, weight).
+
+    A state is what was read while it begins some entry; after that, the longest
+    beginning that was passed. Whole ``words`` come before ``beginnings``; others are WORD.
+    """
+    machine = Transducer({("", "#"): ("", "WORD", 1.0)}, start="")
+    for entry in [*beginnings, *words]:
+        for k in range(1, len(entry) + 1):
+            machine.moves[entry[: k - 1], entry[k - 1]] = (entry[:k], "", 1.0)
+    for state in {to for to, _, _ in machine.moves.values()} | {""}:
+        passed = next((state[:k] for k in range(len(state), 0, -1) if state[:k] in beginnings), "")
+        machine.default[state] = f"{passed}…"
+        machine.default[f"{passed}…"] = f"{passed}…"
+        symbol, weight = beginnings.get(passed, ("WORD", 1.0))
+        machine.moves[f"{passed}…", "#"] = ("", symbol, weight)
+        symbol, weight = words.get(state, (symbol, weight))
+        machine.moves[state, "#"] = ("", symbol, weight)
+    return machine
 
 
 def grammar() -> Transducer:
-    """Negation (reaches three words), reported speech (to the clause's end), then target (reaches six words)."""
-    negation = Transducer({("0", "NEGATION"): ("n3", "WORD", 1.0)})
-    for k, after in (("n3", "n2"), ("n2", "n1"), ("n1", "0")):
-        negation.moves |= {(k, "INSULT"): ("0", "NEG", 0.3), (k, "THREAT"): ("0", "NEG", 0.3), (k, "NEGATION"): ("0", "WORD", 1.0), (k, "END"): ("0", "END", 1.0)}
-        negation.default[k] = after
+    """Threats (an intent reaches four words), negation (three words), reported speech (to the clause's end), then target (six words)."""
+
+    def counted(name: str, opens: str, reach: int, writes: str | None, changes: dict[str, tuple[str, float]], stays: bool) -> Transducer:
+        """A machine that rewrites symbols up to ``reach`` words after ``opens``."""
+        m = Transducer({("0", opens): (f"{name}{reach}", writes or opens, 1.0)})
+        for k in range(reach, 0, -1):
+            here, after = f"{name}{k}", f"{name}{k - 1}" if k > 1 else "0"
+            m.default[here] = after
+            m.moves |= {(here, x): (here if stays else "0", out, w) for x, (out, w) in changes.items()}
+            m.moves |= {(here, opens): (f"{name}{reach}", writes or opens, 1.0), (here, "END"): ("0", "END", 1.0)}
+        return m
+
+    threat = counted("i", "INTENT", 4, "WORD", {"THREAT": ("THREAT", 2.0)}, True)
+    negation = counted("n", "NEGATION", 3, "WORD", {"INSULT": ("NEG", 0.3), "THREAT": ("NEG", 0.3)}, False)
+    negation.moves |= {(f"n{k}", "NEGATION"): ("0", "WORD", 1.0) for k in (1, 2, 3)}  # a second one undoes the first
     report = Transducer({("0", "REPORT"): ("r", "WORD", 1.0), ("r", "INSULT"): ("r", "QUOTE", 0.5), ("r", "THREAT"): ("r", "QUOTE", 0.5), ("r", "END"): ("0", "END", 1.0)})
-    target = Transducer({("0", "TARGET"): ("t6", "WORD", 1.0)})
-    for k in range(6, 0, -1):
-        here, after = f"t{k}", f"t{k - 1}" if k > 1 else "0"
-        target.moves |= {(here, "INSULT"): (here, "AIMED", 1.5), (here, "THREAT"): (here, "AIMED", 1.5), (here, "TARGET"): ("t6", "WORD", 1.0), (here, "END"): ("0", "END", 1.0)}
-        target.default[here] = after
-    middle = ["WORD", "INSULT", "THREAT", "TARGET", "NEG", "QUOTE", "REPORT", "END"]
-    return negation.compose(report.compose(target, [*middle, "NEGATION"]), SYMBOLS)
+    target = counted("t", "TARGET", 6, "WORD", {"INSULT": ("AIMED", 1.5), "THREAT": ("AIMED", 1.5)}, True)
+    after = target
+    for machine in (report, negation, threat):
+        after = machine.compose(after, [*SYMBOLS, "NEG"])
+    return after
 
 
 @dataclass
@@ -101,56 +136,62 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        self._machine = grammar()
-        self._known: dict[str, tuple[str, float, int] | None] = {".": _END, "!": _END, "?": _END, ";": _END, ":": _END, "\n": _END}
-        self._number = {e: k for k, e in enumerate(sorted(self.entries))}
-        self._closed = {w: (s, 0.0, -1) for s, ws in (("REPORT", REPORT), ("NEGATION", NEGATION), ("TARGET", TARGET)) for w in ws} | {w: ("THREAT", 2.0, -2) for w in THREAT}
-
-    def word(self, w: str) -> tuple[str, float, int] | None:
-        """(symbol, weight, entry) of a lower-case word: the lexical transducer."""
-        for k in range(min(LONGEST, len(w)), SHORTEST - 1, -1):
-            if (weight := self.entries.get(w[:k])) is not None:
-                return "INSULT", weight, self._number[w[:k]]
-        return self._closed.get(w)
-
-    def features(self, text: str | None) -> list[float]:
-        """Of the matched clauses of a text."""
+        self._grammar = grammar()
+        closed = {w: (s, 1.0) for s, ws in (("REPORT", REPORT), ("NEGATION", NEGATION), ("TARGET", TARGET), ("INTENT", INTENT)) for w in ws}
+        self._lexicon = lexicon({w: ("THREAT", THREAT_WEIGHT) for w in THREAT} | {w: ("INSULT", x) for w, x in self.entries.items()}, closed)
+        self._known: dict[str, tuple[str, float]] = dict(_ENDS)
+
+    def word(self, w: str) -> tuple[str, float]:
+        """(symbol, weight) of a lower-case word, as the lexical transducer writes it."""
+        machine, state = self._lexicon, self._lexicon.start
+        for c in w:
+            state = machine.step(state, c)[0]
+        return machine.step(state, "#")[1:]
+
+    def clauses(self, text: str | None) -> tuple[list[tuple[float, int, int, int]], int, int]:
+        """Of the matched clauses of a text (score, plain, aimed, softened matches), and how many clauses and words it has."""
         words = TOKEN.findall((text or "").lower())
+        if len(self._known) > 1_000_000:
+            self._known = dict(_ENDS)
         known = self._known
-        if len(known) > 1_000_000:
-            self.__post_init__()
-            known = self._known
-        for w in set(words).difference(known):
+        distinct = set(words)
+        for w in distinct.difference(known):
             known[w] = self.word(w)
-        found = [known[w] for w in words]
-        n = max(1, len(words))
-        if not any(x is not None and (x[0] == "INSULT" or x[0] == "THREAT") for x in set(found)):
-            return [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, math.log(n)]
-        machine, state = self._machine, self._machine.start
-        total = clause = best = 0.0
-        plain = aimed = softened = 0
-        distinct = set()
-        for x in found:
-            state, out, w = machine.step(state, "WORD" if x is None else x[0])
-            if out == "WORD" or x is None:
-                continue
-            if out == "END":
-                best, clause = max(best, clause), 0.0
-                continue
-            if x[0] not in ("INSULT", "THREAT"):
-                continue
-            clause += w * x[1]
-            total += w * x[1]
-            distinct.add(x[2])
-            if out == "AIMED":
-                aimed += 1
-            elif out in ("NEG", "QUOTE"):
-                softened += 1
-            else:
-                plain += 1
-        best = max(best, clause)
-        hits = plain + aimed + softened
-        return [math.log1p(total), min(5.0, 100.0 * total / n), math.log1p(hits), math.log1p(len(distinct)), math.log1p(aimed), math.log1p(softened), math.log1p(best), math.log(n)]
+        n_clauses = 1 + sum(known[a][0] == "END" != known[b][0] for a, b in zip(words, words[1:]))
+        if not any(known[w][0] in ("INSULT", "THREAT") for w in distinct):
+            return [], n_clauses, len(words)
+        out, machine, state, clause = [], self._grammar, self._grammar.start, [0.0, 0, 0, 0]
+        for symbol, weight in (known[w] for w in words):
+            state, written, factor = machine.step(state, symbol)
+            if written == "END":
+                if clause[0]:
+                    out.append(tuple(clause))
+                    clause = [0.0, 0, 0, 0]
+            elif written != "WORD":
+                clause[0] += weight * factor
+                clause[2 if written == "AIMED" else 3 if written in ("NEG", "QUOTE") else 1] += 1
+        if clause[0]:
+            out.append(tuple(clause))
+        return out, n_clauses, len(words)
+
+    def features(self, text: str | None) -> list[float]:
+        """What the scores of the matched clauses come to."""
+        matched, n_clauses, n_words = self.clauses(text)
+        length = math.log(max(1, n_words))
+        if not matched:
+            return [0.0] * (FEATURES - 1) + [length]
+        scores = sorted((c[0] for c in matched), reverse=True)
+        total = sum(scores)
+        return [
+            math.log1p(scores[0]),
+            math.log1p(total),
+            math.log1p(total - scores[0]),
+            min(5.0, 100.0 * total / n_words),
+            len(matched) / n_clauses,
+            math.log1p(sum(c[2] > 0 for c in matched)),
+            math.log1p(sum(c[3] > 0 and not c[1] + c[2] for c in matched)),
+            length,
+        ]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if not texts:
@@ -214,8 +255,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_rows_per_class: int = MAX_ROWS_PER_CLASS) -> Model:
     """A model from labelled rows that aren't held out, at most ``max_rows_per_class`` of each class.
 
-    Beginnings are counted in Spark; the strongest ``MAX_ENTRIES`` and the
-    sample's features (a few numbers a row) come to the driver. With no
+    Beginnings are counted in Spark; those with the evidence, which the sample
+    bounds, and the sample's features (a few numbers a row) come to the driver. A
+    row with several labels is toxic if one says so. With no
     labelled rows or only one class, the model scores every text by the share
     of toxic labels.
     """
@@ -225,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     n0, n1 = (whole["docs0"], whole["docs1"]) if whole else (0.0, 0.0)
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     if not n0 or not n1:
-        return Model({}, [0.0] * 8, [1.0] * 8, [0.0] * 8, math.log(prior / (1 - prior)))
+        return Model({}, [0.0] * FEATURES, [1.0] * FEATURES, [0.0] * FEATURES, math.log(prior / (1 - prior)))
     entropy = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
     d0, d1 = F.col("docs0"), F.col("docs1")
     both, share = d0 + d1, n1 / (n0 + n1)
@@ -236,9 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         table.where("beginning <> ''")
         .withColumn("g2", 2 * (inside + outside))
         .withColumn("ratio", ((d1 + 0.5) / (n1 + 1)) / ((d0 + 0.5) / (n0 + 1)))
-        .where((F.col("g2") >= MIN_G2) & (F.col("ratio") >= MIN_RATIO) & (d1 >= MIN_SHARE * n1))
+        .where((F.col("g2") >= MIN_G2) & (F.col("ratio") >= MIN_RATIO))
         .orderBy(F.desc("g2"), F.desc(F.length("beginning")), "beginning")
-        .limit(MAX_ENTRIES)
         .collect()
     )
     entries: dict[str, float] = {}
@@ -249,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             continue
         entries[b] = min(8.0, max(0.5, math.log(((r["uses1"] + 0.5) / (whole["uses1"] + 1)) / ((r["uses0"] + 0.5) / (whole["uses0"] + 1)))))
         related.update(b[:k] for k in range(SHORTEST, len(b) + 1))
-    model = Model(entries, [0.0] * 8, [1.0] * 8, [0.0] * 8, 0.0)
+    model = Model(entries, [0.0] * FEATURES, [1.0] * FEATURES, [0.0] * FEATURES, 0.0)
 
     def featured(batches):
         for batch in batches:
