@@ -237,8 +237,7 @@ def near_duplicate_groups(texts: DataFrame, text: str = "text", node: str = "nod
     wide = stored(wide_fingerprints(own, size))
     clusters = candidate_clusters(wide, similarity)
     members = stored(wide.select("node", "n").join(clusters, "node"))
-    blocks = members.groupBy("component").agg(_blocks_of(F.sum("n"), F.count("*")).alias("blocks"))
-    placed = members.select("node", "component").join(blocks, "component")
+    placed = placed_in_blocks(members)
 
     def sets(batches):
         for batch in batches:
@@ -246,6 +245,17 @@ def near_duplicate_groups(texts: DataFrame, text: str = "text", node: str = "nod
             yield pa.RecordBatch.from_arrays([*held, pa.array([s.tobytes() for s in _sets(batch, "t", size)], pa.binary())], names=["node", "component", "blocks", "s"])
 
     shingled = own.join(placed, "node").select("node", "component", "blocks", "t").mapInArrow(sets, "node long, component long, blocks int, s binary")
+    return exact_groups(shingled, similarity)
+
+
+def placed_in_blocks(members: DataFrame) -> DataFrame:
+    """``members(node, n, component, ..)`` with ``blocks``: in how many blocks a cluster is compared."""
+    blocks = members.groupBy("component").agg(_blocks_of(F.sum("n"), F.count("*")).alias("blocks"))
+    return members.join(blocks, "component")
+
+
+def exact_groups(shingled: DataFrame, similarity: float) -> DataFrame:
+    """``(node, component)`` of the groups that pairs of sufficient similarity form within each cluster of ``shingled(node, component, blocks, s)``, ``s`` being the bytes of the ascending distinct hashes of a set."""
     shingled = stored(shingled.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
     # the first block of a cluster goes to all its blocks
     to = F.when((F.col("blocks") > 1) & (F.col("own") == 0), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
