@@ -111,6 +111,12 @@ def test_nulls_short_long_repeats_names(spark):
     assert got(minhash_groups(df.limit(0))) == []
 
 
+def test_many_members_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SENT", 0)
+    rows = [(k, f"a b c d e f g h {k % 7}") for k in range(50)]
+    assert got(minhash_groups(frame(spark, rows))) == brute(rows)
+
+
 def test_minhashes_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

@@ -38,6 +38,8 @@ KEYS, ROWS = 20, 4
 AGREE = 40
 #: Nodes under one key from which it is split.
 HOT = 8192
+#: Members of clusters (56 bytes each) that are broadcast to find their texts; more are joined with all texts by a shuffle.
+SENT = 200_000
 #: Hashes worked on at once, pairs compared at once, members of a run that is compared in one go (with so many others), and members of a block of a larger one.
 WORK, PAIRS, SMALL, BLOCK = 1 << 15, 1 << 16, 64, 1024
 
@@ -223,6 +225,8 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # a set for each member: of a row with its least id that has the member's set
     wanted = placed_in_blocks(members).withColumnRenamed("least", "id")
+    if members.count() <= SENT:  # so few that texts need not be shuffled to find them
+        wanted = F.broadcast(wanted)
     texts = own.join(wanted, own["id"].eqNullSafe(wanted["id"])).select("node", "component", "blocks", "n", "d0", "d1", "t")
     shingled = texts.mapInArrow(lambda batches: _wanted_sets(batches, size), "node long, component long, blocks int, s binary").dropDuplicates(["node"])
     groups = exact_groups(shingled, similarity)
