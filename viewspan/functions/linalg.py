@@ -109,35 +109,50 @@ def minres(r: np.ndarray, k: int, most: int = 500, tol: float = 1e-7) -> np.ndar
     return signed(load @ v)
 
 
-def varimax(loadings: np.ndarray, eps: float = 1e-5, most: int = 1000) -> tuple[np.ndarray, np.ndarray]:
-    """(rotated, rotation), with Kaiser's normalisation."""
-    p, k = loadings.shape
-    h = np.sqrt((loadings**2).sum(axis=1))
-    x = np.divide(loadings, h[:, None], out=np.zeros_like(loadings), where=h[:, None] > 0)
-    t, d = np.eye(k), 0.0
+#: Rotations that work on rows scaled to a communality of 1, and those with correlated factors.
+NORMALISED, OBLIQUE = ("varimax", "promax"), ("oblimin", "promax")
+
+
+def kaiser(loadings: np.ndarray) -> np.ndarray:
+    h = np.sqrt((loadings**2).sum(axis=1, keepdims=True))
+    return np.divide(loadings, h, out=np.zeros_like(loadings), where=h > 1e-12)
+
+
+def moments(x: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of two and of four columns, each row ``w`` times; all that the rotations below need, and additive over rows."""
+    k = x.shape[1]
+    pairs = (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
+    left = pairs if w is None else pairs * w[:, None]
+    return left.sum(axis=0).reshape(k, k), (left.T @ pairs).reshape(k, k, k, k)
+
+
+def _cubes(m4: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """X' Z³ of Z = X T."""
+    k = len(t)
+    triples = t[:, None, None, :] * t[None, :, None, :] * t[None, None, :, :]
+    return m4.reshape(k, -1) @ triples.reshape(-1, k)
+
+
+def _varimax_turn(m2: np.ndarray, m4: np.ndarray, rows: int, eps: float = 1e-5, most: int = 1000) -> np.ndarray:
+    t, d = np.eye(len(m2)), 0.0
     for _ in range(most):
-        z = x @ t
-        u, s, vt = np.linalg.svd(x.T @ (z**3 - z * (z**2).sum(axis=0) / p))
+        squares = np.einsum("bc,bm,cm->m", m2, t, t)
+        u, s, vt = np.linalg.svd(_cubes(m4, t) - m2 @ t * squares / rows)
         t, old, d = u @ vt, d, s.sum()
         if d < old * (1 + eps):
             break
-    return loadings @ t, t
+    return t
 
 
-def _gradient_projection(a: np.ndarray, criterion, orthogonal: bool, most: int = 1000, eps: float = 1e-6):
-    """Rotation that lowers ``criterion(L) -> (value, gradient)`` (Jennrich; Bernaards & Jennrich 2005)."""
-    k = a.shape[1]
+def _gradient_projection(k: int, criterion, orthogonal: bool, most: int = 1000, eps: float = 1e-6) -> np.ndarray:
+    """Rotation that lowers ``criterion(T) -> (value, its gradient by T)`` (Jennrich; Bernaards & Jennrich 2005)."""
     t, step = np.eye(k), 1.0
-    loads = (lambda t: a @ t) if orthogonal else (lambda t: a @ np.linalg.inv(t).T)
-    f, g = criterion(loads(t))
+    f, grad = criterion(t)
     for _ in range(most):
         if orthogonal:
-            grad = a.T @ g
             m = t.T @ grad
             proj = grad - t @ (m + m.T) / 2
         else:
-            inv = np.linalg.inv(t)
-            grad = -(loads(t).T @ g @ inv).T
             proj = grad - t * (t * grad).sum(axis=0)
         size = np.linalg.norm(proj)
         if size < eps:
@@ -150,36 +165,79 @@ def _gradient_projection(a: np.ndarray, criterion, orthogonal: bool, most: int =
                 new = u @ vt
             else:
                 new = x / np.sqrt((x**2).sum(axis=0))
-            fn, gn = criterion(loads(new))
+            fn, gn = criterion(new)
             if f - fn > 0.5 * size**2 * step:
                 break
             step /= 2
-        t, f, g = new, fn, gn
-    return loads(t), t
+        t, f, grad = new, fn, gn
+    return t
+
+
+def _quartimax_turn(m4: np.ndarray) -> np.ndarray:
+    def criterion(t):
+        cubes = _cubes(m4, t)
+        return -(t * cubes).sum() / 4, -cubes
+
+    return _gradient_projection(len(m4), criterion, True)
+
+
+def _oblimin_axes(m4: np.ndarray) -> np.ndarray:
+    """T of quartimin: the loadings are A inv(T)'."""
+
+    def criterion(t):
+        inv = np.linalg.inv(t)
+        w = inv.T
+        four = np.einsum("abcd,ai,bj,ck,dl->ijkl", m4, w, w, w, w, optimize=True)
+        both = np.einsum("abcc->abc", four)
+        others = both.sum(axis=2) - np.einsum("abb->ab", both)  # L' G: for each column the squares of the other columns
+        return np.trace(others) / 4, -(others @ inv).T
+
+    return _gradient_projection(len(m4), criterion, False)
+
+
+def promax_target(x: np.ndarray, power: int = 4) -> np.ndarray:
+    return x * np.abs(x) ** (power - 1)
+
+
+def promax_turn(t: np.ndarray, xx: np.ndarray, xq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotation, factor correlations, what is done after varimax) from varimax's rotation and the sums X'X and X'Q of its loadings and their powers."""
+    u = np.linalg.lstsq(xx, xq, rcond=None)[0]
+    u = u * np.sqrt(np.diag(np.linalg.inv(u.T @ u)))
+    inv = np.linalg.inv(t @ u)
+    return t @ u, inv @ inv.T, u
+
+
+def turn_of(method: str, m2: np.ndarray, m4: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, factor correlations) from the moments of the loadings (``kaiser`` ones for ``NORMALISED``); of promax the varimax it starts from."""
+    if method == "oblimin":
+        t = _oblimin_axes(m4)
+        return np.linalg.inv(t).T, t.T @ t
+    t = _quartimax_turn(m4) if method == "quartimax" else _varimax_turn(m2, m4, rows)
+    return t, np.eye(len(t))
+
+
+def varimax(loadings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rotated, rotation), with Kaiser's normalisation."""
+    t, _ = turn_of("varimax", *moments(kaiser(loadings)), len(loadings))
+    return loadings @ t, t
 
 
 def quartimax(loadings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _gradient_projection(loadings, lambda x: (-(x**4).sum() / 4, -(x**3)), True)
+    t, _ = turn_of("quartimax", *moments(loadings), len(loadings))
+    return loadings @ t, t
 
 
 def oblimin(loadings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rotated, rotation, factor correlations), quartimin."""
-    k = loadings.shape[1]
-    n = np.ones((k, k)) - np.eye(k)
-    out, t = _gradient_projection(loadings, lambda x: ((x**2 * (x**2 @ n)).sum() / 4, x * (x**2 @ n)), False)
-    return out, t, t.T @ t
+    t, phi = turn_of("oblimin", *moments(loadings), len(loadings))
+    return loadings @ t, t, phi
 
 
-def promax(loadings: np.ndarray, power: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def promax(loadings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rotated, rotation, factor correlations) from varimax."""
     x, t = varimax(loadings)
-    q = x * np.abs(x) ** (power - 1)
-    u = np.linalg.lstsq(x, q, rcond=None)[0]
-    d = np.diag(np.linalg.inv(u.T @ u))
-    u = u * np.sqrt(d)
-    rotation = t @ u
-    inv = np.linalg.inv(rotation)
-    return loadings @ rotation, rotation, inv @ inv.T
+    t, phi, _ = promax_turn(t, x.T @ x, x.T @ promax_target(x))
+    return loadings @ t, t, phi
 
 
 def rotate(loadings: np.ndarray, method: str) -> np.ndarray:

@@ -1,9 +1,8 @@
 """By-person correlation and what hangs on it: descriptives, duplicates, careless sorts, quality.
 
-Pairs of participants are joined on statements, so the work is one hash join
-and one aggregation however many studies there are. Without missing values
-``packed_correlation`` does the same from one row for each participant, in
-blocks of participants, with far less to shuffle.
+Each participant is one row; rows meet block against block, and a pair of blocks is
+a few products of matrices: of values, squares and masks, so that missing cells
+leave pairwise complete sums. A block is sent once for each block it meets.
 """
 
 from __future__ import annotations
@@ -13,36 +12,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import mid_rank
 from .study import grid_values
 
 
-def person_pairs(sorts: DataFrame) -> DataFrame:
-    """``(study_id, p_i, p_j, stmt_num, x, y)`` for ``p_i < p_j`` (by index), both values there."""
-    s = sorts.where("value is not null")
-    a = s.select("study_id", "stmt_num", F.col("p_idx").alias("p_i"), F.col("value").alias("x"))
-    b = s.select("study_id", "stmt_num", F.col("p_idx").alias("p_j"), F.col("value").alias("y"))
-    return a.join(b, ["study_id", "stmt_num"]).where("p_i < p_j")
+def _ratio(cov: np.ndarray, vx: np.ndarray, vy: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """r from a covariance and two variances (times n²), nan where a side is constant; ``scale``: what is rounding error beside it."""
+    defined = (vx > 1e-12 * scale) & (vy > 1e-12 * scale)
+    return np.divide(cov, np.sqrt(np.where(defined, vx * vy, 1.0)), out=np.full(cov.shape, np.nan), where=defined)
+
+
+def _masked_r(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(r, n): Pearson's r of each row of ``x`` with each of ``y`` over the columns that both have, by six products."""
+    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    n, sx, sy = mx @ my.T, x @ my.T, mx @ y.T
+    sxx, syy = (x * x) @ my.T, mx @ (y * y).T
+    r = _ratio(n * (x @ y.T) - sx * sy, n * sxx - sx * sx, n * syy - sy * sy, n * np.maximum(sxx, syy) + 1e-300)
+    return r, n
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """For each row and pair of columns (s, t): 1 if t's value is below s's, a half if equal, 0 if above or missing."""
+    with np.errstate(invalid="ignore"):
+        return ((x[:, None, :] < x[:, :, None]) + 0.5 * (x[:, None, :] == x[:, :, None])).astype(np.float32)
 
 
-def _r(x: Column, y: Column) -> Column:
-    """Pearson r from sums, null where either side is constant; exact for integer values."""
-    n = F.count(x).cast("double")
-    cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-    vx, vy = n * F.sum(x * x) - F.sum(x) * F.sum(x), n * F.sum(y * y) - F.sum(y) * F.sum(y)
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+def _ranked_r(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_masked_r`` of mid-ranks, taken within the columns that a pair has in common."""
+    if not np.isnan(x).any() and not np.isnan(y).any():
+        rank = lambda v: pd.DataFrame(v.T).rank().to_numpy().T
+        return _masked_r(rank(x), rank(y))
+    my = (~np.isnan(y)).astype(np.float32)
+    by = _order(y)
+    r, n = np.empty((len(x), len(y))), np.empty((len(x), len(y)))
+    for i, row in enumerate(x):
+        both = my * ~np.isnan(row)
+        a = (both @ _order(row[None])[0].T + 0.5) * both
+        b = (np.matmul(by, both[:, :, None])[:, :, 0] + 0.5) * both
+        a, b = a.astype(float), b.astype(float)
+        n[i] = both.sum(axis=1)
+        sa, sb = a.sum(axis=1), b.sum(axis=1)
+        saa, sbb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        r[i] = _ratio(n[i] * (a * b).sum(axis=1) - sa * sb, n[i] * saa - sa * sa, n[i] * sbb - sb * sb, n[i] * np.maximum(saa, sbb) + 1e-300)
+    return r, n
 
 
-def pearson(sorts: DataFrame) -> DataFrame:
-    """``(study_id, p_i, p_j, r, n_pair)``, pairwise complete."""
-    return person_pairs(sorts).groupBy("study_id", "p_i", "p_j").agg(_r(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n_pair"))
+PAIRS = "study_id string, p_i int, p_j int, r double, n_pair long"
 
 
-def spearman(sorts: DataFrame) -> DataFrame:
+def _defined(pairs: DataFrame) -> DataFrame:
+    return pairs.where("n_pair > 0").withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+def pearson(sorts: DataFrame, block: int = 512) -> DataFrame:
+    """``(study_id, p_i, p_j, r, n_pair)`` for ``p_i < p_j``, pairwise complete; null where a side is constant."""
+    return _defined(_blocked(sorts, block, _masked_r, PAIRS))
+
+
+def spearman(sorts: DataFrame, block: int = 256) -> DataFrame:
     """Like ``pearson`` on mid-ranks, which are taken again within the complete statements of each pair."""
-    keys = ["study_id", "p_i", "p_j"]
-    ranked = person_pairs(sorts).withColumn("rx", mid_rank(F.col("x"), keys)).withColumn("ry", mid_rank(F.col("y"), keys))
-    return ranked.groupBy(*keys).agg(_r(F.col("rx"), F.col("ry")).alias("r"), F.count("*").alias("n_pair"))
+    return _defined(_blocked(sorts, block, _ranked_r, PAIRS))
 
 
 def kendall(sorts: DataFrame, block: int = 256) -> DataFrame:
@@ -62,8 +91,7 @@ def kendall(sorts: DataFrame, block: int = 256) -> DataFrame:
         r = np.divide(a @ b.T, np.sqrt(nx * ny), out=np.full(nx.shape, np.nan), where=(nx > 0) & (ny > 0))
         return r, (~np.isnan(x)).astype(float) @ (~np.isnan(y)).astype(float).T
 
-    out = _blocked(sorts, block, product, "study_id string, p_i int, p_j int, r double, n_pair long")
-    return out.where("n_pair > 0").withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    return _defined(_blocked(sorts, block, product, PAIRS))
 
 
 CORRELATIONS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
@@ -91,14 +119,18 @@ def packed_correlation(sorts: DataFrame, block: int = 512) -> DataFrame:
 def _blocked(sorts: DataFrame, block: int, product, schema: str) -> DataFrame:
     """Pairs of participants of each two blocks of a study; ``product(x, y)`` gives a matrix for each column after the keys."""
     names = [c.split()[0] for c in schema.split(", ")][3:]
-    packed = sorts.groupBy("study_id", "p_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("stmt_num", "value"))), lambda s: s["value"]).alias("v"))
+    packed = sorts.groupBy("study_id", "p_idx").agg(F.array_sort(F.collect_list(F.struct("stmt_num", "value"))).alias("c"))
+    packed = packed.select("study_id", "p_idx", F.transform("c", lambda c: c["stmt_num"]).alias("s"), F.transform("c", lambda c: c["value"].cast("double")).alias("v"))
     blocked = packed.withColumn("block", F.floor(F.col("p_idx") / block).cast("int"))
     blocks = packed.groupBy("study_id").agg(F.floor(F.max("p_idx") / block).cast("int").alias("top"))
     met = blocked.join(blocks, "study_id").withColumn("other", F.explode(F.sequence(F.lit(0), "top")))
     met = met.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.array(v, float) for v in pdf["v"]])
+        lengths = pdf["s"].map(len).to_numpy()
+        statements, column = np.unique(np.concatenate(pdf["s"].to_list()), return_inverse=True)
+        x = np.full((len(pdf), len(statements)), np.nan)
+        x[np.repeat(np.arange(len(pdf)), lengths), column] = np.concatenate([np.array(v, float) for v in pdf["v"]])
         idx, of = pdf["p_idx"].to_numpy(), pdf["block"].to_numpy()
         left, right = np.flatnonzero(of == pdf["bi"].iloc[0]), np.flatnonzero(of == pdf["bj"].iloc[0])
         out = product(x[left], x[right])
@@ -144,7 +176,10 @@ def forced_check(sorts: DataFrame) -> DataFrame:
 def duplicates(corr: DataFrame, sorts: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Pairs with ``r`` over ``threshold``; identical: equal wherever both have a value."""
     near = corr.where(F.col("r") > threshold)
-    same = person_pairs(sorts).join(near.select("study_id", "p_i", "p_j"), ["study_id", "p_i", "p_j"]).groupBy("study_id", "p_i", "p_j").agg(F.bool_and(F.col("x") == F.col("y")).alias("identical"))
+    s = sorts.where("value is not null")
+    one, other = (s.select("study_id", F.col("p_idx").alias(p), "stmt_num", F.col("value").alias(v)) for p, v in (("p_i", "x"), ("p_j", "y")))
+    both = near.select("study_id", "p_i", "p_j").join(one, ["study_id", "p_i"]).join(other, ["study_id", "p_j", "stmt_num"])
+    same = both.groupBy("study_id", "p_i", "p_j").agg(F.bool_and(F.col("x") == F.col("y")).alias("identical"))
     return near.join(same, ["study_id", "p_i", "p_j"]).select("study_id", "p_i", "p_j", F.round("r", 4).alias("r"), "identical")
 
 

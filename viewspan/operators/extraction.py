@@ -1,9 +1,11 @@
 """Extraction, rotation, retention and bootstrap: small dense algebra for each study, Monte Carlo spread over tasks.
 
-A study's sorts are packed into one row (participants by statements, a few
-kilobytes to megabytes); kernels run on it in grouped functions, so many
-studies run side by side. Replicates are seeded by (seed, replicate), which
-makes results independent of partitioning and retries.
+Principal components of complete sorts, their rotations, eigenvalues, quality and
+bootstrap come from sums over participants (``gram``), however many there are.
+Centroid and minres factors, studies with missing cells and the nulls of parallel
+analysis need the study as a matrix: its sorts are packed into one row and kernels
+run on it in grouped functions, so many studies run side by side. Replicates are
+seeded by (seed, replicate), which makes results independent of partitioning and retries.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg as L
 from ..functions import stats
+from . import gram as S
 from .factors import weight as _weight  # noqa: F401  (the same rule, as a column)
 
 
@@ -37,20 +40,37 @@ def _pairwise_r(x: np.ndarray) -> np.ndarray:
     return r
 
 
-def extract(sorts: DataFrame, k: int, method: str = "pca", rotation: str = "none") -> DataFrame:
-    """``(study_id, participant, p_idx, factor, loading)``: pca, centroid or minres; then varimax, quartimax, oblimin, promax or none."""
+LOADINGS = "study_id string, participant string, p_idx int, factor int, loading double"
 
+
+def _extract_packed(sorts: DataFrame, k: int, method: str, rotation: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, idx, names = _matrix(pdf)
-        if method == "pca" and not np.isnan(x).any():
-            load = L.pca_of_rows(x, k)[0]
-        else:
-            load = L.extract(_pairwise_r(x), k, method)
-        load = L.signed(L.rotate(load, rotation))
+        load = L.signed(L.rotate(L.extract(_pairwise_r(x), k, method), rotation))
         n, m = load.shape
         return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "participant": np.repeat(names, m), "p_idx": np.repeat(idx, m), "factor": np.tile(np.arange(1, m + 1), n), "loading": load.ravel()})
 
-    return sorts.groupBy("study_id").applyInPandas(run, "study_id string, participant string, p_idx int, factor int, loading double")
+    return sorts.groupBy("study_id").applyInPandas(run, LOADINGS)
+
+
+def extract(sorts: DataFrame, k: int, method: str = "pca", rotation: str = "none") -> DataFrame:
+    """``(study_id, participant, p_idx, factor, loading)``: pca, centroid or minres; then varimax, quartimax, oblimin, promax or none."""
+    if method != "pca":
+        return _extract_packed(sorts, k, method, rotation)
+    rows = S.whole_rows(sorts)
+    return S.loadings(rows, S.solution(rows, k, rotation)).unionByName(_extract_packed(S.unwhole_sorts(sorts), k, method, rotation))
+
+
+def factor_correlations(sorts: DataFrame, k: int, rotation: str) -> DataFrame:
+    """``(study_id, f, g, phi)``: correlations of rotated principal components of whole studies; pattern times ``phi`` is the structure."""
+    return S.factor_correlations(S.solution(S.whole_rows(sorts), k, rotation))
+
+
+def structure(pattern: DataFrame, phi: DataFrame) -> DataFrame:
+    """Pattern loadings with ``structure``, a sort's correlation with each factor: the sum of its pattern loadings times the factors' correlations."""
+    p = pattern.select("study_id", "participant", "p_idx", F.col("factor").alias("f"), F.col("loading").alias("l")).join(phi, ["study_id", "f"])
+    own = p.groupBy("study_id", "participant", "p_idx", F.col("g").alias("factor")).agg(F.sum(F.col("l") * F.col("phi")).alias("structure"))
+    return pattern.select("study_id", "participant", "p_idx", "factor", "loading").join(own, ["study_id", "participant", "p_idx", "factor"])
 
 
 def eigenvalues(sorts: DataFrame) -> DataFrame:
@@ -58,10 +78,17 @@ def eigenvalues(sorts: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, idx, _ = _matrix(pdf)
-        w = L.pca_of_rows(x, 1)[1] if not np.isnan(x).any() else L.eigen(_pairwise_r(x))[0]
-        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "k": np.arange(1, len(w) + 1), "eigenvalue": w, "variance": w / len(idx), "cumulative": np.cumsum(w) / len(idx)})
-
-    return sorts.groupBy("study_id").applyInPandas(run, "study_id string, k int, eigenvalue double, variance double, cumulative double")
+        w = L.eigen(_pairwise_r(x))[0]
+        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "k": np.arange(1, len(w) + 1), "eigenvalue": w, "n": len(idx)})
+
+    holed = S.unwhole_sorts(sorts).groupBy("study_id").applyInPandas(run, "study_id string, k int, eigenvalue double, n long")
+    spectra = S.spectra(S.whole_rows(sorts))
+    # all but the first J are 0
+    at = F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))
+    whole = spectra.select("study_id", "n", "w", at.alias("k")).select("study_id", "k", F.coalesce(F.get("w", F.col("k") - 1), F.lit(0.0)).alias("eigenvalue"), "n")
+    share = F.col("eigenvalue") / F.col("n")
+    upto = Window.partitionBy("study_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return whole.unionByName(holed).select("study_id", "k", "eigenvalue", share.alias("variance"), F.sum(share).over(upto).alias("cumulative"))
 
 
 def _replicated(sorts: DataFrame, n: int) -> DataFrame:
@@ -136,7 +163,12 @@ def quality_metrics(sorts: DataFrame) -> DataFrame:
         p = stats.chi2_sf(-(j - 1 - (2 * n + 5) / 6) * logdet, df) if det > 1e-300 and j > 1 else math.nan
         return pd.DataFrame([{"study_id": pdf["study_id"].iloc[0], "kmo": L.kmo(r), "bartlett_p": p, "determinant": det, "avg_r": float(r[np.tril_indices(n, -1)].mean())}])
 
-    out = sorts.groupBy("study_id").applyInPandas(run, "study_id string, kmo double, bartlett_p double, determinant double, avg_r double")
+    # with as many participants as statements or more R is singular and only its mean is left to find
+    rows = S.whole_rows(sorts)
+    large = rows.where(F.col("n") >= F.size("v"))
+    singular = S.spectra(large).select("study_id", F.lit(math.nan).alias("kmo"), F.lit(math.nan).alias("bartlett_p"), F.lit(0.0).alias("determinant"), "avg_r")
+    rest = sorts.join(large.select("study_id").distinct(), "study_id", "left_anti")
+    out = singular.unionByName(rest.groupBy("study_id").applyInPandas(run, "study_id string, kmo double, bartlett_p double, determinant double, avg_r double"))
     k, b = F.col("kmo"), F.col("bartlett_p")
     return out.withColumns({
         "kmo_band": F.when(k.isNull() | F.isnan(k), "Not available").when(k >= 0.9, "Excellent").when(k >= 0.8, "Good").when(k >= 0.7, "Acceptable").when(k >= 0.6, "Mediocre").otherwise("Poor - reconsider analysis"),
@@ -148,18 +180,8 @@ def quality_metrics(sorts: DataFrame) -> DataFrame:
 # --- bootstrap ------------------------------------------------------------------------------------
 
 
-def _weights(a: np.ndarray) -> np.ndarray:
-    c = np.sign(a) * np.clip(np.abs(a), 1e-4, 0.9999)
-    return c / (1 - c * c)
-
-
-def _flags(load: np.ndarray, statements: int, z: float = 1.959963984540054) -> np.ndarray:
-    sq = load**2
-    return (np.abs(load) > z / math.sqrt(statements)) & (sq > sq.sum(axis=1, keepdims=True) - sq)
-
-
 def _zscores(x: np.ndarray, load: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    s = np.where(flags, _weights(load), 0.0).T @ np.nan_to_num(x)
+    s = np.where(flags, S.weights_of(load), 0.0).T @ np.nan_to_num(x)
     sd = s.std(axis=1, ddof=1, keepdims=True)
     z = np.divide(s - s.mean(axis=1, keepdims=True), sd, out=np.zeros_like(s), where=sd > 0)
     z[~flags.any(axis=0)] = np.nan
@@ -171,10 +193,17 @@ def bootstrap(sorts: DataFrame, k: int, replicates: int = 1000, method: str = "p
 
     Participants are drawn with replacement; each replicate is extracted,
     rotated and turned to the original loadings. ``align``: rows are paired
-    with the person drawn ("person") or by position ("positional", as older
-    tools do). Copies of a person are averaged back; people not drawn have no row.
+    with the person drawn ("person"), by position ("positional", as older
+    tools do), or columns are assigned by their sorted curves, as for other
+    people ("curves"). Copies of a person are averaged back; people not drawn have
+    no row. Principal components of whole studies are found from weighted sums, the rest from copies of the packed study.
     """
+    if method == "pca" and align == "person":
+        return S.bootstrap(S.whole_rows(sorts), k, replicates, rotation, seed).unionByName(_bootstrap_packed(S.unwhole_sorts(sorts), k, replicates, method, rotation, seed, align))
+    return _bootstrap_packed(sorts, k, replicates, method, rotation, seed, align)
+
 
+def _bootstrap_packed(sorts: DataFrame, k: int, replicates: int, method: str, rotation: str, seed: int, align: str) -> DataFrame:
     def run(parts):
         studies: dict = {}  # a study's sorts and original solution, found once in each task
         for pdf in parts:
@@ -193,12 +222,12 @@ def bootstrap(sorts: DataFrame, k: int, replicates: int = 1000, method: str = "p
                     continue
                 if np.isnan(load).any():
                     continue
-                load = L.procrustes(load, target[drawn] if align == "person" else target)
-                flags = _flags(load, j)
+                load = L.align_by_curves(load, target) if align == "curves" else L.procrustes(load, target[drawn] if align == "person" else target)
+                flags = S.flagged_loads(load, j)
                 z = _zscores(x[drawn], load, flags)
                 people = np.unique(drawn)
                 mean = np.stack([load[drawn == p].mean(axis=0) for p in people])
-                own = _flags(mean, j)
+                own = S.flagged_loads(mean, j)
                 out.append(pd.DataFrame({"study_id": row.study_id, "b": row.b, "kind": "loading", "item": np.repeat(idx[people], k), "factor": np.tile(np.arange(1, k + 1), len(people)), "value": mean.ravel(), "flagged": own.ravel()}))
                 out.append(pd.DataFrame({"study_id": row.study_id, "b": row.b, "kind": "zscore", "item": np.tile(np.arange(1, j + 1), k), "factor": np.repeat(np.arange(1, k + 1), j), "value": z.ravel(), "flagged": False}))
             if out:
@@ -244,17 +273,16 @@ def rank_range(ci: DataFrame) -> DataFrame:
 
 def original_solution(sorts: DataFrame, k: int, method: str = "pca", rotation: str = "varimax") -> DataFrame:
     """Loadings and z-scores of all participants in the shape of ``bootstrap``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, idx, _ = _matrix(pdf)
-        n, j = x.shape
-        load = L.signed(L.rotate(L.extract(_pairwise_r(x), k, method), rotation))
-        z = _zscores(x, load, _flags(load, j))
-        a = pd.DataFrame({"kind": "loading", "item": np.repeat(idx, k), "factor": np.tile(np.arange(1, k + 1), n), "value": load.ravel()})
-        b = pd.DataFrame({"kind": "zscore", "item": np.tile(np.arange(1, j + 1), k), "factor": np.repeat(np.arange(1, k + 1), j), "value": z.ravel()})
-        return pd.concat([a, b]).assign(study_id=pdf["study_id"].iloc[0])[["study_id", "kind", "item", "factor", "value"]]
-
-    return sorts.groupBy("study_id").applyInPandas(run, "study_id string, kind string, item int, factor int, value double")
+    load = extract(sorts, k, method, rotation)
+    statements = sorts.groupBy("study_id").agg(F.count_distinct("stmt_num").alias("j"))
+    flagged = load.join(statements, "study_id")
+    sq = F.col("loading") * F.col("loading")
+    flag = (F.abs("loading") > S.Z05 / F.sqrt("j")) & (2 * sq > F.sum(sq).over(Window.partitionBy("study_id", "p_idx")))
+    clipped = F.signum("loading") * F.least(F.lit(0.9999), F.greatest(F.lit(1e-4), F.abs("loading")))
+    weights = flagged.select("study_id", "p_idx", "factor", F.when(flag, clipped / (1 - clipped * clipped)).otherwise(0.0).alias("w"), flag.alias("flag"))
+    sums = sorts.select("study_id", "p_idx", "stmt_num", "value").join(weights, ["study_id", "p_idx"]).groupBy("study_id", "factor", F.col("stmt_num").alias("item")).agg(F.sum(F.coalesce("value", F.lit(0.0)) * F.col("w")).alias("wsum"), F.bool_or("flag").alias("any"))
+    z = S.standardised(sums, ["study_id", "factor"], F.col("any"))
+    return load.select("study_id", F.lit("loading").alias("kind"), F.col("p_idx").alias("item"), "factor", F.col("loading").alias("value")).unionByName(z.select("study_id", F.lit("zscore").alias("kind"), "item", "factor", F.col("zscore").alias("value")))
 
 
 def suggested_k(evidence: DataFrame) -> DataFrame:

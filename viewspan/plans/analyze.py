@@ -36,7 +36,7 @@ def solution(sorts: DataFrame, flags: DataFrame, deck: list[int], criterion: str
 def analyze(
     sorts: DataFrame,
     deck: list[int],
-    factors: int,
+    factors: int | None = None,
     extraction: str = "pca",
     rotation: str = "varimax",
     flagging: str = "auto",
@@ -50,8 +50,20 @@ def analyze(
     """The classical query: correlate, extract, rotate, flag, score, characterise, distinguish.
 
     ``flagging``: auto, theoretical (``threshold``, by default the critical loading) or manual.
+    Without ``factors`` each study needs the same number by ``number_of_factors``. A study needs
+    two participants at least, and no more factors than participants can be found.
     """
     statements = sum(deck)
+    fewest = sorts.where("value is not null").groupBy("study_id").agg(F.count_distinct("p_idx").alias("n")).agg(F.min("n")).first()[0]
+    if fewest is None or fewest < 2:
+        raise ValueError("a study needs two participants at least")
+    if factors is None:
+        least, most = X.number_of_factors(sorts).agg(F.min("k"), F.max("k")).first()
+        if least != most:
+            raise ValueError(f"the studies need {least} to {most} factors; analyse them one by one or state a number")
+        factors = min(most, fewest)
+    if factors > fewest:
+        raise ValueError(f"{factors} factors can't be found among {fewest} participants")
     if not 0 < p < 1 or factors < 1 or statements < 3:
         raise ValueError("p must lie between 0 and 1, with at least one factor and three statements")
     loadings = X.extract(sorts, factors, extraction, rotation)

@@ -198,6 +198,31 @@ def eigen_gaps(s, d, k: int = 3):
 query("eigen_gaps", "factor:i gap:d", "select unnest([1, 2, 3]) as factor, 0.0 as gap")(eigen_gaps)
 query("suggested_k", "study_id:s k_parallel:i k_kaiser:i k_two:i")(lambda s, d: X.suggested_k(X.retention_evidence(sorts(s, d))))
 
+
+# --- oblique solutions and what a bootstrap says ------------------------------------------------------------------
+
+
+def oblique_gaps(s, d, rotation: str, k: int = 3):
+    """How far pattern times structure is from each sort's communality before rotation, from factor correlations and loadings computed apart."""
+    both = X.structure(X.extract(sorts(s, d), k, "pca", rotation), X.factor_correlations(sorts(s, d), k, rotation))
+    plain = X.extract(sorts(s, d), k).groupBy("study_id", "p_idx").agg(F.sum(F.col("loading") * F.col("loading")).alias("h2"))
+    return both.groupBy("study_id", "p_idx").agg(F.sum(F.col("loading") * F.col("structure")).alias("again")).join(plain, ["study_id", "p_idx"]).select("p_idx", F.abs(F.col("again") - F.col("h2")).alias("gap"))
+
+
+for _rotation in ("oblimin", "promax"):
+    query(f"factor_correlations_{_rotation}", "f:i g:i phi:d")(lambda s, d, r=_rotation: X.factor_correlations(sorts(s, d), 3, r))
+    query(f"oblique_gaps_{_rotation}", "p_idx:i gap:d", "select distinct p_idx, 0.0 as gap from sorts")(lambda s, d, r=_rotation: oblique_gaps(s, d, r))
+
+
+def original_flags(s, d):
+    load = X.extract(sorts(s, d), 3, "pca", "varimax")
+    return V.flag_auto(load, STATEMENTS)
+
+
+query("bootstrap_success", "study_id:s done:i share:d status:s", "select 'supplier_brand' as study_id, 1000 as done, 1.0 as share, 'ok' as status")(lambda s, d: X.bootstrap_success(Q.replicates(s, d), 1000))
+query("flag_agreement", "study_id:s mean:d sd:d min:d max:d replicates:i")(lambda s, d: X.flag_agreement(Q.replicates(s, d), original_flags(s, d)))
+query("bootstrap_verdict", "factor:i phi:d median_width:d weak:b")(lambda s, d: X.stability_verdict(X.bootstrap_ci(Q.replicates(s, d), X.original_solution(sorts(s, d), 3))))
+
 # --- ladders of K -----------------------------------------------------------------------------------------------
 
 _RUNGS = [("a", 1, True, True, 0.5), ("a", 2, False, True, 0.01), ("a", 3, True, True, 0.4), ("a", 4, True, True, 0.5), ("b", 2, True, False, 0.3), ("b", 3, False, True, 0.99), ("c", 2, True, False, 0.5), ("d", 1, False, True, 0.5), ("d", 2, False, False, 0.01), ("e", 2, False, True, 0.01), ("f", 2, False, False, None)]
