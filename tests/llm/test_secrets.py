@@ -106,3 +106,24 @@ def test_rest_of_a_run(spark, ratios):
     rows = df.orderBy("doc_id").select(S.joined(F.col("secrets")), S.redacted(F.col("text"), F.col("secrets"))).collect()
     assert rows[0][0] == "markov:2:18,hex:18:34,markov:34:50" and set(rows[0][1].replace("[SECRET]", "")) == set("x y")
     assert rows[1][1] == "see my_configuration_secret_[SECRET] end"
+
+
+def test_many_secrets_in_one_text(spark):
+    """Spans in chunks and texts in pages: a text of thousands of keys, beside another of few."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("abcdef0123456789XYZ") for _ in range(22))
+    long = " ".join(f"{rng.choice(('token', 'x', 'é\U0001d504'))} = {key()}{rng.choice((' ', '|', chr(10)))}w" for _ in range(1500))
+    df = spark.createDataFrame([(1, long, 0), (2, "secret=abcdefabcdef12 then", 1)], "doc_id long, text string, _vs_base int")
+    ratios = S.train(S.labelled_samples(spark))
+    out = S.with_secrets(df, ratios, name="found").select("*", S.redacted(F.col("text"), F.col("found")).alias("clean")).collect()
+    assert {r["_vs_base"] for r in out} == {0, 1}
+    for r in out:
+        spans = [(x["start"], x["end"]) for x in r["found"]]
+        assert all(x["s"] == r["text"][x["start"] : x["end"]] for x in r["found"])
+        at, want = 0, ""
+        for start, end in spans:
+            if start >= at:
+                want += r["text"][at:start] + "[SECRET]"
+            at = max(at, end)
+        assert r["clean"] == want + r["text"][at:]
+    assert len(next(r for r in out if r["doc_id"] == 1)["found"]) >= 1500

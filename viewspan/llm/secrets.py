@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, spare
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,38 +101,73 @@ def train(samples: DataFrame) -> list[float]:
     return [round(p["random"][a][b] - p["ordinary"][a][b], 6) for a in range(size) for b in range(size)]
 
 
+#: Code points of a page of a text that is cut up.
+PAGE = 2000
+#: Spans worked on together: arrays grow by so many, so that building one takes time in proportion to its length.
+RUN = 64
+SPANS = "array<struct<start:bigint,kind:int,end:bigint,s:string>>"
+NO_SPANS = f"cast(array() as {SPANS})"
+
+
+def _chunks(spans: Column) -> Column:
+    """``spans`` in arrays of at most ``RUN``."""
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / RUN).cast("int")), lambda c: F.slice(s, c * RUN + 1, F.lit(RUN)))
+    return _let(spans, lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(F.array()))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, end>> of a pattern's matches; ``keep(whole match)`` may drop some."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     rows = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,s:string>>)").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(NO_SPANS).alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["b"])
         end = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("s")))
-        return F.struct(end.alias("at"), (F.when(keep(x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]) if keep else F.concat(acc["out"], one)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("s")))).alias("out"))
+
+    # spans of each chunk from its own beginning, then where chunks begin
+    own = F.transform(_chunks(rows), lambda chunk: F.aggregate(chunk, zero, step))
+    begin = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    begins = lambda o: F.aggregate(o, F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")), begin, lambda a: a["out"])
+    moved = lambda c, at: F.transform(c["out"], lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end"), x["s"].alias("s")))
+    all_of = _let(own, lambda o: F.flatten(F.zip_with(o, begins(o), moved)))
+    return F.when(text.rlike(pattern), F.filter(all_of, lambda x: keep(x["s"])) if keep else all_of).otherwise(F.expr(NO_SPANS))
+
 
-    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,s:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda a: a["out"])).otherwise(none)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _uncovered(run: Column, base: Column) -> Column:
-    """The pieces of the span ``run`` that no span of ``base`` (by start) covers, as spans."""
+def _uncovered(runs: Column, base: Column) -> Column:
+    """The pieces of the spans ``runs`` that no span of ``base`` (by start) covers, as spans."""
 
-    def piece(start, end):
+    def piece(run, start, end):
         return F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end"), run["s"].substr((start - run["start"] + 1).cast("int"), (end - start).cast("int")).alias("s"))
 
-    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    zero = F.struct(run["start"].alias("at"), F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,s:string>>)").alias("out"))
+    touches = lambda run: lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])
+    # of each chunk of base spans the reach, so that a run looks only into chunks that it may touch
+    reach = lambda c: F.struct(F.element_at(c, 1)["start"].alias("start"), F.array_max(F.transform(c, lambda b: b["end"])).alias("end"), c.alias("spans"))
 
-    def step(acc, b):
-        out = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+    def left(run, chunks):
+        near = F.flatten(F.transform(F.filter(chunks, touches(run)), lambda c: F.filter(c["spans"], touches(run))))
+        zero = F.struct(run["start"].alias("at"), F.expr(NO_SPANS).alias("out"))
 
-    last = lambda a: F.when(a["at"] < run["end"], F.concat(a["out"], F.array(piece(a["at"], run["end"])))).otherwise(a["out"])
-    return F.when(F.size(touching) > 0, F.aggregate(touching, zero, step, last)).otherwise(F.array(run))
+        def step(acc, b):
+            out = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(piece(run, acc["at"], b["start"])))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+        last = lambda a: F.when(a["at"] < run["end"], F.concat(a["out"], F.array(piece(run, a["at"], run["end"])))).otherwise(a["out"])
+        return _let(near, lambda t: F.when(F.size(t) > 0, F.aggregate(t, zero, step, last)).otherwise(F.array(run)))
+
+    def left_of_chunk(own, chunks):
+        near = _let(reach(own), lambda r: F.filter(chunks, touches(r)))
+        return _let(near, lambda c: F.flatten(F.transform(own, lambda run: left(run, c))))
+
+    cut = lambda r, b: _let(F.transform(_chunks(b), reach), lambda chunks: F.flatten(F.transform(_chunks(r), lambda own: left_of_chunk(own, chunks))))
+    return _let(runs, lambda r: _let(base, lambda b: F.when(F.size(b) > 0, cut(r, b)).otherwise(r)))
 
 
 def with_secrets(docs: DataFrame, ratios: list[float], text: str = "text", name: str = "secrets") -> DataFrame:
@@ -149,16 +184,17 @@ def with_secrets(docs: DataFrame, ratios: list[float], text: str = "text", name:
     size = len(ALPHABET)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # a literal once the plan is optimised
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_MIN
-    out = docs.withColumn("_vs_base", F.concat(_spans(t, ASSIGN, 0, value), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
-    out = out.withColumn("_vs_opaque", F.flatten(F.transform(_spans(t, OPAQUE, 3), lambda x: _uncovered(x, F.array_sort("_vs_base")))))
+    base, opaque = spare(docs, "_vs_base"), spare(docs, "_vs_opaque")
+    out = docs.withColumn(base, F.sort_array(F.concat(_spans(t, ASSIGN, 0, value), _spans(t, ACCESS, 1), _spans(t, HEX, 2))))
+    out = out.withColumn(opaque, _uncovered(_spans(t, OPAQUE, 3), F.col(base)))
     place = lambda s, i: F.instr(F.lit(ALPHABET), s.substr(i, F.lit(1))) - 1
 
     def total(x):
         pairs = F.sequence(F.lit(1), F.length(x["s"]) - 1)
         return F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.get(table, (place(x["s"], i) * size + place(x["s"], i + 1)).cast("int")))
 
-    out = out.withColumn("_vs_opaque", F.filter("_vs_opaque", lambda x: F.when(F.length(x["s"]) > 1, total(x) >= F.greatest(F.lit(MIN_TOTAL), MIN_RATIO * (F.length(x["s"]) - 1))).otherwise(False)))
-    return out.withColumn(name, F.array_sort(F.concat("_vs_base", "_vs_opaque"))).drop("_vs_base", "_vs_opaque")
+    out = out.withColumn(opaque, F.filter(opaque, lambda x: F.when(F.length(x["s"]) > 1, total(x) >= F.greatest(F.lit(MIN_TOTAL), MIN_RATIO * (F.length(x["s"]) - 1))).otherwise(False)))
+    return out.withColumn(name, F.sort_array(F.concat(base, opaque))).drop(base, opaque)
 
 
 def joined(spans: Column) -> Column:
@@ -169,15 +205,31 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every span, overlapping ones together, replaced by ``mark``; without spans the text itself."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    # what comes before each span that begins after all before it have ended, and after the last one
+    gap_list = "array<struct<start:bigint,end:bigint>>"
+    kept = f"cast(array() as {gap_list})"
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(kept).alias("out"))
 
     def step(acc, x):
-        start, end = x["start"], x["end"]
-        new = F.concat(acc["out"], F.when(start >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), new.alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("start"), x["start"].alias("end")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    # chunk by chunk, so that only the gaps of a chunk are copied at each step
+    def chunk_step(acc, chunk):
+        own = F.aggregate(chunk, F.struct(acc["at"].alias("at"), F.expr(kept).alias("out")), step)
+        return _let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{gap_list}>)").alias("out"))
+    gaps = F.aggregate(_chunks(spans), start, chunk_step, lambda a: F.concat(F.flatten(a["out"]), F.array(F.struct(a["at"].alias("start"), F.length(text).cast("long").alias("end")))))
+    # pieces of the text of bounded length, so that none is searched from the text's beginning
+    pages = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PAGE), F.lit(0))
+
+    def part(pages, g):
+        first = F.floor(g["start"] / PAGE).cast("int")
+        span = F.array_join(F.slice(pages, first + 1, F.floor(F.greatest(g["start"], g["end"] - 1) / PAGE).cast("int") - first + 1), "")
+        return F.when(g["end"] > g["start"], F.substring(span, (g["start"] - first * PAGE + 1).cast("int"), (g["end"] - g["start"]).cast("int"))).otherwise("")
 
-    last = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, last)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(pages, lambda p: F.array_join(F.transform(gaps, lambda g: part(p, g)), mark))).otherwise(text)
 
 
 def secret_scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text: str = "text") -> DataFrame:
