@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from viewspan.llm.suffixes import op2_suffix_dedup, pieces, repeated_windows, suffix_array, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
+from viewspan.llm.suffixes import with_repeats
 
 
 def brute(rows, width):
@@ -91,3 +92,16 @@ def test_whole_table(spark):
     out = got(op2_suffix_dedup(spark, SF))
     assert out == brute(rows, 400)
     assert any(r[2] for r in out)
+
+
+def test_many_equal_rows(spark):
+    """Rows of one id and text, beside a text that holds part of theirs and rows of another id."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    rows = [(1, text)] * 60 + [(2, text[200:700] + "tail"), (3, "short")] + [(3, "short")] * 3 + [(None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as _vs_k1", "8 as _vs_r")
+    out = with_repeats(df).collect()
+    assert len(out) == len(rows) and all((r["_vs_k1"], r["_vs_r"]) == (7, 8) for r in out)
+    for r in out:
+        spans = [(x["start"], x["end"]) for x in r["repeats"]]
+        assert spans == {1: [(0, 1500)], 2: [(0, 500)]}.get(r["doc_id"], [])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, read, stored
+from .common import add_columns, quoted, read, spare, stored
 
 #: Bytes of a string that counts as repeated, and of the k-grams whose least hash names a bucket.
 WIDTH, KGRAM = 400, 32
@@ -397,16 +397,24 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     rows repeat each other's strings. Other columns pass through, whatever
     their names.
     """
-    key = docs.withColumns({"_vs_k1": F.xxhash64(F.col(id_col).cast("string")), "_vs_k2": F.xxhash64(text)})
-    keyed = key.select(F.col("_vs_k1").alias("k1"), F.col("_vs_k2").alias("k2"), F.col(text).alias("t"))
-    ranges = repeated_ranges(keyed, width, kgram, hot_bytes).groupBy(F.col("k1").alias("_vs_k1"), F.col("k2").alias("_vs_k2")).agg(F.collect_list(F.struct("a", "b")).alias("_vs_r"))
-    joined = key.join(ranges, ["_vs_k1", "_vs_k2"], "left").drop("_vs_k1", "_vs_k2")
+    k1, k2, r = (spare(docs, f"_vs_{x}") for x in ("k1", "k2", "r"))
+    key = docs.withColumns({k1: F.xxhash64(F.col(quoted(id_col)).cast("string")), k2: F.xxhash64(quoted(text))})
+    keyed = key.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(quoted(text)).alias("t"))
+    again = stored(keyed.where("t is not null").groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2"))
+    if again.isEmpty():
+        found = repeated_ranges(keyed, width, kgram, hot_bytes)
+    else:  # equal rows are searched once, and all that they hold is repeated
+        once = keyed.join(again, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        found = repeated_ranges(stored(keyed.join(again, ["k1", "k2"], "left_anti").unionByName(once)), width, kgram, hot_bytes)
+        found = found.unionByName(once.select("k1", "k2", F.lit(0).cast("long").alias("a"), (F.octet_length("t") - F.lit(width - 1)).cast("long").alias("b")).where("b > 0"))
+    ranges = found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set(F.struct("a", "b")).alias(r))
+    joined = key.join(ranges, [k1, k2], "left").drop(k1, k2)
 
     def make(batch):
-        return [[_runs(r, width) for r in batch.column(batch.schema.get_field_index("_vs_r")).to_pylist()]]
+        return [[_runs(x, width) for x in batch.column(batch.schema.get_field_index(r)).to_pylist()]]
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return add_columns(joined, [(name, span, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], make).drop("_vs_r")
+    return add_columns(joined, [(name, span, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], make).drop(r)
 
 
 def _runs(ranges, width) -> list[dict]:
