@@ -189,13 +189,6 @@ def ladder(draws: DataFrame, q: float = 0.05) -> DataFrame:
     return f.groupBy(*KEYS).agg(F.count_if(ok).cast("int").alias("supported"), F.bool_and(ok).alias("adequate"), F.sum("n_flags").alias("n_flags"), F.sum("n_dist").alias("n_distinguishing"))
 
 
-def selected_k(rungs: DataFrame, tension: Column | None = None) -> DataFrame:
-    """The smallest adequate K of two or more and the verdict; one factor alone is a single viewpoint, none no shared structure."""
-    s = rungs.groupBy("study_id").agg(F.min(F.when(F.col("adequate") & (F.col("k") >= 2), F.col("k"))).alias("k_star"), F.bool_or((F.col("k") == 1) & F.col("adequate")).alias("one"), F.max("supported").alias("most"))
-    verdict = F.when(F.col("k_star").isNotNull(), "selected").when(F.col("one"), "single_viewpoint").when(F.col("most") > 0, "adequate_but_unsupported").otherwise("no_shared_structure")
-    return s.select("study_id", F.coalesce("k_star", F.when(F.col("one"), 1)).alias("k_star"), verdict.alias("verdict"))
-
-
 def composition(draws: DataFrame, q: float = 0.05) -> DataFrame:
     """Defining sorts of each factor by the sign of their loading; small: fewer than five."""
     s = flag_claims(draws, q).where("claimed").join(summary(draws, "loading").select(*KEYS, "item", "factor", "mean"), [*KEYS, "item", "factor"])

@@ -282,6 +282,8 @@ query("kenq_type1_invert", "participant:s stmt_num:i value:d", "select participa
 
 from ..operators import bayes as B  # noqa: E402
 from ..operators import extraction as X  # noqa: E402
+from ..operators import predictive as P  # noqa: E402
+from ..storage import kept  # noqa: E402
 
 _LOAD = "participant:s factor:i loading:d"
 query("pca_loadings", _LOAD)(lambda s, d: X.extract(sorts(s, d), 5))
@@ -322,13 +324,22 @@ BAYES_KS = [1, 2, 3, 4, 5]
 
 
 def posterior(s, d):
-    return B.draws(sorts(s, d), BAYES_KS)
+    """The draws as a table, sampled once for all queries of a session."""
+    return kept(s, ("draws", d), lambda: B.draws(sorts(s, d), BAYES_KS))
+
+
+def checked(s, d):
+    return kept(s, ("checked", d), lambda: P.checked_draws(posterior(s, d), sorts(s, d)))
 
 
 query("bayes_loadings", "k:i item:i factor:i mean:d sd:d low:d high:d")(lambda s, d: B.summary(posterior(s, d), "loading"))
 query("bayes_zscores", "k:i item:i factor:i mean:d sd:d low:d high:d")(lambda s, d: B.summary(posterior(s, d), "zscore"))
 query("bayes_claims", "k:i item:i factor:i p:d claimed:b expected_false:d")(lambda s, d: B.flag_claims(posterior(s, d)))
 query("bayes_ladder", "k:i supported:i adequate:b n_flags:i n_distinguishing:i")(lambda s, d: B.ladder(posterior(s, d)))
+query("bayes_checks", "k:i n_draws:i agreement_p:d percentile:d paired_p:d worst_statement_p:d adequate:b")(lambda s, d: P.checks(checked(s, d)))
+query("bayes_statement_checks", "k:i place:i p:d")(lambda s, d: P.statement_checks(checked(s, d)))
+query("bayes_rejudged", "q:d verdict:s k_star:i k_fit:i k_support:i k_active:i k_source:s headline:s")(lambda s, d: P.rejudge(posterior(s, d), P.checks(checked(s, d))))
+query("bayes_effective_sizes", "k:i kind:s item:i factor:i ess:d")(lambda s, d: B.effective_sizes(posterior(s, d)))
 query("bayes_convergence", "k:i kind:s worst_rhat:d mean_rhat:d")(lambda s, d: B.convergence(posterior(s, d)))
 
 from . import analyze as N  # noqa: E402
