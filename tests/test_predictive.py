@@ -115,3 +115,31 @@ def test_missing_cells_constant_sorts_and_empty_tables(spark, two):
     assert P.checks(P.checked_draws(draws, sorts.limit(0))).count() == 0
     with pytest.raises(ValueError):
         P.checked_draws(draws, sorts, 0)
+
+
+def test_audit_view_and_overview(spark):
+    from viewspan.functions import linalg as L
+    from viewspan.operators import extraction as X
+    from viewspan.sources import sinks
+
+    x = people(6, 2, 1.0, 4)
+    sorts = as_sorts(spark, {"few": x, "many": people(20, 3, 1.0, 8)}).cache()
+    got = {(r["study_id"], r["p_idx"], r["factor"]): r for r in X.unrotated_wide(sorts, 2).collect()}
+    assert len(got) == 6 * 5 + 20 * 8  # one under the participants, eight at most
+    want = L.signed(L.extract(np.corrcoef(x), 5, "pca"))
+    for i in range(6):
+        for f in range(5):
+            assert got["few", i + 1, f + 1]["loading"] == pytest.approx(want[i, f], abs=1e-8)
+            assert got["few", i + 1, f + 1]["cumulative_h2"] == pytest.approx((want[i, : f + 1] ** 2).sum())
+    assert X.unrotated_wide(sorts, 2, "minres").agg({"factor": "max"}).first()[0] == 2
+    flags = X.extract(sorts, 2, "pca", "varimax").selectExpr("*", "abs(loading) > 0.5 as flagged")
+    rows = {(r["study_id"], r["item"]): r["value"] for r in sinks.overview(sorts, flags, majority=False, exported="now").collect()}
+    assert rows["few", "Sorts"] == "6" and rows["many", "Statements"] == "24" and rows["many", "Factors"] == "2" and rows["few", "Flagging"] == "auto at p < 0.05" and rows["few", "Exported"] == "now"
+
+
+def test_equal_contrasts_go_to_the_first(spark):
+    from viewspan.operators import priorities as R
+
+    rows = [("s", "g", 1, "b", "c", 2.0), ("s", "g", 1, "a", "b", -2.0), ("s", "g", 1, "a", "c", None), ("s", "g", 2, "a", "b", None)]
+    got = R.dunn_top(spark.createDataFrame(rows, "study_id string, attribute string, stmt_num int, level_a string, level_b string, z double")).collect()
+    assert [(r["stmt_num"], r["level_a"], r["level_b"], r["winner"]) for r in got] == [(1, "a", "b", "b")]

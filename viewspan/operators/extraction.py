@@ -43,10 +43,12 @@ def _pairwise_r(x: np.ndarray) -> np.ndarray:
 LOADINGS = "study_id string, participant string, p_idx int, factor int, loading double"
 
 
-def _extract_packed(sorts: DataFrame, k: int, method: str, rotation: str) -> DataFrame:
+def _extract_packed(sorts: DataFrame, k: int, method: str, rotation: str, clip: bool = False) -> DataFrame:
+    """``clip``: a study with too few participants or statements gives the factors that it has."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, idx, names = _matrix(pdf)
-        load = L.signed(L.rotate(L.extract(_pairwise_r(x), k, method), rotation))
+        load = L.signed(L.rotate(L.extract(_pairwise_r(x), min(k, *x.shape) if clip else k, method), rotation))
         n, m = load.shape
         return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "participant": np.repeat(names, m), "p_idx": np.repeat(idx, m), "factor": np.tile(np.arange(1, m + 1), n), "loading": load.ravel()})
 
@@ -61,6 +63,29 @@ def extract(sorts: DataFrame, k: int, method: str = "pca", rotation: str = "none
     return S.loadings(rows, S.solution(rows, k, rotation)).unionByName(_extract_packed(S.unwhole_sorts(sorts), k, method, rotation))
 
 
+#: Unrotated factors shown for the audit, however many are retained.
+WIDE = 8
+
+
+def unrotated_wide(sorts: DataFrame, k: int, method: str = "pca") -> DataFrame:
+    """Unrotated loadings of up to ``WIDE`` factors (one fewer than participants at most, ``k`` at least) with the communality they reach so far.
+
+    Minres isn't fitted again for the view: its ``k`` retained factors stand in. Studies with fewer
+    statements than factors show as many as there are statements.
+    """
+    sizes = sorts.where("value is not null").groupBy("study_id").agg(F.count_distinct("p_idx").alias("n"), F.count_distinct("stmt_num").alias("j"))
+    shown = F.least(F.greatest(F.lit(k), F.least(F.lit(WIDE), F.col("n") - 1)), F.col("j"), F.col("n"))
+    if method == "minres":
+        own = extract(sorts, k, method)
+    else:
+        wide = max(k, WIDE)
+        few = sizes.where(F.least("n", "j") < wide).select("study_id")
+        own = extract(sorts.join(few, "study_id", "left_anti"), wide, method).unionByName(_extract_packed(sorts.join(few, "study_id", "left_semi"), wide, method, "none", clip=True))
+    upto = Window.partitionBy("study_id", "p_idx").orderBy("factor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = own.join(sizes, "study_id").where(F.col("factor") <= shown).select(*own.columns)
+    return out.withColumn("cumulative_h2", F.sum(F.col("loading") * F.col("loading")).over(upto))
+
+
 def factor_correlations(sorts: DataFrame, k: int, rotation: str) -> DataFrame:
     """``(study_id, f, g, phi)``: correlations of rotated principal components of whole studies; pattern times ``phi`` is the structure."""
     return S.factor_correlations(S.solution(S.whole_rows(sorts), k, rotation))

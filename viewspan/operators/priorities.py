@@ -127,8 +127,8 @@ def dunn(sorts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def dunn_top(contrasts: DataFrame) -> DataFrame:
-    """The strongest contrast of each statement and the level that is higher in it."""
-    best = contrasts.groupBy(*BY).agg(F.max_by(F.struct("level_a", "level_b", "z"), F.struct(F.abs("z"), F.lit(0))).alias("b"))
+    """The strongest contrast of each statement and the level that is higher in it; of equally strong ones the first by name."""
+    best = contrasts.where("z is not null").groupBy(*BY).agg(F.min_by(F.struct("level_a", "level_b", "z"), F.struct(-F.abs("z"), "level_a", "level_b")).alias("b"))
     return best.select(*BY, "b.level_a", "b.level_b", "b.z", F.when(F.col("b.z") > 0, F.col("b.level_a")).otherwise(F.col("b.level_b")).alias("winner"))
 
 
@@ -209,54 +209,11 @@ def permanova_test(sorts: DataFrame, groups: DataFrame, permutations: int = 9999
 # --- tests with p-values and labels ---------------------------------------------------------------
 
 
-def format_q(q: Column) -> Column:
-    return F.when(q.isNull(), "NA").when(q < 0.001, "<0.001").when(q < 0.01, F.format_string("%.3f", q)).otherwise(F.format_string("%.2f", q))
-
-
 def group_tests(sorts: DataFrame, groups: DataFrame, gates: DataFrame, ordinal: list[str] = (), q: float = 0.05) -> DataFrame:
-    """One test for each statement and attribute: two levels Mann-Whitney, ordinal linear-by-linear, else Kruskal-Wallis.
+    """``comparisons.compare_groups`` with the shift of two levels as ``hl``, ``hl_low``, ``hl_high``: the same tests, draws, contrasts and labels."""
+    from .comparisons import compare_groups
 
-    BH over each attribute's statements; flagged needs the attribute's gate
-    (``gates(study_id, attribute, passed)``). ``groups`` are usable levels.
-    """
-    is_ordinal = list(ordinal)
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        levels = sorted(pdf["level"].unique())
-        parts = [pdf.loc[pdf["level"] == v, "value"].to_numpy(float) for v in levels]
-        attribute = pdf["attribute"].iloc[0]
-        low = high = est = math.nan
-        direction = ""
-        if len(levels) == 2:
-            t = stats.mann_whitney(*parts)
-            est, low, high = stats.hodges_lehmann_two(*parts)
-            name, effect, p = "mann_whitney", t["ps"], t["p"]
-            direction = "" if math.isnan(effect) or effect == 0.5 else f"{levels[0] if effect > 0.5 else levels[1]} higher"
-        elif attribute in is_ordinal:
-            x = np.concatenate([np.full(len(v), i, float) for i, v in enumerate(parts)])
-            y = np.concatenate(parts)
-            constant = x.std() == 0 or y.std() == 0
-            r = math.nan if constant else float(np.corrcoef(x, y)[0, 1])
-            name, effect, p = "linear_by_linear", r, math.nan if constant else stats.norm_sf2(r * math.sqrt(len(x) - 1))
-            direction = "" if constant else ("Rises" if r > 0 else "Falls") + f" with {attribute}"
-        else:
-            t = stats.kruskal(parts)
-            name, effect, p = "kruskal_wallis", t["eps2"], t["p"]
-            direction = f"{levels[int(np.argmax([stats.mid_ranks(np.concatenate(parts))[np.repeat(np.arange(len(parts)), [len(v) for v in parts]) == i].mean() for i in range(len(parts))]))]} highest" if len(parts) > 1 else ""
-        return pd.DataFrame([{"study_id": pdf["study_id"].iloc[0], "attribute": attribute, "stmt_num": pdf["stmt_num"].iloc[0], "test": name, "n_levels": len(levels), "effect": effect, "hl": est, "hl_low": low, "hl_high": high, "p": p, "direction": direction}])
-
-    schema = "study_id string, attribute string, stmt_num int, test string, n_levels int, effect double, hl double, hl_low double, hl_high double, p double, direction string"
-    out = _grouped(sorts, groups).groupBy(*BY).applyInPandas(test, schema)
-    out = with_bh(out.withColumn("p", F.when(~F.isnan("p"), F.col("p"))), "p", ["study_id", "attribute"]).join(gates.select("study_id", "attribute", "passed"), ["study_id", "attribute"], "left")
-    flagged = F.coalesce((F.col("p_adj") <= q) & F.col("passed"), F.lit(False))
-    label = (
-        F.when(~F.coalesce("passed", F.lit(True)), "No overall group difference")
-        .when(F.col("p").isNull(), "Not testable (no variation)")
-        .when(~flagged, "No evidence of a difference")
-        .when(F.col("test") == "mann_whitney", F.concat("direction", F.lit(" (P = "), F.format_string("%.2f", F.greatest(F.col("effect"), 1 - F.col("effect"))), F.lit(", q = "), format_q(F.col("p_adj")), F.lit(")")))
-        .otherwise(F.concat("direction", F.lit(" (q = "), format_q(F.col("p_adj")), F.lit(")")))
-    )
-    return out.withColumn("flagged", flagged).withColumn("label", label)
+    return compare_groups(sorts, groups, gates, ordinal, q).withColumnsRenamed({"hl_shift": "hl", "hl_lower": "hl_low", "hl_upper": "hl_high"})
 
 
 # --- concordance and rankings ---------------------------------------------------------------------

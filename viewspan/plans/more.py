@@ -12,6 +12,7 @@ from ..operators import extraction as X
 from ..operators import factors as V
 from ..operators import plotdata as G
 from ..operators import priorities as R
+from ..sources import sinks as K
 from ..operators.study import DECK, STATEMENTS, modal_deck, preview, supplier_attributes
 from . import queries as Q
 from .queries import flags, groups, numbers, only, pairs, query, scores, sed, sorts, viewpoints
@@ -225,19 +226,19 @@ query("bootstrap_verdict", "factor:i phi:d median_width:d weak:b")(lambda s, d:
 
 # --- ladders of K -----------------------------------------------------------------------------------------------
 
-_RUNGS = [("a", 1, True, True, 0.5), ("a", 2, False, True, 0.01), ("a", 3, True, True, 0.4), ("a", 4, True, True, 0.5), ("b", 2, True, False, 0.3), ("b", 3, False, True, 0.99), ("c", 2, True, False, 0.5), ("d", 1, False, True, 0.5), ("d", 2, False, False, 0.01), ("e", 2, False, True, 0.01), ("f", 2, False, False, None)]
-
-
 def rungs(s, d):
-    return s.createDataFrame(_RUNGS, "study_id string, k int, adequate boolean, supported boolean, percentile double")
+    """Rungs of ladders by nation, read off its customers: K by remainders of their keys, percentile and support by their balances."""
+    c = s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("study_id"), (F.col("c_custkey") % 5 + 1).cast("int").alias("k"), F.col("c_acctbal").cast("double").alias("v"))
+    out = c.groupBy("study_id", "k").agg((F.count_if(F.col("v") < 800) / F.count("*")).alias("percentile"), (F.avg("v") > 4500).alias("supported"))
+    return out.withColumn("adequate", F.col("percentile").between(*B.ADEQUATE))
 
 
-_VALUES = ", ".join(f"('{a}', {k}, {str(b).lower()}, {str(c).lower()}, {p if p is not None else 'null'})" for a, k, b, c, p in _RUNGS)
+_CUSTOMERS = "(select *, percentile between 0.05 and 0.95 as adequate from (select 'n' || c_nationkey as study_id, (c_custkey % 5 + 1)::int as k, count(*) filter (c_acctbal < 800) / count(*)::double as percentile, avg(c_acctbal::double) > 4500 as supported from customer group by all))"
 _VERDICT = f"""(select study_id, k_star, case when k_star is not null then 'selected' when k_fit is not null and k_support is not null then 'tension' when k_fit is not null then 'adequate_but_unsupported' when one then 'single_viewpoint' when k_support is not null then 'no_adequate_rung' else 'no_shared_structure' end as verdict, coalesce(k_star, k_fit, k_support, 1) as k_reported
-  from (select study_id, min(k) filter (k >= 2 and adequate and supported) as k_star, min(k) filter (k >= 2 and adequate) as k_fit, max(k) filter (k >= 2 and supported) as k_support, bool_or(k = 1 and supported) as one from (values {_VALUES}) v(study_id, k, adequate, supported, percentile) group by 1))"""
+  from (select study_id, min(k) filter (k >= 2 and adequate and supported) as k_star, min(k) filter (k >= 2 and adequate) as k_fit, max(k) filter (k >= 2 and supported) as k_support, bool_or(k = 1 and supported) as one from {_CUSTOMERS} group by 1))"""
 query("ladder_verdicts", "study_id:s verdict:s k_star:i k_reported:i", f"select * from {_VERDICT}")(lambda s, d: B.verdicts(rungs(s, d)))
 query("ladder_evidence", "study_id:s k:i in_band:b status:s", f"""select study_id, k, coalesce(percentile between 0.05 and 0.95, false) as in_band, case when k = k_reported and k = k_star then 'Reported · model''s pick' when k = k_reported then 'Reported' when k = k_star then 'model''s pick' when k > 1 and not supported then 'support incomplete at q = 0.05' when not coalesce(percentile between 0.05 and 0.95, false) then 'outside the adequate band' else '' end as status
-  from (values {_VALUES}) v(study_id, k, adequate, supported, percentile) join {_VERDICT} using (study_id)""")(lambda s, d: B.ladder_evidence(rungs(s, d), B.verdicts(rungs(s, d))))
+  from {_CUSTOMERS} join {_VERDICT} using (study_id)""")(lambda s, d: B.ladder_evidence(rungs(s, d), B.verdicts(rungs(s, d))))
 query("composition_full", "factor:i n_flagged:i n_positive:i n_negative:i n_unclassified:i n_sorts:i small:b", "select factor, count(*) filter (flagged) as n_flagged, count(*) filter (flagged and loading > 0) as n_positive, count(*) filter (flagged and loading < 0) as n_negative, (select count(*) from (select participant from flags group by 1 having not bool_or(flagged))) as n_unclassified, count(*) as n_sorts, count(*) filter (flagged) < 5 or coalesce((select composite_reliability from chars c where c.factor = f.factor) < 0.5, false) as small from flags f group by 1", ("flags", "chars"))(lambda s, d: B.full_composition(flags(s, d), V.characteristics(flags(s, d))))
 query("statement_roles", "factor:i stmt_num:i score:i role:s", "select factor, s.stmt_num, score, coalesce(d.names, case when consensus_level = 'strict' then 'consensus' end, '') as role from scores s left join (select stmt_num, 'distinguishing ' || string_agg('F' || factor, ', ' order by factor) as names from per where least >= 1 group by 1) d using (stmt_num) join class using (stmt_num)", ("scores", "per", "class"))(lambda s, d: B.statement_roles(scores(s, d), V.distinguishing(pairs(s, d)), V.statement_class(scores(s, d), pairs(s, d)).where("consensus_level = 'strict'")))
 query("person_check", "participant:s nearest:i r:d n_flags:i stands_apart:b", f"""select participant, nearest, r, n_flags, abs(r) < 0.3 as stands_apart from (select participant, arg_max(factor, struct_pack(a := abs(r), f := -factor)) as nearest, arg_max(r, struct_pack(a := abs(r), f := -factor)) as r from (select participant, z.factor, {corr('value', 'zscore')} as r from sorts join scores z using (stmt_num) group by 1, 2) group by 1) join (select participant, count(*) filter (flagged) as n_flags from flags group by 1) using (participant)""", ("sorts", "scores", "flags"))(lambda s, d: B.person_check(sorts(s, d), flags(s, d), scores(s, d)))
@@ -252,3 +253,10 @@ def ungated(s, d):
 
 query("priorities_labels", "stmt_num:i rank:i neutral_label:s")(lambda s, d: M.ranked_with_labels(R.ranked_table(sorts(s, d), DECK), R.neutral_tests(sorts(s, d), DECK), ungated(s, d)))
 query("verdict_line", "study_id:s top_statement:i by_attribute:s line:s")(lambda s, d: M.verdict_line(R.ranked_table(sorts(s, d), DECK), R.neutral_tests(sorts(s, d), DECK), ungated(s, d), R.kendall_w(sorts(s, d))))
+
+
+# --- the factor workbook's overview and its audit view ---------------------------------------------------------------
+
+_ITEMS = "(values (1, 'Project', 'supplier_brand'), (2, 'Statements', (select count(distinct stmt_num)::varchar from sorts)), (3, 'Sorts', (select count(distinct participant)::varchar from sorts)), (4, 'Factors', (select count(distinct factor)::varchar from flags)), (5, 'Extraction', 'pca'), (6, 'Rotation', 'varimax'), (7, 'Correlation', 'pearson'), (8, 'Flagging', 'auto at p < 0.05, majority of common variance'), (9, 'Exported', '2026-01-01 00:00')) v(place, item, value)"
+query("workbook_overview", "study_id:s place:i item:s value:s", f"select 'supplier_brand' as study_id, * from {_ITEMS}", ("sorts", "flags"))(lambda s, d: K.overview(sorts(s, d), flags(s, d), exported="2026-01-01 00:00"))
+query("unrotated_wide", "participant:s factor:i loading:d cumulative_h2:d")(lambda s, d: X.unrotated_wide(sorts(s, d), 3))

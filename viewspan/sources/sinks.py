@@ -8,22 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlation as C
+from ..operators import extraction as X
 from ..operators import factors as V
 from .xlsx import write_workbook
 
 
-def factor_tables(sorts: DataFrame, flags: DataFrame, deck: list[int], statements: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of a factor solution by the names of a workbook's sheets, in their order; factors are rows, so there is one table of each kind."""
+def overview(sorts: DataFrame, flags: DataFrame, extraction: str = "pca", rotation: str = "varimax", correlation: str = "pearson", p: float = 0.05, majority: bool = True, exported: str | None = None) -> DataFrame:
+    """What each study is and how it was analysed: ``(study_id, place, item, value)``; ``exported`` is the time now unless stated."""
+    size = sorts.groupBy("study_id").agg(F.count_distinct("stmt_num").alias("j"), F.count_distinct("participant").alias("n")).join(flags.groupBy("study_id").agg(F.count_distinct("factor").alias("k")), "study_id")
+    flagging = f"auto at p < {p:.2f}" + (", majority of common variance" if majority else "")
+    when = F.lit(exported) if exported else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm")
+    items = {"Project": F.col("study_id"), "Statements": F.col("j"), "Sorts": F.col("n"), "Factors": F.col("k"), "Extraction": F.lit(extraction), "Rotation": F.lit(rotation), "Correlation": F.lit(correlation), "Flagging": F.lit(flagging), "Exported": when}
+    rows = F.array(*[F.struct(F.lit(name).alias("item"), value.cast("string").alias("value")) for name, value in items.items()])
+    return size.select("study_id", F.posexplode(rows).alias("at", "row")).select("study_id", (F.col("at") + 1).alias("place"), "row.item", "row.value")
+
+
+def factor_tables(sorts: DataFrame, flags: DataFrame, deck: list[int], statements: DataFrame | None = None, factors: int | None = None, extraction: str = "pca", **about) -> dict[str, DataFrame]:
+    """The tables of a factor solution by the names of a workbook's sheets, in their order; factors are rows, so there is one table of each kind.
+
+    ``about``: the other settings of ``overview``. ``factors``: how many were retained, counted in ``flags`` unless stated.
+    """
+    wide = X.unrotated_wide(sorts, factors or flags.agg(F.max("factor")).first()[0], extraction)
     corr = C.pearson(sorts)
     scores = V.factor_scores(sorts, flags, deck)
     chars = V.characteristics(flags)
     sed = V.sed_matrix(chars)
     pairs = V.pairwise(scores, sed)
-    out = {"Statements": statements} if statements is not None else {}
+    out = {"Overview": overview(sorts, flags, extraction, **about)} | ({"Statements": statements} if statements is not None else {})
     return out | {
         "Q sorts": sorts,
         "Correlations": corr,
-        "Cumulative communalities": V.cumulative_communalities(flags),
+        "Unrotated loadings": wide.drop("cumulative_h2"),
+        "Cumulative communalities": wide.drop("loading"),
         "Loadings": flags.join(V.communalities(flags), V.PERSON),
         "Loadings by factor": V.loading_order(flags),
         "Sort descriptives": C.sort_descriptives(sorts),
