@@ -143,3 +143,29 @@ def test_equal_contrasts_go_to_the_first(spark):
     rows = [("s", "g", 1, "b", "c", 2.0), ("s", "g", 1, "a", "b", -2.0), ("s", "g", 1, "a", "c", None), ("s", "g", 2, "a", "b", None)]
     got = R.dunn_top(spark.createDataFrame(rows, "study_id string, attribute string, stmt_num int, level_a string, level_b string, z double")).collect()
     assert [(r["stmt_num"], r["level_a"], r["level_b"], r["winner"]) for r in got] == [(1, "a", "b", "b")]
+
+
+def test_queries_share_the_stored_draws(spark, monkeypatch):
+    """The registered queries over one table of draws, here of short chains: sampled once, and again where the table is gone."""
+    from viewspan import storage
+    from viewspan.plans import queries as Q
+
+    d, calls, real = "/root/testdata/sf0.001", [], B.draws
+
+    def short(sorts, ks, **_):
+        calls.append(ks)
+        return real(sorts, ks[:3], iterations=140, burn=40, thin=2)
+
+    monkeypatch.setattr(B, "draws", short)
+    monkeypatch.setattr(storage, "_PATHS", {})
+    checks = Q.QUERIES["bayes_checks"].run(spark, d).collect()
+    assert [r["k"] for r in sorted(checks)] and {r["n_draws"] for r in checks} == {2 * 5} and all(0 <= r["percentile"] <= 1 for r in checks)
+    judged = Q.QUERIES["bayes_rejudged"].run(spark, d).collect()
+    assert len(judged) == len(B.LENSES) and all(r["headline"] for r in judged)
+    assert Q.QUERIES["bayes_statement_checks"].run(spark, d).count() == 3 * 25
+    assert Q.QUERIES["bayes_effective_sizes"].run(spark, d).where("ess <= 0 or ess is null").count() == 0
+    assert Q.QUERIES["bayes_ladder"].run(spark, d).count() == 3
+    assert len(calls) == 1
+    monkeypatch.setattr(storage, "_there", lambda *_: False)
+    Q.QUERIES["bayes_loadings"].run(spark, d)
+    assert len(calls) == 2
