@@ -256,19 +256,101 @@ def procrustes(loadings: np.ndarray, target: np.ndarray) -> np.ndarray:
     return loadings @ vt.T @ u.T
 
 
+def assignment(score: np.ndarray) -> np.ndarray:
+    """For each row of a square matrix the column that makes the sum of the chosen entries largest: shortest augmenting paths over reduced costs."""
+    n = len(score)
+    cost = score.max() - score
+    row_price, column_price = np.zeros(n), np.zeros(n)
+    column_of, row_of = np.full(n, -1), np.full(n, -1)
+    for start in range(n):
+        reach, came, done = np.full(n, np.inf), np.full(n, start), np.zeros(n, bool)
+        row, length = start, 0.0
+        while True:
+            path = length + cost[row] - row_price[row] - column_price
+            shorter = ~done & (path < reach)
+            reach[shorter], came[shorter] = path[shorter], row
+            end = int(np.where(done, np.inf, reach).argmin())
+            length = reach[end]
+            if row_of[end] < 0:
+                break
+            done[end] = True
+            row = row_of[end]
+        row_price[start] += length
+        row_price[row_of[done]] += length - reach[done]
+        column_price[done] -= length - reach[done]
+        while end >= 0:
+            row = came[end]
+            row_of[end] = row
+            column_of[row], end = end, column_of[row]
+    return column_of
+
+
+def signed_turn(c: np.ndarray) -> np.ndarray:
+    """The signed permutation T for which the columns of ``loadings @ T`` are most like the target's, from likenesses ``c`` (target's columns by the others)."""
+    c = np.nan_to_num(c)
+    k = len(c)
+    column_of = assignment(np.abs(c))
+    turn = np.zeros((k, k))
+    turn[column_of, np.arange(k)] = np.where(c[np.arange(k), column_of] < 0, -1.0, 1.0)
+    return turn
+
+
+def cosines(target: np.ndarray, loadings: np.ndarray) -> np.ndarray:
+    size = np.outer(np.sqrt((target**2).sum(axis=0)), np.sqrt((loadings**2).sum(axis=0)))
+    c = target.T @ loadings
+    return np.divide(c, size, out=np.zeros_like(c), where=size > 0)
+
+
+#: Points of a sorted column that stand for its curve.
+CURVE = np.linspace(0, 1, 50)
+
+
+def curve_turn(target: np.ndarray, curves: np.ndarray) -> np.ndarray:
+    """The signed permutation by curves (``CURVE`` quantiles, a row each): a mirrored column has its curve read backwards and negated."""
+    k = len(target)
+    r = lambda x, y: float(np.corrcoef(x, y)[0, 1]) if np.ptp(x) > 0 and np.ptp(y) > 0 else 0.0
+    c = np.zeros((k, k))
+    for j in range(k):
+        for i in range(k):
+            plain, mirrored = r(target[j], curves[i]), r(target[j], -curves[i][::-1])
+            # -1..1 moved to 0..1, so that a mirrored column is one of negative likeness
+            c[j, i] = 1 + plain if plain >= mirrored else -1 - mirrored
+    return signed_turn(c)
+
+
 def align_by_curves(loadings: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """For different people: columns matched greedily by their sorted curves, with signs."""
-    k = target.shape[1]
-    at = np.linspace(0, 1, 50)
-    curve = lambda x: np.interp(at, np.linspace(0, 1, len(x)), np.sort(x))
-    c = np.array([[np.corrcoef(curve(s * loadings[:, i]), curve(target[:, j]))[0, 1] for s in (1, -1) for i in range(k)] for j in range(k)])
-    out, used = np.zeros_like(loadings), set()
-    for flat in np.argsort(-c, axis=None):
-        j, i = divmod(int(flat), 2 * k)
-        if j not in {x for x, _ in used} and i % k not in {y for _, y in used}:
-            used.add((j, i % k))
-            out[:, j] = loadings[:, i % k] * (1 if i < k else -1)
-    return out
+    """For different people: columns assigned by their sorted curves, with signs."""
+    return loadings @ curve_turn(np.quantile(target, CURVE, axis=0).T, np.quantile(loadings, CURVE, axis=0).T)
+
+
+def align_people(loadings: np.ndarray, people: np.ndarray, target: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """``loadings`` of ``people`` turned to ``target`` of ``targets``: by those in both, each once, where they are more than the columns, else by curves."""
+    _, i, j = np.intersect1d(people, targets, return_indices=True)
+    if len(i) <= target.shape[1]:
+        return align_by_curves(loadings, target)
+    u, _, vt = np.linalg.svd(target[j].T @ loadings[i])
+    return loadings @ vt.T @ u.T
+
+
+def match_align(loadings: list[np.ndarray], reference: np.ndarray) -> list[np.ndarray]:
+    """A turn for each of many draws of the same loadings that differ in rotation, labels and signs.
+
+    Each draw is turned by varimax; its columns are then assigned, with signs,
+    to those of a pivot, the draw of median condition number. The pivot's own
+    labels are those of ``reference``, so that chains meet.
+    """
+    k = reference.shape[1]
+    if k < 2:
+        return [np.where((reference.T @ x) < 0, -1.0, 1.0) for x in loadings]
+    turns, last = [], np.eye(k)
+    for x in loadings:
+        last = last @ varimax(x @ last)[1]  # from the turn before, which is near
+        turns.append(last)
+    conditions = np.array([np.linalg.cond(x) for x in loadings])
+    at = int(np.argsort(conditions, kind="stable")[(len(loadings) - 1) // 2])
+    pivot = loadings[at] @ turns[at]
+    pivot = pivot @ signed_turn(cosines(reference, pivot))
+    return [t @ signed_turn(cosines(pivot, x @ t)) for x, t in zip(loadings, turns, strict=True)]
 
 
 def kmo(r: np.ndarray) -> float:

@@ -70,13 +70,13 @@ def _latents(y, mean, columns, rng):
 
 
 def sample(x: np.ndarray, k: int, iterations: int, burn: int, thin: int, seed, sigma: float = 1.0):
-    """(loadings, scores) draws of one chain, aligned to its first kept solution."""
+    """(loadings, scores) draws of one chain, each turned by varimax and matched, column by column, to the chain's pivot (``linalg.match_align``)."""
     rng = np.random.default_rng(seed)
     n, j = x.shape
     y = np.stack([np.argsort(np.argsort(r + 1e-6 * rng.random(j))) for r in x]).astype(float)
     y = (y - y.mean(1, keepdims=True)) / y.std(1, keepdims=True)
     load = L.rotate(L.pca(L.correlation(x), k)[0], "varimax")
-    kept, target, columns = [], load, _columns(x)
+    kept, reference, columns = [], load, _columns(x)
     f = np.linalg.lstsq(load, y, rcond=None)[0]
     for it in range(iterations):
         y = _latents(y, load @ f, columns, rng)
@@ -89,11 +89,9 @@ def sample(x: np.ndarray, k: int, iterations: int, burn: int, thin: int, seed, s
         scale = f.std(axis=1, ddof=1)
         f, load = f / scale[:, None], load * scale
         if it >= burn and (it - burn) % thin == 0:
-            h = load / np.sqrt(1 + (load**2).sum(axis=1, keepdims=True))
-            u, _, vt = np.linalg.svd(target.T @ h)
-            turn = vt.T @ u.T
-            kept.append((h @ turn, turn.T @ f))
-    return kept
+            kept.append((load / np.sqrt(1 + (load**2).sum(axis=1, keepdims=True)), f))
+    turns = L.match_align([h for h, _ in kept], reference)
+    return [(h @ t, t.T @ f) for (h, f), t in zip(kept, turns, strict=True)]
 
 
 def draws(sorts: DataFrame, ks: list[int], chains: int = 2, iterations: int = ITERATIONS, burn: int = BURN, thin: int = THIN, seed: int = SEED) -> DataFrame:
@@ -130,17 +128,20 @@ def summary(draws: DataFrame, kind: str) -> DataFrame:
 
 
 def convergence(draws: DataFrame) -> DataFrame:
-    """Split-free R-hat of each parameter and the worst of each K."""
+    """Split-free R-hat of each parameter and the worst of each K; none of a parameter that never moves."""
     per = draws.groupBy(*KEYS, "kind", "item", "factor", "chain").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     r = per.groupBy(*KEYS, "kind", "item", "factor").agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.min("n").alias("n"))
     rhat = F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.coalesce("b", F.lit(0.0))) / F.col("w"))
-    return r.withColumn("rhat", rhat).groupBy(*KEYS, "kind").agg(F.max("rhat").alias("worst_rhat"), F.avg("rhat").alias("mean_rhat"))
+    return r.withColumn("rhat", F.when(F.col("w") > 0, rhat)).groupBy(*KEYS, "kind").agg(F.max("rhat").alias("worst_rhat"), F.avg("rhat").alias("mean_rhat"))
 
 
-def fdr_claims(claims: DataFrame, q: float, by: list[str]) -> DataFrame:
-    """One posterior error rule: in falling probability ``p``, claims are made while the mean of 1 - p stays within ``q``; ``expected_false`` counts them."""
-    upto = Window.partitionBy(*by).orderBy(F.desc("p"), "item", "factor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = claims.withColumn("_m", F.avg(1 - F.col("p")).over(upto)).withColumn("claimed", F.col("_m") <= q)
+def fdr_claims(claims: DataFrame, q: float, by: list[str], ties: tuple[str, ...] = ("item", "factor")) -> DataFrame:
+    """One posterior error rule: in falling probability ``p``, claims are made while the mean of 1 - p stays within ``q``; ``expected_false`` counts them.
+
+    Probabilities are shares of draws, so means that differ by rounding alone count as equal. Equal probabilities are taken in the order of ``ties``, which must tell all claims apart.
+    """
+    upto = Window.partitionBy(*by).orderBy(F.desc("p"), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = claims.withColumn("_m", F.round(F.avg(1 - F.col("p")).over(upto), 12)).withColumn("claimed", F.col("_m") <= q)
     return out.withColumn("expected_false", F.sum(F.when(F.col("claimed"), 1 - F.col("p")).otherwise(0.0)).over(upto)).drop("_m")
 
 
@@ -169,6 +170,28 @@ def consensus_claims(draws: DataFrame, q: float = 0.05, width: float = 0.75) ->
     return fdr_claims(p, q, KEYS)
 
 
+def star_claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
+    """Pairs of factors that a statement tells apart: the larger probability of one score above the other; ``diff`` is its posterior mean.
+
+    A draw's scores of a statement are one array of K values, so pairs are made of K values and never by a join of draws.
+    """
+    by = draws.where("kind = 'zscore' and k >= 2").groupBy(*KEYS, "chain", "draw", "item").agg(F.array_sort(F.collect_list(F.struct("factor", "value"))).alias("z"))
+    pairs = F.flatten(F.transform("z", lambda a: F.transform(F.filter("z", lambda b: b["factor"] > a["factor"]), lambda b: F.struct(a["factor"].alias("factor"), b["factor"].alias("other"), (a["value"] - b["value"]).alias("diff")))))
+    each = by.select(*KEYS, "item", F.inline(pairs))
+    p = F.greatest(F.avg((F.col("diff") > 0).cast("double")), F.avg((F.col("diff") < 0).cast("double")))
+    return fdr_claims(each.groupBy(*KEYS, "item", "factor", "other").agg(F.avg("diff").alias("diff"), p.alias("p")), q, KEYS, ("item", "factor", "other"))
+
+
+def claim_families(draws: DataFrame, q: float = 0.05) -> DataFrame:
+    """``(study_id, k, family, n, claimed, expected_false)``: how many claims of each of the four families are made at ``q`` and how many of them are expected to be false."""
+    families = {"flags": flag_claims, "distinguishing": distinguishing_claims, "consensus": consensus_claims, "stars": star_claims}
+    out = None
+    for name, of in families.items():
+        one = of(draws, q).groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if("claimed").alias("claimed"), F.sum(F.when(F.col("claimed"), 1 - F.col("p")).otherwise(0.0)).alias("expected_false")).select(*KEYS, F.lit(name).alias("family"), "n", "claimed", "expected_false")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
     """``flag_claims`` (kind loading) and ``distinguishing_claims`` (kind zscore) from one reading of the draws, so that they are sampled once.
 
@@ -204,11 +227,11 @@ def to_flags(draws: DataFrame, k: int, sorts: DataFrame, q: float = 0.05) -> Dat
 
 
 def unspanned_clusters(corr: DataFrame, unspanned: DataFrame) -> DataFrame:
-    """Pairs of unspanned people ``(study_id, p_idx)`` who are each other's nearest."""
+    """Pairs of unspanned people ``(study_id, p_idx)`` who are each other's nearest; r is compared to 12 places, of equal ones the least p_idx is taken."""
     a = unspanned.select("study_id", F.col("p_idx").alias("p_i"))
     both = corr.select("study_id", "p_i", "p_j", "r").union(corr.select("study_id", F.col("p_j"), F.col("p_i"), "r"))
     near = both.join(a, ["study_id", "p_i"]).join(unspanned.select("study_id", F.col("p_idx").alias("p_j")), ["study_id", "p_j"])
-    best = near.groupBy("study_id", "p_i").agg(F.max_by("p_j", F.struct("r", -F.col("p_j"))).alias("p_j"))
+    best = near.groupBy("study_id", "p_i").agg(F.max_by("p_j", F.struct(F.round("r", 12), -F.col("p_j"))).alias("p_j"))
     back = best.select("study_id", F.col("p_j").alias("p_i"), F.col("p_i").alias("p_j"))
     return best.join(back, ["study_id", "p_i", "p_j"]).where("p_i < p_j")
 

@@ -213,16 +213,27 @@ def _zscores(x: np.ndarray, load: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return z
 
 
+#: How a replicate's loadings of the people ``drawn`` are turned to those of the original.
+ALIGNMENTS = {
+    "person": lambda load, target, drawn: L.procrustes(load, target[drawn]),
+    "names": lambda load, target, drawn: L.align_people(load, drawn, target, np.arange(len(target))),
+    "positional": lambda load, target, drawn: L.procrustes(load, target),
+    "curves": lambda load, target, drawn: L.align_by_curves(load, target),
+}
+
+
 def bootstrap(sorts: DataFrame, k: int, replicates: int = 1000, method: str = "pca", rotation: str = "varimax", seed: int = 42, align: str = "person") -> DataFrame:
     """Replicates as long rows ``(study_id, b, kind, item, factor, value, flagged)``; kind is loading (item: p_idx) or zscore (item: stmt_num).
 
     Participants are drawn with replacement; each replicate is extracted,
     rotated and turned to the original loadings. ``align``: rows are paired
-    with the person drawn ("person"), by position ("positional", as older
-    tools do), or columns are assigned by their sorted curves, as for other
-    people ("curves"). Copies of a person are averaged back; people not drawn have
+    with the person drawn ("person") or that person once, however often drawn
+    ("names"), by position ("positional", as older tools do), or columns are
+    assigned by their sorted curves, as for other people ("curves"). Copies of a person are averaged back; people not drawn have
     no row. Principal components of whole studies are found from weighted sums, the rest from copies of the packed study.
     """
+    if align not in ALIGNMENTS:
+        raise ValueError(f"{align}: one of {', '.join(ALIGNMENTS)}")
     if method == "pca" and align == "person":
         return S.bootstrap(S.whole_rows(sorts), k, replicates, rotation, seed).unionByName(_bootstrap_packed(S.unwhole_sorts(sorts), k, replicates, method, rotation, seed, align))
     return _bootstrap_packed(sorts, k, replicates, method, rotation, seed, align)
@@ -247,7 +258,7 @@ def _bootstrap_packed(sorts: DataFrame, k: int, replicates: int, method: str, ro
                     continue
                 if np.isnan(load).any():
                     continue
-                load = L.align_by_curves(load, target) if align == "curves" else L.procrustes(load, target[drawn] if align == "person" else target)
+                load = ALIGNMENTS[align](load, target, drawn)
                 flags = S.flagged_loads(load, j)
                 z = _zscores(x[drawn], load, flags)
                 people = np.unique(drawn)

@@ -88,29 +88,48 @@ def linkage_order(corr: DataFrame) -> DataFrame:
 
     A study's tree needs all its distances at once, so a figure's participants
     are one group; a picture of more than some thousands couldn't be read.
+    Distances only grow as branches join, so a branch's nearest one is sought
+    anew only if it has just been joined itself. Unknown r counts as 0.
     """
     import numpy as np
     import pandas as pd
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         people, inverse = np.unique(np.concatenate([pdf["p_i"], pdf["p_j"]]), return_inverse=True)
-        n, half = len(people), len(pdf)
-        d = np.full((n, n), np.inf)
+        half = len(pdf)
+        d = np.full((len(people), len(people)), np.inf)
         d[inverse[:half], inverse[half:]] = d[inverse[half:], inverse[:half]] = 1 - pdf["r"].fillna(0.0).to_numpy()
-        members = {i: [i] for i in range(n)}
         np.fill_diagonal(d, np.inf)
-        while len(members) > 1:
-            i, j = sorted(divmod(int(np.argmin(d)), n))
-            # the tighter branch first; single people before branches come first as well
-            members[i] = members.pop(i) + members.pop(j)
-            d[i] = d[:, i] = np.maximum(d[i], d[j])
-            d[i, i] = np.inf
-            d[j] = d[:, j] = np.inf
-        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "p_idx": people[next(iter(members.values()))], "place": np.arange(1, n + 1)})
+        placed = people[complete_linkage(d)]
+        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "p_idx": placed, "place": np.arange(1, len(placed) + 1)})
 
     return corr.groupBy("study_id").applyInPandas(order, "study_id string, p_idx int, place int")
 
 
+def complete_linkage(d) -> list[int]:
+    """Leaves of the complete-linkage tree of distances ``d`` (inf on the diagonal, overwritten), the tighter branch of each join first: lone leaves before branches, at equal heights the branch made first, of two leaves the first one."""
+    import numpy as np
+
+    n = len(d)
+    near, dist = d.argmin(axis=1), d.min(axis=1)
+    leaves, made = {i: [i] for i in range(n)}, [(-np.inf, i) for i in range(n)]
+    for step in range(n - 1):
+        i = int(dist.argmin())
+        i, j = sorted((i, int(near[i])))
+        height = dist[i]
+        first, second = (i, j) if made[i] <= made[j] else (j, i)
+        joined = leaves.pop(first) + leaves.pop(second)
+        leaves[i], made[i] = joined, (height, n + step)
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        dist[j] = np.inf
+        for a in {i, *np.flatnonzero((near == i) | (near == j)).tolist()} & leaves.keys():
+            near[a] = d[a].argmin()
+            dist[a] = d[a, near[a]]
+    return next(iter(leaves.values()))
+
+
 def correlation_frame(corr: DataFrame) -> DataFrame:
     """All ordered pairs of participants with r and both places in the linkage order, the diagonal included."""
     at = linkage_order(corr)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import alignment as L
 from ..operators import attributes as A
 from ..operators import bayes as B
 from ..operators import comparisons as M
@@ -13,7 +14,8 @@ from ..operators import factors as V
 from ..operators import plotdata as G
 from ..operators import priorities as R
 from ..sources import sinks as K
-from ..operators.study import DECK, STATEMENTS, modal_deck, preview, supplier_attributes
+from ..operators.study import DECK, STATEMENTS, modal_deck, preference, preview, supplier_attributes
+from . import analyze as N
 from . import queries as Q
 from .queries import flags, groups, numbers, only, pairs, query, scores, sed, sorts, viewpoints
 from .sql import corr, mid
@@ -260,3 +262,85 @@ query("verdict_line", "study_id:s top_statement:i by_attribute:s line:s")(lambda
 _ITEMS = "(values (1, 'Project', 'supplier_brand'), (2, 'Statements', (select count(distinct stmt_num)::varchar from sorts)), (3, 'Sorts', (select count(distinct participant)::varchar from sorts)), (4, 'Factors', (select count(distinct factor)::varchar from flags)), (5, 'Extraction', 'pca'), (6, 'Rotation', 'varimax'), (7, 'Correlation', 'pearson'), (8, 'Flagging', 'auto at p < 0.05, majority of common variance'), (9, 'Exported', '2026-01-01 00:00')) v(place, item, value)"
 query("workbook_overview", "study_id:s place:i item:s value:s", f"select 'supplier_brand' as study_id, * from {_ITEMS}", ("sorts", "flags"))(lambda s, d: K.overview(sorts(s, d), flags(s, d), exported="2026-01-01 00:00"))
 query("unrotated_wide", "participant:s factor:i loading:d cumulative_h2:d")(lambda s, d: X.unrotated_wide(sorts(s, d), 3))
+
+
+# --- solutions turned to another ----------------------------------------------------------------------------------
+
+
+def turned_half(s, d):
+    """Every second participant's viewpoints, turned by 30 degrees."""
+    return V.rotate_manual(viewpoints(s, d).where("p_idx % 2 = 0"), 1, 2, 30)
+
+
+def cycled_strangers(s, d):
+    """The viewpoints in a cycle of three, one of them mirrored, of people with other names."""
+    v = viewpoints(s, d)
+    return v.select("study_id", F.concat(F.lit("x"), "participant").alias("participant"), (F.col("factor") % 3 + 1).alias("factor"), F.when(F.col("factor") == 2, -F.col("loading")).otherwise(F.col("loading")).alias("loading"))
+
+
+query("aligned_by_names", "participant:s factor:i loading:d method:s", "select participant, factor, loading, 'names' as method from loadings where p_idx % 2 = 0")(lambda s, d: L.align_loadings(turned_half(s, d), viewpoints(s, d)))
+query("aligned_by_curves", "participant:s factor:i loading:d method:s", "select 'x' || participant as participant, factor, loading, 'curves' as method from loadings")(lambda s, d: L.align_loadings(cycled_strangers(s, d), viewpoints(s, d)))
+
+
+# --- readings of stored draws, where the participants are the draws -------------------------------------------------
+
+
+def participant_draws(s, d):
+    """Draws in the shape of the sampler's: each three participants are a draw of three factors over the statements, two chains in turn; a viewpoint's part is added so that factors differ."""
+    x = sorts(s, d)
+    trio = F.floor(F.col("p_idx") / 3)
+    x = x.withColumn("factor", (F.col("p_idx") % 3 + 1).cast("int")).withColumn("z", F.col("value") + (preference(F.col("stmt_num"), F.col("factor") - 1) - 12) / 4)
+    x = x.select("study_id", F.lit(3).alias("k"), (trio % 2).cast("int").alias("chain"), F.floor(trio / 2).cast("int").alias("draw"), F.col("stmt_num").alias("item"), "factor", "z")
+    kinds = F.map_from_arrays(F.array(F.lit("loading"), F.lit("zscore")), F.array(F.col("z") / 8, F.col("z")))
+    return x.select("study_id", "k", "chain", "draw", F.explode(kinds).alias("kind", "value"), "item", "factor")
+
+
+_Z = f"(select study_id, 3 as k, (p_idx // 3) % 2 as chain, p_idx // 6 as draw, stmt_num as item, factor, value + (pref - 12) / 4.0 as z from sorts join prefs on j = stmt_num and factor = p_idx % 3 + 1)"
+_D = f"(select study_id, k, chain, draw, item, factor, unnest(['loading', 'zscore']) as kind, unnest([z / 8, z]) as value from {_Z})"
+
+
+def fdr(frame: str, ties: str = "item, factor", by: str = "k") -> str:
+    upto = f"over (partition by {by} order by p desc, {ties} rows unbounded preceding)"
+    return f"(select *, sum(case when claimed then 1 - p else 0.0 end) {upto} as expected_false from (select *, round(avg(1 - p) {upto}, 12) <= 0.05 as claimed from {frame}))"
+
+
+_FLAGS = fdr(f"(select k, item, factor, avg(case when 2 * z * z / 64 > total and abs(z / 8) > 0.3 then 1.0 else 0.0 end) as p from (select *, sum(z * z / 64) over (partition by chain, draw, item) as total from {_Z}) group by all)")
+_DISTINCT = fdr(f"(select k, item, factor, greatest(avg(case when z = hi then 1.0 else 0.0 end), avg(case when z = lo then 1.0 else 0.0 end)) as p from (select *, max(z) over (partition by chain, draw, item) as hi, min(z) over (partition by chain, draw, item) as lo from {_Z}) group by all)")
+_SAME = fdr(f"(select k, item, 0 as factor, avg(case when spread < 0.75 then 1.0 else 0.0 end) as p from (select k, chain, draw, item, max(z) - min(z) as spread from {_Z} group by all) group by all)")
+_STARS = fdr(f"(select a.k, a.item, a.factor, b.factor as other, avg(a.z - b.z) as diff, greatest(avg(case when a.z > b.z then 1.0 else 0.0 end), avg(case when a.z < b.z then 1.0 else 0.0 end)) as p from {_Z} a join {_Z} b on a.chain = b.chain and a.draw = b.draw and a.item = b.item and a.factor < b.factor group by all)", "item, factor, other")
+_NEEDED = ("sorts", "prefs")
+_CLAIMS = "k:i item:i factor:i p:d claimed:b expected_false:d"
+
+query("draws_summary", "k:i item:i factor:i mean:d sd:d low:d high:d", f"select k, item, factor, avg(z) as mean, stddev_samp(z) as sd, quantile_cont(z, 0.025) as low, quantile_cont(z, 0.975) as high from {_Z} group by all", _NEEDED)(lambda s, d: B.summary(participant_draws(s, d), "zscore"))
+query("draws_convergence", "k:i kind:s worst_rhat:d mean_rhat:d", f"select k, kind, max(rhat) as worst_rhat, avg(rhat) as mean_rhat from (select k, kind, item, factor, case when avg(v) > 0 then sqrt(((min(n) - 1) / min(n)::double * avg(v) + coalesce(var_samp(m), 0.0)) / avg(v)) end as rhat from (select k, kind, item, factor, chain, avg(value) as m, var_samp(value) as v, count(*) as n from {_D} group by all) group by all) group by all", _NEEDED)(lambda s, d: B.convergence(participant_draws(s, d)))
+query("draws_flag_claims", _CLAIMS, f"select * from {_FLAGS}", _NEEDED)(lambda s, d: B.flag_claims(participant_draws(s, d)))
+query("draws_distinguishing_claims", _CLAIMS, f"select * from {_DISTINCT}", _NEEDED)(lambda s, d: B.distinguishing_claims(participant_draws(s, d)))
+query("draws_consensus_claims", _CLAIMS, f"select * from {_SAME}", _NEEDED)(lambda s, d: B.consensus_claims(participant_draws(s, d)))
+query("draws_star_claims", "k:i item:i factor:i other:i diff:d p:d claimed:b expected_false:d", f"select * from {_STARS}", _NEEDED)(lambda s, d: B.star_claims(participant_draws(s, d)))
+query("draws_claim_families", "k:i family:s n:i claimed:i expected_false:d", " union all ".join(f"select k, '{name}' as family, count(*) as n, count(*) filter (claimed) as claimed, sum(case when claimed then 1 - p else 0.0 end) as expected_false from {part} group by all" for name, part in (("flags", _FLAGS), ("distinguishing", _DISTINCT), ("consensus", _SAME), ("stars", _STARS))), _NEEDED)(lambda s, d: B.claim_families(participant_draws(s, d)))
+query("draws_ladder", "k:i supported:i adequate:b n_flags:i n_distinguishing:i", f"""select k, count(*) filter (nf >= 2 and nd >= 1) as supported, bool_and(nf >= 2 and nd >= 1) as adequate, sum(nf) as n_flags, sum(nd) as n_distinguishing from
+  (select k, factor, sum(f) as nf, sum(e) as nd from (select k, factor, claimed::int as f, 0 as e from {_FLAGS} union all select k, factor, 0, claimed::int from {_DISTINCT}) group by all) group by all""", _NEEDED)(lambda s, d: B.ladder(participant_draws(s, d)))
+query("draws_bridge", "participant:s factor:i loading:d flagged:b", f"select participant, factor, avg(z / 8) as loading, coalesce(any_value(claimed), false) as flagged from (select distinct participant, p_idx from sorts) join {_Z} on item = p_idx left join (select item, factor, claimed from {_FLAGS}) using (item, factor) group by all", _NEEDED)(lambda s, d: B.to_flags(participant_draws(s, d), 3, sorts(s, d)))
+query("bayes_stars", "k:i item:i factor:i other:i diff:d p:d claimed:b expected_false:d")(lambda s, d: B.star_claims(Q.posterior(s, d)))
+query("bayes_claim_families", "k:i family:s n:i claimed:i expected_false:d")(lambda s, d: B.claim_families(Q.posterior(s, d)))
+
+
+# --- people outside all factors, and flags edited by hand ---------------------------------------------------------
+
+
+def unspanned(s, d):
+    return flags(s, d).groupBy("study_id", "p_idx").agg(F.bool_or("flagged").alias("any")).where("not any").select("study_id", "p_idx")
+
+
+_NEAR = "(select x.p_i, arg_max(x.p_j, struct_pack(r := round(x.r, 12), j := -x.p_j)) as p_j from (select p_i, p_j, r from pearson union all select p_j, p_i, r from pearson) x where x.r is not null and x.p_i in (select p_idx from flags group by 1 having not bool_or(flagged)) and x.p_j in (select p_idx from flags group by 1 having not bool_or(flagged)) group by 1)"
+query("unspanned_clusters", "p_i:i p_j:i", f"select a.p_i, a.p_j from {_NEAR} a join {_NEAR} b on a.p_i = b.p_j and a.p_j = b.p_i where a.p_i < a.p_j", ("flags", "pearson"))(lambda s, d: B.unspanned_clusters(C.pearson(sorts(s, d)).where("r is not null"), unspanned(s, d)))
+
+
+def edited(s, d):
+    """Every third participant's flags taken back by hand, factor 1 set for every seventh."""
+    edits = flags(s, d).withColumn("flagged", F.when((F.col("p_idx") % 7 == 0) & (F.col("factor") == 1), True).when(F.col("p_idx") % 3 == 0, False).otherwise(F.col("flagged")))
+    return N.recalculate_after_flagging(sorts(s, d), flags(s, d), edits, DECK)
+
+
+query("edited_characteristics", "factor:i n_flagged:i composite_reliability:d se_factor:d avg_loading:d", """select factor, n_flagged, rel as composite_reliability, sqrt(1 - rel) as se_factor, avg_loading from (select *, case when n_flagged > 0 then 0.8 * n_flagged / (1 + (n_flagged - 1) * 0.8) end as rel
+  from (select factor, count(*) filter (again) as n_flagged, avg(abs(loading)) filter (again) as avg_loading from (select *, case when p_idx % 7 = 0 and factor = 1 then true when p_idx % 3 = 0 then false else flagged end as again from flags) group by 1))""", ("flags",))(lambda s, d: edited(s, d)["characteristics"])
