@@ -9,6 +9,8 @@ ladder over K are aggregations of stored draws, with no refit.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
 import numpy as np
@@ -119,6 +121,52 @@ def draws(sorts: DataFrame, ks: list[int], chains: int = 2, iterations: int = IT
     return tasks.mapInPandas(run, DRAWS)
 
 
+def fingerprint(sorts: DataFrame, chains: int, iterations: int, burn: int, thin: int, seed: int) -> str:
+    """What draws depend on but K: the settings and the cells of ``sorts``, whatever their order or partitions; extra columns don't count."""
+    cells = sorts.select(F.xxhash64("study_id", F.col("p_idx").cast("long"), F.col("stmt_num").cast("long"), F.col("value").cast("double")).cast("decimal(38,0)").alias("h"))
+    seen = cells.agg(F.count("*").alias("n"), F.sum("h").alias("s"), F.sum(F.abs(F.col("h"))).alias("a")).first()
+    return hashlib.sha256(json.dumps([chains, iterations, burn, thin, seed, *map(str, seen)]).encode()).hexdigest()[:32]
+
+
+def _batches(spark, path: str) -> dict[str, list[int]]:
+    """Folders of draws under ``path`` that were finished, with the K that each holds, by the name they were given."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(p):
+        return {}
+    there = [s.getPath() for s in fs.listStatus(p)]
+    done = [x for x in there if x.getName().startswith("k-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return {x.toString(): [int(k) for k in x.getName()[2:].split("-")] for x in done}
+
+
+def stored_draws(sorts: DataFrame, ks: list[int], root: str, chains: int = 2, iterations: int = ITERATIONS, burn: int = BURN, thin: int = THIN, seed: int = SEED) -> DataFrame:
+    """``draws`` kept under ``root``, a folder that all executors share: a table for each fingerprint, partitioned by study, K and chain.
+
+    Only the K that no finished batch holds are sampled, all in one job, and
+    appended as a batch of their own; a batch that was interrupted has no mark
+    of success and is sampled anew. Longer chains are other draws and have a
+    table of their own. No K asked: no rows.
+    """
+    spark = sorts.sparkSession
+    path = f"{root.rstrip('/')}/draws-{fingerprint(sorts, chains, iterations, burn, thin, seed)}"
+    batches = _batches(spark, path)
+    missing = sorted(set(ks) - {k for held in batches.values() for k in held})
+    if missing:
+        new = f"{path}/k-{'-'.join(map(str, missing))}"
+        # study names stay a column: as folder names they would be read back as other types
+        out = draws(sorts, missing, chains, iterations, burn, thin, seed).withColumns({"by_study": F.xxhash64("study_id"), "by_k": F.col("k"), "by_chain": F.col("chain")})
+        out.write.mode("overwrite").partitionBy("by_study", "by_k", "by_chain").parquet(new)
+        batches[new] = missing
+    wanted = [b for b, held in batches.items() if set(held) & set(ks)]
+    if not wanted:
+        return spark.createDataFrame([], DRAWS)
+    parts = [spark.read.schema(DRAWS + ", by_study long, by_k int, by_chain int").parquet(b) for b in wanted]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.where(F.col("by_k").isin(sorted(set(ks)))).drop("by_study", "by_k", "by_chain")
+
+
 KEYS = ["study_id", "k"]
 
 
