@@ -39,6 +39,36 @@ def test_wide_long_transposed(spark, tmp_path):
     assert [D.layout(c) for c in (["id", "time", "s1"], ["statement", "qsort1", "qsort2"], ["a", "b"])] == ["flashq", "transposed", "wide"]
 
 
+def test_lines_before_the_header_and_cells_that_are_no_numbers(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    file = tmp_path / "skipped.csv"
+    file.write_text("\ufeffA study, of 2024\n\nuid,datetime,\"note, long\",s1,s2,s3\n" + "\n".join(f'{n},2024,"a, b",{"x" if k == 1 else 1}, NA,{k}' for k, n in enumerate(NAMES)) + "\n\n")
+    lost = Observation()
+    got = values(D.read_sorts(spark, str(file), skip=2, lost=lost))
+    assert got == {NAMES[0]: [1, None, 0], NAMES[1]: [None, None, 1], NAMES[2]: [1, None, 2]}
+    assert lost.get == {"filled": 6, "lost": 1, "lost in s1": 1, "lost in s2": 0, "lost in s3": 0}
+    with pytest.raises(ValueError):
+        D.read_sorts(spark, str(file), skip=40)
+
+
+def test_lost_cells_of_a_split_file(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    file = tmp_path / "long.csv"
+    file.write_text("participant,statement,value\n" + "\n".join(f"P{i},{j},{'?' if (i * 7 + j) % 50 == 0 else j % 3}" for i in range(400) for j in range(1, 11)))
+    want = sum((i * 7 + j) % 50 == 0 for i in range(400) for j in range(1, 11))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lost = Observation("cells")
+        out = D.read_sorts(spark, str(file), lost=lost)
+        assert len([r for r in out.collect() if r["value"] is None]) == want > 0
+        assert lost.get == {"filled": 4000, "lost": want, "lost in value": want}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_missing_and_repeated_ids(spark, tmp_path):
     (tmp_path / "w.csv").write_text("id,a,b,c\nA,1,NA,0\nA,.,2,1\nB,1,1,-1\n")
     assert values(D.read_sorts(spark, str(tmp_path / "w.csv"))) == {"A": [1, None, 0], "A_1": [None, 2, 1], "B": [1, 1, -1]}

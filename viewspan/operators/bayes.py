@@ -384,10 +384,11 @@ def effective_sizes(draws: DataFrame, lags: int = 50) -> DataFrame:
 
 
 def person_check(sorts: DataFrame, flags: DataFrame, scores: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each participant's best correlation with a factor's z-scores; ``stands_apart`` below ``least`` in size."""
+    """Each participant's best correlation with a factor's z-scores; ``stands_apart`` below ``least`` in size, and where no factor has scores (``nearest`` and ``r`` are null)."""
     from .priorities import _corr
 
     r = sorts.join(scores.select("study_id", "stmt_num", "factor", "zscore"), ["study_id", "stmt_num"]).groupBy("study_id", "participant", "factor").agg(_corr("value", "zscore").alias("r"))
     best = r.groupBy("study_id", "participant").agg(F.max_by(F.struct("factor", "r"), F.struct(F.abs("r"), -F.col("factor"))).alias("b"))
     n = flags.groupBy("study_id", "participant").agg(F.count_if("flagged").alias("n_flags"))
-    return best.join(n, ["study_id", "participant"], "left").select("study_id", "participant", F.col("b.factor").alias("nearest"), F.col("b.r").alias("r"), "n_flags", (F.coalesce(F.abs("b.r"), F.lit(0.0)) < least).alias("stands_apart"))
+    people = sorts.select("study_id", "participant").distinct()
+    return people.join(best, ["study_id", "participant"], "left").join(n, ["study_id", "participant"], "left").select("study_id", "participant", F.col("b.factor").alias("nearest"), F.col("b.r").alias("r"), "n_flags", (F.coalesce(F.abs("b.r"), F.lit(0.0)) < least).alias("stands_apart"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.study import unique_ids, wide_to_long
@@ -16,12 +16,42 @@ ID_COLUMN = re.compile(r"(?i)^uid$|^id$|^participant")
 NOT_STATEMENT = {"uid", "id", "record_id"}
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text, in file order; a byte-order mark is taken off the first name."""
+def read_table(spark: SparkSession, path: str, sep: str = ",", skip: int = 0) -> DataFrame:
+    """All columns as text, in file order; a byte-order mark is taken off the first name.
+
+    ``skip`` lines before the header are left out; a file read that way holds
+    no line breaks in its cells.
+    """
+    if skip:
+        return _after(spark, path, sep, skip)
     df = spark.read.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
+def _after(spark: SparkSession, path: str, sep: str, skip: int) -> DataFrame:
+    lines = row_numbers(spark.read.text(path), "_line")
+    header = lines.where(F.col("_line") == skip).first()
+    if header is None:
+        raise ValueError(f"{path}: no header after {skip} lines")
+    options = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    first = header["value"].lstrip("\ufeff")
+    parts = lambda line, names: F.from_csv(line, ", ".join(f"{n} string" for n in names), options)
+    width = first.count(sep) + 1  # at most: a quoted cell may hold the separator
+    names = [x.strip() for x in spark.range(1).select(parts(F.lit(first), [f"c{k}" for k in range(width)]).alias("h")).first()["h"] if x is not None]
+    cells = [f"c{k}" for k in range(len(names))]
+    body = lines.where((F.col("_line") > skip) & (F.trim("value") != "")).select(parts(F.col("value"), cells).alias("cells"))
+    return body.select("cells.*").toDF(*names)
+
+
+def observed(df: DataFrame, cells: dict[str, Column], lost: Observation | None) -> DataFrame:
+    """``df`` that counts for ``lost``, in the pass that reads it, the cells that are filled (``filled``) and of these the ones that don't read as numbers, in all (``lost``) and by name (``lost in <name>``)."""
+    if lost is None:
+        return df
+    bad = {n: F.count_if(c.isNotNull() & c.try_cast("double").isNull()) for n, c in cells.items()}
+    filled = sum((F.count(c) for c in cells.values()), F.lit(0))
+    return df.observe(lost, filled.alias("filled"), sum(bad.values(), F.lit(0)).alias("lost"), *[b.alias(f"lost in {n}") for n, b in bad.items()])
+
+
 def row_numbers(df: DataFrame, name: str = "_order") -> DataFrame:
     """``df`` with rows numbered from 0 in file order, however many partitions the file has.
 
@@ -65,19 +95,24 @@ def numeric_columns(df: DataFrame, names: list[str]) -> list[str]:
     return [c for k, c in enumerate(names) if bad[f"b{k}"] == 0 and bad[f"n{k}"] > 0]
 
 
-def read_sorts(spark: SparkSession, path: str, study_id: str | None = None, id_col: str | None = None, sep: str = ",") -> DataFrame:
-    """Long sorts of a delimited file of any layout; ids are kept, missing ones are P1, P2, ..."""
-    df = row_numbers(cleaned(read_table(spark, path, sep)))
+def read_sorts(spark: SparkSession, path: str, study_id: str | None = None, id_col: str | None = None, sep: str = ",", skip: int = 0, lost: Observation | None = None) -> DataFrame:
+    """Long sorts of a delimited file of any layout; ids are kept, missing ones are P1, P2, ...
+
+    ``skip`` lines come before the header. Cells that don't read as numbers are
+    null; ``lost`` counts them as the result is read (see ``observed``).
+    """
+    df = row_numbers(cleaned(read_table(spark, path, sep, skip)))
     columns = [c for c in df.columns if c != "_order"]
     kind = layout(columns)
     study = study_id or re.sub(r"\.[^.]*$", "", path.rstrip("/").split("/")[-1])
     df = df.withColumn("study_id", F.lit(study))
     if kind == "long":
         names = {c.lower(): c for c in columns}
+        df = observed(df, {names["value"]: F.col(f"`{names['value']}`")}, lost)
         return _numbered(df.select("study_id", F.col(names["participant"]).alias("participant"), F.col(names["statement"]).alias("_s"), F.expr(f"try_cast(`{names['value']}` as double)").alias("value")))
     if kind == "transposed":
         people = [c for c in columns if re.fullmatch(r"(?i)qsort\d+", c)]
-        rows = df.withColumn("_s", F.col("_order").cast("string"))
+        rows = observed(df, {c: F.col(f"`{c}`") for c in people}, lost).withColumn("_s", F.col("_order").cast("string"))
         long = rows.unpivot(["study_id", "_order"], people, "participant", "v")
         return _numbered(long.select("study_id", "participant", F.lpad(F.col("_order").cast("string"), 20, "0").alias("_s"), F.expr("try_cast(v as double)").alias("value")))
     given = id_col or next((c for c in columns if ID_COLUMN.search(c)), None)
@@ -87,6 +122,7 @@ def read_sorts(spark: SparkSession, path: str, study_id: str | None = None, id_c
         statements = numeric_columns(df, [c for c in columns if c != given])
     if not statements:
         raise ValueError(f"{path}: no column of numbers")
+    df = observed(df, {c: F.col(f"`{c}`") for c in statements}, lost)
     who = F.col(f"`{given}`") if given else F.lit(None).cast("string")
     df = df.withColumn("participant", F.coalesce(who, F.concat(F.lit("P"), (F.col("_order") + 1).cast("string"))))
     return wide_to_long(df, statements, order="_order")
