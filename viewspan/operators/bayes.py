@@ -274,12 +274,11 @@ def to_flags(draws: DataFrame, k: int, sorts: DataFrame, q: float = 0.05) -> Dat
     return people.join(load, ["study_id", "p_idx"]).join(own, ["study_id", "p_idx", "factor"], "left").fillna(False, ["flagged"])
 
 
-def unspanned_clusters(corr: DataFrame, unspanned: DataFrame) -> DataFrame:
+def unspanned_clusters(sorts: DataFrame, unspanned: DataFrame) -> DataFrame:
     """Pairs of unspanned people ``(study_id, p_idx)`` who are each other's nearest; r is compared to 12 places, of equal ones the least p_idx is taken."""
-    a = unspanned.select("study_id", F.col("p_idx").alias("p_i"))
-    both = corr.select("study_id", "p_i", "p_j", "r").union(corr.select("study_id", F.col("p_j"), F.col("p_i"), "r"))
-    near = both.join(a, ["study_id", "p_i"]).join(unspanned.select("study_id", F.col("p_idx").alias("p_j")), ["study_id", "p_j"])
-    best = near.groupBy("study_id", "p_i").agg(F.max_by("p_j", F.struct(F.round("r", 12), -F.col("p_j"))).alias("p_j"))
+    from .correlation import nearest
+
+    best = nearest(sorts.join(unspanned.select("study_id", "p_idx"), ["study_id", "p_idx"], "left_semi"))
     back = best.select("study_id", F.col("p_j").alias("p_i"), F.col("p_i").alias("p_j"))
     return best.join(back, ["study_id", "p_i", "p_j"]).where("p_i < p_j")
 

@@ -1,19 +1,27 @@
 """By-person correlation and what hangs on it: descriptives, duplicates, careless sorts, quality.
 
-Each participant is one row; rows meet block against block, and a pair of blocks is
-a few products of matrices: of values, squares and masks, so that missing cells
-leave pairwise complete sums. A block is sent once for each block it meets.
+Participants travel in chunks, as rows of a matrix, and meet block against block; a
+block is sent once for each block it meets, and a study has ``BLOCKS`` of them at
+most, so what is sent grows with the participants. Within two blocks rows
+with the same missing cells are one product of unit rows over the statements that both
+sides have. What only needs sums of correlations, near pairs or nearest people is
+found there; pairs leave a task only where they are the result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import _dealt
 from .study import grid_values
 
+#: Participants of a chunk, most blocks of a study, pairs of a piece of a product, and pairs of a group of equal gaps below which pairwise kernels are used.
+CHUNK, BLOCKS, PIECE, FEW = 256, 32, 1 << 20, 512
+
 
 def _ratio(cov: np.ndarray, vx: np.ndarray, vy: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """r from a covariance and two variances (times n²), nan where a side is constant; ``scale``: what is rounding error beside it."""
@@ -57,6 +65,126 @@ def _ranked_r(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, n
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Complete rows centred and scaled to length 1; nan where a row is constant, by the measure of ``_masked_r``."""
+    c = x - x.mean(axis=1, keepdims=True)
+    size = (c * c).sum(axis=1, keepdims=True)
+    return np.divide(c, np.sqrt(size), out=np.full_like(c, np.nan), where=size > 1e-12 * (x * x).sum(axis=1, keepdims=True) + 1e-300)
+
+
+def _unit_ranks(x: np.ndarray) -> np.ndarray:
+    return _unit(pd.DataFrame(x.T).rank().to_numpy().T)
+
+
+def _unit_signs(x: np.ndarray) -> np.ndarray:
+    """Signs of all statement pairs over the root of how many differ: products are tau-b."""
+    first, second = np.triu_indices(x.shape[1], 1)
+    s = np.sign(x[:, first] - x[:, second])
+    n = np.abs(s).sum(axis=1, keepdims=True)
+    return np.divide(s, np.sqrt(n), out=np.full_like(s, np.nan), where=n > 0)
+
+
+def _signed_r(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tau-b, n) of rows with missing cells: pairs of statements that a side lacks or finds equal are 0."""
+    first, second = np.triu_indices(x.shape[1], 1)
+    signs = lambda v: np.nan_to_num(np.sign(v[:, first] - v[:, second]))
+    there = lambda v: (~np.isnan(v[:, first] + v[:, second])).astype(float)
+    a, b = signs(x), signs(y)
+    nx, ny = np.abs(a) @ there(y).T, there(x) @ np.abs(b).T
+    r = np.divide(a @ b.T, np.sqrt(nx * ny), out=np.full(nx.shape, np.nan), where=(nx > 0) & (ny > 0))
+    return r, (~np.isnan(x)).astype(float) @ (~np.isnan(y)).astype(float).T
+
+
+#: Of each kind of correlation: unit rows of complete rows, and the kernel of any two sets of rows.
+KERNELS = {"pearson": (_unit, _masked_r), "spearman": (_unit_ranks, _ranked_r), "kendall": (_unit_signs, _signed_r)}
+
+
+def _gaps(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(columns that are there, rows) of each group of rows with the same missing cells."""
+    masks, of = np.unique(~np.isnan(x), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    return [(m, np.flatnonzero(of == k)) for k, m in enumerate(masks)]
+
+
+def _units(x: np.ndarray, y: np.ndarray, unit):
+    """``(rows of x, rows of y, unit rows of both, n)`` of each two groups of ``_gaps``; None where groups are so small that the pairwise kernel is faster."""
+    left, right = _gaps(x), _gaps(y)
+    if len(left) * len(right) > max(1, len(x) * len(y) // FEW):
+        return None
+    both = ((i, j, mi & mj) for mi, i in left for mj, j in right)
+    return ((i, j, unit(x[i][:, c]), unit(y[j][:, c]), int(c.sum())) for i, j, c in both if c.any())
+
+
+def _pieces(x: np.ndarray, y: np.ndarray, kind: str):
+    """``(rows of x, rows of y, r, n)`` in pieces of bounded size that together are all pairs with a statement in common (or n is 0)."""
+    unit, kernel = KERNELS[kind]
+    step = lambda width: max(1, PIECE // max(width, 1))
+    met = _units(x, y, unit)
+    if met is None:
+        for k in range(0, len(x), step(len(y))):
+            rows = np.arange(k, min(len(x), k + step(len(y))))
+            yield rows, np.arange(len(y)), *kernel(x[rows], y)
+        return
+    for i, j, u, v, n in met:
+        for k in range(0, len(i), step(len(j))):
+            r = u[k : k + step(len(j))] @ v.T
+            yield i[k : k + step(len(j))], j, r, np.broadcast_to(float(n), r.shape)
+
+
+def _chunks(sorts: DataFrame, by: list[str], block: int, extra: Column | None = None) -> DataFrame:
+    """``(*by, bi, bj, block, chunk, who, j, v, w)``: chunks of participants in order of p_idx, once for each two blocks they are part of; ``v`` their values by statement (nan: missing), ``w`` the numbers of array ``extra``."""
+    here = sorts.groupBy(*by, "p_idx").agg(F.map_from_entries(F.collect_list(F.struct("stmt_num", F.col("value").cast("double").alias("value")))).alias("m"), F.first(extra if extra is not None else F.array().cast("array<double>")).alias("w"))
+    statements = sorts.groupBy(*by).agg(F.array_sort(F.collect_set("stmt_num")).alias("s"), F.count_distinct("p_idx").alias("n"))
+    rows = here.join(F.broadcast(statements), by).select(*by, "p_idx", "n", F.size("s").alias("j"), "w", F.transform("s", lambda s: F.coalesce(F.try_element_at("m", s), F.lit(float("nan")))).alias("v"))
+    rows = rows.withColumn("chunk", F.floor(F.col("p_idx") / F.least(F.lit(CHUNK), F.lit(block))))
+    chunks = rows.groupBy(*by, "n", "j", "chunk").agg(F.array_sort(F.collect_list(F.struct("p_idx", "v", "w"))).alias("c"))
+    chunks = chunks.select(*by, "n", "j", "chunk", F.transform("c", lambda c: c["p_idx"]).alias("who"), F.flatten(F.transform("c", lambda c: c["v"])).alias("v"), F.flatten(F.transform("c", lambda c: c["w"])).alias("w"))
+    # blocks hold equal numbers of participants, however far apart their p_idx are
+    sizes = rows.groupBy(*by, "n", "chunk").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    placed = sizes.select(*by, "chunk", F.floor(before / F.greatest(F.lit(block), F.ceil(F.col("n") / BLOCKS))).cast("int").alias("block"))
+    pairs = placed.groupBy(*by).agg(F.sort_array(F.collect_set("block")).alias("all"))
+    met = placed.join(F.broadcast(pairs), by).withColumn("other", F.explode("all")).select(*by, "chunk", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    return _dealt(chunks.drop("n").join(met, [*by, "chunk"]), *by, "bi", "bj").sortWithinPartitions(*by, "bi", "bj", "block", "chunk")
+
+
+def _blocked(sorts: DataFrame, block: int, make, schema: str, by: tuple[str, ...] = ("study_id",), extra: Column | None = None) -> DataFrame:
+    """``make(left, right)`` of each two blocks, the two the same object for a block with itself; a block is ``(p_idx, values, extra)``, results are tuples of arrays after the keys."""
+    fields = [f.split() for f in schema.split(", ")]
+    by = list(by)
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[k] for _, k in fields]
+
+    def block_of(parts):
+        j = parts[0].j
+        who = np.concatenate([p.who for p in parts]).astype(np.int64)
+        return who, np.concatenate([p.v for p in parts]).astype(float).reshape(len(who), j), np.concatenate([p.w for p in parts]).astype(float).reshape(len(who), -1)
+
+    def solve(key, held):
+        left = block_of([p for p in held if p.block == key[-2]])
+        right = left if key[-2] == key[-1] else block_of([p for p in held if p.block == key[-1]])
+        for columns in make(left, right):
+            n = len(columns[0])
+            if n:
+                keys = [pa.repeat(pa.scalar(k, t), n) for k, t in zip(key, kinds)]
+                arrays = [*keys[: len(by)], *(pa.array(c).cast(t) for c, t in zip(columns, kinds[len(by) :], strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f for f, _ in fields])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pandas().itertuples(index=False):
+                this = tuple(getattr(row, c) for c in (*by, "bi", "bj"))
+                if this != key:
+                    if held:
+                        yield from solve(key, held)
+                    key, held = this, []
+                held.append(row)
+        if held:
+            yield from solve(key, held)
+
+    return _chunks(sorts, by, block, extra).mapInArrow(run, schema)
+
+
 PAIRS = "study_id string, p_i int, p_j int, r double, n_pair long"
 
 
@@ -64,80 +192,145 @@ def _defined(pairs: DataFrame) -> DataFrame:
     return pairs.where("n_pair > 0").withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
+def _pairs(sorts: DataFrame, block: int, kind: str) -> DataFrame:
+    def make(left, right):
+        for i, j, r, n in _pieces(left[1], right[1], kind):
+            there = left[0][i][:, None] < right[0][j][None, :]
+            a, b = np.nonzero(there)
+            yield left[0][i][a], right[0][j][b], r[a, b], n[a, b].astype(np.int64)
+
+    return _defined(_blocked(sorts, block, make, PAIRS))
+
+
 def pearson(sorts: DataFrame, block: int = 512) -> DataFrame:
     """``(study_id, p_i, p_j, r, n_pair)`` for ``p_i < p_j``, pairwise complete; null where a side is constant."""
-    return _defined(_blocked(sorts, block, _masked_r, PAIRS))
+    return _pairs(sorts, block, "pearson")
 
 
 def spearman(sorts: DataFrame, block: int = 256) -> DataFrame:
     """Like ``pearson`` on mid-ranks, which are taken again within the complete statements of each pair."""
-    return _defined(_blocked(sorts, block, _ranked_r, PAIRS))
+    return _pairs(sorts, block, "spearman")
 
 
 def kendall(sorts: DataFrame, block: int = 256) -> DataFrame:
-    """Kendall's tau-b of each pair of participants, block against block.
+    """Kendall's tau-b of each pair of participants: a product of the signs of all statement pairs, 0 where both values are equal."""
+    return _pairs(sorts, block, "kendall")
 
-    The signs of all statement pairs of a participant are a row of a matrix, 0
-    where a value is missing or both are equal; concordance and the pairs that
-    are untied and present on both sides are three products of blocks.
-    """
 
-    def product(x, y):
-        first, second = np.triu_indices(x.shape[1], 1)
-        signs = lambda v: np.nan_to_num(np.sign(v[:, first] - v[:, second]))
-        there = lambda v: (~np.isnan(v[:, first] + v[:, second])).astype(float)
-        a, b = signs(x), signs(y)
-        nx, ny = np.abs(a) @ there(y).T, there(x) @ np.abs(b).T
-        r = np.divide(a @ b.T, np.sqrt(nx * ny), out=np.full(nx.shape, np.nan), where=(nx > 0) & (ny > 0))
-        return r, (~np.isnan(x)).astype(float) @ (~np.isnan(y)).astype(float).T
+CORRELATIONS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
+
 
-    return _defined(_blocked(sorts, block, product, PAIRS))
+def packed_correlation(sorts: DataFrame, block: int = 512) -> DataFrame:
+    """Pearson correlations of complete sorts, block against block of ``block`` participants or more; nan where a side is constant or incomplete."""
 
+    def make(left, right):
+        u, v = (np.where(np.isnan(x).any(axis=1, keepdims=True), np.nan, _unit(x)) for x in (left[1], right[1]))
+        step = max(1, PIECE // max(len(v), 1))
+        for k in range(0, len(u), step):
+            r = u[k : k + step] @ v.T
+            a, b = np.nonzero(left[0][k : k + step][:, None] < right[0][None, :])
+            yield left[0][k + a], right[0][b], r[a, b]
 
-CORRELATIONS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
+    return _blocked(sorts, block, make, "study_id string, p_i int, p_j int, r double")
 
 
-def packed_correlation(sorts: DataFrame, block: int = 512) -> DataFrame:
-    """Pearson correlations of complete sorts, block against block of ``block`` participants.
+SUMS = "p_idx int, at int, r_sum double, n_r long, n_undefined long"
 
-    Each block is a matrix of unit vectors; a pair of blocks is one task's
-    matrix product. A block is sent once for each block it meets, and a study of
-    any number of participants is bounded memory in a task.
+
+def pearson_sums(sorts: DataFrame, weights: Column | None = None, by: tuple[str, ...] = ("study_id",), block: int = 512) -> DataFrame:
+    """``(*by, p_idx, at, r_sum, n_r, n_undefined)``: of each participant the sum of ``weights[at]`` (1 without) times r over all others, how many r there are and how many are undefined.
+
+    The sum over rows with the same missing cells is a product with the sum of their unit rows, so no pair is formed.
     """
 
-    def product(x, y):
-        unit = []
-        for v in (x, y):
-            v = v - v.mean(axis=1, keepdims=True)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            unit.append(np.divide(v, norm, out=np.full_like(v, np.nan), where=norm > 1e-12))
-        return (unit[0] @ unit[1].T,)
-
-    return _blocked(sorts, block, product, "study_id string, p_i int, p_j int, r double")
-
-
-def _blocked(sorts: DataFrame, block: int, product, schema: str) -> DataFrame:
-    """Pairs of participants of each two blocks of a study; ``product(x, y)`` gives a matrix for each column after the keys."""
-    names = [c.split()[0] for c in schema.split(", ")][3:]
-    packed = sorts.groupBy("study_id", "p_idx").agg(F.array_sort(F.collect_list(F.struct("stmt_num", "value"))).alias("c"))
-    packed = packed.select("study_id", "p_idx", F.transform("c", lambda c: c["stmt_num"]).alias("s"), F.transform("c", lambda c: c["value"].cast("double")).alias("v"))
-    blocked = packed.withColumn("block", F.floor(F.col("p_idx") / block).cast("int"))
-    blocks = packed.groupBy("study_id").agg(F.floor(F.max("p_idx") / block).cast("int").alias("top"))
-    met = blocked.join(blocks, "study_id").withColumn("other", F.explode(F.sequence(F.lit(0), "top")))
-    met = met.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["s"].map(len).to_numpy()
-        statements, column = np.unique(np.concatenate(pdf["s"].to_list()), return_inverse=True)
-        x = np.full((len(pdf), len(statements)), np.nan)
-        x[np.repeat(np.arange(len(pdf)), lengths), column] = np.concatenate([np.array(v, float) for v in pdf["v"]])
-        idx, of = pdf["p_idx"].to_numpy(), pdf["block"].to_numpy()
-        left, right = np.flatnonzero(of == pdf["bi"].iloc[0]), np.flatnonzero(of == pdf["bj"].iloc[0])
-        out = product(x[left], x[right])
-        i, j = np.nonzero(idx[left][:, None] < idx[right][None, :])
-        return pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "p_i": idx[left][i], "p_j": idx[right][j], **{n: m[i, j] for n, m in zip(names, out, strict=True)}})
-
-    return met.groupBy("study_id", "bi", "bj").applyInPandas(run, schema)
+    one = weights is None
+
+    def side(who, u, v, wv, n_others, own):
+        # own: weights of the rows of u, where both sides are the same rows
+        ok, there = ~np.isnan(u[:, 0]), ~np.isnan(v[:, 0])
+        total = np.nan_to_num(u) @ (np.nan_to_num(v).T @ wv)
+        if own is not None:
+            total -= own * ok[:, None]
+        self = 0 if own is None else 1
+        n_r = ok * (there.sum() - self)
+        return who, total, n_r.astype(np.int64), (n_others - self - n_r).astype(np.int64)
+
+    def make(left, right):
+        same = left is right
+        (pi, x, wx), (pj, y, wy) = left, right
+        wx, wy = (np.ones((len(p), 1)) if one else w for p, w in ((pi, wx), (pj, wy)))
+        met = _units(x, y, _unit)
+        found = []
+        if met is not None:
+            for i, j, u, v, _ in met:
+                found.append(side(pi[i], u, v, wy[j], len(j), wx[i] if same and np.array_equal(i, j) else None))
+                if not same:
+                    found.append(side(pj[j], v, u, wx[i], len(i), None))
+        else:
+            for i, j, r, n in _pieces(x, y, "pearson"):
+                r, common = np.array(r), n > 0
+                if same:
+                    r[np.arange(len(i)), i], common[np.arange(len(i)), i] = np.nan, False
+                ok = ~np.isnan(r)
+                r = np.where(ok, r, 0.0)
+                found.append((pi[i], r @ wy[j], ok.sum(1), (common & ~ok).sum(1)))
+                if not same:
+                    found.append((pj[j], r.T @ wx[i], ok.sum(0), (common & ~ok).sum(0)))
+        # what a block finds of a participant leaves as one row
+        people, of = np.unique(np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64), return_inverse=True)
+        m = wx.shape[1]
+        total, counts = np.zeros((len(people), m)), np.zeros((len(people), 2), np.int64)
+        at = 0
+        for who, s, n_r, undefined in found:
+            here = of[at : at + len(who)]
+            at += len(who)
+            total[here] += s
+            counts[here] += np.stack([n_r, undefined], axis=1)
+        yield np.repeat(people, m), np.tile(np.arange(m), len(people)), total.ravel(), np.repeat(counts[:, 0], m), np.repeat(counts[:, 1], m)
+
+    keys = ", ".join(f"{c} {sorts.schema[c].dataType.simpleString()}" for c in by)
+    found = _blocked(sorts, block, make, f"{keys}, {SUMS}", by, weights)
+    return found.groupBy(*by, "p_idx", "at").agg(F.sum("r_sum").alias("r_sum"), F.sum("n_r").alias("n_r"), F.sum("n_undefined").alias("n_undefined"))
+
+
+def near_pairs(sorts: DataFrame, threshold: float = 0.95, block: int = 512) -> DataFrame:
+    """``(study_id, p_i, p_j, r, identical)`` of the pairs with r over ``threshold``, found where the blocks meet; identical: equal wherever both have a value."""
+
+    def make(left, right):
+        for i, j, r, n in _pieces(left[1], right[1], "pearson"):
+            with np.errstate(invalid="ignore"):
+                k, l = np.nonzero(r > threshold)
+            a, b, value = i[k], j[l], r[k, l]
+            there = left[0][a] < right[0][b]
+            a, b, value = a[there], b[there], value[there]
+            x, y = left[1][a], right[1][b]
+            yield left[0][a], right[0][b], value, ((x == y) | np.isnan(x) | np.isnan(y)).all(axis=1)
+
+    return _blocked(sorts, block, make, "study_id string, p_i int, p_j int, r double, identical boolean")
+
+
+def nearest(sorts: DataFrame, block: int = 512) -> DataFrame:
+    """``(study_id, p_i, p_j)``: of each participant the one with the largest r, compared to 12 places, of equal ones the least p_idx; none without any r."""
+
+    def best(who, others, r):
+        r = np.where(np.isnan(r), -np.inf, r)
+        at = r.argmax(axis=1)  # the first of equals, and others ascend
+        value = r[np.arange(len(who)), at]
+        there = value > -np.inf
+        return who[there], others[at][there], value[there]
+
+    def make(left, right):
+        same = left is right
+        for i, j, r, n in _pieces(left[1], right[1], "pearson"):
+            r = np.round(np.where(n > 0, r, np.nan), 12)
+            if same:
+                r[left[0][i][:, None] == right[0][j][None, :]] = np.nan
+            yield best(left[0][i], right[0][j], r)
+            if not same:
+                yield best(right[0][j], left[0][i], r.T)
+
+    found = _blocked(sorts, block, make, "study_id string, p_i int, p_j int, r double")
+    return found.groupBy("study_id", "p_i").agg(F.max_by("p_j", F.struct("r", -F.col("p_j"))).alias("p_j"))
 
 
 def mirrored(corr: DataFrame) -> DataFrame:
@@ -173,18 +366,21 @@ def forced_check(sorts: DataFrame) -> DataFrame:
     return shape.groupBy("study_id").agg(F.count_distinct("shape").alias("shapes"), (F.count_distinct("shape") == 1).alias("forced"))
 
 
-def duplicates(corr: DataFrame, sorts: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Pairs with ``r`` over ``threshold``; identical: equal wherever both have a value."""
-    near = corr.where(F.col("r") > threshold)
-    s = sorts.where("value is not null")
-    one, other = (s.select("study_id", F.col("p_idx").alias(p), "stmt_num", F.col("value").alias(v)) for p, v in (("p_i", "x"), ("p_j", "y")))
-    both = near.select("study_id", "p_i", "p_j").join(one, ["study_id", "p_i"]).join(other, ["study_id", "p_j", "stmt_num"])
-    same = both.groupBy("study_id", "p_i", "p_j").agg(F.bool_and(F.col("x") == F.col("y")).alias("identical"))
-    return near.join(same, ["study_id", "p_i", "p_j"]).select("study_id", "p_i", "p_j", F.round("r", 4).alias("r"), "identical")
+def duplicates(sorts: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """``near_pairs`` with r to four places."""
+    return near_pairs(sorts, threshold).withColumn("r", F.round("r", 4))
+
+
+def _mean_r(corr: DataFrame) -> DataFrame:
+    """Each participant's mean correlation with all, itself included, from pairs or from ``pearson_sums``."""
+    if "r_sum" not in corr.columns:
+        pairs = mirrored(corr).groupBy("study_id", F.col("p_i").alias("p_idx"))
+        return pairs.agg(((1 + F.sum("r")) / (F.count("r") + 1)).alias("mean_r"))
+    return corr.select("study_id", "p_idx", F.when(F.col("n_r") > 0, (1 + F.col("r_sum")) / (F.col("n_r") + 1)).alias("mean_r"))
 
 
 def careless(sorts: DataFrame, corr: DataFrame, deck: list[int]) -> DataFrame:
-    """Three signs of a careless sort and whether at least two hold.
+    """Three signs of a careless sort and whether at least two hold; ``corr``: pairs or ``pearson_sums``.
 
     Variance under 0.3 of the deck's; mean correlation with all (itself
     included) under the median less three times the scaled median absolute
@@ -204,8 +400,7 @@ def careless(sorts: DataFrame, corr: DataFrame, deck: list[int]) -> DataFrame:
     each = each.withColumn("variance", (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1))
     raw = 1 - (0.6 * F.col("longest") / n + 0.4 * F.coalesce(F.col("turns"), F.lit(0)) / (n - 2))
     each = each.withColumn("pattern", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    mean_r = mirrored(corr).groupBy("study_id", F.col("p_i").alias("p_idx")).agg(((1 + F.sum("r")) / (F.count("r") + 1)).alias("mean_r"))
-    each = each.join(mean_r, ["study_id", "p_idx"], "left")
+    each = each.join(_mean_r(corr), ["study_id", "p_idx"], "left")
     mid = each.groupBy("study_id").agg(F.median("mean_r").alias("med"), F.stddev_samp("mean_r").alias("sd"))
     each = each.join(mid, "study_id")
     mad = each.groupBy("study_id").agg((F.median(F.abs(F.col("mean_r") - F.col("med"))) * 1.4826).alias("mad"))
@@ -236,18 +431,20 @@ def _banded(x: Column, steps) -> Column:
     return out
 
 
-def average_correlation(corr: DataFrame) -> DataFrame:
-    avg = F.avg("r")
-    return corr.groupBy("study_id").agg(avg.alias("avg_r"), F.when(avg > 0.5, "High").when(avg > 0.3, "Moderate").when(avg > 0.1, "Low").otherwise("Very low").alias("band"))
+def average_correlation(sums: DataFrame) -> DataFrame:
+    """Mean r over pairs, from ``pearson_sums``."""
+    avg = F.try_divide(F.sum("r_sum"), F.sum("n_r"))
+    return sums.where("n_r + n_undefined > 0").groupBy("study_id").agg(avg.alias("avg_r"), F.when(avg > 0.5, "High").when(avg > 0.3, "Moderate").when(avg > 0.1, "Low").otherwise("Very low").alias("band"))
 
 
-def validate(sorts: DataFrame, corr: DataFrame, deck: list[int]) -> DataFrame:
+def validate(sorts: DataFrame, deck: list[int]) -> DataFrame:
     """One row for each study: counts behind each issue and warning, and ``valid``."""
+    sums = pearson_sums(sorts)
     c = completeness(sorts).select("study_id", "n_participants", "n_statements", "completeness")
     wrong = check_distribution(sorts, deck).groupBy("study_id").agg(F.count_if(~F.col("conforms")).alias("n_nonconforming"))
-    dup = duplicates(corr, sorts).groupBy("study_id").agg(F.count("*").alias("n_duplicates"))
-    bad = careless(sorts, corr, deck).groupBy("study_id").agg(F.count_if("careless").alias("n_careless"))
-    na = corr.groupBy("study_id").agg(F.count_if(F.col("r").isNull()).alias("n_undefined_r"))
+    dup = near_pairs(sorts).groupBy("study_id").agg(F.count("*").alias("n_duplicates"))
+    bad = careless(sorts, sums, deck).groupBy("study_id").agg(F.count_if("careless").alias("n_careless"))
+    na = sums.groupBy("study_id").agg((F.sum("n_undefined") / 2).cast("long").alias("n_undefined_r"))
     out = c
     for part in (wrong, dup, bad, na):
         out = out.join(part, "study_id", "left")

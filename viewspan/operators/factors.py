@@ -208,11 +208,13 @@ def score_correlations(scores: DataFrame) -> DataFrame:
     return a.join(b, STATEMENT).where("f < g").groupBy("study_id", "f", "g").agg(F.corr("x", "y").alias("r"))
 
 
-def defining_correlations(corr: DataFrame, flags: DataFrame) -> DataFrame:
-    """Mean correlation among each factor's flagged sorts (null under two); ``flags`` carry ``p_idx``."""
+def defining_correlations(sorts: DataFrame, flags: DataFrame) -> DataFrame:
+    """Mean correlation among each factor's flagged sorts (null under two); ``flags`` carry ``p_idx``. A factor's sums are found as those of a study of its sorts."""
+    from .correlation import pearson_sums
+
     f = flags.where("flagged").select("study_id", "factor", "p_idx")
-    a, b = f.withColumnRenamed("p_idx", "p_i"), f.withColumnRenamed("p_idx", "p_j")
-    mean = corr.join(a, ["study_id", "p_i"]).join(b, ["study_id", "factor", "p_j"]).groupBy(*FACTOR).agg(F.avg("r").alias("mean_r"), F.count("r").alias("n_pairs"))
+    sums = pearson_sums(sorts.join(f, ["study_id", "p_idx"]), by=("study_id", "factor"))
+    mean = sums.groupBy(*FACTOR).agg(F.try_divide(F.sum("r_sum"), F.sum("n_r")).alias("mean_r"), (F.sum("n_r") / 2).cast("long").alias("n_pairs"))
     return f.groupBy(*FACTOR).agg(F.count("*").alias("n_flagged")).join(mean, FACTOR, "left").select(*FACTOR, "n_flagged", "mean_r", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
 
 

@@ -46,7 +46,7 @@ def factor_tables(sorts: DataFrame, flags: DataFrame, deck: list[int], statement
         "Score ranks": scores,
         "Score correlations": V.score_correlations(scores),
         "Factor weights": V.factor_weights(flags),
-        "Defining correlations": V.defining_correlations(corr, flags),
+        "Defining correlations": V.defining_correlations(sorts, flags),
         "Differences": pairs,
         "Consensus vs disagreement": V.statement_class(scores, pairs),
         "Factor characteristics": chars,
