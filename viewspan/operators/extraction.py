@@ -1,9 +1,9 @@
 """Extraction, rotation, retention and bootstrap: small dense algebra for each study, Monte Carlo spread over tasks.
 
 Principal components of complete sorts, their rotations, eigenvalues, quality and
-bootstrap come from sums over participants (``gram``), however many there are.
-Centroid and minres factors, studies with missing cells and the nulls of parallel
-analysis need the study as a matrix: its sorts are packed into one row and kernels
+bootstrap and the nulls of parallel analysis come from sums over participants
+(``gram``), however many there are. Centroid and minres factors and studies with missing cells
+need the study as a matrix: its sorts are packed into one row and kernels
 run on it in grouped functions, so many studies run side by side. Replicates are
 seeded by (seed, replicate), which makes results independent of partitioning and retries.
 """
@@ -149,8 +149,14 @@ def _null_eigenvalues(sorts: DataFrame, iterations: int, null: str, seed: int) -
 
 def parallel_analysis(sorts: DataFrame, iterations: int = 100, percentile: float = 0.95, null: str = "pooled_resample", seed: int = 42) -> DataFrame:
     """Eigenvalues against the percentile of those of a null: values pooled and drawn again, or each statement permuted (``permute_columns``)."""
-    limit = _null_eigenvalues(sorts, iterations, null, seed).groupBy("study_id", "k").agg(F.percentile("eigenvalue", F.lit(percentile)).alias("threshold"))
-    return eigenvalues(sorts).join(limit, ["study_id", "k"]).select("study_id", "k", "eigenvalue", "threshold", (F.col("eigenvalue") > F.col("threshold")).alias("retain"))
+    spectra = S.null_spectra(S.whole_rows(sorts), iterations, null, seed)
+    longest = spectra.groupBy("study_id").agg(F.max(F.size("w")).alias("most"))
+    whole = spectra.join(longest, "study_id").select("study_id", "w", F.explode(F.sequence(F.lit(1), "most")).alias("k")).select("study_id", "k", F.coalesce(F.get("w", F.col("k") - 1), F.lit(0.0)).alias("eigenvalue"))
+    holed = _null_eigenvalues(S.unwhole_sorts(sorts), iterations, null, seed).select("study_id", "k", "eigenvalue")
+    limit = whole.unionByName(holed).groupBy("study_id", "k").agg(F.percentile("eigenvalue", F.lit(percentile)).alias("threshold"))
+    # eigenvalues beyond the longest null are 0 in every replicate
+    limited = eigenvalues(sorts).join(limit, ["study_id", "k"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    return limited.select("study_id", "k", "eigenvalue", "threshold", (F.col("eigenvalue") > F.col("threshold")).alias("retain"))
 
 
 def number_of_factors(sorts: DataFrame, iterations: int = 100, seed: int = 42) -> DataFrame:

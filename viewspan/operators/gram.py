@@ -277,6 +277,65 @@ def factor_correlations(solved: DataFrame) -> DataFrame:
     return solved.groupBy("study_id").applyInPandas(run, "study_id string, f int, g int, phi double")
 
 
+# --- nulls of parallel analysis -------------------------------------------------------------------
+
+
+def permuted_share(counts: list[np.ndarray], sizes: np.ndarray, at: int, seed: int, b: int) -> list[np.ndarray]:
+    """How many of each value of each statement a permutation ``b`` of the whole column leaves in block ``at`` of blocks with ``sizes`` participants.
+
+    Blocks are halved again and again; each half's share is a hypergeometric draw of its own seed, so a block finds its share without the others.
+    """
+    lo, hi = 0, len(sizes)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([seed, b, lo, hi])
+        left = [rng.multivariate_hypergeometric(c, int(sizes[lo:mid].sum()), method="marginals") for c in counts]
+        if at < mid:
+            counts, hi = left, mid
+        else:
+            counts, lo = [c - x for c, x in zip(counts, left, strict=True)], mid
+    return counts
+
+
+def null_spectra(rows: DataFrame, replicates: int, null: str, seed: int) -> DataFrame:
+    """``(study_id, b, n, w)`` of ``whole_rows``: the eigenvalues of each null that can differ from 0.
+
+    Null values come from how often each value occurs, in all cells or by statement (``permute_columns``), so a block
+    of participants draws its own and sends only its sums. Rows that a null makes constant correlate with nothing and add an eigenvalue of 1 each.
+    """
+    cells = rows.select("study_id", F.posexplode("v").alias("at_s", "x"))
+    if null != "permute_columns":
+        cells = cells.withColumn("at_s", F.lit(0))
+    counted = cells.groupBy("study_id", "at_s", "x").agg(F.count("*").alias("c"))
+    pools = counted.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("at_s", "x", "c"))).alias("z"))
+    pools = pools.select("study_id", F.col("z.at_s").alias("at_s"), F.col("z.x").alias("x"), F.col("z.c").alias("c"))
+    blocks = _dealt(_blocks(rows, replicates).join(F.broadcast(pools), "study_id"), "study_id", "at", "chunk")
+
+    def draw(row):
+        sizes, column = np.asarray(row.sizes, np.int64), np.asarray(row.at_s)
+        m, values, counts = int(sizes[row.at]), np.asarray(row.x, float), np.asarray(row.c, np.int64)
+        j = len(row.v) // m
+        out = {}
+        for b in range(row.chunk * CHUNK, min(replicates, (row.chunk + 1) * CHUNK)):
+            rng = np.random.default_rng([seed, b, row.at])
+            if null == "permute_columns":
+                share = permuted_share([counts[column == k] for k in range(j)], sizes, row.at, seed, b)
+                y = np.stack([rng.permutation(np.repeat(values[column == k], share[k])) for k in range(j)], axis=1)
+            else:
+                y = values[rng.choice(len(values), size=(m, j), p=counts / counts.sum())]
+            u = L.unit_rows(y)
+            out[b] = np.append((u.T @ u).ravel(), (np.abs(u).sum(axis=1) == 0).sum())
+        return out
+
+    def solve(row):
+        flat = np.frombuffer(row.part, np.float64)
+        j = math.isqrt(len(flat) - 1)
+        w = np.concatenate([np.maximum(L.eigen(flat[:-1].reshape(j, j))[0], 0), np.ones(int(flat[-1]))])
+        return row.study_id, row.b, row.n, -np.sort(-w)[: row.n]
+
+    return _each(_per_replicate(blocks, draw), solve, "study_id string, b int, n long, w array<double>")
+
+
 # --- bootstrap ------------------------------------------------------------------------------------
 
 
