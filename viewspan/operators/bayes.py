@@ -28,20 +28,35 @@ DRAWS = "study_id string, k int, chain int, draw int, kind string, item int, fac
 
 
 def _phi(x):
-    return 0.5 * (1 + np.vectorize(math.erf)(np.clip(x, -8, 8) / math.sqrt(2)))
+    return 0.5 * np.vectorize(math.erfc)(-np.clip(x, -8, 8) / math.sqrt(2))
 
 
-# a fixed table of the normal distribution: truncated draws need only look-ups
-_GRID = np.linspace(-8, 8, 16001)
+# fixed tables of the normal distribution with even steps, so that truncated draws need neither searches nor series:
+# the cdf by x, and the upper quantile by sqrt(-2 ln p), in which it is almost straight
+_STEP = 1000
+_GRID = np.linspace(-8, 8, 16 * _STEP + 1)
 _CDF = _phi(_GRID)
+_TAIL_P = _phi(-np.linspace(0, 8, 8 * _STEP + 1))
+_TAIL = np.linspace(math.sqrt(2 * math.log(2)), 8.3, 16_385)
+_UPPER = np.interp(_TAIL, np.sqrt(-2 * np.log(_TAIL_P)), np.linspace(0, 8, 8 * _STEP + 1))
+_CDF_SLOPE, _UPPER_SLOPE = np.diff(_CDF, append=1.0), np.diff(_UPPER, append=_UPPER[-1])
+
+
+def _between(table, slope, at):
+    """``table`` at the places ``at`` (0, 1, ...), straight between them."""
+    k = at.astype(np.int32)
+    return table[k] + slope[k] * (at - k)
 
 
 def _cdf(x):
-    return np.interp(x, _GRID, _CDF)
+    return _between(_CDF, _CDF_SLOPE, (x + 8) * _STEP)
 
 
 def _quantile(u):
-    return np.interp(u, _CDF, _GRID)
+    p = np.minimum(u, 1 - u)
+    s = np.sqrt(-2 * np.log(np.maximum(p, 1e-300)))
+    z = _between(_UPPER, _UPPER_SLOPE, np.clip((s - _TAIL[0]) / (_TAIL[1] - _TAIL[0]), 0, len(_TAIL) - 1))
+    return np.copysign(z, u - 0.5)
 
 
 def _columns(value):
@@ -71,17 +86,62 @@ def _latents(y, mean, columns, rng):
     return y
 
 
+def _forced(value):
+    """Of complete sorts with one shape: where each cell of a row by rank stands (J x n, flat), and where grid columns begin and end by rank; None for others."""
+    if np.isnan(value).any():
+        return None
+    order = np.argsort(value, axis=1, kind="stable")
+    ranked = np.take_along_axis(value, order, axis=1)
+    if (ranked != ranked[0]).any():
+        return None
+    cuts = [0, *(np.flatnonzero(np.diff(ranked[0])) + 1), value.shape[1]]
+    return (order + np.arange(len(value))[:, None] * value.shape[1]).T, list(zip(cuts[:-1], cuts[1:]))
+
+
+def _forced_latents(y, mean, forced, rng):
+    """``_latents`` of sorts with one shape: grid columns are slices of cells by rank."""
+    flat, columns = forced
+    ys, ms = y.ravel()[flat], mean.ravel()[flat]
+    above = [None]
+    for start, end in reversed(columns[1:]):
+        least = ys[start:end].min(axis=0)
+        above.append(least if above[-1] is None else np.minimum(least, above[-1]))
+    below = None
+    for (start, end), hi in zip(columns, reversed(above), strict=True):
+        m = ms[start:end]
+        a = 0.0 if below is None else _cdf(np.minimum(np.maximum(below - m, -8), 8))
+        b = 1.0 if hi is None else _cdf(np.minimum(np.maximum(hi - m, -8), 8))
+        u = rng.random(m.shape)
+        np.minimum(np.maximum(u, 1e-9, out=u), 1 - 1e-9, out=u)
+        u *= b - a
+        u += a
+        new = _quantile(u)
+        new += m
+        if below is not None:
+            np.maximum(new, below + 1e-9, out=new)
+        if hi is not None:
+            np.minimum(new, hi - 1e-9, out=new)
+        ys[start:end] = new
+        top = new.max(axis=0)
+        below = top if below is None else np.maximum(below, top)
+    np.put(y, flat, ys)
+    return y
+
+
 def sample(x: np.ndarray, k: int, iterations: int, burn: int, thin: int, seed, sigma: float = 1.0):
     """(loadings, scores) draws of one chain, each turned by varimax and matched, column by column, to the chain's pivot (``linalg.match_align``)."""
     rng = np.random.default_rng(seed)
     n, j = x.shape
     y = np.stack([np.argsort(np.argsort(r + 1e-6 * rng.random(j))) for r in x]).astype(float)
     y = (y - y.mean(1, keepdims=True)) / y.std(1, keepdims=True)
-    load = L.rotate(L.pca(L.correlation(x), k)[0], "varimax")
-    kept, reference, columns = [], load, _columns(x)
+    # complete sorts by the smaller Gram matrix: no participants by participants are formed
+    start = L.pca(L.correlation(x), k)[0] if np.isnan(x).any() else L.pca_of_rows(x, k)[0]
+    load = L.rotate(start, "varimax")
+    kept, reference, forced = [], load, _forced(x)
+    latents, shape = (_latents, _columns(x)) if forced is None else (_forced_latents, forced)
     f = np.linalg.lstsq(load, y, rcond=None)[0]
     for it in range(iterations):
-        y = _latents(y, load @ f, columns, rng)
+        y = latents(y, load @ f, shape, rng)
         y -= y.mean(axis=1, keepdims=True)
         cov = np.linalg.inv(load.T @ load + np.eye(k))
         f = cov @ (load.T @ y) + np.linalg.cholesky(cov) @ rng.standard_normal((k, j))
