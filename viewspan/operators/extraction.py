@@ -294,6 +294,13 @@ def flag_frequency(samples: DataFrame) -> DataFrame:
     return s.join(total, "study_id").select("study_id", "p_idx", "factor", (F.col("k") / F.col("replicates")).alias("flag_frequency"), (F.col("k") / F.col("n")).alias("flag_frequency_when_sampled"))
 
 
+def bootstrap_flags(sorts: DataFrame, k: int, replicates: int = 1000, rotation: str = "varimax", seed: int = 42) -> DataFrame:
+    """``flag_frequency`` of ``bootstrap`` by principal components without its rows: whole studies are counted by blocks of participants."""
+    counted = S.flag_counts(S.whole_rows(sorts), k, replicates, rotation, seed)
+    whole = counted.select("study_id", "p_idx", "factor", (F.col("k") / replicates).alias("flag_frequency"), (F.col("k") / F.col("n")).alias("flag_frequency_when_sampled"))
+    return whole.unionByName(flag_frequency(_bootstrap_packed(S.unwhole_sorts(sorts), k, replicates, "pca", rotation, seed, "person")))
+
+
 def stability(samples: DataFrame, original: DataFrame) -> DataFrame:
     """Per kind the correlation of each replicate with the original: mean, sd, least, greatest."""
     o = original.select("study_id", "kind", "item", "factor", F.col("value").alias("original"))

@@ -477,6 +477,26 @@ def bootstrap(rows: DataFrame, k: int, replicates: int, rotation: str, seed: int
     return placed.mapInPandas(people, REPLICATES).unionByName(z.select("study_id", "b", F.lit("zscore").alias("kind"), "item", "factor", F.col("zscore").alias("value"), F.lit(False).alias("flagged")))
 
 
+def flag_counts(rows: DataFrame, k: int, replicates: int, rotation: str, seed: int) -> DataFrame:
+    """``(study_id, p_idx, factor, k, n)``: in how many replicates of ``bootstrap`` a participant is flagged and in how many it is drawn, counted where its block is."""
+    blocks, turned = replicate_bases(rows, k, rotation, replicates, seed)
+
+    def count(parts):
+        for pdf in parts:
+            for row in pdf.itertuples(index=False):
+                _, u, bs, w = _drawn(row, seed, replicates)
+                hits, drawn = 0, np.zeros(len(u), np.int64)
+                for b, v in _bases_of(row).items():
+                    there = w[b - bs[0]] > 0
+                    hits = hits + (flagged_loads(u @ _floats(v, u.shape[1], -1), u.shape[1]) & there[:, None])
+                    drawn += there
+                n, m = hits.shape
+                yield pd.DataFrame({"study_id": row.study_id, "p_idx": np.repeat(np.asarray(row.who), m), "factor": np.tile(np.arange(1, m + 1), n), "k": hits.ravel().astype(np.int64), "n": np.repeat(drawn, m)})
+
+    found = _with_chunk(blocks, turned, "basis").mapInPandas(count, "study_id string, p_idx int, factor int, k long, n long")
+    return found.groupBy("study_id", "p_idx", "factor").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).where("n > 0")
+
+
 def standardised(sums: DataFrame, by: list[str], defined) -> DataFrame:
     """``sums`` with ``zscore``: ``wsum`` standardised over the statements of ``by``, 0 without spread, nan where not ``defined``."""
     w = Window.partitionBy(*by)

@@ -315,7 +315,7 @@ def replicates(s, d):
 
 query("bootstrap_ci", "kind:s item:i factor:i boot_mean:d boot_sd:d ci_low:d ci_high:d n:i original:d bias:d bc_estimate:d")(lambda s, d: X.bootstrap_ci(replicates(s, d), X.original_solution(sorts(s, d), 3)))
 query("bootstrap_stability", "kind:s mean:d sd:d min:d max:d replicates:i")(lambda s, d: X.stability(replicates(s, d), X.original_solution(sorts(s, d), 3)))
-query("flag_frequency", "p_idx:i factor:i flag_frequency:d flag_frequency_when_sampled:d")(lambda s, d: X.flag_frequency(replicates(s, d)))
+query("flag_frequency", "p_idx:i factor:i flag_frequency:d flag_frequency_when_sampled:d")(lambda s, d: X.bootstrap_flags(sorts(s, d), 3))
 query("bootstrap_rank_range", "factor:i stmt_num:i best_rank:i worst_rank:i")(lambda s, d: X.rank_range(X.bootstrap_ci(replicates(s, d), X.original_solution(sorts(s, d), 3))))
 
 
