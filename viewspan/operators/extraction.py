@@ -2,7 +2,8 @@
 
 Principal components of complete sorts, their rotations, eigenvalues, quality and
 bootstrap and the nulls of parallel analysis come from sums over participants
-(``gram``), however many there are. Centroid and minres factors and studies with missing cells
+(``gram``), however many there are, and so do minres factors of many complete sorts; centroid
+factors of complete sorts take their unit rows. Other minres factors and studies with missing cells
 need the study as a matrix: its sorts are packed into one row and kernels
 run on it in grouped functions, so many studies run side by side. Replicates are
 seeded by (seed, replicate), which makes results independent of partitioning and retries.
@@ -40,7 +41,7 @@ def _pairwise_r(x: np.ndarray) -> np.ndarray:
     return r
 
 
-LOADINGS = "study_id string, participant string, p_idx int, factor int, loading double"
+LOADINGS = S.LOADINGS
 
 
 def _extract_packed(sorts: DataFrame, k: int, method: str, rotation: str, clip: bool = False) -> DataFrame:
@@ -57,9 +58,15 @@ def _extract_packed(sorts: DataFrame, k: int, method: str, rotation: str, clip:
 
 def extract(sorts: DataFrame, k: int, method: str = "pca", rotation: str = "none") -> DataFrame:
     """``(study_id, participant, p_idx, factor, loading)``: pca, centroid or minres; then varimax, quartimax, oblimin, promax or none."""
-    if method != "pca":
-        return _extract_packed(sorts, k, method, rotation)
     rows = S.whole_rows(sorts)
+    if method == "centroid":
+        return S.centroid(rows, k, rotation).unionByName(_extract_packed(S.unwhole_sorts(sorts), k, method, rotation))
+    if method == "minres":
+        if rotation != "none":
+            return _extract_packed(sorts, k, method, rotation)
+        large = rows.where((F.col("n") >= S.MINRES_ROWS) & (F.size("v") > k))
+        rest = sorts.join(F.broadcast(large.select("study_id").distinct()), "study_id", "left_anti")
+        return S.minres(large, k).unionByName(_extract_packed(rest, k, method, rotation))
     return S.loadings(rows, S.solution(rows, k, rotation)).unionByName(_extract_packed(S.unwhole_sorts(sorts), k, method, rotation))
 
 
