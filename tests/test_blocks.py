@@ -79,3 +79,25 @@ def test_a_far_p_idx_adds_no_blocks(spark):
     sent = C._chunks(s, ["study_id"], 512)
     assert sent.select("bi", "bj").distinct().count() == 1
     assert sent.select(F.sum(F.size("who"))).first()[0] == 40
+
+
+@pytest.mark.parametrize("kind", ["whole", "few"])
+def test_sums_of_few_kinds_of_gaps_need_no_blocks(spark, kind, monkeypatch):
+    monkeypatch.setattr(C, "FEW", 1)
+    s, idx, x = made(spark, kind)
+    r, n = all_pairs(idx, x)
+    empty = s.limit(0)
+    monkeypatch.setattr(C, "_sums_by_blocks", lambda rest, *a, f=C._sums_by_blocks: f(empty, *a) if rest.count() == 0 else pytest.fail("blocks"))
+    sums = C.pearson_sums(s).toPandas().sort_values("p_idx")
+    off = ~np.eye(len(idx), dtype=bool)
+    np.testing.assert_allclose(sums.r_sum, np.nansum(np.where(off, r, np.nan), axis=1), atol=1e-9)
+    assert list(sums.n_undefined) == list((off & np.isnan(r) & (n > 0)).sum(1))
+
+
+@pytest.mark.parametrize("kind", ["whole", "few", "many"])
+def test_near_pairs_are_counted_without_rows(spark, kind):
+    s, idx, x = made(spark, kind)
+    r, _ = all_pairs(idx, x)
+    for block in (7, 512):
+        assert C.near_counts(s, 0.6, block).first()["n"] == (np.triu(np.nan_to_num(r), 1) > 0.6).sum()
+    assert C.near_counts(s, 1.5).count() == 0

@@ -5,7 +5,8 @@ block is sent once for each block it meets, and a study has ``BLOCKS`` of them a
 most, so what is sent grows with the participants. Within two blocks rows
 with the same missing cells are one product of unit rows over the statements that both
 sides have. What only needs sums of correlations, near pairs or nearest people is
-found there; pairs leave a task only where they are the result.
+found there; pairs leave a task only where they are the result. Sums of correlations
+of studies with few kinds of gaps need no blocks: each participant meets the sums of all others.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .gram import _dealt
+from .gram import HELD, _bytes, _dealt, _sums
 from .study import grid_values
 
 #: Participants of a chunk, most blocks of a study, pairs of a piece of a product, and pairs of a group of equal gaps below which pairwise kernels are used.
 CHUNK, BLOCKS, PIECE, FEW = 256, 32, 1 << 20, 512
+#: Most kinds of gaps in a study whose sums are found without pairs.
+KINDS = 64
 
 
 def _ratio(cov: np.ndarray, vx: np.ndarray, vy: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -131,11 +134,19 @@ def _pieces(x: np.ndarray, y: np.ndarray, kind: str):
             yield i[k : k + step(len(j))], j, r, np.broadcast_to(float(n), r.shape)
 
 
-def _chunks(sorts: DataFrame, by: list[str], block: int, extra: Column | None = None) -> DataFrame:
-    """``(*by, bi, bj, block, chunk, who, j, v, w)``: chunks of participants in order of p_idx, once for each two blocks they are part of; ``v`` their values by statement (nan: missing), ``w`` the numbers of array ``extra``."""
+def _people(sorts: DataFrame, by: list[str], extra: Column | None = None) -> DataFrame:
+    """``(*by, p_idx, n, j, w, v)``: a row for each participant; ``v`` its values by statement (nan: missing), ``w`` the numbers of array ``extra``, ``n`` and ``j`` the study's participants and statements. Kept by Spark, as several steps read it."""
     here = sorts.groupBy(*by, "p_idx").agg(F.map_from_entries(F.collect_list(F.struct("stmt_num", F.col("value").cast("double").alias("value")))).alias("m"), F.first(extra if extra is not None else F.array().cast("array<double>")).alias("w"))
     statements = sorts.groupBy(*by).agg(F.array_sort(F.collect_set("stmt_num")).alias("s"), F.count_distinct("p_idx").alias("n"))
-    rows = here.join(F.broadcast(statements), by).select(*by, "p_idx", "n", F.size("s").alias("j"), "w", F.transform("s", lambda s: F.coalesce(F.try_element_at("m", s), F.lit(float("nan")))).alias("v"))
+    return here.join(F.broadcast(statements), by).select(*by, "p_idx", "n", F.size("s").alias("j"), "w", F.transform("s", lambda s: F.coalesce(F.try_element_at("m", s), F.lit(float("nan")))).alias("v")).persist()
+
+
+def _chunks(sorts: DataFrame, by: list[str], block: int, extra: Column | None = None) -> DataFrame:
+    """``(*by, bi, bj, block, chunk, who, j, v, w)``: chunks of ``_people`` in order of p_idx, once for each two blocks they are part of."""
+    return _chunks_of(_people(sorts, by, extra), by, block)
+
+
+def _chunks_of(rows: DataFrame, by: list[str], block: int) -> DataFrame:
     rows = rows.withColumn("chunk", F.floor(F.col("p_idx") / F.least(F.lit(CHUNK), F.lit(block))))
     chunks = rows.groupBy(*by, "n", "j", "chunk").agg(F.array_sort(F.collect_list(F.struct("p_idx", "v", "w"))).alias("c"))
     chunks = chunks.select(*by, "n", "j", "chunk", F.transform("c", lambda c: c["p_idx"]).alias("who"), F.flatten(F.transform("c", lambda c: c["v"])).alias("v"), F.flatten(F.transform("c", lambda c: c["w"])).alias("w"))
@@ -148,7 +159,11 @@ def _chunks(sorts: DataFrame, by: list[str], block: int, extra: Column | None =
     return _dealt(chunks.drop("n").join(met, [*by, "chunk"]), *by, "bi", "bj").sortWithinPartitions(*by, "bi", "bj", "block", "chunk")
 
 
-def _blocked(sorts: DataFrame, block: int, make, schema: str, by: tuple[str, ...] = ("study_id",), extra: Column | None = None) -> DataFrame:
+def _blocked(sorts: DataFrame, block: int, make, schema: str) -> DataFrame:
+    return _met(_chunks(sorts, ["study_id"], block), make, schema, ("study_id",))
+
+
+def _met(chunks: DataFrame, make, schema: str, by: tuple[str, ...]) -> DataFrame:
     """``make(left, right)`` of each two blocks, the two the same object for a block with itself; a block is ``(p_idx, values, extra)``, results are tuples of arrays after the keys."""
     fields = [f.split() for f in schema.split(", ")]
     by = list(by)
@@ -182,7 +197,7 @@ def _blocked(sorts: DataFrame, block: int, make, schema: str, by: tuple[str, ...
         if held:
             yield from solve(key, held)
 
-    return _chunks(sorts, by, block, extra).mapInArrow(run, schema)
+    return chunks.mapInArrow(run, schema)
 
 
 PAIRS = "study_id string, p_i int, p_j int, r double, n_pair long"
@@ -240,10 +255,88 @@ SUMS = "p_idx int, at int, r_sum double, n_r long, n_undefined long"
 def pearson_sums(sorts: DataFrame, weights: Column | None = None, by: tuple[str, ...] = ("study_id",), block: int = 512) -> DataFrame:
     """``(*by, p_idx, at, r_sum, n_r, n_undefined)``: of each participant the sum of ``weights[at]`` (1 without) times r over all others, how many r there are and how many are undefined.
 
-    The sum over rows with the same missing cells is a product with the sum of their unit rows, so no pair is formed.
+    The sum over rows with the same missing cells is a product with the sum of their unit rows, so no pair is
+    formed and each participant's row stays where it is, unless gaps are of over ``KINDS`` kinds (or of many for so few rows).
     """
-
-    one = weights is None
+    keys = list(by)
+    people = _people(sorts, keys, weights).withColumn("gap", F.array_join(F.transform("v", lambda x: F.when(F.isnan(x), "0").otherwise("1")), ""))
+    kinds = people.groupBy(*keys, "gap").agg(F.count("*").alias("c"))
+    few = kinds.groupBy(*keys).agg(F.count("*").cast("double").alias("g"), F.sum("c").cast("double").alias("n")).where((F.col("g") <= KINDS) & (F.col("g") * F.col("g") <= F.greatest(F.lit(1.0), F.floor(F.col("n") * F.col("n") / FEW)))).select(*keys)
+    gaps = kinds.join(F.broadcast(few), keys).groupBy(*keys).agg(F.array_sort(F.collect_list("gap")).alias("gaps"))
+    rest = people.drop("gap").join(F.broadcast(few), keys, "left_anti")
+    return _sums_by_gaps(people, gaps, keys, weights is None).unionByName(_sums_by_blocks(rest, weights is None, by, block))
+
+
+def _sums_by_gaps(people: DataFrame, gaps: DataFrame, by: list[str], one: bool) -> DataFrame:
+    """``pearson_sums`` of studies with few kinds of ``gaps``: each kind's unit rows over the statements that it has in common with each other kind are added up."""
+    types = [f"{c} {people.schema[c].dataType.simpleString()}" for c in by]
+
+    def met(own):
+        """(rows, kind, other kind, unit rows over what both have, which columns these are)."""
+        masks = np.array([[c == "1" for c in g] for g in own["gaps"].iloc[0]])
+        x = np.stack(own["v"].to_numpy()).astype(float)
+        for mask, at in _gaps(x):
+            g = int(np.flatnonzero((masks == mask).all(axis=1))[0])
+            for h, other in enumerate(masks):
+                both = mask & other
+                if both.any():
+                    yield at, g, h, _unit(x[at][:, both]), both
+
+    def weights_of(own):
+        return np.ones((len(own), 1)) if one else np.stack(own["w"].to_numpy()).astype(float)
+
+    def studies(pdf):
+        return ((k, own) for k, own in pdf.groupby(by, sort=False, dropna=False))
+
+    def add(parts):
+        held, size = {}, 0
+        for pdf in parts:
+            for key, own in studies(pdf):
+                w = weights_of(own)
+                for at, g, h, u, both in met(own):
+                    ok = ~np.isnan(u[:, 0])
+                    new = np.concatenate([[len(at), ok.sum()], (u[ok].T @ w[at][ok]).ravel()])
+                    if (*key, g, h) in held:
+                        held[*key, g, h] += new
+                    else:
+                        held[*key, g, h] = new
+                        size += new.nbytes
+            if size > HELD:
+                yield _summed(held)
+                held, size = {}, 0
+        yield _summed(held)
+
+    def _summed(held):
+        return pd.DataFrame([(*k, _bytes(x)) for k, x in held.items()], columns=[*by, "g", "h", "part"])
+
+    def find(parts):
+        for pdf in parts:
+            for key, own in studies(pdf):
+                w, who = weights_of(own), own["p_idx"].to_numpy()
+                m = w.shape[1]
+                others = {(x["g"], x["h"]): np.frombuffer(x["part"], np.float64) for x in own["sums"].iloc[0]}
+                total, counts, there = np.zeros((len(own), m)), np.zeros((len(own), 2), np.int64), np.zeros(len(own), bool)
+                for at, g, h, u, both in met(own):
+                    other = others[h, g]
+                    ok, itself = ~np.isnan(u[:, 0]), int(g == h)
+                    total[at] += np.nan_to_num(u) @ other[2:].reshape(-1, m) - itself * w[at] * ok[:, None]
+                    n_r = (ok * (int(other[1]) - itself)).astype(np.int64)
+                    counts[at] += np.stack([n_r, int(other[0]) - itself - n_r], axis=1)
+                    there[at] = True
+                n = int(there.sum())
+                out = pd.DataFrame({"p_idx": np.repeat(who[there], m), "at": np.tile(np.arange(m), n), "r_sum": total[there].ravel(), "n_r": np.repeat(counts[there, 0], m), "n_undefined": np.repeat(counts[there, 1], m)})
+                for name, k in zip(by, key, strict=True):
+                    out[name] = k
+                yield out[[*by, *out.columns[: -len(by)]]]
+
+    rows = people.join(F.broadcast(gaps), by).select(*by, "p_idx", "v", "w", "gaps")
+    parts = rows.mapInPandas(add, ", ".join([*types, "g int, h int, part binary"]))
+    sums = _sums(parts, [*by, "g", "h"]).groupBy(*by).agg(F.collect_list(F.struct("g", "h", "part")).alias("sums"))
+    return rows.join(F.broadcast(sums), by).mapInPandas(find, ", ".join([*types, SUMS]))
+
+
+def _sums_by_blocks(people: DataFrame, one: bool, by: tuple[str, ...], block: int) -> DataFrame:
+    """``pearson_sums`` of studies with many kinds of gaps: pair by pair, where the blocks meet."""
 
     def side(who, u, v, wv, n_others, own):
         # own: weights of the rows of u, where both sides are the same rows
@@ -288,8 +381,8 @@ def pearson_sums(sorts: DataFrame, weights: Column | None = None, by: tuple[str,
             counts[here] += np.stack([n_r, undefined], axis=1)
         yield np.repeat(people, m), np.tile(np.arange(m), len(people)), total.ravel(), np.repeat(counts[:, 0], m), np.repeat(counts[:, 1], m)
 
-    keys = ", ".join(f"{c} {sorts.schema[c].dataType.simpleString()}" for c in by)
-    found = _blocked(sorts, block, make, f"{keys}, {SUMS}", by, weights)
+    keys = ", ".join(f"{c} {people.schema[c].dataType.simpleString()}" for c in by)
+    found = _met(_chunks_of(people, list(by), block), make, f"{keys}, {SUMS}", by)
     return found.groupBy(*by, "p_idx", "at").agg(F.sum("r_sum").alias("r_sum"), F.sum("n_r").alias("n_r"), F.sum("n_undefined").alias("n_undefined"))
 
 
@@ -309,22 +402,44 @@ def near_pairs(sorts: DataFrame, threshold: float = 0.95, block: int = 512) -> D
     return _blocked(sorts, block, make, "study_id string, p_i int, p_j int, r double, identical boolean")
 
 
+def near_counts(sorts: DataFrame, threshold: float = 0.95, block: int = 512) -> DataFrame:
+    """``(study_id, n)``: how many ``near_pairs`` a study has, counted where the blocks meet; no row where it has none."""
+
+    def make(left, right):
+        n_near = 0
+        for i, j, r, n in _pieces(left[1], right[1], "pearson"):
+            with np.errstate(invalid="ignore"):
+                near = r > threshold
+            if left is right:
+                near &= left[0][i][:, None] < right[0][j][None, :]
+            n_near += int(np.count_nonzero(near))
+        if n_near:
+            yield ([n_near],)
+
+    return _blocked(sorts, block, make, "study_id string, n long").groupBy("study_id").agg(F.sum("n").alias("n"))
+
+
 def nearest(sorts: DataFrame, block: int = 512) -> DataFrame:
     """``(study_id, p_i, p_j)``: of each participant the one with the largest r, compared to 12 places, of equal ones the least p_idx; none without any r."""
 
     def best(who, others, r):
-        r = np.where(np.isnan(r), -np.inf, r)
-        at = r.argmax(axis=1)  # the first of equals, and others ascend
-        value = r[np.arange(len(who)), at]
-        there = value > -np.inf
-        return who[there], others[at][there], value[there]
+        # what can be largest after rounding is within 2e-12 of the largest; others ascend
+        top = r.max(axis=1)
+        i, j = np.nonzero(r >= np.where(top > -np.inf, top - 2e-12, np.inf)[:, None])
+        value = np.round(r[i, j], 12)
+        order = np.lexsort((j, -value, i))
+        i, j, value = i[order], j[order], value[order]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        return who[i[first]], others[j[first]], value[first]
 
     def make(left, right):
         same = left is right
         for i, j, r, n in _pieces(left[1], right[1], "pearson"):
-            r = np.round(np.where(n > 0, r, np.nan), 12)
+            r = np.fmax(r, -np.inf)  # undefined: less than all
+            if n.strides != (0, 0):
+                r = np.where(n > 0, r, -np.inf)
             if same:
-                r[left[0][i][:, None] == right[0][j][None, :]] = np.nan
+                r[left[0][i][:, None] == right[0][j][None, :]] = -np.inf
             yield best(left[0][i], right[0][j], r)
             if not same:
                 yield best(right[0][j], left[0][i], r.T)
@@ -400,7 +515,7 @@ def careless(sorts: DataFrame, corr: DataFrame, deck: list[int]) -> DataFrame:
     each = each.withColumn("variance", (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1))
     raw = 1 - (0.6 * F.col("longest") / n + 0.4 * F.coalesce(F.col("turns"), F.lit(0)) / (n - 2))
     each = each.withColumn("pattern", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    each = each.join(_mean_r(corr), ["study_id", "p_idx"], "left")
+    each = each.join(_mean_r(corr), ["study_id", "p_idx"], "left").persist()
     mid = each.groupBy("study_id").agg(F.median("mean_r").alias("med"), F.stddev_samp("mean_r").alias("sd"))
     each = each.join(mid, "study_id")
     mad = each.groupBy("study_id").agg((F.median(F.abs(F.col("mean_r") - F.col("med"))) * 1.4826).alias("mad"))
@@ -439,10 +554,11 @@ def average_correlation(sums: DataFrame) -> DataFrame:
 
 def validate(sorts: DataFrame, deck: list[int]) -> DataFrame:
     """One row for each study: counts behind each issue and warning, and ``valid``."""
-    sums = pearson_sums(sorts)
+    sorts = sorts.persist()
+    sums = pearson_sums(sorts).persist()
     c = completeness(sorts).select("study_id", "n_participants", "n_statements", "completeness")
     wrong = check_distribution(sorts, deck).groupBy("study_id").agg(F.count_if(~F.col("conforms")).alias("n_nonconforming"))
-    dup = near_pairs(sorts).groupBy("study_id").agg(F.count("*").alias("n_duplicates"))
+    dup = near_counts(sorts).withColumnRenamed("n", "n_duplicates")
     bad = careless(sorts, sums, deck).groupBy("study_id").agg(F.count_if("careless").alias("n_careless"))
     na = sums.groupBy("study_id").agg((F.sum("n_undefined") / 2).cast("long").alias("n_undefined_r"))
     out = c
