@@ -22,9 +22,11 @@ from ..functions import linalg as L
 from .extraction import _unpacked
 
 ITERATIONS, BURN, THIN, SEED = 12_000, 2_000, 5, 42
-#: Rows of draws that leave the sampler at a time, about.
-DRAW_ROWS = 100_000
+#: Rows of draws that leave the sampler at a time, about, participants whose latent values are drawn together (as fit a core's cache), and draws of a packed row.
+DRAW_ROWS, SWEEP, PIECE = 100_000, 2048, 200
 DRAWS = "study_id string, k int, chain int, draw int, kind string, item int, factor int, value double"
+#: Draws by parameter: ``values`` holds ``PIECE`` draws from ``first``, one after the other, each with all factors.
+PACKED = "study_id string, k int, chain int, kind string, item int, first int, values array<double>"
 
 
 def _phi(x):
@@ -44,8 +46,11 @@ _CDF_SLOPE, _UPPER_SLOPE = np.diff(_CDF, append=1.0), np.diff(_UPPER, append=_UP
 
 def _between(table, slope, at):
     """``table`` at the places ``at`` (0, 1, ...), straight between them."""
-    k = at.astype(np.int32)
-    return table[k] + slope[k] * (at - k)
+    k = at.astype(np.intp)
+    out = at - k
+    out *= slope.take(k)
+    out += table.take(k)
+    return out
 
 
 def _cdf(x):
@@ -53,10 +58,14 @@ def _cdf(x):
 
 
 def _quantile(u):
-    p = np.minimum(u, 1 - u)
-    s = np.sqrt(-2 * np.log(np.maximum(p, 1e-300)))
-    z = _between(_UPPER, _UPPER_SLOPE, np.clip((s - _TAIL[0]) / (_TAIL[1] - _TAIL[0]), 0, len(_TAIL) - 1))
-    return np.copysign(z, u - 0.5)
+    s = np.minimum(u, 1 - u)
+    np.log(np.maximum(s, 1e-300, out=s), out=s)
+    s *= -2
+    np.sqrt(s, out=s)
+    s -= _TAIL[0]
+    s *= 1 / (_TAIL[1] - _TAIL[0])
+    np.minimum(np.maximum(s, 0, out=s), len(_TAIL) - 1, out=s)
+    return np.copysign(_between(_UPPER, _UPPER_SLOPE, s), u - 0.5)
 
 
 def _columns(value):
@@ -124,7 +133,7 @@ def _forced_latents(y, mean, forced, rng):
         ys[start:end] = new
         top = new.max(axis=0)
         below = top if below is None else np.maximum(below, top)
-    np.put(y, flat, ys)
+    y.reshape(-1)[flat] = ys
     return y
 
 
@@ -137,12 +146,14 @@ def sample(x: np.ndarray, k: int, iterations: int, burn: int, thin: int, seed, s
     # complete sorts by the smaller Gram matrix: no participants by participants are formed
     start = L.pca(L.correlation(x), k)[0] if np.isnan(x).any() else L.pca_of_rows(x, k)[0]
     load = L.rotate(start, "varimax")
-    kept, reference, forced = [], load, _forced(x)
-    latents, shape = (_latents, _columns(x)) if forced is None else (_forced_latents, forced)
+    kept, reference, forced = [], load, _forced(x) is not None
+    rows = [slice(at, at + SWEEP) for at in range(0, n, SWEEP)]
+    latents, shapes = (_forced_latents, [_forced(x[s]) for s in rows]) if forced else (_latents, [_columns(x[s]) for s in rows])
     f = np.linalg.lstsq(load, y, rcond=None)[0]
     for it in range(iterations):
-        y = latents(y, load @ f, shape, rng)
-        y -= y.mean(axis=1, keepdims=True)
+        for s, shape in zip(rows, shapes, strict=True):
+            latents(y[s], load[s] @ f, shape, rng)
+            y[s] -= y[s].mean(axis=1, keepdims=True)
         cov = np.linalg.inv(load.T @ load + np.eye(k))
         f = cov @ (load.T @ y) + np.linalg.cholesky(cov) @ rng.standard_normal((k, j))
         cov = np.linalg.inv(f @ f.T + np.eye(k) / sigma**2)
@@ -152,14 +163,33 @@ def sample(x: np.ndarray, k: int, iterations: int, burn: int, thin: int, seed, s
         f, load = f / scale[:, None], load * scale
         if it >= burn and (it - burn) % thin == 0:
             kept.append((load / np.sqrt(1 + (load**2).sum(axis=1, keepdims=True)), f))
-    turns = L.match_align([h for h, _ in kept], reference)
-    return [(h @ t, t.T @ f) for (h, f), t in zip(kept, turns, strict=True)]
+    # in place, so that the draws are held once
+    for i, t in enumerate(L.match_align([h for h, _ in kept], reference)):
+        kept[i] = kept[i][0] @ t, t.T @ kept[i][1]
+    return kept
+
+
+def _standardised(f: np.ndarray) -> np.ndarray:
+    return (f - f.mean(1, keepdims=True)) / f.std(1, ddof=1, keepdims=True)
 
 
-def draws(sorts: DataFrame, ks: list[int], chains: int = 2, iterations: int = ITERATIONS, burn: int = BURN, thin: int = THIN, seed: int = SEED) -> DataFrame:
-    """Long draws ``(study_id, k, chain, draw, kind, item, factor, value)``: loadings by p_idx and z-scores by stmt_num; a task for each (study, K, chain)."""
-    packed = sorts.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("p_idx", "stmt_num", "value", "participant"))).alias("cells"))
-    tasks = packed.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartition(len(ks) * chains, "study_id", "k", "chain")
+def draws(sorts: DataFrame, ks: list[int], chains: int = 2, iterations: int = ITERATIONS, burn: int = BURN, thin: int = THIN, seed: int = SEED, packed: bool = False) -> DataFrame:
+    """Long draws ``(study_id, k, chain, draw, kind, item, factor, value)``: loadings by p_idx and z-scores by stmt_num; a task for each (study, K, chain).
+
+    ``packed``: as ``PACKED`` instead, which holds what the long rows hold; all that reads draws takes both.
+    """
+    studies = sorts.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("p_idx", "stmt_num", "value", "participant"))).alias("cells"))
+    # by range: hashes would put several of a few chains in one task, and that task would take as many times as long
+    tasks = studies.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartitionByRange(len(ks) * chains, "study_id", "k", "chain")
+
+    def pieces(row, idx, kept):
+        for first in range(0, len(kept), PIECE):
+            part = kept[first : first + PIECE]
+            for kind, item, values in (("loading", idx, [load for load, _ in part]), ("zscore", np.arange(1, len(kept[0][1].T) + 1), [_standardised(f).T for _, f in part])):
+                step = max(1, 10 * DRAW_ROWS // (len(part) * row.k))
+                for at in range(0, len(item), step):
+                    own = np.stack([v[at : at + step] for v in values], axis=1)
+                    yield pd.DataFrame({"study_id": row.study_id, "k": row.k, "chain": row.chain, "kind": kind, "item": item[at : at + step], "first": first, "values": list(own.reshape(len(own), -1))})
 
     def run(parts):
         for pdf in parts:
@@ -168,17 +198,78 @@ def draws(sorts: DataFrame, ks: list[int], chains: int = 2, iterations: int = IT
                 n, j = x.shape
                 k = row.k
                 kept = sample(x, k, iterations, burn, thin, [seed, k, row.chain])
+                if packed:
+                    yield from pieces(row, idx, kept)
+                    continue
                 item = np.concatenate([np.repeat(idx, k), np.tile(np.arange(1, j + 1), k)])
                 factor = np.concatenate([np.tile(np.arange(1, k + 1), n), np.repeat(np.arange(1, k + 1), j)])
                 kind = np.repeat(["loading", "zscore"], [n * k, j * k])
                 step = max(1, DRAW_ROWS // len(item))
                 for start in range(0, len(kept), step):
                     part = kept[start : start + step]
-                    value = np.concatenate([v for load, f in part for v in (load.ravel(), ((f - f.mean(1, keepdims=True)) / f.std(1, ddof=1, keepdims=True)).ravel())])
+                    value = np.concatenate([v for load, f in part for v in (load.ravel(), _standardised(f).ravel())])
                     m = len(part)
                     yield pd.DataFrame({"study_id": row.study_id, "k": k, "chain": row.chain, "draw": np.repeat(np.arange(start, start + m), len(item)), "kind": np.tile(kind, m), "item": np.tile(item, m), "factor": np.tile(factor, m), "value": value})
 
-    return tasks.mapInPandas(run, DRAWS)
+    return tasks.mapInPandas(run, PACKED if packed else DRAWS)
+
+
+def long(draws: DataFrame, kind: str | None = None) -> DataFrame:
+    """Draws, packed or long, as long rows, of one ``kind`` if it is stated."""
+    own = draws if kind is None else draws.where(F.col("kind") == kind)
+    if "values" not in draws.columns:
+        return own
+    each = own.select("study_id", "k", "chain", "kind", "item", "first", F.posexplode("values").alias("at", "value"))
+    return each.select("study_id", "k", "chain", (F.col("first") + F.floor(F.col("at") / F.col("k"))).cast("int").alias("draw"), "kind", "item", (F.col("at") % F.col("k") + 1).cast("int").alias("factor"), "value")
+
+
+def _of_parameters(draws: DataFrame, by: list[str], of, names: list[str]) -> DataFrame:
+    """``(*by, factor, *names)`` of packed draws: ``of(values) -> {name: numbers by factor}``, the values (draws x K) of a key in the order of chains and draws."""
+    k_at = by.index("k")
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            found = of(np.concatenate(held).reshape(-1, key[k_at]))
+            return pd.DataFrame({**dict(zip(by, key, strict=True)), "factor": np.arange(1, key[k_at] + 1), **found})
+
+        for pdf in batches:
+            out = []
+            for *this, values in zip(*(pdf[c] for c in by), pdf["values"], strict=True):
+                if this != key:
+                    if held:
+                        out.append(done())
+                    key, held = this, []
+                held.append(values)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield done()
+
+    types = [f"{c} {draws.schema[c].dataType.simpleString()}" for c in by]
+    rows = draws.repartition(*by).sortWithinPartitions(*by, *[c for c in ("chain", "first") if c not in by]).select(*by, "values")
+    return rows.mapInPandas(run, ", ".join([*types, "factor int", *(f"{c} double" for c in names)]))
+
+
+def _flag_shares(draws: DataFrame) -> DataFrame:
+    """``(*KEYS, item, factor, p)``: the share of draws in which a sort defines a factor, counted where packed rows stand, so that no draw is sent."""
+    if "values" not in draws.columns:
+        sq = F.col("value") * F.col("value")
+        rest = F.sum(sq).over(Window.partitionBy(*KEYS, "chain", "draw", "item")) - sq
+        return draws.where("kind = 'loading'").withColumn("hit", (sq > rest) & (F.abs("value") > 0.3)).groupBy(*KEYS, "item", "factor").agg(F.avg(F.col("hit").cast("double")).alias("p"))
+
+    def count(batches):
+        for pdf in batches:
+            for k, own in pdf.groupby("k"):
+                sizes = np.array([len(v) for v in own["values"]])
+                values = np.concatenate(own["values"].to_numpy()).reshape(-1, k)
+                sq = values * values
+                hits = np.add.reduceat((2 * sq > sq.sum(axis=1, keepdims=True)) & (np.abs(values) > 0.3), np.cumsum(sizes // k) - sizes // k, axis=0, dtype=np.int64)
+                yield pd.DataFrame({"study_id": np.repeat(own["study_id"].to_numpy(), k), "k": k, "item": np.repeat(own["item"].to_numpy(), k), "factor": np.tile(np.arange(1, k + 1), len(own)), "hits": hits.ravel(), "n": np.repeat(sizes // k, k)})
+
+    counted = draws.where("kind = 'loading'").select("study_id", "k", "item", "values").mapInPandas(count, "study_id string, k int, item int, factor int, hits long, n long")
+    return counted.groupBy(*KEYS, "item", "factor").agg((F.sum("hits") / F.sum("n")).alias("p"))
 
 
 def fingerprint(sorts: DataFrame, chains: int, iterations: int, burn: int, thin: int, seed: int) -> str:
@@ -232,12 +323,24 @@ KEYS = ["study_id", "k"]
 
 def summary(draws: DataFrame, kind: str) -> DataFrame:
     """Posterior mean, sd and 95 % interval of loadings or z-scores."""
+    if "values" in draws.columns:
+
+        def of(v):
+            low, high = np.quantile(v, [0.025, 0.975], axis=0)
+            return {"mean": v.mean(axis=0), "sd": v.std(axis=0, ddof=1) if len(v) > 1 else np.nan, "low": low, "high": high}
+
+        return _of_parameters(draws.where(F.col("kind") == kind), [*KEYS, "item"], of, ["mean", "sd", "low", "high"])
     return draws.where(F.col("kind") == kind).groupBy(*KEYS, "item", "factor").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
 
 
 def convergence(draws: DataFrame) -> DataFrame:
     """Split-free R-hat of each parameter and the worst of each K; none of a parameter that never moves."""
-    per = draws.groupBy(*KEYS, "kind", "item", "factor", "chain").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
+    if "values" in draws.columns:
+        # what never moves has no variance, whatever its mean's last bit
+        of = lambda v: {"m": v.mean(axis=0), "v": np.where(v.min(axis=0) < v.max(axis=0), v.var(axis=0, ddof=1) if len(v) > 1 else np.nan, 0.0), "n": float(len(v))}
+        per = _of_parameters(draws, [*KEYS, "kind", "item", "chain"], of, ["m", "v", "n"])
+    else:
+        per = draws.groupBy(*KEYS, "kind", "item", "factor", "chain").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     r = per.groupBy(*KEYS, "kind", "item", "factor").agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.min("n").alias("n"))
     rhat = F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.coalesce("b", F.lit(0.0))) / F.col("w"))
     return r.withColumn("rhat", F.when(F.col("w") > 0, rhat)).groupBy(*KEYS, "kind").agg(F.max("rhat").alias("worst_rhat"), F.avg("rhat").alias("mean_rhat"))
@@ -255,16 +358,12 @@ def fdr_claims(claims: DataFrame, q: float, by: list[str], ties: tuple[str, ...]
 
 def flag_claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
     """Sorts that define a factor: probability that its loading has the larger share of the sort's communality and is not negligible."""
-    d = draws.where("kind = 'loading'")
-    sq = F.col("value") * F.col("value")
-    rest = F.sum(sq).over(Window.partitionBy(*KEYS, "chain", "draw", "item")) - sq
-    p = d.withColumn("hit", (sq > rest) & (F.abs("value") > 0.3)).groupBy(*KEYS, "item", "factor").agg(F.avg(F.col("hit").cast("double")).alias("p"))
-    return fdr_claims(p, q, KEYS)
+    return fdr_claims(_flag_shares(draws), q, KEYS)
 
 
 def distinguishing_claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
     """Statements on which a factor stands above or below all others: the larger of both probabilities."""
-    d = draws.where("kind = 'zscore' and k >= 2")
+    d = long(draws.where("k >= 2"), "zscore")
     by = Window.partitionBy(*KEYS, "chain", "draw", "item")
     hi, lo = F.max("value").over(by), F.min("value").over(by)
     p = d.withColumn("top", (F.col("value") == hi).cast("double")).withColumn("bottom", (F.col("value") == lo).cast("double")).groupBy(*KEYS, "item", "factor").agg(F.greatest(F.avg("top"), F.avg("bottom")).alias("p"))
@@ -273,7 +372,7 @@ def distinguishing_claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
 
 def consensus_claims(draws: DataFrame, q: float = 0.05, width: float = 0.75) -> DataFrame:
     """Statements on which all factors lie within ``width``."""
-    d = draws.where("kind = 'zscore' and k >= 2").groupBy(*KEYS, "chain", "draw", "item").agg((F.max("value") - F.min("value")).alias("spread"))
+    d = long(draws.where("k >= 2"), "zscore").groupBy(*KEYS, "chain", "draw", "item").agg((F.max("value") - F.min("value")).alias("spread"))
     p = d.groupBy(*KEYS, "item").agg(F.avg((F.col("spread") < width).cast("double")).alias("p")).withColumn("factor", F.lit(0))
     return fdr_claims(p, q, KEYS)
 
@@ -283,7 +382,7 @@ def star_claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
 
     A draw's scores of a statement are one array of K values, so pairs are made of K values and never by a join of draws.
     """
-    by = draws.where("kind = 'zscore' and k >= 2").groupBy(*KEYS, "chain", "draw", "item").agg(F.array_sort(F.collect_list(F.struct("factor", "value"))).alias("z"))
+    by = long(draws.where("k >= 2"), "zscore").groupBy(*KEYS, "chain", "draw", "item").agg(F.array_sort(F.collect_list(F.struct("factor", "value"))).alias("z"))
     pairs = F.flatten(F.transform("z", lambda a: F.transform(F.filter("z", lambda b: b["factor"] > a["factor"]), lambda b: F.struct(a["factor"].alias("factor"), b["factor"].alias("other"), (a["value"] - b["value"]).alias("diff")))))
     each = by.select(*KEYS, "item", F.inline(pairs))
     p = F.greatest(F.avg((F.col("diff") > 0).cast("double")), F.avg((F.col("diff") < 0).cast("double")))
@@ -301,10 +400,13 @@ def claim_families(draws: DataFrame, q: float = 0.05) -> DataFrame:
 
 
 def claims(draws: DataFrame, q: float = 0.05) -> DataFrame:
-    """``flag_claims`` (kind loading) and ``distinguishing_claims`` (kind zscore) from one reading of the draws, so that they are sampled once.
+    """``flag_claims`` (kind loading) and ``distinguishing_claims`` (kind zscore) from one reading of long draws, so that they are sampled once (packed ones are a stored table).
 
     Scores of a lone factor have no others to stand apart from: their ``p`` and ``claimed`` are null.
     """
+    if "values" in draws.columns:
+        load = _flag_shares(draws).withColumn("kind", F.lit("loading"))
+        return fdr_claims(load, q, [*KEYS, "kind"]).unionByName(claims(long(draws, "zscore"), q))
     by = Window.partitionBy(*KEYS, "chain", "draw", "kind", "item")
     sq = F.col("value") * F.col("value")
     hit = (2 * sq > F.sum(sq).over(by)) & (F.abs("value") > 0.3)
@@ -429,6 +531,20 @@ def effective_sizes(draws: DataFrame, lags: int = 50) -> DataFrame:
 
     A chain's draws are ordered in an array of one parameter, bounded by the sampler's length.
     """
+    if "values" in draws.columns:
+
+        def of(v):
+            c = v - v.mean(axis=0)
+            n, tau, go = len(c), np.ones(c.shape[1]), (c * c).sum(axis=0) > 0
+            for lag in range(1, min(lags, n - 1) + 1):
+                rho = np.divide((c[: n - lag] * c[lag:]).sum(axis=0), (c * c).sum(axis=0), out=np.zeros(c.shape[1]), where=go)
+                go = go & (rho > 0)
+                tau = np.where(go, tau + 2 * rho, tau)
+                if not go.any():
+                    break
+            return {"ess": n / tau}
+
+        return _of_parameters(draws, [*KEYS, "kind", "item", "chain"], of, ["ess"]).groupBy(*KEYS, "kind", "item", "factor").agg(F.sum("ess").alias("ess"))
     per = draws.groupBy(*KEYS, "kind", "item", "factor", "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "value"))), lambda x: x["value"]).alias("v"))
     n = F.size("v")
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n

@@ -92,7 +92,7 @@ def checked_draws(draws: DataFrame, sorts: DataFrame, every: int = EVERY, seed:
     """
     if every < 1 or block < 1:
         raise ValueError("every and block must be at least one")
-    some = draws.where(F.col("draw") % every == 0)
+    some = B.long(draws).where(F.col("draw") % every == 0)
     at = F.floor(F.col("p_idx") / block).cast("long").alias("block")
     loads = some.where("kind = 'loading'").withColumnRenamed("item", "p_idx").select("*", at).groupBy(*DRAW, "block").agg(F.array_sort(F.collect_list(F.struct("p_idx", "factor", "value"))).alias("c"))
     loads = loads.select(*DRAW, "block", F.transform("c", lambda c: c["p_idx"]).alias("who"), _values("c").alias("load"))
