@@ -2,8 +2,8 @@
 
 Test statistics are windows and aggregations over ``(study_id, attribute,
 stmt_num)``; only p-values that need an exact distribution, Hodges-Lehmann
-intervals and permutations run in Python, one statement or one batch of
-permutations at a time.
+intervals and permutations run in Python, one statement or one block of
+participants at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.ranks import mid_rank, min_rank, tie_term, tied, with_bh
+from .gram import _bytes, _dealt, _each, _sums
 from .study import deck_neutral
 
 STATEMENT = ["study_id", "stmt_num"]
@@ -171,37 +172,89 @@ def median_split(numbers: DataFrame) -> DataFrame:
     return numbers.where("num is not null").select("study_id", "participant", "attribute", F.when(F.col("num") <= med, "low").otherwise("high").alias("level"))
 
 
-def permanova_test(sorts: DataFrame, groups: DataFrame, permutations: int = 9999, seed: int = 1, batch: int = 500) -> DataFrame:
-    """p of the PERMANOVA gate: permutations are batches that any task can do, seeded by (seed, batch).
+def permuted_levels(counts: np.ndarray, sizes: np.ndarray, at: int, seed: int, b: int, own: int) -> np.ndarray:
+    """(own x levels): how many of each level's ``counts`` each of ``own`` permutations of batch ``b`` puts into block ``at`` of blocks with ``sizes`` participants.
 
-    A task gets a study's packed sorts (bounded by its participants and
-    statements) once for each batch and keeps one statistic for each permutation.
+    Blocks are halved again and again; the left half's share is a multivariate hypergeometric draw of its own seed, level by level for the whole batch, so a block finds its share without the others.
     """
-    wide = _grouped(sorts, groups).groupBy("study_id", "attribute", "participant", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("stmt_num", "value"))), lambda s: s["value"]).alias("v"))
-    batches = F.explode(F.sequence(F.lit(0), F.lit((permutations + batch - 1) // batch - 1))).alias("batch")
-
-    def ssw(x, codes, k):
-        out = (x * x).sum()
-        for c in range(k):
-            own = x[codes == c]
-            out -= (own.sum(0) ** 2).sum() / max(1, len(own))
-        return out
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("participant")
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        x = x - x.mean(0)
-        names, codes = np.unique(pdf["level"].to_numpy(str), return_inverse=True)
-        n, k, b = len(x), len(names), int(pdf["batch"].iloc[0])
+    left = np.tile(np.asarray(counts, np.int64), (own, 1))
+    lo, hi = 0, len(sizes)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([seed, b, lo, hi])
+        take, rest, share = np.full(own, sizes[lo:mid].sum(), np.int64), left.sum(axis=1), np.zeros_like(left)
+        for c in range(left.shape[1]):
+            rest = rest - left[:, c]
+            share[:, c] = rng.hypergeometric(left[:, c], rest, take)
+            take = take - share[:, c]
+        if at < mid:
+            left, hi = share, mid
+        else:
+            left, lo = left - share, mid
+    return left
+
+
+def permuted_codes(codes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, at: int, seed: int, b: int, own: int) -> np.ndarray:
+    """(own x participants of the block): the levels that the permutations of batch ``b`` give them."""
+    if len(sizes) == 1:
         rng = np.random.default_rng([seed, b])
-        sst = (x * x).sum()
-        stat = lambda w: ((sst - w) / (k - 1)) / (w / (n - k)) if n > k and w > 0 else math.inf
-        observed = stat(ssw(x, codes, k))
-        own = min(batch, permutations - b * batch)
-        more = sum(stat(ssw(x, rng.permutation(codes), k)) >= observed * (1 - 1e-12) for _ in range(own))
-        return pd.DataFrame([{"study_id": pdf["study_id"].iloc[0], "attribute": pdf["attribute"].iloc[0], "more": more, "done": own}])
-
-    counts = wide.select("*", batches).groupBy("study_id", "attribute", "batch").applyInPandas(run, "study_id string, attribute string, more long, done long")
+        return np.stack([rng.permutation(codes) for _ in range(own)])
+    ends = permuted_levels(counts, sizes, at, seed, b, own).cumsum(axis=1)
+    out = np.zeros((own, len(codes)), np.int16)
+    for c in range(len(counts) - 1):
+        out += np.arange(len(codes)) >= ends[:, c : c + 1]
+    return np.random.default_rng([seed, b, at, at]).permuted(out, axis=1)
+
+
+#: Participants of a block of a permutation test.
+PERMUTED = 16_384
+
+
+def permanova_test(sorts: DataFrame, groups: DataFrame, permutations: int = 9999, seed: int = 1, batch: int = 500) -> DataFrame:
+    """p of the PERMANOVA gate. A permutation deals the levels to blocks of participants and shuffles them there, seeded by (seed, batch, block).
+
+    F needs no more of a permutation than each level's sums over its participants, so a task has one block,
+    and what is sent are sums that grow with the blocks; no task holds a study of more than ``PERMUTED`` participants.
+    """
+    by = ["study_id", "attribute"]
+    wide = _grouped(sorts, groups).groupBy(*by, "participant", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("stmt_num", "value"))), lambda s: s["value"].cast("double")).alias("v")).persist()
+    levels = wide.groupBy(*by, "level").agg(F.count("*").alias("c")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("level", "c"))).alias("z"))
+    levels = levels.select(*by, F.transform("z", lambda z: z["level"]).alias("names"), F.transform("z", lambda z: z["c"]).alias("counts"))
+    n_blocks = F.ceil(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c) / PERMUTED)
+    placed = wide.join(F.broadcast(levels), by).withColumn("at", F.pmod(F.xxhash64("participant"), n_blocks).cast("int")).withColumn("code", F.array_position("names", F.col("level")) - 1)
+    block = placed.groupBy(*by, "counts", "at").agg(F.array_sort(F.collect_list(F.struct("participant", "code", "v"))).alias("c"))
+    sizes = placed.groupBy(*by, "at").agg(F.count("*").alias("m")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("b"))
+    block = block.join(F.broadcast(sizes), by).select(*by, "counts", F.transform("b", lambda b: b["m"]).alias("sizes"), (F.array_position(F.transform("b", lambda b: b["at"]), F.col("at")) - 1).cast("int").alias("at"), F.transform("c", lambda c: c["code"]).alias("code"), F.flatten(F.transform("c", lambda c: c["v"])).alias("v"))
+
+    def add(parts):
+        for pdf in parts:
+            for row in pdf.itertuples(index=False):
+                codes, counts, sizes = (np.asarray(x, np.int64) for x in (row.code, row.counts, row.sizes))
+                x, k = np.asarray(row.v, float).reshape(len(codes), -1), len(counts)
+                total, squares = x.sum(axis=0), (x * x).sum()
+                level = lambda drawn: np.stack([(drawn == c).astype(float) @ x for c in range(k)], axis=1)
+                observed = level(codes[None])
+                for b in range(-(-permutations // batch)):
+                    own = min(batch, permutations - b * batch)
+                    sums = level(permuted_codes(codes, counts, sizes, row.at, seed, b, own))
+                    flat = np.concatenate([observed.ravel(), sums.ravel(), total, [squares]])
+                    yield pd.DataFrame({"study_id": [row.study_id], "attribute": [row.attribute], "batch": [b], "part": [_bytes(flat)]})
+
+    def compare(row):
+        counts = np.asarray(row.counts, float)
+        n, k = counts.sum(), len(counts)
+        flat = np.frombuffer(row.part, np.float64)
+        own = min(batch, permutations - row.batch * batch)
+        j = (len(flat) - 1) // ((own + 1) * k + 1)
+        mean = flat[-1 - j : -1] / n
+        sums = flat[: -1 - j].reshape(own + 1, k, j) - counts[:, None] * mean
+        sst = flat[-1] - n * (mean @ mean)
+        ssw = sst - (sums * sums / counts[:, None]).sum(axis=(1, 2))
+        f = np.divide((sst - ssw) / (k - 1), ssw / (n - k) if n > k else 0.0, out=np.full(own + 1, np.inf), where=(ssw > 1e-12 * sst) & (n > k))
+        return row.study_id, row.attribute, int((f[1:] >= f[0] * (1 - 1e-12)).sum()), own
+
+    parts = _dealt(block, *by, "at").mapInPandas(add, "study_id string, attribute string, batch int, part binary")
+    counts = _each(_sums(parts, [*by, "batch"]).join(F.broadcast(levels.select(*by, "counts")), by), compare, "study_id string, attribute string, more long, done long")
     p = counts.groupBy("study_id", "attribute").agg(((F.sum("more") + 1) / (F.sum("done") + 1)).alias("p"), F.sum("done").alias("permutations"))
     return permanova(sorts, groups).join(p, ["study_id", "attribute"]).withColumn("passed", F.col("p") <= 0.05)
 
