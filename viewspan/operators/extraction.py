@@ -235,7 +235,7 @@ ALIGNMENTS = {
 }
 
 
-def bootstrap(sorts: DataFrame, k: int, replicates: int = 1000, method: str = "pca", rotation: str = "varimax", seed: int = 42, align: str = "person") -> DataFrame:
+def bootstrap(sorts: DataFrame, k: int, replicates: int = 1000, method: str = "pca", rotation: str = "varimax", seed: int = 42, align: str = "person", level: float | None = None) -> DataFrame:
     """Replicates as long rows ``(study_id, b, kind, item, factor, value, flagged)``; kind is loading (item: p_idx) or zscore (item: stmt_num).
 
     Participants are drawn with replacement; each replicate is extracted,
@@ -244,12 +244,17 @@ def bootstrap(sorts: DataFrame, k: int, replicates: int = 1000, method: str = "p
     ("names"), by position ("positional", as older tools do), or columns are
     assigned by their sorted curves, as for other people ("curves"). Copies of a person are averaged back; people not drawn have
     no row. Principal components of whole studies are found from weighted sums, the rest from copies of the packed study.
+    With ``level`` no rows are made of the loadings of the former: what is returned are the ``intervals`` of that level, found where the participants are.
     """
     if align not in ALIGNMENTS:
         raise ValueError(f"{align}: one of {', '.join(ALIGNMENTS)}")
     if method == "pca" and align == "person":
+        if level is not None:
+            loads, z = S.bootstrap_intervals(S.whole_rows(sorts), k, replicates, rotation, seed, level)
+            return loads.unionByName(intervals(z.unionByName(_bootstrap_packed(S.unwhole_sorts(sorts), k, replicates, method, rotation, seed, align)), level))
         return S.bootstrap(S.whole_rows(sorts), k, replicates, rotation, seed).unionByName(_bootstrap_packed(S.unwhole_sorts(sorts), k, replicates, method, rotation, seed, align))
-    return _bootstrap_packed(sorts, k, replicates, method, rotation, seed, align)
+    rows = _bootstrap_packed(sorts, k, replicates, method, rotation, seed, align)
+    return rows if level is None else intervals(rows, level)
 
 
 def _bootstrap_packed(sorts: DataFrame, k: int, replicates: int, method: str, rotation: str, seed: int, align: str) -> DataFrame:
@@ -285,11 +290,16 @@ def _bootstrap_packed(sorts: DataFrame, k: int, replicates: int, method: str, ro
     return _replicated(sorts, replicates).mapInPandas(run, "study_id string, b int, kind string, item int, factor int, value double, flagged boolean")
 
 
-def bootstrap_ci(samples: DataFrame, original: DataFrame, level: float = 0.95) -> DataFrame:
-    """Mean, sd, percentile interval, bias and bias-corrected estimate; ``original(study_id, kind, item, factor, value)``."""
+def intervals(samples: DataFrame, level: float = 0.95) -> DataFrame:
+    """``(study_id, kind, item, factor, boot_mean, boot_sd, ci_low, ci_high, n)`` of replicates."""
     lo, hi = (1 - level) / 2, (1 + level) / 2
     own = samples.where(~F.isnan("value"))
-    s = own.groupBy("study_id", "kind", "item", "factor").agg(F.avg("value").alias("boot_mean"), F.stddev_samp("value").alias("boot_sd"), F.percentile("value", F.lit(lo)).alias("ci_low"), F.percentile("value", F.lit(hi)).alias("ci_high"), F.count("*").alias("n"))
+    return own.groupBy("study_id", "kind", "item", "factor").agg(F.avg("value").alias("boot_mean"), F.stddev_samp("value").alias("boot_sd"), F.percentile("value", F.lit(lo)).alias("ci_low"), F.percentile("value", F.lit(hi)).alias("ci_high"), F.count("*").alias("n"))
+
+
+def bootstrap_ci(samples: DataFrame, original: DataFrame, level: float = 0.95) -> DataFrame:
+    """Mean, sd, percentile interval, bias and bias-corrected estimate; ``samples``: rows of replicates, or their ``intervals``; ``original(study_id, kind, item, factor, value)``."""
+    s = samples if "boot_mean" in samples.columns else intervals(samples, level)
     o = original.select("study_id", "kind", "item", "factor", F.col("value").alias("original"))
     return s.join(o, ["study_id", "kind", "item", "factor"]).withColumn("bias", F.col("boot_mean") - F.col("original")).withColumn("bc_estimate", F.col("original") - F.col("bias"))
 
@@ -310,8 +320,23 @@ def bootstrap_flags(sorts: DataFrame, k: int, replicates: int = 1000, rotation:
 
 def stability(samples: DataFrame, original: DataFrame) -> DataFrame:
     """Per kind the correlation of each replicate with the original: mean, sd, least, greatest."""
+    return _spread(_agreement(samples, original))
+
+
+def bootstrap_stability(sorts: DataFrame, k: int, replicates: int = 1000, rotation: str = "varimax", seed: int = 42) -> DataFrame:
+    """``stability`` of ``bootstrap`` by principal components without rows of its loadings: whole studies are summed by blocks of participants."""
+    original = original_solution(sorts, k, "pca", rotation)
+    loads, z = S.bootstrap_agreement(S.whole_rows(sorts), k, replicates, rotation, seed)
+    rest = _bootstrap_packed(S.unwhole_sorts(sorts), k, replicates, "pca", rotation, seed, "person")
+    return _spread(loads.unionByName(_agreement(z, original.where("kind = 'zscore'"))).unionByName(_agreement(rest, original)))
+
+
+def _agreement(samples: DataFrame, original: DataFrame) -> DataFrame:
     o = original.select("study_id", "kind", "item", "factor", F.col("value").alias("original"))
-    per = samples.where(~F.isnan("value")).join(o, ["study_id", "kind", "item", "factor"]).groupBy("study_id", "kind", "b").agg(F.corr("value", "original").alias("r"))
+    return samples.where(~F.isnan("value")).join(o, ["study_id", "kind", "item", "factor"]).groupBy("study_id", "kind", "b").agg(F.corr("value", "original").alias("r"))
+
+
+def _spread(per: DataFrame) -> DataFrame:
     return per.groupBy("study_id", "kind").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("r").alias("min"), F.max("r").alias("max"), F.count("*").alias("replicates"))
 
 

@@ -520,6 +520,12 @@ def bootstrap(rows: DataFrame, k: int, replicates: int, rotation: str, seed: int
                     n, m = load.shape
                     yield pd.DataFrame({"study_id": row.study_id, "b": b, "kind": "loading", "item": np.repeat(who[there], m), "factor": np.tile(np.arange(1, m + 1), n), "value": load.ravel(), "flagged": flagged_loads(load, u.shape[1]).ravel()})
 
+    return placed.mapInPandas(people, REPLICATES).unionByName(_scores_of(placed, replicates, seed))
+
+
+def _scores_of(placed: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The rows of kind zscore of ``bootstrap``."""
+
     def scores(parts):
         for pdf in parts:
             for row in pdf.itertuples(index=False):
@@ -534,7 +540,74 @@ def bootstrap(rows: DataFrame, k: int, replicates: int, rotation: str, seed: int
 
     summed = placed.mapInPandas(scores, "study_id string, b int, item int, factor int, wsum double, any double").groupBy("study_id", "b", "factor", "item").agg(F.sum("wsum").alias("wsum"), F.sum("any").alias("any"))
     z = standardised(summed, ["study_id", "b", "factor"], F.col("any") > 0)
-    return placed.mapInPandas(people, REPLICATES).unionByName(z.select("study_id", "b", F.lit("zscore").alias("kind"), "item", "factor", F.col("zscore").alias("value"), F.lit(False).alias("flagged")))
+    return z.select("study_id", "b", F.lit("zscore").alias("kind"), "item", "factor", F.col("zscore").alias("value"), F.lit(False).alias("flagged"))
+
+
+INTERVALS = "study_id string, kind string, item int, factor int, boot_mean double, boot_sd double, ci_low double, ci_high double, n long"
+
+
+def bootstrap_intervals(rows: DataFrame, k: int, replicates: int, rotation: str, seed: int, level: float) -> tuple[DataFrame, DataFrame]:
+    """What ``extraction.intervals`` says of the loadings of ``bootstrap`` (``INTERVALS``), found where a block of participants is, and the rows of its z-scores."""
+    rows = rows.persist()
+    blocks, turned = replicate_bases(rows, k, rotation, replicates, seed)
+    turned = turned.persist()
+    bases = turned.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("b", "basis"))).alias("bases"))
+    whole = _dealt(blocks.where("chunk = 0").join(F.broadcast(bases), "study_id"), "study_id", "at")
+    at = np.array([(1 - level) / 2, (1 + level) / 2])
+
+    def run(parts):
+        for pdf in parts:
+            for row in pdf.itertuples(index=False):
+                u = L.unit_rows(np.asarray(row.v, float).reshape(len(row.who), -1))
+                found = _bases_of(row)
+                turns = np.stack([_floats(v, u.shape[1], -1) for v in found.values()], axis=1)
+                drawn = np.stack([block_weights(row.sizes, row.at, seed, b) > 0 for b in found], axis=1)
+                m = turns.shape[2]
+                for k0 in range(0, len(u), SLICE):
+                    some = drawn[k0 : k0 + SLICE].any(axis=1)
+                    there, who = drawn[k0 : k0 + SLICE][some], np.asarray(row.who)[k0 : k0 + SLICE][some]
+                    if not len(who):
+                        continue
+                    load = (u[k0 : k0 + SLICE][some] @ turns.reshape(len(turns), -1)).reshape(len(who), len(found), m)
+                    load[~there] = np.nan
+                    n = there.sum(axis=1)[:, None]
+                    mean = np.nansum(load, axis=1) / n
+                    sd = np.sqrt(np.nansum((load - mean[:, None]) ** 2, axis=1) / np.where(n > 1, n - 1, np.nan))
+                    load.sort(axis=1)  # undefined values come last
+                    place = at[:, None, None] * (n - 1)
+                    low = np.floor(place).astype(np.int64)
+                    below, above = (np.stack([np.take_along_axis(load, np.broadcast_to(p[:, None], (len(who), 1, m)), axis=1)[:, 0] for p in q]) for q in (low, np.ceil(place).astype(np.int64)))
+                    ends = below + (place - low) * (above - below)
+                    yield pd.DataFrame({"study_id": row.study_id, "kind": "loading", "item": np.repeat(who, m), "factor": np.tile(np.arange(1, m + 1), len(who)), "boot_mean": mean.ravel(), "boot_sd": sd.ravel(), "ci_low": ends[0].ravel(), "ci_high": ends[1].ravel(), "n": np.repeat(n.ravel(), m)})
+
+    own = whole.mapInPandas(run, INTERVALS).withColumn("boot_sd", F.when(F.col("n") > 1, F.col("boot_sd")))
+    return own, _scores_of(_with_chunk(blocks, turned, "basis"), replicates, seed)
+
+
+def bootstrap_agreement(rows: DataFrame, k: int, replicates: int, rotation: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(study_id, kind, b, r)``: the correlation of each replicate's loadings with the original ones, from sums over blocks of participants, and the rows of ``bootstrap``'s z-scores."""
+    rows = rows.persist()
+    blocks, turned = replicate_bases(rows, k, rotation, replicates, seed)
+    turned = turned.persist()
+    target = solution(rows, k, rotation).select("study_id", F.col("basis").alias("target"))
+    placed = _with_chunk(blocks, turned, "basis")
+
+    def sums(row):
+        _, u, bs, w = _drawn(row, seed, replicates)
+        o = u @ _floats(row.target, u.shape[1], -1)
+        out = {}
+        for b, v in _bases_of(row).items():
+            there = w[b - bs[0]] > 0
+            x, y = (u[there] @ _floats(v, u.shape[1], -1)).ravel(), o[there].ravel()
+            out[b] = np.array([len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y])
+        return out
+
+    def solve(row):
+        n, x, y, xx, yy, xy = np.frombuffer(row.part, np.float64)
+        return row.study_id, "loading", row.b, (n * xy - x * y) / math.sqrt((n * xx - x * x) * (n * yy - y * y))
+
+    r = _each(_per_replicate(placed.join(F.broadcast(target), "study_id"), sums), solve, "study_id string, kind string, b int, r double")
+    return r, _scores_of(placed, replicates, seed)
 
 
 def flag_counts(rows: DataFrame, k: int, replicates: int, rotation: str, seed: int) -> DataFrame:

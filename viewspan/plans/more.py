@@ -224,7 +224,7 @@ def original_flags(s, d):
 
 query("bootstrap_success", "study_id:s done:i share:d status:s", "select 'supplier_brand' as study_id, 1000 as done, 1.0 as share, 'ok' as status")(lambda s, d: X.bootstrap_success(Q.replicates(s, d), 1000))
 query("flag_agreement", "study_id:s mean:d sd:d min:d max:d replicates:i")(lambda s, d: X.flag_agreement(Q.replicates(s, d), original_flags(s, d)))
-query("bootstrap_verdict", "factor:i phi:d median_width:d weak:b")(lambda s, d: X.stability_verdict(X.bootstrap_ci(Q.replicates(s, d), X.original_solution(sorts(s, d), 3))))
+query("bootstrap_verdict", "factor:i phi:d median_width:d weak:b")(lambda s, d: X.stability_verdict(Q.boot_intervals(s, d)))
 
 # --- ladders of K -----------------------------------------------------------------------------------------------
 
