@@ -75,8 +75,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(c, np.sqrt(size), out=np.full_like(c, np.nan), where=size > 1e-12 * (x * x).sum(axis=1, keepdims=True) + 1e-300)
 
 
+def _mid_ranks(x: np.ndarray) -> np.ndarray:
+    """Mid-ranks within complete rows; of few rows by comparing all values, which needs no sort of each."""
+    if x.size * x.shape[1] > PIECE:
+        return pd.DataFrame(x.T).rank().to_numpy().T
+    below, equal = (op(x[:, None, :], x[:, :, None]).sum(axis=2) for op in (np.less, np.equal))
+    return below + (equal + 1) / 2
+
+
 def _unit_ranks(x: np.ndarray) -> np.ndarray:
-    return _unit(pd.DataFrame(x.T).rank().to_numpy().T)
+    return _unit(_mid_ranks(x))
 
 
 def _unit_signs(x: np.ndarray) -> np.ndarray:
