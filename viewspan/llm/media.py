@@ -4,6 +4,12 @@ Multiscale corners, binary intensity tests turned to each corner's orientation,
 Hamming tables joined by hash, and a geometric consensus of the matches. Equal
 images are one node; copies link through matches that agree on one scale,
 rotation and shift.
+
+Two corners match if they share a key of a table and differ in few bits, two
+images link if enough matches agree. First each corner is compared with two
+neighbours of a bucket, which joins most copies to classes at the cost of a few
+pairs a row. Then all pairs of a bucket that lie in different classes are
+compared, so that no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, read, shuffle_partitions, stored
 
@@ -21,6 +28,10 @@ SCALES, BORDER, CORNERS = (1.0, 1.5, 2.25), 11, 24
 BITS, MATCH_BITS, TABLES, KEY_BITS = 256, 40, 6, 24
 #: Matches that must agree, and how far they may be off: octaves, radians, pixels.
 INLIERS, OCTAVE, TURN, SHIFT = 5, 0.35, 0.35, 3.5
+#: Tables read for the first classes (the exact pass reads all), rows of a block of a large bucket, rows and pairs handled at once.
+FIRST_TABLES, BLOCK, ROWS, PAIRS = 2, 4096, 1 << 17, 1 << 20
+#: A bucket is counted towards the large ones where as many of its rows meet among the corners of that many images.
+CROWD, CROWD_IMAGES = 16, 20_000
 SEED = 7
 
 
@@ -144,31 +155,61 @@ def descriptors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- matching -----------------------------------------------------------------------------------
 
 
+def _column(batch, name):
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _batch(names, *columns):
+    return pa.RecordBatch.from_arrays(list(columns), names=list(names))
+
+
+def _binaries(x: np.ndarray) -> pa.Array:
+    """A binary array of the rows of ``x``, which are bytes."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _described(batches):
+    """The image's corners, each of BITS/8 bytes and its place in four floats; null where there are none."""
+    known = {}
+    for batch in batches:
+        corners = []
+        for node, image in zip(_column(batch, "node").to_pylist(), _column(batch, "image"), strict=True):
+            if node not in known:
+                if len(known) >= 4096:
+                    known.clear()
+                x = decode(image.as_py())
+                places, bits = descriptors(x) if x is not None else ((), ())
+                known[node] = np.hstack([bits, places.astype(np.float32).view(np.uint8)]).tobytes() if len(places) else None
+            corners.append(known[node])
+        yield _batch(("id", "node", "corners"), _column(batch, "id"), _column(batch, "node"), pa.array(corners, pa.binary()))
+
+
+def _unpacked(corners: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(corners as rows of bytes, keys of all tables, places)."""
+    rows = np.frombuffer(corners, np.uint8).reshape(-1, BITS // 8 + 16)
+    flat = np.unpackbits(rows[:, : BITS // 8], axis=1)
+    keys = np.stack([flat[:, TABLE_BITS[t]].astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) + (t << KEY_BITS) for t in range(TABLES)], 1)
+    return rows, keys, np.ascontiguousarray(rows[:, BITS // 8 :]).view(np.float32)
+
+
 def _corner_rows(batches):
-    """A row for each corner and table: bucket, node, and the descriptor with the place."""
+    """A row for each corner and table of the first pass: bucket, node, and the descriptor with the place."""
     for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-        rows = [[], [], []]
-        for node, image in zip(batch.column(batch.schema.get_field_index("node")).to_pylist(), batch.column(batch.schema.get_field_index("image")), strict=True):
-            x = decode(image.as_py())
-            if x is None:
-                continue
-            places, bits = descriptors(x)
-            flat = np.unpackbits(bits, axis=1)
-            for t in range(TABLES):
-                keys = flat[:, TABLE_BITS[t]].astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) + (t << KEY_BITS)
-                rows[0] += keys.tolist()
-                rows[1] += [node] * len(keys)
-                rows[2] += [b.tobytes() + p.tobytes() for b, p in zip(bits, places.astype(np.float32), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "node", "corner"])
+        images = [_unpacked(c) for c in _column(batch, "corners").to_pylist()]
+        buckets = np.concatenate([keys[:, :FIRST_TABLES].ravel() for _, keys, _ in images])
+        nodes = np.repeat(_column(batch, "node").to_numpy(), [len(rows) * FIRST_TABLES for rows, _, _ in images])
+        yield _batch(("bucket", "node", "corner"), pa.array(buckets), pa.array(nodes), _binaries(np.concatenate([rows.repeat(FIRST_TABLES, 0) for rows, _, _ in images])))
 
 
 def _bucket_matches(batches):
-    """Matches (a, b, places of both) in each bucket.
+    """Matches (a, b, places of both) of neighbours in each bucket.
 
     The rows of a bucket, ordered by node, are compared with the nearest row
     before that matches and with the first of each run of matching rows, so
     that copies of one image meet on the same pairs in all their buckets and a
-    bucket of any size gives at most two matches a row.
+    bucket of any size gives at most two matches a row. What this leaves out
+    is compared in ``class_links``.
     """
     last, first, previous = None, [], []
     out = []
@@ -239,29 +280,198 @@ def _links(found):
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["a", "b", "inliers"])
 
 
-def image_links(images: DataFrame) -> DataFrame:
-    """Links ``(a, b, inliers)`` between distinct images ``(node, image)``, ``a < b``."""
-    n = shuffle_partitions(images.sparkSession)
-    # decoding and describing cost far more than moving the images, so they are spread first
-    rows = images.repartition(max(n, 24), "node").mapInArrow(_corner_rows, "bucket long, node long, corner binary")
+# --- all matches between classes ------------------------------------------------------------------
+
+
+def _crowded(batches):
+    """Buckets in which many corners of some images meet, with their number."""
+
+    def counted(keys):
+        bucket, n = np.unique(np.concatenate(keys), return_counts=True)
+        return _batch(("bucket", "n"), pa.array(bucket[n >= CROWD]), pa.array(n[n >= CROWD]))
+
+    keys = []
+    for batch in batches:
+        for corners in _column(batch, "corners").to_pylist():
+            keys.append(_unpacked(corners)[1].ravel())
+            if len(keys) == CROWD_IMAGES:
+                yield counted(keys)
+                keys = []
+    if keys:
+        yield counted(keys)
+
+
+def _class_rows(batches):
+    """A row for each corner and table: bucket, node, its class, number of the corner and descriptor."""
+    for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+        images = [_unpacked(c)[:2] for c in _column(batch, "corners").to_pylist()]
+        times = [len(rows) * TABLES for rows, _ in images]
+        yield _batch(
+            ("bucket", "node", "class", "at", "bits"),
+            pa.array(np.concatenate([keys.ravel() for _, keys in images])),
+            pa.array(np.repeat(_column(batch, "node").to_numpy(), times)),
+            pa.array(np.repeat(_column(batch, "class").to_numpy(), times)),
+            pa.array(np.concatenate([np.arange(len(rows), dtype=np.int32).repeat(TABLES) for rows, _ in images])),
+            _binaries(np.concatenate([rows[:, : BITS // 8].repeat(TABLES, 0) for rows, _ in images])),
+        )
+
+
+def _class_matches(batches):
+    """For each corner ``(a, at)`` the matching nodes of other classes above ``a``, by their lower 32 bits.
+
+    Rows come sorted by bucket and pair of blocks. All rows at a distance of 1,
+    2, 3, ... of each other are compared at once, as long as any are of one
+    group. A task holds ``ROWS`` rows (or a group) and ``PAIRS`` matches.
+    """
+    names = ("bucket", "low", "high", "block", "node", "class", "at")
+
+    def matches(x, bits):
+        group = np.cumsum(np.r_[True, (x["bucket"][1:] != x["bucket"][:-1]) | (x["low"][1:] != x["low"][:-1]) | (x["high"][1:] != x["high"][:-1])])
+        across = x["low"] != x["high"]
+        i, d, held, n = np.arange(len(group) - 1), 1, [], 0
+        while len(i := i[i + d < len(group)]) and len(i := i[group[i] == group[i + d]]):
+            for k in range(0, len(i), PAIRS):
+                p = i[k : k + PAIRS]
+                p = p[(x["class"][p] != x["class"][p + d]) & (~across[p] | (x["block"][p] != x["block"][p + d]))]
+                p = p[np.bitwise_count(bits[p] ^ bits[p + d]).sum(1, dtype=np.int64) <= MATCH_BITS]
+                a, b = np.where(x["node"][p] < x["node"][p + d], (p, p + d), (p + d, p))
+                held.append((x["node"][a], x["at"][a], x["node"][b].astype(np.int32)))
+                n += len(p)
+                if n >= PAIRS:
+                    yield listed(held)
+                    held, n = [], 0
+            d += 1
+        if n:
+            yield listed(held)
+
+    def listed(held):
+        a, at, b = (np.concatenate(h) for h in zip(*held, strict=True))
+        order = np.lexsort((b, at, a))
+        a, at, b = a[order], at[order], b[order]
+        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (at[1:] != at[:-1])])
+        offsets = pa.array(np.r_[start, len(a)] * 4, pa.int32())
+        lists = pa.Array.from_buffers(pa.binary(), len(start), [None, offsets.buffers()[1], pa.py_buffer(b)])
+        return _batch(("a", "at", "others"), pa.array(a[start]), pa.array(at[start]), lists)
+
+    held, n = [], 0
+    for batch in batches:
+        bits = np.frombuffer(b"".join(_column(batch, "bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        held.append(({c: _column(batch, c).to_numpy() for c in names}, bits))
+        n += len(bits)
+        if n < ROWS:
+            continue
+        x, bits = {c: np.concatenate([h[0][c] for h in held]) for c in names}, np.concatenate([h[1] for h in held])
+        last = np.flatnonzero((x["bucket"] != x["bucket"][-1]) | (x["low"] != x["low"][-1]) | (x["high"] != x["high"][-1]))
+        cut = last[-1] + 1 if len(last) else 0
+        if cut:
+            yield from matches({c: v[:cut] for c, v in x.items()}, bits[:cut])
+        held, n = [({c: v[cut:].copy() for c, v in x.items()}, bits[cut:].copy())], len(bits) - cut
+    if n:
+        yield from matches({c: np.concatenate([h[0][c] for h in held]) for c in names}, np.concatenate([h[1] for h in held]))
+
+
+def _candidates(batches):
+    """Pairs of which enough corners of ``a`` match; ``b`` by its lower 32 bits. Rows come sorted by ``a``."""
+    node, held = None, []
+
+    def enough():
+        at = np.concatenate([np.full(len(o), k, np.int64) for k, o in held])
+        b = np.concatenate([o for _, o in held]).astype(np.int64)
+        b, n = np.unique(np.unique((b << 8) + at) >> 8, return_counts=True)
+        return [(node, int(k), int(m)) for k, m in zip(b[n >= INLIERS], n[n >= INLIERS], strict=True)]
+
+    def rows(found):
+        return _batch(("a", "b32", "n"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()))
+
+    for batch in batches:
+        found = []
+        for a, at, others in zip(*(_column(batch, c).to_pylist() for c in ("a", "at", "others")), strict=True):
+            if a != node:
+                found += enough() if held else []
+                node, held = a, []
+            held.append((at, np.frombuffer(others, np.int32)))
+        yield rows(found)
+    if held:
+        yield rows(enough())
+
+
+def matching_places(a: bytes, b: bytes) -> np.ndarray:
+    """Places (rows of eight numbers) of the matching corners of two images."""
+    (x, i, p), (y, j, q) = _unpacked(a), _unpacked(b)
+    bits = [np.ascontiguousarray(z[:, : BITS // 8]).view(np.uint64) for z in (x, y)]
+    near = np.bitwise_count(bits[0][:, None] ^ bits[1][None]).sum(2, dtype=np.int64) <= MATCH_BITS
+    m, n = np.nonzero(near & (i[:, None] == j[None]).any(2))
+    return np.hstack([p[m], q[n]]).astype(np.float64)
+
+
+def _verified(batches):
+    for batch in batches:
+        a, b, x, y = (_column(batch, c).to_pylist() for c in ("a", "b", "of_a", "of_b"))
+        yield _links([((i, j), consensus(matching_places(p, q))) for i, j, p, q in zip(a, b, x, y, strict=True)])
+
+
+def class_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """All links ``(a, b, inliers)`` between nodes ``(node, corners)`` of different classes ``comp``, or enough of them.
+
+    Every pair of corners of a bucket is compared unless its nodes are of one
+    class; large buckets are compared block by block in several tasks. Of two
+    classes with many candidates the best is tried first, the others only
+    where the classes are not joined by then.
+    """
+    size = nodes.mapInArrow(_crowded, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    size = size.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    named = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "corners")
+    rows = named.mapInArrow(_class_rows, "bucket long, node long, class long, at int, bits binary").join(F.broadcast(size), "bucket", "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "class", "at", "bits")
+    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    lists = rows.mapInArrow(_class_matches, "a long, at int, others binary").repartition("a").sortWithinPartitions("a")
+    pairs = lists.mapInArrow(_candidates, "a long, b32 int, n long")
+    # lower halves may be shared: such pairs are candidates too many, and fall by their corners
+    pairs = stored(pairs.join(nodes.select(F.col("node").alias("b"), F.shiftright(F.shiftleft("node", 32), 32).cast("int").alias("b32")), "b32").where("a < b").select("a", "b", "n"))
+    links = None
+    for best in (True, False):
+        of = comp.select("node", "component")
+        open_ = pairs.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select("a", "b", "n", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        if best:
+            open_ = open_.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.max(F.struct("n", "a", "b")).alias("x")).select("x.a", "x.b")
+        both = open_.select("a", "b").join(nodes.select(F.col("node").alias("a"), F.col("corners").alias("of_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("corners").alias("of_b")), "b")
+        found = stored(both.mapInArrow(_verified, "a long, b long, inliers long"))
+        links = found if links is None else links.union(found)
+        if best and not found.isEmpty():
+            edges = found.select("a", "b").union(comp.select("node", "component"))
+            comp = connected_components(edges)
+    return links.distinct()
+
+
+def image_links(nodes: DataFrame) -> DataFrame:
+    """Links ``(a, b, inliers)`` between distinct images ``(node, corners)``, ``a < b``, that hold all classes together."""
+    rows = nodes.mapInArrow(_corner_rows, "bucket long, node long, corner binary")
     matches = rows.repartition("bucket").sortWithinPartitions("bucket", "node", "corner").mapInArrow(_bucket_matches, "a long, b long, places binary")
     # the same two corners match in many tables and count once
-    return matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_agreed, "a long, b long, inliers long")
+    first = stored(matches.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_agreed, "a long, b long, inliers long"))
+    return first.union(class_links(nodes, connected_components(first)))
 
 
 def image_copies(media: DataFrame, id_col: str = "media_id", image: str = "image") -> DataFrame:
     """One row for each row of ``media``: ``id_col``, ``class_id`` (least id of its class), ``n_links`` and ``exact_copies``.
 
     ``n_links``: links of its image to different images that hold its class
-    together; ``exact_copies``: rows with just the same bytes, itself included.
+    together (copies are not expanded to all pairs, but all that link directly or
+    through others are of one class); ``exact_copies``: rows with just the same
+    bytes, itself included.
     Null, broken and corner-free images link only to equal bytes; null is equal to null.
     Repeated rows are equal images; a null id is never a class id unless all
     ids of a class are null. An empty table gives no rows.
     """
     own = media.select(F.col(id_col).alias("id"), F.col(image).alias("image"), F.xxhash64(F.coalesce(F.col(image), F.lit(b""))).alias("node"))
-    nodes = stored(own.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    one = own.join(nodes.select("node", F.col("least").alias("id")), ["node", "id"]).where(F.col("image").isNotNull()).dropDuplicates(["node"]).select("node", "image")
-    links = stored(image_links(one))
+    # decoding and describing cost far more than moving the images, so they are spread first
+    spread = own.repartition(max(shuffle_partitions(own.sparkSession), 24), "id", "node")
+    described = spread.mapInArrow(_described, T.StructType([own.schema["id"], T.StructField("node", T.LongType()), T.StructField("corners", T.BinaryType())]))
+    nodes = stored(described.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("corners", ignorenulls=True).alias("corners")))
+    links = stored(image_links(nodes.where("corners is not null").select("node", "corners")))
+    nodes = nodes.select("node", "least", "n")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     comp = connected_components(links)
     least = nodes.join(comp, "node").groupBy("component").agg(F.min("least").alias("class_id"))
