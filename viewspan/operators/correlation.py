@@ -217,7 +217,11 @@ def _defined(pairs: DataFrame) -> DataFrame:
 
 def _pairs(sorts: DataFrame, block: int, kind: str) -> DataFrame:
     def make(left, right):
+        apart = left[0].max() < right[0].min()
         for i, j, r, n in _pieces(left[1], right[1], kind):
+            if apart:  # every pair is in order, none has to be picked
+                yield np.repeat(left[0][i], len(j)), np.tile(right[0][j], len(i)), r.ravel(), n.ravel().astype(np.int64)
+                continue
             there = left[0][i][:, None] < right[0][j][None, :]
             a, b = np.nonzero(there)
             yield left[0][i][a], right[0][j][b], r[a, b], n[a, b].astype(np.int64)
