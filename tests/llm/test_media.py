@@ -92,3 +92,59 @@ def test_classes_of_all_pairs(spark):
             if a != b and max(M.consensus(M.matching_places(corners[x], corners[y])) for x, y in ((i, j), (j, i))) >= M.INLIERS:
                 least = {k: min(a, b) if v in (a, b) else v for k, v in least.items()}
     assert got == least
+
+
+def test_few_matches_are_not_looked_at(monkeypatch):
+    """A pair with less than the fewest matches costs no consensus; equal matches count once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "consensus", lambda places: pytest.fail(f"{len(places)} matches"))
+    place = lambda k: np.arange(k, k + 8, dtype=np.float32).tobytes()
+    batch = pa.table({"a": [1] * 4 + [2] * 9, "b": [5] * 13, "places": [place(k) for k in range(4)] + [place(k % 3) for k in range(9)]}).to_batches()
+    assert sum(b.num_rows for b in M._agreed(iter(batch))) == 0
+
+
+def near_corners(n=150, kinds=4):
+    """Corners of few kinds with some bits changed, all in one bucket, with node, class and block."""
+    rng = np.random.default_rng(8)
+    flat = rng.integers(0, 2, (kinds, M.BITS))[rng.integers(0, kinds, n)]
+    rows = np.packbits(flat ^ (rng.random((n, M.BITS)) < rng.choice([0.0, 0.05, 0.1], (n, 1))), axis=1)
+    return rows, np.sort(rng.integers(0, 60, n)), rng.integers(0, 50, n)
+
+
+@pytest.mark.parametrize("tiled", [2, 10**9])
+def test_tiles_miss_no_match(monkeypatch, tiled):
+    """In tiles or one by one, in blocks or not: the pairs of a bucket that brute force finds."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "TILED", tiled)
+    monkeypatch.setattr(M, "TILE", 7)
+    monkeypatch.setattr(M, "TILE_WIDTH", 16)
+    rows, node, cls = near_corners()
+    n = len(rows)
+    bits = [int.from_bytes(r.tobytes(), "big") for r in rows]
+    close = lambda i, j: (bits[i] ^ bits[j]).bit_count() <= M.MATCH_BITS
+    want = sorted({(min(node[i], node[j]), max(node[i], node[j]), i if node[i] < node[j] else j) for i in range(n) for j in range(n) if i != j and cls[i] != cls[j] and node[i] != node[j] and close(i, j)})
+    for blocks in (1, 3):
+        block, got = np.arange(n) % blocks, set()
+        for low in range(blocks):
+            for high in range(low, blocks):
+                own = np.flatnonzero((block == low) | (block == high))
+                one = lambda v: pa.array(np.full(len(own), v, np.int32))
+                t = pa.table({"bucket": pa.array(np.full(len(own), 3)), "low": one(low), "high": one(high), "block": pa.array(block[own].astype(np.int32)), "node": pa.array(node[own]), "class": pa.array(cls[own]), "at": pa.array(own.astype(np.int32)), "bits": pa.array([rows[k].tobytes() for k in own], pa.binary())})
+                for b in M._class_matches(iter(t.to_batches(40))):
+                    got |= {(a, int(o), at) for a, at, others in zip(*(b.column(k).to_pylist() for k in range(3))) for o in np.frombuffer(others, np.int32) if a != o}
+        assert sorted(got) == want
+    # the first pass: each row with the first of its run and the one before it
+    firsts, last, pairs = [], {}, []
+    for i in range(n):
+        k = next((k for k in firsts if close(k, i)), None)
+        if k is None:
+            firsts.append(i)
+        else:
+            pairs += [(j, i) for j in dict.fromkeys([k, last[k]]) if node[j] != node[i] and close(j, i)]
+        last[i if k is None else k] = i
+    corner = [rows[i].tobytes() + np.array([i, 0, 0, 0], np.float32).tobytes() for i in range(n)]
+    t = pa.table({"bucket": pa.array(np.zeros(n, np.int64)), "node": pa.array(node), "corner": pa.array(corner, pa.binary())})
+    found = [np.frombuffer(p, np.float32)[[0, 4]] for b in M._bucket_matches(iter(t.to_batches(40))) for p in b.column(2).to_pylist()]
+    assert sorted(tuple(sorted(map(int, f))) for f in found) == sorted(pairs)

@@ -30,6 +30,8 @@ BITS, MATCH_BITS, TABLES, KEY_BITS = 256, 40, 6, 24
 INLIERS, OCTAVE, TURN, SHIFT = 5, 0.35, 0.35, 3.5
 #: Tables read for the first classes (the exact pass reads all), rows of a block of a large bucket, rows and pairs handled at once.
 FIRST_TABLES, BLOCK, ROWS, PAIRS = 2, 4096, 1 << 17, 1 << 20
+#: Rows and columns of a tile of corners compared at once, and rows of a bucket from which tiles are used.
+TILE, TILE_WIDTH, TILED = 64, 1024, 32
 #: A bucket is counted towards the large ones where as many of its rows meet among the corners of that many images.
 CROWD, CROWD_IMAGES = 16, 20_000
 SEED = 7
@@ -97,59 +99,73 @@ def _at(x, r, c):
 
 
 def _blurred(x: np.ndarray, r: int) -> np.ndarray:
-    """Box blur of radius ``r``, twice."""
+    """Box blur of radius ``r`` over the last two axes, twice."""
     for _ in range(2):
-        for axis in (0, 1):
-            p = np.concatenate([np.repeat(np.take(x, [0], axis), r, axis), x, np.repeat(np.take(x, [-1], axis), r, axis)], axis)
-            c = np.cumsum(np.concatenate([np.zeros_like(np.take(p, [0], axis)), p], axis), axis, dtype=np.float64)
+        for axis in (-2, -1):
             n = x.shape[axis]
-            x = ((np.take(c, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(c, range(n), axis)) / (2 * r + 1)).astype(np.float32)
+            of = lambda z, a, b: z[..., a:b, :] if axis == -2 else z[..., a:b]  # noqa: B023, E731
+            p = np.empty((*x.shape[:-2], x.shape[-2] + 2 * r * (axis == -2), x.shape[-1] + 2 * r * (axis == -1)))
+            of(p, 0, r)[:], of(p, r, n + r)[:], of(p, n + r, n + 2 * r)[:] = of(x, 0, 1), x, of(x, n - 1, n)
+            total = of(p, 0, n) + of(p, 1, n + 1)
+            for k in range(2, 2 * r + 1):
+                total += of(p, k, n + k)
+            total /= 2 * r + 1
+            x = total.astype(np.float32)
     return x
 
 
 def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, strength) of local maxima of the Harris measure."""
     gr, gc = np.gradient(x)
-    a, b, c = _blurred(gr * gr, 1), _blurred(gc * gc, 1), _blurred(gr * gc, 1)
+    a, b, c = _blurred(np.stack([gr * gr, gc * gc, gr * gc]), 1)
     s = a * b - c * c - 0.05 * (a + b) ** 2
-    best = np.full_like(s, -np.inf)
+    h, w = s.shape
     p = np.pad(s, 2, constant_values=-np.inf)
-    for i in range(5):
-        for j in range(5):
-            if (i, j) != (2, 2):
-                np.maximum(best, p[i : i + s.shape[0], j : j + s.shape[1]], out=best)
+    # the largest of the four others of a column of five, then of the four columns beside it
+    own = np.maximum(np.maximum(p[:h], p[1 : h + 1]), np.maximum(p[3 : h + 3], p[4 : h + 4]))
+    column = np.maximum(own, p[2 : h + 2])
+    best = own[:, 2 : w + 2]
+    for j in (0, 1, 3, 4):
+        best = np.maximum(best, column[:, j : j + w])
     ok = (s > best) & (s > 1.0)
     ok[:BORDER], ok[-BORDER:], ok[:, :BORDER], ok[:, -BORDER:] = False, False, False, False
     r, c = np.nonzero(ok)
     return r, c, s[r, c]
 
 
+DISC_R, DISC_C = (d[np.hypot(*np.mgrid[-8:9, -8:9]) <= 8] for d in np.mgrid[-8:9, -8:9])
+
+
+def _described_at(y: np.ndarray, r: np.ndarray, c: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and bits of the corners at (r, c) of an image made ``scale`` times smaller."""
+    smooth = _blurred(y, 1)
+    patch = smooth[r[:, None] + DISC_R, c[:, None] + DISC_C]
+    angle = np.arctan2((patch * DISC_R).sum(1), (patch * DISC_C).sum(1))
+    cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+    turned = lambda dr, dc: _at(smooth, r[:, None] + dr * cos + dc * sin, c[:, None] + dc * cos - dr * sin)
+    bits = np.packbits(turned(PATTERN[:, 0], PATTERN[:, 1]) < turned(PATTERN[:, 2], PATTERN[:, 3]), axis=1)
+    return np.stack([(r + 0.5) * scale, (c + 0.5) * scale, np.full(len(r), np.log2(scale)), angle], 1), bits
+
+
 def descriptors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, bits): for each corner (row, column, log2 scale, angle) in the image's own pixels, and BITS/8 bytes."""
-    places, strength, bits = [], [], []
-    disc_r, disc_c = np.mgrid[-8:9, -8:9]
-    inside = disc_r**2 + disc_c**2 <= 64
-    disc_r, disc_c = disc_r[inside], disc_c[inside]
+    found = []
     for scale in SCALES:
         y = _resized(x, scale)
-        if min(y.shape) <= 2 * BORDER:
-            continue
-        r, c, s = _corners(y)
-        if not len(r):
-            continue
-        smooth = _blurred(y, 1)
-        patch = smooth[r[:, None] + disc_r, c[:, None] + disc_c]
-        angle = np.arctan2((patch * disc_r).sum(1), (patch * disc_c).sum(1))
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        turned = lambda dr, dc: _at(smooth, r[:, None] + dr * cos + dc * sin, c[:, None] + dc * cos - dr * sin)
-        bits.append(np.packbits(turned(PATTERN[:, 0], PATTERN[:, 1]) < turned(PATTERN[:, 2], PATTERN[:, 3]), axis=1))
-        places.append(np.stack([(r + 0.5) * scale, (c + 0.5) * scale, np.full(len(r), np.log2(scale)), angle], 1))
-        strength.append(s)
-    if not places:
+        if min(y.shape) > 2 * BORDER:
+            found.append((scale, y, *_corners(y)))
+    strength = np.concatenate([f[4] for f in found]) if found else np.zeros(0)
+    if not len(strength):
         return np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8)
-    places, strength, bits = np.concatenate(places), np.concatenate(strength), np.concatenate(bits)
+    # only the corners that stay are described
     top = np.argsort(-strength, kind="stable")[:CORNERS]
-    return places[top], bits[top]
+    places, bits, at = np.empty((len(top), 4)), np.empty((len(top), BITS // 8), np.uint8), 0
+    for scale, y, r, c, s in found:
+        own = np.flatnonzero((top >= at) & (top < at + len(s)))
+        if len(own):
+            places[own], bits[own] = _described_at(y, r[top[own] - at], c[top[own] - at], scale)
+        at += len(s)
+    return places, bits
 
 
 # --- matching -----------------------------------------------------------------------------------
@@ -202,6 +218,82 @@ def _corner_rows(batches):
         yield _batch(("bucket", "node", "corner"), pa.array(buckets), pa.array(nodes), _binaries(np.concatenate([rows.repeat(FIRST_TABLES, 0) for rows, _, _ in images])))
 
 
+def _whole_groups(batches, names, binary, by):
+    """``({name: numbers}, rows of bytes)`` of about ``ROWS`` rows that end where a group of equal ``by`` ends; rows come sorted by ``by``."""
+    held, n = [], 0
+
+    def joined():
+        return {c: np.concatenate([h[0][c] for h in held]) for c in names}, np.concatenate([h[1] for h in held])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.frombuffer(b"".join(_column(batch, binary).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        held.append(({c: _column(batch, c).to_numpy() for c in names}, rows))
+        n += len(rows)
+        if n < ROWS:
+            continue
+        x, rows = joined()
+        last = np.flatnonzero(np.any([x[c] != x[c][-1] for c in by], axis=0))
+        cut = last[-1] + 1 if len(last) else 0
+        if cut:
+            yield {c: v[:cut] for c, v in x.items()}, rows[:cut]
+        held, n = [({c: v[cut:].copy() for c, v in x.items()}, rows[cut:].copy())], len(rows) - cut
+    if n:
+        yield joined()
+
+
+def _words(rows: np.ndarray) -> np.ndarray:
+    """The descriptors in ``rows`` of bytes as words of 64 bits."""
+    return np.ascontiguousarray(rows[:, : BITS // 8]).view(np.uint64)
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each column of ``x`` differs from each of ``y`` (words by column), 255 where in all of them."""
+    d = np.bitwise_count(x[0][:, None] ^ y[0])
+    for k in range(1, len(x) - 1):
+        d += np.bitwise_count(x[k][:, None] ^ y[k])
+    return d + np.minimum(np.bitwise_count(x[-1][:, None] ^ y[-1]), 255 - d)
+
+
+def _runs(bits: np.ndarray) -> np.ndarray:
+    """For each row of a bucket the first row, in order, of those that stand for a run and match it: itself where there is none."""
+    n, of = len(bits), np.arange(len(bits))
+    if n < TILED:
+        numbers, firsts = [int.from_bytes(b.tobytes(), "little") for b in bits], []
+        for i, b in enumerate(numbers):
+            k = next((k for k in firsts if (numbers[k] ^ b).bit_count() <= MATCH_BITS), None)
+            if k is None:
+                firsts.append(i)
+            else:
+                of[i] = k
+        return of
+    words = np.ascontiguousarray(bits.T)
+    firsts, m = np.empty(n, np.int64), 0
+    stand = np.empty_like(words)
+    for at in range(0, n, TILE):
+        rows = np.arange(at, min(n, at + TILE))
+        open_ = np.ones(len(rows), bool)
+        for k in range(0, m, TILE_WIDTH):
+            own = np.flatnonzero(open_)
+            near = _differing(words[:, rows[own]], stand[:, k : min(m, k + TILE_WIDTH)]) <= MATCH_BITS
+            hit = near.any(axis=1)
+            of[rows[own[hit]]] = firsts[k + near[hit].argmax(axis=1)]
+            open_[own[hit]] = False
+        rows = rows[open_]
+        near = _differing(words[:, rows], words[:, rows]) <= MATCH_BITS
+        new = []
+        for i, row in enumerate(near):
+            k = next((k for k in new if row[k]), None)
+            if k is None:
+                new.append(i)
+            else:
+                of[rows[i]] = rows[k]
+        firsts[m : m + len(new)], stand[:, m : m + len(new)] = rows[new], words[:, rows[new]]
+        m += len(new)
+    return of
+
+
 def _bucket_matches(batches):
     """Matches (a, b, places of both) of neighbours in each bucket.
 
@@ -211,27 +303,25 @@ def _bucket_matches(batches):
     bucket of any size gives at most two matches a row. What this leaves out
     is compared in ``class_links``.
     """
-    last, first, previous = None, [], []
-    out = []
-    for batch in batches:
-        column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        for bucket, node, corner in zip(column("bucket"), column("node"), column("corner"), strict=True):
-            if bucket != last:
-                last, first, previous = bucket, [], []
-            b, place = int.from_bytes(corner[: BITS // 8], "big"), corner[BITS // 8 :]
-            hit = next((k for k in range(len(first)) if (first[k][2] ^ b).bit_count() <= MATCH_BITS), None)
-            row = (node, place, b)
-            if hit is None:
-                first.append(row)
-                previous.append(row)
-                continue
-            for other in (first[hit], previous[hit]) if previous[hit] is not first[hit] else (first[hit],):
-                if other[0] != node and (other[2] ^ b).bit_count() <= MATCH_BITS:
-                    out.append((other[0], node, other[1] + place) if other[0] < node else (node, other[0], place + other[1]))
-            previous[hit] = row
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["a", "b", "places"])
-            out = []
+    for x, rows in _whole_groups(batches, ("bucket", "node"), "corner", ("bucket",)):
+        bits, node = _words(rows), x["node"]
+        first = np.arange(len(bits))
+        cuts = np.flatnonzero(np.r_[True, x["bucket"][1:] != x["bucket"][:-1], True])
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if end - start > 1:
+                first[start:end] = start + _runs(bits[start:end])
+        # of each run its rows in order: each meets the first and, if that is another, the one before
+        order = np.argsort(first, kind="stable")
+        own, before = order[1:], order[:-1]
+        within = first[own] == first[before]
+        own, before = own[within], before[within]
+        more = before != first[own]
+        i, j = np.concatenate([first[own], before[more]]), np.concatenate([own, own[more]])
+        met = (node[i] != node[j]) & (np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= MATCH_BITS)
+        i, j = i[met], j[met]
+        a, b = np.where(node[i] < node[j], (i, j), (j, i))
+        places = rows[:, BITS // 8 :]
+        yield _batch(("a", "b", "places"), pa.array(node[a]), pa.array(node[b]), _binaries(np.hstack([places[a], places[b]])))
 
 
 def consensus(places: np.ndarray) -> int:
@@ -260,7 +350,8 @@ def _agreed(batches):
     key, held = None, []
 
     def done():
-        return key, consensus(np.frombuffer(b"".join(held), np.float32).reshape(-1, 8).astype(np.float64))
+        places = set(held)  # most pairs have too few matches to be looked at
+        return key, consensus(np.frombuffer(b"".join(places), np.float32).reshape(-1, 8).astype(np.float64)) if len(places) >= INLIERS else 0
 
     for batch in batches:
         out = []
@@ -319,80 +410,96 @@ def _class_rows(batches):
 def _class_matches(batches):
     """For each corner ``(a, at)`` the matching nodes of other classes above ``a``, by their lower 32 bits.
 
-    Rows come sorted by bucket and pair of blocks. All rows at a distance of 1,
-    2, 3, ... of each other are compared at once, as long as any are of one
-    group. A task holds ``ROWS`` rows (or a group) and ``PAIRS`` matches.
+    Rows come sorted by bucket and pair of blocks. Large groups are compared in
+    tiles, all rows of the others at a distance of 1, 2, 3, ... of each other
+    at once. A task holds ``ROWS`` rows (or a group) and ``PAIRS`` matches.
     """
-    names = ("bucket", "low", "high", "block", "node", "class", "at")
-
-    def matches(x, bits):
-        group = np.cumsum(np.r_[True, (x["bucket"][1:] != x["bucket"][:-1]) | (x["low"][1:] != x["low"][:-1]) | (x["high"][1:] != x["high"][:-1])])
-        across = x["low"] != x["high"]
-        i, d, held, n = np.arange(len(group) - 1), 1, [], 0
-        while len(i := i[i + d < len(group)]) and len(i := i[group[i] == group[i + d]]):
+    by = ("bucket", "low", "high")
+
+    def near(x, bits):
+        """Pairs of rows that match, from all pairs of a group (of blocks: all across them)."""
+        cuts = np.flatnonzero(np.r_[True, np.any([x[c][1:] != x[c][:-1] for c in by], axis=0), True])
+        sizes = np.diff(cuts)
+        for start, end in zip(cuts[:-1][sizes >= TILED].tolist(), cuts[1:][sizes >= TILED].tolist()):
+            i = j = np.arange(start, end)
+            across = x["low"][start] != x["high"][start]
+            if across:
+                of = x["block"][start:end] == x["low"][start]
+                i, j = i[of], i[~of]
+            u, v = np.ascontiguousarray(bits[i].T), np.ascontiguousarray(bits[j].T)
+            for k in range(0, len(i), TILE):
+                for l in range(0 if across else k, len(j), TILE_WIDTH):
+                    d = _differing(u[:, k : k + TILE], v[:, l : l + TILE_WIDTH])
+                    p, q = np.divmod(np.flatnonzero(d <= MATCH_BITS), d.shape[1])
+                    p, q = i[k + p], j[l + q]
+                    yield (p, q) if across else (p[p < q], q[p < q])
+        end = np.repeat(cuts[1:], sizes)
+        i, d = np.flatnonzero((np.repeat(sizes, sizes) < TILED) & (np.arange(len(end)) + 1 < end)), 1
+        while len(i):
             for k in range(0, len(i), PAIRS):
                 p = i[k : k + PAIRS]
-                p = p[(x["class"][p] != x["class"][p + d]) & (~across[p] | (x["block"][p] != x["block"][p + d]))]
+                p = p[(x["low"][p] == x["high"][p]) | (x["block"][p] != x["block"][p + d])]
                 p = p[np.bitwise_count(bits[p] ^ bits[p + d]).sum(1, dtype=np.int64) <= MATCH_BITS]
-                a, b = np.where(x["node"][p] < x["node"][p + d], (p, p + d), (p + d, p))
-                held.append((x["node"][a], x["at"][a], x["node"][b].astype(np.int32)))
-                n += len(p)
-                if n >= PAIRS:
-                    yield listed(held)
-                    held, n = [], 0
+                yield p, p + d
             d += 1
-        if n:
-            yield listed(held)
-
-    def listed(held):
-        a, at, b = (np.concatenate(h) for h in zip(*held, strict=True))
-        order = np.lexsort((b, at, a))
-        a, at, b = a[order], at[order], b[order]
-        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (at[1:] != at[:-1])])
-        offsets = pa.array(np.r_[start, len(a)] * 4, pa.int32())
+            i = i[i + d < end[i]]
+
+    def listed(p, q, x):
+        order = np.argsort(p, kind="stable")
+        p, b = p[order], x["node"][q[order]].astype(np.int32)
+        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        offsets = pa.array(np.r_[start, len(p)] * 4, pa.int32())
         lists = pa.Array.from_buffers(pa.binary(), len(start), [None, offsets.buffers()[1], pa.py_buffer(b)])
-        return _batch(("a", "at", "others"), pa.array(a[start]), pa.array(at[start]), lists)
+        return _batch(("a", "at", "others"), pa.array(x["node"][p[start]]), pa.array(x["at"][p[start]]), lists)
+
+    for x, rows in _whole_groups(batches, (*by, "block", "node", "class", "at"), "bits", by):
+        held, n = [], 0
+        for p, q in near(x, _words(rows)):
+            apart = x["class"][p] != x["class"][q]
+            p, q = p[apart], q[apart]
+            held.append(np.where(x["node"][p] < x["node"][q], (p, q), (q, p)))
+            n += len(p)
+            if n >= PAIRS:
+                yield listed(*np.concatenate(held, axis=1), x)
+                held, n = [], 0
+        if n:
+            yield listed(*np.concatenate(held, axis=1), x)
+
+
+def _candidates(batches):
+    """Pairs of which enough corners of ``a`` match; ``b`` by its lower 32 bits. Rows come sorted by ``a``; about ``PAIRS`` matches (or those of a node) are counted at a time."""
+
+    def counted(parts):
+        a, at, sizes, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+        own = np.cumsum(np.r_[False, a[1:] != a[:-1]])
+        key = np.sort((np.repeat(own, sizes) << 40) | (b.astype(np.int64) & 0xFFFFFFFF) << 8 | np.repeat(at, sizes).astype(np.int64))
+        key = key[np.r_[True, key[1:] != key[:-1]]] >> 8
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[start, len(key)])
+        key, n = key[start[n >= INLIERS]], n[n >= INLIERS]
+        first = a[np.flatnonzero(np.r_[True, a[1:] != a[:-1]])]
+        return _batch(("a", "b32", "n"), pa.array(first[key >> 32]), pa.array((key & 0xFFFFFFFF).astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int64)))
 
     held, n = [], 0
     for batch in batches:
-        bits = np.frombuffer(b"".join(_column(batch, "bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        held.append(({c: _column(batch, c).to_numpy() for c in names}, bits))
-        n += len(bits)
-        if n < ROWS:
+        a, at, others = (_column(batch, c) for c in ("a", "at", "others"))
+        if not batch.num_rows:
             continue
-        x, bits = {c: np.concatenate([h[0][c] for h in held]) for c in names}, np.concatenate([h[1] for h in held])
-        last = np.flatnonzero((x["bucket"] != x["bucket"][-1]) | (x["low"] != x["low"][-1]) | (x["high"] != x["high"][-1]))
+        others = others.to_pylist()
+        a, sizes = a.to_numpy(), np.array([len(o) // 4 for o in others])
+        held.append((a, at.to_numpy(), sizes, np.frombuffer(b"".join(others), np.int32)))
+        n += int(sizes.sum())
+        if n < PAIRS:
+            continue
+        a, at, sizes, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        last = np.flatnonzero(a != a[-1])
         cut = last[-1] + 1 if len(last) else 0
+        upto = int(sizes[:cut].sum())
         if cut:
-            yield from matches({c: v[:cut] for c, v in x.items()}, bits[:cut])
-        held, n = [({c: v[cut:].copy() for c, v in x.items()}, bits[cut:].copy())], len(bits) - cut
-    if n:
-        yield from matches({c: np.concatenate([h[0][c] for h in held]) for c in names}, np.concatenate([h[1] for h in held]))
-
-
-def _candidates(batches):
-    """Pairs of which enough corners of ``a`` match; ``b`` by its lower 32 bits. Rows come sorted by ``a``."""
-    node, held = None, []
-
-    def enough():
-        at = np.concatenate([np.full(len(o), k, np.int64) for k, o in held])
-        b = np.concatenate([o for _, o in held]).astype(np.int64)
-        b, n = np.unique(np.unique((b << 8) + at) >> 8, return_counts=True)
-        return [(node, int(k), int(m)) for k, m in zip(b[n >= INLIERS], n[n >= INLIERS], strict=True)]
-
-    def rows(found):
-        return _batch(("a", "b32", "n"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()))
-
-    for batch in batches:
-        found = []
-        for a, at, others in zip(*(_column(batch, c).to_pylist() for c in ("a", "at", "others")), strict=True):
-            if a != node:
-                found += enough() if held else []
-                node, held = a, []
-            held.append((at, np.frombuffer(others, np.int32)))
-        yield rows(found)
+            yield counted([(a[:cut], at[:cut], sizes[:cut], b[:upto])])
+        held, n = [(a[cut:].copy(), at[cut:].copy(), sizes[cut:].copy(), b[upto:].copy())], len(b) - upto
     if held:
-        yield rows(enough())
+        yield counted(held)
 
 
 def matching_places(a: bytes, b: bytes) -> np.ndarray:
