@@ -175,7 +175,8 @@ def _met(chunks: DataFrame, make, schema: str, by: tuple[str, ...]) -> DataFrame
     """``make(left, right)`` of each two blocks, the two the same object for a block with itself; a block is ``(p_idx, values, extra)``, results are tuples of arrays after the keys."""
     fields = [f.split() for f in schema.split(", ")]
     by = list(by)
-    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[k] for _, k in fields]
+    plain = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = [(plain | {f"array<{k}>": pa.list_(t) for k, t in plain.items()})[k] for _, k in fields]
 
     def block_of(parts):
         j = parts[0].j
@@ -188,8 +189,8 @@ def _met(chunks: DataFrame, make, schema: str, by: tuple[str, ...]) -> DataFrame
         for columns in make(left, right):
             n = len(columns[0])
             if n:
-                keys = [pa.repeat(pa.scalar(k, t), n) for k, t in zip(key, kinds)]
-                arrays = [*keys[: len(by)], *(pa.array(c).cast(t) for c, t in zip(columns, kinds[len(by) :], strict=True))]
+                keys = [pa.repeat(pa.scalar(k, t), n) for k, t in zip(key, kinds[: len(by)])]
+                arrays = [*keys, *(c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(columns, kinds[len(by) :], strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f for f, _ in fields])
 
     def run(batches):
@@ -208,7 +209,36 @@ def _met(chunks: DataFrame, make, schema: str, by: tuple[str, ...]) -> DataFrame
     return chunks.mapInArrow(run, schema)
 
 
-PAIRS = "study_id string, p_i int, p_j int, r double, n_pair long"
+PAIR_LISTS = "study_id string, p_i int, p_j array<int>, r array<double>, n_pair array<long>"
+
+
+def _listed(who: np.ndarray, others: np.ndarray, *values: np.ndarray):
+    """``(p_i, p_j, *values)`` with a row for each of ``who`` that has others above it, lists of what it has with these; both ids ascend. A value that all pairs share is a list of one."""
+    start = np.searchsorted(others, who, side="right")
+    rows = np.flatnonzero(start < len(others))
+    if not len(rows):
+        return
+    start = start[rows]
+    above = None if not start.any() else np.arange(len(others)) >= start[:, None]
+    ends = np.r_[0, np.cumsum(len(others) - start)].astype(np.int32)
+
+    def lists(v, kind):
+        if v.strides == (0, 0):
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32)), pa.array(np.full(len(rows), v[0, 0]).astype(kind)))
+        v = v if len(rows) == len(v) else v[rows]
+        v = v.ravel() if above is None else v[above]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(kind, copy=False)))
+
+    ids = np.broadcast_to(others.astype(np.int32), (len(who), len(others)))
+    yield who[rows], lists(ids, np.int32), *(lists(v, kind) for v, kind in zip(values, (np.float64, np.int64)))
+
+
+def _spread(lists: DataFrame) -> DataFrame:
+    """A row for each pair of ``PAIR_LISTS``, made where the lists arrive: a pair costs neither a row nor the study's name between Python and Spark."""
+    counted = "n_pair" in lists.columns
+    each = lists.select("study_id", "p_i", "p_j", *(["n_pair"] if counted else []), F.posexplode("r").alias("at", "r"))
+    n = F.when(F.size("n_pair") == 1, F.get("n_pair", F.lit(0))).otherwise(F.get("n_pair", "at"))
+    return each.select("study_id", "p_i", F.get("p_j", "at").alias("p_j"), "r", *([n.alias("n_pair")] if counted else []))
 
 
 def _defined(pairs: DataFrame) -> DataFrame:
@@ -217,16 +247,10 @@ def _defined(pairs: DataFrame) -> DataFrame:
 
 def _pairs(sorts: DataFrame, block: int, kind: str) -> DataFrame:
     def make(left, right):
-        apart = left[0].max() < right[0].min()
         for i, j, r, n in _pieces(left[1], right[1], kind):
-            if apart:  # every pair is in order, none has to be picked
-                yield np.repeat(left[0][i], len(j)), np.tile(right[0][j], len(i)), r.ravel(), n.ravel().astype(np.int64)
-                continue
-            there = left[0][i][:, None] < right[0][j][None, :]
-            a, b = np.nonzero(there)
-            yield left[0][i][a], right[0][j][b], r[a, b], n[a, b].astype(np.int64)
+            yield from _listed(left[0][i], right[0][j], r, n)
 
-    return _defined(_blocked(sorts, block, make, PAIRS))
+    return _defined(_spread(_blocked(sorts, block, make, PAIR_LISTS)))
 
 
 def pearson(sorts: DataFrame, block: int = 512) -> DataFrame:
@@ -254,11 +278,9 @@ def packed_correlation(sorts: DataFrame, block: int = 512) -> DataFrame:
         u, v = (np.where(np.isnan(x).any(axis=1, keepdims=True), np.nan, _unit(x)) for x in (left[1], right[1]))
         step = max(1, PIECE // max(len(v), 1))
         for k in range(0, len(u), step):
-            r = u[k : k + step] @ v.T
-            a, b = np.nonzero(left[0][k : k + step][:, None] < right[0][None, :])
-            yield left[0][k + a], right[0][b], r[a, b]
+            yield from _listed(left[0][k : k + step], right[0], u[k : k + step] @ v.T)
 
-    return _blocked(sorts, block, make, "study_id string, p_i int, p_j int, r double")
+    return _spread(_blocked(sorts, block, make, PAIR_LISTS.rpartition(", ")[0]))
 
 
 SUMS = "p_idx int, at int, r_sum double, n_r long, n_undefined long"
