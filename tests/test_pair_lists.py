@@ -46,3 +46,22 @@ def test_rounded_as_round(spark):
     x = [*ties, *rng.uniform(-2, 2, 20_000).tolist(), *(10.0 ** rng.uniform(-12, 300, 500)).tolist(), 0.0, -0.0, float("nan"), float("inf"), -float("inf"), None, 999.9999995, 1e9 + 0.1234567]
     df = spark.createDataFrame([(v,) for v in x], "x double").select("x", (rounded(F.col("x")) + F.lit(0.0)).alias("a"), (F.round("x", 6) + F.lit(0.0)).alias("b"))
     assert df.where("not (a <=> b)").collect() == []
+
+
+@pytest.mark.parametrize("kind", ["pearson", "spearman", "kendall"])
+def test_groups_of_gaps_share_pieces(monkeypatch, kind):
+    """A group of rows meets all groups of the other side in one piece; r and n are those of each pair."""
+    rng = np.random.default_rng(4)
+    x, y = (np.stack([rng.permutation(np.repeat(np.arange(-2.0, 3), [1, 2, 3, 2, 1])) for _ in range(60)]) for _ in range(2))
+    for z in (x, y):
+        z[::3, 2] = z[1::3, 5] = np.nan
+    y[5] = [1.0, *[np.nan] * 8]
+    monkeypatch.setattr(C, "FEW", 4)
+    pieces = list(C._row_pieces(x, y, kind))
+    assert len(pieces) == 3 < len(list(C._pieces(x, y, kind)))
+    r, n = np.full((60, 60), 9.0), np.full((60, 60), -1)
+    for i, j, part, common in pieces:
+        r[np.ix_(i, j)], n[np.ix_(i, j)] = part, common
+    want_r, want_n = C.KERNELS[kind][1](x, y)
+    assert (n == want_n).all()
+    np.testing.assert_allclose(r, want_r, atol=1e-9)

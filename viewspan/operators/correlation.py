@@ -11,6 +11,8 @@ of studies with few kinds of gaps need no blocks: each participant meets the sum
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -89,6 +91,8 @@ def _unit_ranks(x: np.ndarray) -> np.ndarray:
 
 def _unit_signs(x: np.ndarray) -> np.ndarray:
     """Signs of all statement pairs over the root of how many differ: products are tau-b."""
+    if x.shape[1] < 2:  # no pair of statements, so no tau
+        return np.full((len(x), 1), np.nan)
     first, second = np.triu_indices(x.shape[1], 1)
     s = np.sign(x[:, first] - x[:, second])
     n = np.abs(s).sum(axis=1, keepdims=True)
@@ -142,6 +146,28 @@ def _pieces(x: np.ndarray, y: np.ndarray, kind: str):
             yield i[k : k + step(len(j))], j, r, np.broadcast_to(float(n), r.shape)
 
 
+def _row_pieces(x: np.ndarray, y: np.ndarray, kind: str):
+    """As ``_pieces``, but with all rows of ``y`` in each piece (n is 0 where there is nothing in common): many small groups of gaps make few pieces."""
+    met = _units(x, y, KERNELS[kind][0])
+    if met is None:
+        yield from _pieces(x, y, kind)
+        return
+    step = max(1, PIECE // max(len(y), 1))
+    for _, group in groupby(met, key=lambda g: g[0][0]):
+        group = list(group)
+        i = group[0][0]
+        for k in range(0, len(i), step):
+            rows = i[k : k + step]
+            if len(group[0][1]) == len(y):
+                r = group[0][2][k : k + step] @ group[0][3].T
+                n = np.broadcast_to(float(group[0][4]), r.shape)
+            else:
+                r, n = np.full((len(rows), len(y)), np.nan), np.zeros((len(rows), len(y)), np.int64)
+                for _, j, u, v, common in group:
+                    r[:, j], n[:, j] = u[k : k + step] @ v.T, common
+            yield rows, np.arange(len(y)), r, n
+
+
 def _people(sorts: DataFrame, by: list[str], extra: Column | None = None) -> DataFrame:
     """``(*by, p_idx, n, j, w, v)``: a row for each participant; ``v`` its values by statement (nan: missing), ``w`` the numbers of array ``extra``, ``n`` and ``j`` the study's participants and statements. Kept by Spark, as several steps read it."""
     here = sorts.groupBy(*by, "p_idx").agg(F.map_from_entries(F.collect_list(F.struct("stmt_num", F.col("value").cast("double").alias("value")))).alias("m"), F.first(extra if extra is not None else F.array().cast("array<double>")).alias("w"))
@@ -247,7 +273,7 @@ def _defined(pairs: DataFrame) -> DataFrame:
 
 def _pairs(sorts: DataFrame, block: int, kind: str) -> DataFrame:
     def make(left, right):
-        for i, j, r, n in _pieces(left[1], right[1], kind):
+        for i, j, r, n in _row_pieces(left[1], right[1], kind):
             yield from _listed(left[0][i], right[0][j], r, n)
 
     return _defined(_spread(_blocked(sorts, block, make, PAIR_LISTS)))
